@@ -2,3 +2,4 @@
 
 from .registry import REGISTRY  # noqa: F401
 from . import q_frames  # noqa: F401  (registers queries)
+from . import q_stats  # noqa: F401,E402
