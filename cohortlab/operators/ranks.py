@@ -37,7 +37,7 @@ def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> Co
 
 def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None = None,
                group: list[str] | None = None, buckets: int | None = None,
-               accuracy: int = 10000) -> DataFrame:
+               accuracy: int = 10000, unique_by: list[str] | None = None) -> DataFrame:
     """Rows ``(part, group, value, n)`` with, per row:
 
     ``_cum``   rows in the part with a value <= this one (all groups),
@@ -45,8 +45,16 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     ``_total`` rows in the part.
 
     NULL values are left out (they have no rank).
+
+    With ``unique_by`` (columns that identify a row, e.g. a key) equal
+    values are ordered by those columns, so every row gets its own position
+    (``_tie`` is then the row's own count): a total order for ranking by a
+    hash, where two keys may collide.
     """
-    group = group or []
+    group = list(group or [])
+    for u in unique_by or []:
+        if u not in group:
+            group.append(u)
     buckets = buckets or default_buckets(df)
     n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     agg = (df.where(F.col(value).isNotNull())
@@ -72,12 +80,17 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
                    F.sum("_bn").over(wp).alias("_total"))
     b = b.join(bt, [*part, "_b"])
 
-    w_cum = (Window.partitionBy(*part, "_b").orderBy(value)
-             .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    w_tie = Window.partitionBy(*part, "_b", value)
+    if unique_by:
+        w_cum = (Window.partitionBy(*part, "_b").orderBy(value, *unique_by)
+                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        tie = F.col("n")
+    else:
+        w_cum = (Window.partitionBy(*part, "_b").orderBy(value)
+                 .rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        tie = F.sum("n").over(Window.partitionBy(*part, "_b", value))
     return b.select(*part, *group, value, "n",
                     (F.col("_off") + F.sum("n").over(w_cum)).alias("_cum"),
-                    F.sum("n").over(w_tie).alias("_tie"),
+                    tie.alias("_tie"),
                     "_total")
 
 
