@@ -43,17 +43,24 @@ def logit_fit(df: DataFrame, label: str, terms: list[str], max_iter: int = 100,
     data = assemble(X, safe).select(F.col(label).cast("double").alias("label"), "features")
     glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol,
                                       fitIntercept=True, featuresCol="features", labelCol="label")
-    m = glr.fit(data)
-    s = m.summary
+    # IRLS passes over the data once per iteration: keep the (small) design
+    # rows cached instead of re-deriving them from the source each time.
+    data = data.persist()
+    try:
+        m = glr.fit(data)
+        s = m.summary
+        ses, pvs = list(s.coefficientStandardErrors), list(s.pValues)
+        aic, n_obs = float(s.aic), int(s.numInstances)
+    finally:
+        data.unpersist()
     coefs = [m.intercept] + list(m.coefficients)
-    se = [s.coefficientStandardErrors[-1]] + list(s.coefficientStandardErrors[:-1])
-    pv = [s.pValues[-1]] + list(s.pValues[:-1])
+    se = [ses[-1]] + ses[:-1]
+    pv = [pvs[-1]] + pvs[:-1]
     terms_out = ["Intercept"] + names
     rows = [(t, float(b), float(e), float(b / e), float(p), float(b - Z975 * e), float(b + Z975 * e))
             for t, b, e, p in zip(terms_out, coefs, se, pv)]
     k = len(coefs)
-    aic = float(s.aic)
-    stats = {"llf": (2.0 * k - aic) / 2.0, "aic": aic, "n": int(s.numInstances), "k": k}
+    stats = {"llf": (2.0 * k - aic) / 2.0, "aic": aic, "n": n_obs, "k": k}
     table = df.sparkSession.createDataFrame(
         rows, "term string, coef double, se double, z double, p double, lo double, hi double")
     return table, stats
@@ -75,17 +82,21 @@ def ols_fit(df: DataFrame, label: str, terms: list[str]) -> tuple[DataFrame, dic
     X, safe, names = design_matrix(df, terms, keep=[label])
     X = X.na.drop("any")
     data = assemble(X, safe).select(F.col(label).cast("double").alias("label"), "features")
-    m = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True,
-                         standardization=False).fit(data)
-    s = m.summary
+    data = data.persist()
+    try:
+        m = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True,
+                             standardization=False).fit(data)
+        s = m.summary
+        ses, tvs, pvs = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues)
+        r2, n_obs = float(s.r2), int(s.numInstances)
+    finally:
+        data.unpersist()
     coefs = [m.intercept] + list(m.coefficients)
-    se = [s.coefficientStandardErrors[-1]] + list(s.coefficientStandardErrors[:-1])
-    tv = [s.tValues[-1]] + list(s.tValues[:-1])
-    pv = [s.pValues[-1]] + list(s.pValues[:-1])
+    se, tv, pv = [ses[-1]] + ses[:-1], [tvs[-1]] + tvs[:-1], [pvs[-1]] + pvs[:-1]
     rows = [(t, float(b), float(e), float(tt), float(p))
             for t, b, e, tt, p in zip(["Intercept"] + names, coefs, se, tv, pv)]
     table = df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
-    return table, {"r2": float(s.r2), "n": int(s.numInstances)}
+    return table, {"r2": r2, "n": n_obs}
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
