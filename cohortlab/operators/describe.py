@@ -31,18 +31,21 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
     uses ``percentile_approx`` (bounded memory sketch) instead.
     """
     by = by or []
-    long = long_values(df, cols, by).where(F.col("value").isNotNull())
+    # NULLs stay in for the moments, so an all-NULL column still gets a row
+    # (count 0, other statistics NULL) as pandas reports it.
+    long = long_values(df, cols, by)
     keys = [*by, "column"]
     mom = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
     if approx:
-        q = long.groupBy(*keys).agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
+        q = long.where(F.col("value").isNotNull()).groupBy(*keys) \
+            .agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
         q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
     else:
         q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).drop("n")
-    out = mom.join(q, keys)
+    out = mom.join(q, keys, "left")
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     rnd = (lambda c: F.bround(F.col(c), digits)) if digits is not None else F.col
     return out.select(*keys, F.col("count").cast("bigint").alias("count"),
@@ -86,13 +89,17 @@ def flag_counts_by_outcome(df: DataFrame, flags: list[str], outcome: str,
                               .alias(f"n_{outcome}_{lv}") for lv in levels])
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 10000) -> DataFrame:
     """Two-way table in long form ``(a, b, n)`` with zero cells kept.
 
-    Zero cells come from a pivot on the levels of ``b`` (a bounded list)
-    followed by an unpivot, not from a cross join of level lists.
+    Zero cells come from a pivot on the levels of ``b`` (a bounded list,
+    checked against ``max_levels``) followed by an unpivot, not from a cross
+    join of level lists.
     """
-    levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct().collect()]
+    levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct()
+              .limit(max_levels + 1).collect()]
+    if len(levels) > max_levels:
+        raise ValueError(f"crosstab: {b} has more than {max_levels} levels")
     levels = sorted(levels)
     names = [f"_l{i}" for i in range(len(levels))]
     wide = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()) \
