@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -37,7 +39,8 @@ def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> Co
 
 def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None = None,
                group: list[str] | None = None, buckets: int | None = None,
-               accuracy: int = 10000, unique_by: list[str] | None = None) -> DataFrame:
+               accuracy: int | None = None, unique_by: list[str] | None = None,
+               materialize: bool = False) -> DataFrame:
     """Rows ``(part, group, value, n)`` with, per row:
 
     ``_cum``   rows in the part with a value <= this one (all groups),
@@ -50,20 +53,34 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     values are ordered by those columns, so every row gets its own position
     (``_tie`` is then the row's own count): a total order for ranking by a
     hash, where two keys may collide.
+
+    The pre-aggregated frame is read three times (cut points, bucket totals,
+    the running sums). Over a plain scan the three reads are pruned to the
+    columns each needs and cost less than a write; for an expensive input
+    (joins, an explode, nested ranks) pass ``materialize=True`` to write it
+    once to the shared checkpoint folder, so its lineage runs once and a lost
+    executor does not recompute it from the source. The cut-point and bucket-offset
+    tables have ``parts`` and ``parts x buckets`` rows: they are the build
+    sides of broadcast joins, never the data side.
     """
     group = list(group or [])
     for u in unique_by or []:
         if u not in group:
             group.append(u)
     buckets = buckets or default_buckets(df)
+    # Cut points only balance the buckets: a rank error of 1 / (20 buckets)
+    # is plenty and keeps the quantile sketches small.
+    accuracy = accuracy or max(200, 20 * buckets)
     n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
     agg = (df.where(F.col(value).isNotNull())
              .groupBy(*part, *group, value).agg(n.cast("bigint").alias("n")))
+    if materialize:
+        agg = cut_lineage(agg)
 
     if part:
         probs = [i / buckets for i in range(1, buckets)]
         cuts = agg.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"))
-        b = agg.join(cuts, part)
+        b = agg.join(F.broadcast(cuts), part)
         bucket = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
         b = b.withColumn("_b", bucket).drop("_cuts")
     else:
@@ -78,7 +95,7 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
                        wp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                    .alias("_off"),
                    F.sum("_bn").over(wp).alias("_total"))
-    b = b.join(bt, [*part, "_b"])
+    b = b.join(F.broadcast(bt), [*part, "_b"])
 
     if unique_by:
         w_cum = (Window.partitionBy(*part, "_b").orderBy(value, *unique_by)

@@ -160,7 +160,7 @@ def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
     n0 = n - n1
     rep = mid.select(key, "mid", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
     rep = rep.withColumn("_h", _hash(seed, F.col("perm"), F.col(key)))
-    order = cumulative(rep, ["perm"], "_h", group=["mid"], unique_by=[key])
+    order = cumulative(rep, ["perm"], "_h", group=["mid"], unique_by=[key], materialize=True)
     pos = order.where(F.col("_cum") <= n1)
     auc = (F.sum("mid") - F.lit(n1 * (n1 + 1) / 2.0)) / F.lit(float(max(n1 * n0, 1)))
     return pos.groupBy("perm").agg(auc.alias("auc"))

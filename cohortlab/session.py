@@ -63,10 +63,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/cohortlab-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and continue from it.
+
+    ``how="table"`` writes parquet under the folder and reads it back
+    (columnar, compressed, and the planner sees real file sizes);
+    ``how="checkpoint"`` uses ``DataFrame.checkpoint()``. Both survive the
+    loss of an executor: later stages read the files, not the lineage.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if how == "checkpoint":
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def session_of(df: DataFrame) -> SparkSession:
