@@ -37,7 +37,7 @@ def _grid(pipe, regs, l1s):
 
 
 def grid_search(df: DataFrame, features: list[str], label: str, fold_col: str, k: int,
-                regs=DEFAULT_REGS, l1s=DEFAULT_L1, parallelism: int = 4):
+                regs=DEFAULT_REGS, l1s=DEFAULT_L1, parallelism: int = 1):
     """M7: grid search over (reg, l1_ratio) with given folds, refit on best.
     Returns ``(best PipelineModel, table (reg, l1_ratio, auc))``."""
     pipe = classifier_pipeline(features, label)
@@ -54,7 +54,7 @@ def grid_search(df: DataFrame, features: list[str], label: str, fold_col: str, k
 
 def nested_cv(df: DataFrame, key: str, label: str, features: list[str], outer_k: int = 10,
               inner_k: int = 5, seed: int = 10, regs=DEFAULT_REGS, l1s=DEFAULT_L1,
-              parallelism: int = 4, train_scores: bool = True) -> NestedResult:
+              parallelism: int = 1, train_scores: bool = True) -> NestedResult:
     """Outer stratified folds; in each, an inner grid search on the
     training rows only, then train and test scores of the refitted model."""
     # The fold-tagged table is materialised once in the shared checkpoint

@@ -30,11 +30,22 @@ def default_buckets(df: DataFrame) -> int:
     return max(8, n)
 
 
-def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> Column:
+def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     row = agg.agg(F.percentile_approx(value, probs, accuracy).alias("c")).first()
-    cuts = sorted(set(row["c"] or []))
-    return F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    return sorted(set(row["c"] or []))
+
+
+def _count_below(value: Column, cuts) -> Column:
+    """Number of cut points strictly below ``value``: a sum of comparisons
+    (no lambda), against literal cuts or the elements of an array column."""
+    terms = [(value > c).cast("int") for c in cuts]
+    if not terms:
+        return F.lit(0)
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
 
 
 def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None = None,
@@ -81,11 +92,11 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
         probs = [i / buckets for i in range(1, buckets)]
         cuts = agg.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"))
         b = agg.join(F.broadcast(cuts), part)
-        bucket = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col(value)))
-        b = b.withColumn("_b", bucket).drop("_cuts")
+        elems = [F.col("_cuts").getItem(i) for i in range(len(probs))]
+        b = b.withColumn("_b", _count_below(F.col(value), elems)).drop("_cuts")
     else:
         cuts = _cuts_literal(agg, value, buckets, accuracy)
-        b = agg.withColumn("_b", F.size(F.filter(cuts, lambda c: c < F.col(value))))
+        b = agg.withColumn("_b", _count_below(F.col(value), [F.lit(float(c)) for c in cuts]))
 
     # Offsets of the buckets: a frame of at most parts x buckets rows.
     bt = b.groupBy(*part, "_b").agg(F.sum("n").alias("_bn"))
