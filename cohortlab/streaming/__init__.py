@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes files in batch only: it has no watermarks, windows
+over event time, state or late data. No streaming operator is built; every
+operator here is a batch DataFrame operator. (A ``readStream`` source can
+still feed the projection/filter/scalar operators, which are stateless.)
+"""
