@@ -1,12 +1,17 @@
-"""Tail probabilities as Spark column expressions (no UDF, no scipy).
+"""Tail probabilities as SQL column expressions (no UDF, no scipy).
 
 Regularised incomplete beta and gamma functions are evaluated by their
-continued fractions / series inside ``aggregate(sequence(1, n), ...)``, so a
-p-value is an ordinary lazy column next to the statistic it belongs to and
-runs in the JVM. The iteration count grows with the shape parameters
-(convergence needs about sqrt(max(a, b)) steps), so large samples stay exact.
+continued fractions / series inside a fold over ``sequence(1, n)``
+(``aggregate`` in Spark, ``list_reduce`` in DuckDB), so a p-value is an
+ordinary lazy column next to the statistic it belongs to and runs in the
+JVM. The iteration count grows with the shape parameters (convergence needs
+about sqrt(max(a, b)) steps), so large samples stay accurate.
 
-From these: normal, chi-square, Student t and Fisher F tail areas.
+One generator writes the expression text for both engines: Spark gets it
+through a single ``F.expr`` call (cheap to build, parsed on the JVM), DuckDB
+gets the same algorithm as oracle SQL text (with its native ``lgamma``).
+
+Arguments are SQL snippets: column names, literals or small expressions.
 """
 
 from __future__ import annotations
@@ -29,232 +34,211 @@ MIN_STEPS = 200
 MAX_STEPS = 100_000
 
 
-def _c(x) -> Column:
-    if isinstance(x, Column):
-        return x
-    if isinstance(x, str):
-        return F.col(x)
-    return F.lit(float(x))
-
+class _Spark:
+    @staticmethod
+    def struct(**kv) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in kv.items()) + ")"
 
-def lgamma(x) -> Column:
-    """log Gamma(x) for x >= 0.5 (Lanczos)."""
-    z = _c(x).cast("double") - 1.0
-    a = F.lit(LANCZOS_COEF[0])
-    for i in range(1, len(LANCZOS_COEF)):
-        a = a + F.lit(LANCZOS_COEF[i]) / (z + float(i))
-    t = z + LANCZOS_G + 0.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.log(t) - t + F.log(a)
+    @staticmethod
+    def fold(n: str, init: str, acc: str, el: str, body: str, field: str) -> str:
+        return (f"aggregate(sequence(1, CAST({n} AS INT)), {init}, ({acc}, {el}) -> {body}, "
+                f"{acc} -> {acc}.{field})")
 
+    @staticmethod
+    def fold_all(n: str, init: str, acc: str, el: str, body: str, finish: str) -> str:
+        return (f"aggregate(sequence(1, CAST({n} AS INT)), {init}, ({acc}, {el}) -> {body}, "
+                f"{acc} -> {finish})")
 
-def _guard(v: Column) -> Column:
-    return F.when(F.abs(v) < FPMIN, F.lit(FPMIN)).otherwise(v)
+    @staticmethod
+    def el(name: str) -> str:
+        return f"CAST({name} AS DOUBLE)"
 
+    @staticmethod
+    def lgamma(x: str) -> str:
+        z = f"(({x}) - 1.0)"
+        a = " + ".join([repr(LANCZOS_COEF[0])] +
+                       [f"{LANCZOS_COEF[i]!r} / ({z} + {i}.0)" for i in range(1, len(LANCZOS_COEF))])
+        t = f"({z} + {LANCZOS_G + 0.5!r})"
+        return f"({0.5 * math.log(2 * math.pi)!r} + ({z} + 0.5) * ln({t}) - {t} + ln({a}))"
 
-def _steps(*shape: Column) -> Column:
-    big = F.greatest(*[F.abs(s) for s in shape]) if len(shape) > 1 else F.abs(shape[0])
-    n = F.ceil(F.sqrt(big) * 10.0).cast("int") + MIN_STEPS
-    return F.least(n, F.lit(MAX_STEPS))
 
+class _Duck:
+    @staticmethod
+    def struct(**kv) -> str:
+        return "{" + ", ".join(f"'{k}': CAST({v} AS DOUBLE)" for k, v in kv.items()) + "}"
 
-def _betacf(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta (modified Lentz)."""
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    d0 = 1.0 / _guard(1.0 - qab * x / qap)
-    init = F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h"))
+    @staticmethod
+    def fold(n: str, init: str, acc: str, el: str, body: str, field: str) -> str:
+        return (f"(list_reduce(range(1, CAST({n} AS BIGINT) + 1), lambda {acc}, {el}: {body}, "
+                f"{init})).{field}")
 
-    def step(acc, m):
-        m = m.cast("double")
-        m2 = m * 2.0
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 / _guard(1.0 + aa * acc["d"])
-        c = _guard(1.0 + aa / acc["c"])
-        h = acc["h"] * d * c
-        aa2 = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d2 = 1.0 / _guard(1.0 + aa2 * d)
-        c2 = _guard(1.0 + aa2 / c)
-        return F.struct(c2.alias("c"), d2.alias("d"), (h * d2 * c2).alias("h"))
+    @staticmethod
+    def fold_all(n: str, init: str, acc: str, el: str, body: str, finish: str) -> str:
+        fin = finish.replace(f"{acc}.", "r.")
+        return (f"(SELECT {fin} FROM (SELECT list_reduce(range(1, CAST({n} AS BIGINT) + 1), "
+                f"lambda {acc}, {el}: {body}, {init}) AS r))")
 
-    return F.aggregate(F.sequence(F.lit(1), _steps(a, b)), init, step, lambda acc: acc["h"])
+    @staticmethod
+    def el(name: str) -> str:
+        return f"CAST({name} AS DOUBLE)"
 
+    @staticmethod
+    def lgamma(x: str) -> str:
+        return f"lgamma({x})"
 
-def betainc(a, b, x) -> Column:
-    """Regularised incomplete beta I_x(a, b), 0 <= x <= 1."""
-    a, b, x = _c(a).cast("double"), _c(b).cast("double"), _c(x).cast("double")
 
-    def front(a_, b_, x_):
-        return F.exp(lgamma(a_ + b_) - lgamma(a_) - lgamma(b_)
-                     + a_ * F.log(x_) + b_ * F.log(1.0 - x_))
+def _steps(*shape: str) -> str:
+    big = f"greatest({', '.join(f'abs({s})' for s in shape)})" if len(shape) > 1 else f"abs({shape[0]})"
+    return f"least(CAST(ceil(sqrt({big}) * 10.0) AS INT) + {MIN_STEPS}, {MAX_STEPS})"
 
-    direct = front(a, b, x) * _betacf(a, b, x) / a
-    flipped = 1.0 - front(b, a, 1.0 - x) * _betacf(b, a, 1.0 - x) / b
-    return (F.when(x.isNull() | a.isNull() | b.isNull(), F.lit(None).cast("double"))
-            .when(x <= 0.0, F.lit(0.0))
-            .when(x >= 1.0, F.lit(1.0))
-            .when(x < (a + 1.0) / (a + b + 2.0), direct)
-            .otherwise(flipped))
 
+def _guard(v: str) -> str:
+    return f"(CASE WHEN abs({v}) < {FPMIN} THEN {FPMIN} ELSE {v} END)"
 
-def _gamma_series(a: Column, x: Column) -> Column:
-    init = F.struct((1.0 / a).alias("term"), (1.0 / a).alias("sum"))
 
-    def step(acc, n):
-        term = acc["term"] * x / (a + n.cast("double"))
-        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+def _betacf(d, a: str, b: str, x: str) -> str:
+    """Continued fraction of the incomplete beta (modified Lentz).
 
-    s = F.aggregate(F.sequence(F.lit(1), _steps(a, x)), init, step, lambda acc: acc["sum"])
-    return s * F.exp(-x + a * F.log(x) - lgamma(a))
+    One fold step per partial numerator (odd steps use the 'even' term of
+    the usual pairing, even steps the 'odd' one). The product update of step
+    k is applied at step k+1 from the stored (c, d), so no sub-expression is
+    repeated inside the step and the expression text stays linear in size.
+    """
+    j = d.el("j")
+    m = f"floor(({j} + 1.0) / 2.0)"
+    even = f"({m} * ({b} - {m}) * ({x}) / (({a} - 1.0 + 2.0 * {m}) * ({a} + 2.0 * {m})))"
+    odd = f"(-({a} + {m}) * ({a} + {b} + {m}) * ({x}) / (({a} + 2.0 * {m}) * ({a} + 1.0 + 2.0 * {m})))"
+    aa = f"(CASE WHEN {j} % 2.0 = 1.0 THEN {even} ELSE {odd} END)"
+    body = d.struct(c=_guard(f"1.0 + {aa} / acc.c"),
+                    d=f"1.0 / {_guard(f'1.0 + {aa} * acc.d')}",
+                    h="acc.h * acc.d * acc.c")
+    d0 = f"(1.0 / {_guard(f'1.0 - ({a} + {b}) * ({x}) / ({a} + 1.0)')})"
+    init = d.struct(c="1.0", d=d0, h="1.0")
+    steps = f"(2 * {_steps(a, b)})"
+    return f"({d.fold_all(steps, init, 'acc', 'j', body, 'acc.h * acc.d * acc.c')})"
 
 
-def _gamma_cf(a: Column, x: Column) -> Column:
-    b0 = x + 1.0 - a
-    d0 = 1.0 / _guard(b0)
-    init = F.struct(b0.alias("b"), F.lit(1.0 / FPMIN).alias("c"), d0.alias("d"), d0.alias("h"))
+def _betainc(d, a: str, b: str, x: str) -> str:
+    a, b, x = f"CAST({a} AS DOUBLE)", f"CAST({b} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
 
-    def step(acc, i):
-        i = i.cast("double")
-        an = -i * (i - a)
-        b = acc["b"] + 2.0
-        d = 1.0 / _guard(an * acc["d"] + b)
-        c = _guard(b + an / acc["c"])
-        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (acc["h"] * d * c).alias("h"))
+    def front(a_, b_, x_):
+        return (f"exp({d.lgamma(f'{a_} + {b_}')} - {d.lgamma(a_)} - {d.lgamma(b_)} "
+                f"+ {a_} * ln({x_}) + {b_} * ln(1.0 - {x_}))")
+
+    one_minus = f"(1.0 - {x})"
+    direct = f"{front(a, b, x)} * {_betacf(d, a, b, x)} / {a}"
+    flipped = f"1.0 - {front(b, a, one_minus)} * {_betacf(d, b, a, one_minus)} / {b}"
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
+            f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
 
-    h = F.aggregate(F.sequence(F.lit(1), _steps(a, x)), init, step, lambda acc: acc["h"])
-    return F.exp(-x + a * F.log(x) - lgamma(a)) * h
 
+def _gamma_parts(d, a: str, x: str) -> tuple[str, str, str]:
+    """(series for P, continued fraction for Q, common prefactor)."""
+    n = d.el("n")
+    series_body = d.struct(term=f"acc.term * {x} / ({a} + {n})", sum=f"acc.sum + acc.term * {x} / ({a} + {n})")
+    series = d.fold(_steps(a, x), d.struct(term=f"1.0 / {a}", sum=f"1.0 / {a}"), "acc", "n", series_body, "sum")
+    i = d.el("i")
+    an = f"(-{i} * ({i} - {a}))"
+    # Deferred product update, as in _betacf: step i applies the factor of
+    # step i-1 from the stored (c, d).
+    cf_body = d.struct(b="acc.b + 2.0", c=_guard(f"acc.b + 2.0 + {an} / acc.c"),
+                       d=f"1.0 / {_guard(f'{an} * acc.d + acc.b + 2.0')}",
+                       h="acc.h * acc.d * acc.c")
+    b0 = f"({x} + 1.0 - {a})"
+    cf_init = d.struct(b=b0, c=str(1.0 / FPMIN), d=f"1.0 / {_guard(b0)}", h=f"{FPMIN}")
+    cf = d.fold_all(_steps(a, x), cf_init, "acc", "i", cf_body, "acc.h * acc.d * acc.c")
+    pref = f"exp(-{x} + {a} * ln({x}) - {d.lgamma(a)})"
+    return series, cf, pref
 
-def gammainc_upper(a, x) -> Column:
-    """Regularised upper incomplete gamma Q(a, x)."""
-    a, x = _c(a).cast("double"), _c(x).cast("double")
-    return (F.when(x.isNull() | a.isNull(), F.lit(None).cast("double"))
-            .when(x <= 0.0, F.lit(1.0))
-            .when(x < a + 1.0, 1.0 - _gamma_series(a, x))
-            .otherwise(_gamma_cf(a, x)))
 
+def _gammainc_upper(d, a: str, x: str) -> str:
+    a, x = f"CAST({a} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
+    series, cf, pref = _gamma_parts(d, a, x)
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 "
+            f"WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} ELSE {pref} * {cf} END)")
 
-def gammainc_lower(a, x) -> Column:
-    """Regularised lower incomplete gamma P(a, x)."""
-    a, x = _c(a).cast("double"), _c(x).cast("double")
-    return (F.when(x.isNull() | a.isNull(), F.lit(None).cast("double"))
-            .when(x <= 0.0, F.lit(0.0))
-            .when(x < a + 1.0, _gamma_series(a, x))
-            .otherwise(1.0 - _gamma_cf(a, x)))
 
+def _norm_sf(d, z: str) -> str:
+    z = f"CAST({z} AS DOUBLE)"
+    upper = _gammainc_upper(d, "0.5", f"({z} * {z} / 2.0)")
+    return f"(CASE WHEN {z} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {z} >= 0 THEN 0.5 * {upper} ELSE 1.0 - 0.5 * {upper} END)"
 
-def erfc(y) -> Column:
-    y = _c(y).cast("double")
-    return F.when(y >= 0, gammainc_upper(F.lit(0.5), y * y)) \
-        .otherwise(1.0 + gammainc_lower(F.lit(0.5), y * y))
 
+def _chi2_sf(d, x: str, df: str) -> str:
+    return _gammainc_upper(d, f"(({df}) / 2.0)", f"(({x}) / 2.0)")
 
-def norm_sf(z) -> Column:
-    """P(Z > z) for a standard normal Z."""
-    return 0.5 * erfc(_c(z).cast("double") / math.sqrt(2.0))
 
+def _t_sf_two_sided(d, t: str, df: str) -> str:
+    return _betainc(d, f"(({df}) / 2.0)", "0.5", f"(({df}) / (({df}) + ({t}) * ({t})))")
 
-def norm_cdf(z) -> Column:
-    return 0.5 * erfc(-_c(z).cast("double") / math.sqrt(2.0))
 
+def _f_sf(d, f: str, d1: str, d2: str) -> str:
+    return (f"(CASE WHEN ({f}) <= 0 THEN 1.0 ELSE "
+            + _betainc(d, f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", f"(({d2}) / (({d2}) + ({d1}) * ({f})))")
+            + " END)")
 
-def chi2_sf(x, df) -> Column:
-    """P(X > x) for chi-square with ``df`` degrees of freedom."""
-    return gammainc_upper(_c(df).cast("double") / 2.0, _c(x).cast("double") / 2.0)
 
+def _arg(x) -> str:
+    if isinstance(x, Column):
+        raise TypeError("pass a column name or SQL text; compute Column arguments into a column first")
+    if isinstance(x, (int, float)):
+        return repr(float(x))
+    return f"({x})"
 
-def t_sf_two_sided(t, df) -> Column:
-    """P(|T| > |t|) for Student t with ``df`` degrees of freedom."""
-    t, df = _c(t).cast("double"), _c(df).cast("double")
-    return betainc(df / 2.0, F.lit(0.5), df / (df + t * t))
 
+# ------------------------------------------------------------ Spark columns
+def lgamma(x) -> Column:
+    """log Gamma(x) for x >= 0.5 (Lanczos)."""
+    return F.expr(_Spark.lgamma(_arg(x)))
 
-def t_sf(t, df) -> Column:
-    """One-sided P(T > t)."""
-    t = _c(t).cast("double")
-    half = 0.5 * t_sf_two_sided(t, df)
-    return F.when(t >= 0, half).otherwise(1.0 - half)
 
+def betainc(a, b, x) -> Column:
+    """Regularised incomplete beta I_x(a, b), 0 <= x <= 1."""
+    return F.expr(_betainc(_Spark, _arg(a), _arg(b), _arg(x)))
 
-def f_sf(f, d1, d2) -> Column:
-    """P(F > f) for Fisher F with (d1, d2) degrees of freedom."""
-    f, d1, d2 = _c(f).cast("double"), _c(d1).cast("double"), _c(d2).cast("double")
-    return F.when(f <= 0, F.lit(1.0)).otherwise(betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)))
 
+def gammainc_upper(a, x) -> Column:
+    """Regularised upper incomplete gamma Q(a, x)."""
+    return F.expr(_gammainc_upper(_Spark, _arg(a), _arg(x)))
 
-# ---------------------------------------------------------------------------
-# The same tail functions as DuckDB SQL text, for the oracle queries. DuckDB
-# has lgamma built in; the continued fractions use list_reduce with a struct
-# accumulator.
-# ---------------------------------------------------------------------------
 
-def _sql_steps(*shape: str) -> str:
-    big = f"greatest({', '.join(f'abs({s})' for s in shape)})" if len(shape) > 1 else f"abs({shape[0]})"
-    return f"least(CAST(ceil(sqrt({big}) * 10.0) AS BIGINT) + {MIN_STEPS}, {MAX_STEPS})"
+def norm_sf(z) -> Column:
+    """P(Z > z) for a standard normal Z."""
+    return F.expr(_norm_sf(_Spark, _arg(z)))
 
 
-def _sql_guard(v: str) -> str:
-    return f"(CASE WHEN abs({v}) < {FPMIN} THEN {FPMIN} ELSE {v} END)"
+def norm_cdf(z) -> Column:
+    return F.expr(_norm_sf(_Spark, f"(-{_arg(z)})"))
 
 
-def sql_betacf(a: str, b: str, x: str) -> str:
-    g = _sql_guard
-    d0 = f"1.0 / {g(f'1.0 - ({a} + {b}) * {x} / ({a} + 1.0)')}"
-    aa = f"(m * ({b} - m) * {x} / (({a} - 1.0 + 2 * m) * ({a} + 2 * m)))"
-    d1 = f"(1.0 / {g(f'1.0 + {aa} * acc.d')})"
-    c1 = g(f"1.0 + {aa} / acc.c")
-    aa2 = f"(-({a} + m) * ({a} + {b} + m) * {x} / (({a} + 2 * m) * ({a} + 1.0 + 2 * m)))"
-    d2 = f"(1.0 / {g(f'1.0 + {aa2} * {d1}')})"
-    c2 = g(f"1.0 + {aa2} / {c1}")
-    body = (f"{{'c': {c2}, 'd': {d2}, 'h': acc.h * {d1} * {c1} * {d2} * {c2}}}")
-    init = f"{{'c': 1.0::DOUBLE, 'd': ({d0})::DOUBLE, 'h': ({d0})::DOUBLE}}"
-    return (f"(list_reduce(list_transform(range(1, {_sql_steps(a, b)} + 1), lambda i: i::DOUBLE), "
-            f"lambda acc, m: {body}, {init})).h")
+def chi2_sf(x, df) -> Column:
+    """P(X > x) for chi-square with ``df`` degrees of freedom."""
+    return F.expr(_chi2_sf(_Spark, _arg(x), _arg(df)))
 
 
-def sql_betainc(a: str, b: str, x: str) -> str:
-    def front(a_, b_, x_):
-        return (f"exp(lgamma({a_} + {b_}) - lgamma({a_}) - lgamma({b_}) + {a_} * ln({x_}) "
-                f"+ {b_} * ln(1.0 - {x_}))")
-    direct = f"{front(a, b, x)} * {sql_betacf(a, b, x)} / ({a})"
-    flipped = f"1.0 - {front(b, a, f'(1.0 - {x})')} * {sql_betacf(b, a, f'(1.0 - {x})')} / ({b})"
-    return (f"(CASE WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
-            f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
+def t_sf_two_sided(t, df) -> Column:
+    """P(|T| > |t|) for Student t with ``df`` degrees of freedom."""
+    return F.expr(_t_sf_two_sided(_Spark, _arg(t), _arg(df)))
 
 
-def sql_gammainc_upper(a: str, x: str) -> str:
-    series_body = "{'term': acc.term * %s / (%s + n), 'sum': acc.sum + acc.term * %s / (%s + n)}" % (x, a, x, a)
-    series = (f"(list_reduce(list_transform(range(1, {_sql_steps(a, x)} + 1), lambda i: i::DOUBLE), "
-              f"lambda acc, n: {series_body}, {{'term': (1.0 / {a})::DOUBLE, 'sum': (1.0 / {a})::DOUBLE}})).sum")
-    pref = f"exp(-({x}) + ({a}) * ln({x}) - lgamma({a}))"
-    g = _sql_guard
-    an = f"(-i * (i - {a}))"
-    d = f"(1.0 / {g(f'{an} * acc.d + acc.b + 2.0')})"
-    c = g(f"acc.b + 2.0 + {an} / acc.c")
-    cf_body = f"{{'b': acc.b + 2.0, 'c': {c}, 'd': {d}, 'h': acc.h * {d} * {c}}}"
-    b0 = f"({x} + 1.0 - {a})"
-    cf_init = (f"{{'b': {b0}::DOUBLE, 'c': {1.0 / FPMIN}::DOUBLE, 'd': (1.0 / {g(b0)})::DOUBLE, "
-               f"'h': (1.0 / {g(b0)})::DOUBLE}}")
-    cf = (f"(list_reduce(list_transform(range(1, {_sql_steps(a, x)} + 1), lambda i: i::DOUBLE), "
-          f"lambda acc, i: {cf_body}, {cf_init})).h")
-    return (f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} "
-            f"ELSE {pref} * {cf} END)")
+def f_sf(f, d1, d2) -> Column:
+    """P(F > f) for Fisher F with (d1, d2) degrees of freedom."""
+    return F.expr(_f_sf(_Spark, _arg(f), _arg(d1), _arg(d2)))
 
 
+# ------------------------------------------------------------ DuckDB text
 def sql_chi2_sf(x: str, df: str) -> str:
-    return sql_gammainc_upper(f"(({df}) / 2.0)", f"(({x}) / 2.0)")
+    return _chi2_sf(_Duck, f"({x})", f"({df})")
 
 
 def sql_t_sf_two_sided(t: str, df: str) -> str:
-    return sql_betainc(f"(({df}) / 2.0)", "0.5", f"(({df}) / (({df}) + ({t}) * ({t})))")
+    return _t_sf_two_sided(_Duck, f"({t})", f"({df})")
 
 
 def sql_f_sf(f: str, d1: str, d2: str) -> str:
-    return (f"(CASE WHEN {f} <= 0 THEN 1.0 ELSE "
-            + sql_betainc(f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", f"(({d2}) / (({d2}) + ({d1}) * ({f})))")
-            + " END)")
+    return _f_sf(_Duck, f"({f})", f"({d1})", f"({d2})")
 
 
 def sql_norm_sf(z: str) -> str:
-    """0.5 * erfc(z / sqrt 2) with erfc through the incomplete gamma."""
-    y2 = f"(({z}) * ({z}) / 2.0)"
-    upper = sql_gammainc_upper("0.5", y2)
-    return f"(CASE WHEN {z} >= 0 THEN 0.5 * {upper} ELSE 1.0 - 0.5 * {upper} END)"
+    return _norm_sf(_Duck, f"({z})")

@@ -31,6 +31,15 @@ def assemble(df: DataFrame, cols: list[str], out: str = "features", keep_invalid
                            handleInvalid="keep" if keep_invalid else "skip").transform(df)
 
 
+def split_xy(df: DataFrame, features: list[str], label: str, key: str | None = None,
+             dropna: bool = False) -> DataFrame:
+    """Feature matrix + label as one frame: ``(key, features vector,
+    label double)``; NULL features are kept as NaN unless ``dropna``."""
+    src = df.na.drop("any", subset=[*features, label]) if dropna else df
+    out = assemble(src, features, "features", keep_invalid=not dropna)
+    return out.select(*([key] if key else []), "features", F.col(label).cast("double").alias("label"))
+
+
 def logit_fit(df: DataFrame, label: str, terms: list[str], max_iter: int = 100,
               tol: float = 1e-10) -> tuple[DataFrame, dict]:
     """R2: logistic regression with Wald inference. Complete cases only.
@@ -145,9 +154,8 @@ def select_elastic_net(df: DataFrame, features: list[str], label: str, reg: floa
                        l1_ratio: float = 0.5, threshold: float = 1e-5) -> DataFrame:
     """M3: elastic-net logistic model on standardised features; keep features
     with |coef| > threshold (threshold -inf keeps all, as the reference)."""
-    data = scale_features(df, features, keep=[label])
-    data = assemble(data, features)
-    m = LogisticRegression(featuresCol="features", labelCol=label, regParam=reg,
+    data = split_xy(scale_features(df, features, keep=[label]), features, label)
+    m = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg,
                            elasticNetParam=l1_ratio, maxIter=200).fit(data)
     rows = [(f, float(c), bool(abs(c) > threshold)) for f, c in zip(features, m.coefficients)]
     return df.sparkSession.createDataFrame(rows, "feature string, coef double, selected boolean")

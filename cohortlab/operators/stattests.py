@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
-from .describe import flag_counts_by_outcome, long_values
+from .describe import long_values
 from .ranks import exact_quantiles, fdr_bh, rank_sums
 from .rows import complete_cases
 
@@ -58,21 +58,22 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_level, part: list[str]
     mu = nx * ny / 2.0
     cc = 0.5 if use_continuity else 0.0
     if alternative is None:
-        z = (F.greatest(ux, uy) - mu - cc) / sd
-        u, p = F.least(ux, uy), D.norm_sf(F.abs(z))
+        z, u = (F.greatest(ux, uy) - mu - cc) / sd, F.least(ux, uy)
+        p = D.norm_sf("abs(z)")
     elif alternative == "two-sided":
-        z = (F.greatest(ux, uy) - mu - cc) / sd
-        u, p = ux, F.least(F.lit(1.0), 2.0 * D.norm_sf(z))
+        z, u = (F.greatest(ux, uy) - mu - cc) / sd, ux
+        p = F.least(F.lit(1.0), 2.0 * D.norm_sf("z"))
     elif alternative == "greater":
-        z = (ux - mu - cc) / sd
-        u, p = ux, D.norm_sf(z)
+        z, u = (ux - mu - cc) / sd, ux
+        p = D.norm_sf("z")
     elif alternative == "less":
-        z = (uy - mu - cc) / sd
-        u, p = ux, D.norm_sf(z)
+        z, u = (uy - mu - cc) / sd, ux
+        p = D.norm_sf("z")
     else:
         raise ValueError(alternative)
-    return g.where(F.col("k") == 2).select(*part, u.alias("U"), z.alias("z"), p.alias("p"),
-                                            nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"))
+    out = g.where(F.col("k") == 2).select(*part, u.alias("U"), z.alias("z"),
+                                           nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"))
+    return out.select(*part, "U", "z", p.alias("p"), "n_x", "n_y")
 
 
 def _two_group_moments(df: DataFrame, cols: list[str], group: str, a, b):
@@ -144,17 +145,16 @@ def levene_median(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     return _oneway_from_groups(g, ["column"])
 
 
-def chi2_independence(df: DataFrame, cols: list[str], outcome: str) -> DataFrame:
-    """Pearson chi-square (no Yates) of each column against an outcome.
-
-    Uses chi2 = sum(o^2 / e) - N, so cells with zero count (absent from the
-    grouped counts) need no restoring. dof = (r - 1)(c - 1) over observed
-    levels. The count table has (columns x levels x outcomes) rows.
-    """
-    long = df.select(outcome, *[F.col(c).cast("string").alias(c) for c in cols]) \
+def _level_counts(df: DataFrame, cols: list[str], outcome: str, level_type: str = "string") -> DataFrame:
+    """``(column, level, outcome, o)``: one grouped count over the unpivoted
+    frame; the contingency tables of all columns at once."""
+    long = df.select(outcome, *[F.col(c).cast(level_type).alias(c) for c in cols]) \
         .unpivot([outcome], cols, "column", "level") \
         .where(F.col("level").isNotNull() & F.col(outcome).isNotNull())
-    cnt = long.groupBy("column", "level", outcome).agg(F.count(F.lit(1)).cast("double").alias("o"))
+    return long.groupBy("column", "level", outcome).agg(F.count(F.lit(1)).cast("double").alias("o"))
+
+
+def _chi2_from_counts(cnt: DataFrame, outcome: str) -> DataFrame:
     rt = F.sum("o").over(Window.partitionBy("column", "level"))
     ct = F.sum("o").over(Window.partitionBy("column", outcome))
     nn = F.sum("o").over(Window.partitionBy("column"))
@@ -166,14 +166,32 @@ def chi2_independence(df: DataFrame, cols: list[str], outcome: str) -> DataFrame
     return g.withColumn("p", D.chi2_sf("chi2", "dof"))
 
 
+def chi2_independence(df: DataFrame, cols: list[str], outcome: str) -> DataFrame:
+    """Pearson chi-square (no Yates) of each column against an outcome.
+
+    Uses chi2 = sum(o^2 / e) - N, so cells with zero count (absent from the
+    grouped counts) need no restoring. dof = (r - 1)(c - 1) over observed
+    levels. The count table has (columns x levels x outcomes) rows.
+    """
+    return _chi2_from_counts(_level_counts(df, cols, outcome), outcome)
+
+
 def flag_summary_with_p(df: DataFrame, flags: list[str], outcome: str, digits: int = 3,
-                        alpha: float = 0.05) -> DataFrame:
-    """Per flag, counts per outcome level (A10), chi-square p
+                        alpha: float = 0.05, levels=(0, 1)) -> DataFrame:
+    """Per flag, sums per outcome level (A10), chi-square p
     rounded, and the BH-adjusted p over the family of flags (T7).
-    Rows with a missing flag or outcome are dropped first."""
+
+    Rows with a missing flag or outcome are dropped first. Both the sums and
+    the test come from one count table ``(flag, level, outcome) -> n``
+    (sum of a flag = sum of level x n), so the data is scanned once.
+    """
     cc = complete_cases(df.select(outcome, *flags))
-    counts = flag_counts_by_outcome(cc, flags, outcome)
-    tests = chi2_independence(cc, flags, outcome).withColumnRenamed("column", "flag")
+    cnt = _level_counts(cc, flags, outcome, "double")
+    sums = cnt.groupBy("column").pivot(outcome, list(levels)) \
+        .agg(F.sum(F.col("level") * F.col("o")))
+    counts = sums.select(F.col("column").alias("flag"), *[
+        F.coalesce(F.col(str(lv)), F.lit(0.0)).cast("bigint").alias(f"n_{outcome}_{lv}") for lv in levels])
+    tests = _chi2_from_counts(cnt, outcome).withColumnRenamed("column", "flag")
     tests = fdr_bh(tests, "p", order_tie=["flag"], alpha=alpha, out="p_fdr")
     return counts.join(tests, "flag").select(
         *counts.columns, F.round("chi2", 4).alias("chi2"), "dof",

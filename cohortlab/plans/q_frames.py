@@ -63,7 +63,7 @@ def sink_roundtrip(spark, sf_dir):
     return num.join(seg.drop("outcome"), "o_orderkey")
 
 
-@query("select_list", "P1", sql="SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+@query("select_list", "P1 S3", sql="SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def select_list(spark, sf_dir):
     return P.select_list(FX.t(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_totalprice"])
 

@@ -144,7 +144,7 @@ def class_weights(spark, sf_dir):
     return rounded(M.class_weights(FX.f_wide(spark, sf_dir), "y"))
 
 
-@query("select_elastic_net", "M3")
+@query("select_elastic_net", "M3 P11")
 def select_elastic_net(spark, sf_dir):
     return M.select_elastic_net(FX.f_wide(spark, sf_dir), FX.embed_cols(), "y", reg=0.05, l1_ratio=0.5)
 
