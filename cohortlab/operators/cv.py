@@ -87,3 +87,29 @@ def nested_cv(df: DataFrame, key: str, label: str, features: list[str], outer_k:
         par = par.unionByName(p)
     return NestedResult(scores=scores, oof=oof,
                         params=par.select("fold", "reg", "l1_ratio", F.col("auc").alias("inner_auc")))
+
+
+def permutation_test_refit(df: DataFrame, key: str, label: str, features: list[str], true_score: float,
+                           n_permutations: int = 100, train_size: float = 0.1, reg: float = 0.01,
+                           metric: str = "accuracy") -> DataFrame:
+    """M11 mode (a), the reference's procedure: for permutation i, a
+    stratified split (``train_size`` of each class for training, seed i), a
+    pipeline fit on the training rows, and the score on the test rows
+    against permuted test labels. Exactly ``n_permutations`` fits (each a
+    distributed job); p = (k + 1) / (n + 1) with k null scores >= the true
+    score. For large n the scale mode is ``validate.permutation_test``.
+    Returns one row ``(n_exceed, n_null, p_value, true_score)``.
+    """
+    from .validate import perm_pvalue, permute_labels, stratified_split
+    base = cut_lineage(df.select(key, label, *features))
+    pipe = classifier_pipeline(features, label, reg=reg)
+    scores = []
+    for i in range(n_permutations):
+        sp = stratified_split(base, key, label, train_size=train_size, seed=i)
+        model = pipe.fit(sp.where(F.col("split") == "train"))
+        test = permute_labels(sp.where(F.col("split") == "test"), key, label, seed=i, name="_perm")
+        pred = positive_prob(model.transform(test))
+        row = classification_metrics(pred, "_perm", "prob").select(metric).first()
+        scores.append((i, float(row[0])))
+    null = df.sparkSession.createDataFrame(scores, "perm int, score double")
+    return perm_pvalue(null, "score", true_score).withColumn("true_score", F.lit(float(true_score)))

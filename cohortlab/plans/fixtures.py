@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import column_rules_to_null
+from ..session import cut_lineage
 from ..sources.io import read_table
 
 N_EMBED = 64
@@ -249,5 +250,13 @@ def with_views(sql: str, *views: str) -> str:
     return "WITH " + ",".join(VIEW_SQL[v] for v in views) + "\n" + sql
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """Write a derived view once to the shared checkpoint folder and read it
+    back, as the reference stores its cleaned cohort before analysing it.
+    Used where an operator reads its input several times (two-pass
+    statistics), so the joins behind the view run once."""
+    return cut_lineage(df)
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)

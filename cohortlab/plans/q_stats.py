@@ -30,7 +30,7 @@ def describe(spark, sf_dir):
 @query("describe_by_group", "A2", sql=with_views(describe_sql("f_cohort", COHORT_CONT, ["outcome"]),
                                                  "f_cohort"))
 def describe_by_group(spark, sf_dir):
-    return A.describe(FX.f_cohort(spark, sf_dir), COHORT_CONT, by=["outcome"])
+    return A.describe(FX.staged(FX.f_cohort(spark, sf_dir)), COHORT_CONT, by=["outcome"])
 
 
 @query("stratum_mean_std", "A3", sql=with_views(
@@ -87,7 +87,7 @@ STD_COLS = ["o_totalprice", "c_acctbal", "avg_qty"]
         f"{r(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()')} AS {c}" for c in STD_COLS)
     + " FROM f_cohort", "f_cohort"))
 def standardize(spark, sf_dir):
-    coh = FX.f_cohort(spark, sf_dir).select("o_orderkey", *STD_COLS)
+    coh = FX.staged(FX.f_cohort(spark, sf_dir).select("o_orderkey", *STD_COLS))
     return rounded(A.standardize(coh, STD_COLS))
 
 
@@ -303,7 +303,7 @@ def _levene_sql() -> str:
 
 @query("levene_median", "T5", sql=_levene_sql())
 def levene_median(spark, sf_dir):
-    return rounded(ST.levene_median(FX.f_cohort(spark, sf_dir), LEVENE_COLS, "outcome"))
+    return rounded(ST.levene_median(FX.staged(FX.f_cohort(spark, sf_dir)), LEVENE_COLS, "outcome"))
 
 
 @query("chi2_independence", "T6 A11", sql=with_views(

@@ -125,7 +125,7 @@ def cv_score_summary(spark, sf_dir):
     "max(o_totalprice) AS hi, count(o_totalprice) AS nn FROM f_cohort GROUP BY outcome) g "
     "ON f.outcome = g.outcome WHERE f.o_totalprice IS NOT NULL) b GROUP BY outcome, bin, lo, w", "f_cohort"))
 def histogram_by_group(spark, sf_dir):
-    return rounded(FG.histogram_by_group(FX.f_cohort(spark, sf_dir), "o_totalprice", "outcome", 25))
+    return rounded(FG.histogram_by_group(FX.staged(FX.f_cohort(spark, sf_dir)), "o_totalprice", "outcome", 25))
 
 
 @query("kde_by_group", "A17", sql=with_views(
@@ -138,7 +138,7 @@ def histogram_by_group(spark, sf_dir):
     "WHERE f.avg_qty IS NOT NULL) d, (SELECT CAST(range AS INTEGER) AS point FROM range(64)) p "
     "GROUP BY outcome, point, lo, hi", "f_cohort"))
 def kde_by_group(spark, sf_dir):
-    return rounded(FG.kde_by_group(FX.f_cohort(spark, sf_dir), "avg_qty", "outcome", grid=64))
+    return rounded(FG.kde_by_group(FX.staged(FX.f_cohort(spark, sf_dir)), "avg_qty", "outcome", grid=64))
 
 
 PRIORITY_ORDER = ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"]

@@ -79,3 +79,14 @@ def test_no_leakage_from_held_out_rows(spark):
     changed = df.withColumn("a", F.when(F.col("k") >= 150, F.col("a") * 100).otherwise(F.col("a")))
     m2 = pipe.fit(changed.where(F.col("k") < 150))
     assert list(m1.stages[-1].coefficients) == pytest.approx(list(m2.stages[-1].coefficients))
+
+
+def test_permutation_refit_mode(spark):
+    from cohortlab.operators.cv import permutation_test_refit
+    rng = np.random.default_rng(12)
+    rows = [(i, int(rng.uniform() < 0.4), float(rng.normal()), float(rng.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, y int, a double, b double")
+    res = permutation_test_refit(df, "k", "y", ["a", "b"], true_score=0.99, n_permutations=3,
+                                 train_size=0.3).first()
+    assert res.n_null == 3 and res.n_exceed == 0
+    assert res.p_value == pytest.approx(1 / 4)
