@@ -5,7 +5,6 @@ import math
 
 import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from cohortlab.functions import dist as D
 
