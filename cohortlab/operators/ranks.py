@@ -6,8 +6,10 @@ whole column would put every row into one task, so instead:
 1. ties are pre-aggregated to ``(part, [group], value) -> n`` (a hot value
    holding a third of all rows becomes one row);
 2. values are cut into buckets at approximate quantiles of the distinct
-   values (``percentile_approx``); equal values always share a bucket, so
-   the result does not depend on where the cuts fall, only the balance does;
+   values (``percentile_approx``), found by binary search (O(log buckets)
+   per row, so the bucket count can grow with the data); equal values
+   always share a bucket, so the result does not depend on where the cuts
+   fall, only the balance does;
 3. per-bucket totals (a small frame: parts x buckets rows) give each
    bucket's offset by a running sum;
 4. inside a bucket a windowed running sum gives the count at or below each
@@ -19,6 +21,7 @@ Mid-ranks, rank sums and exact linear-interpolated quantiles all follow.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,12 +36,32 @@ def default_buckets(df: DataFrame) -> int:
 def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> list[float]:
     probs = [i / buckets for i in range(1, buckets)]
     row = agg.agg(F.percentile_approx(value, probs, accuracy).alias("c")).first()
-    return sorted(set(row["c"] or []))
+    return sorted(set(float(c) for c in (row["c"] or [])))
+
+
+# Upper bound on parts x buckets for the per-part split list (it travels
+# with the tasks of the bucketing step); beyond it the parts share
+# ``FEW_BUCKETS`` buckets found by comparisons against an array column.
+MAX_SPLITS = 1_000_000
+FEW_BUCKETS = 32
+# Up to this many buckets a sum of comparisons (inside whole-stage codegen,
+# no extra job) is cheaper than a binary search; beyond it the search wins.
+LINEAR_BUCKETS = 64
+
+
+def _bucketize(df: DataFrame, col: str, splits: list[float], out: str = "_b") -> DataFrame:
+    """Bucket index by binary search over sorted split points (the ML
+    ``Bucketizer``, a JVM transformer): O(log buckets) per row."""
+    inner = sorted(set(splits)) or [0.0]  # the transformer needs at least three edges
+    edges = [float("-inf")] + inner + [float("inf")]
+    tmp = f"{out}_d"
+    b = Bucketizer(splits=edges, inputCol=col, outputCol=tmp, handleInvalid="keep").transform(df)
+    return b.withColumn(out, F.col(tmp).cast("int")).drop(tmp)
 
 
 def _count_below(value: Column, cuts) -> Column:
     """Number of cut points strictly below ``value``: a sum of comparisons
-    (no lambda), against literal cuts or the elements of an array column."""
+    (no lambda), against literals or the elements of an array column."""
     terms = [(value > c).cast("int") for c in cuts]
     if not terms:
         return F.lit(0)
@@ -48,6 +71,73 @@ def _count_below(value: Column, cuts) -> Column:
     return out
 
 
+def _bucketer(src: DataFrame, part: list[str], value: str, buckets: int, accuracy: int):
+    """Cut points from the input rows, returned as ``assign(frame)`` which
+    adds the bucket index ``_b`` to any frame with the part and value columns.
+
+    Without parts the cuts are literals. With parts, one small row per part
+    (its cuts, min and max) is collected. For few buckets the cuts travel as
+    an array column of a broadcast part table and the bucket is a sum of
+    comparisons; for many, part p is given the interval (p, p + 1) of one
+    line, its values mapped into it by their position between the part's
+    min and max, and one binary search over all parts' split points finds
+    the bucket. Both are monotone in the value within a part, so equal values
+    share a bucket and order is kept; only the balance depends on the cuts.
+    """
+    probs = [i / buckets for i in range(1, buckets)]
+    spark = src.sparkSession
+    if not part:
+        cuts = _cuts_literal(src, value, buckets, accuracy)
+        if buckets <= LINEAR_BUCKETS:
+            return lambda fr: fr.withColumn("_b", _count_below(F.col(value), [F.lit(c) for c in cuts]))
+        return lambda fr: _bucketize(fr.withColumn("_vd", F.col(value).cast("double")), "_vd", cuts).drop("_vd")
+
+    stats = src.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"),
+                                   F.min(value).cast("double").alias("_lo"),
+                                   F.max(value).cast("double").alias("_hi"))
+    max_parts = max(1, MAX_SPLITS // buckets)
+    rows = stats.limit(max_parts + 1).collect()
+    types = dict(src.dtypes)
+    keys = ", ".join(f"`{c}` {types[c]}" for c in part)
+
+    if len(rows) > max_parts:
+        # Very many parts: each keeps FEW_BUCKETS buckets, cuts joined lazily.
+        few = [i / FEW_BUCKETS for i in range(1, FEW_BUCKETS)]
+        cuts = src.groupBy(*part).agg(F.percentile_approx(value, few, accuracy).alias("_cuts"))
+        elems = [F.col("_cuts").getItem(i) for i in range(len(few))]
+        return lambda fr: fr.join(cuts, part).withColumn("_b", _count_below(F.col(value), elems)).drop("_cuts")
+
+    if buckets <= LINEAR_BUCKETS:
+        width = len(probs)
+        pdf = spark.createDataFrame(
+            [(*[r[c] for c in part], [float(x) for x in (r["_cuts"] or [])]) for r in rows],
+            f"{keys}, _cuts array<double>")
+        elems = [F.col("_cuts").getItem(i) for i in range(width)]
+        return lambda fr: fr.join(F.broadcast(pdf), part) \
+            .withColumn("_b", _count_below(F.col(value).cast("double"), elems)).drop("_cuts")
+
+    def pos(i, lo, hi, v):
+        u = (v - lo) / (hi - lo) if hi > lo else 0.0
+        return i + 0.001 + 0.998 * u
+
+    splits, pmap = [], []
+    for i, r in enumerate(rows):
+        lo, hi = r["_lo"], r["_hi"]
+        splits.append(float(i))
+        splits += [pos(i, lo, hi, float(c)) for c in (r["_cuts"] or [])]
+        pmap.append((*[r[c] for c in part], i, lo, hi))
+    pdf = spark.createDataFrame(pmap, f"{keys}, _pi int, _lo double, _hi double")
+
+    def assign(fr: DataFrame) -> DataFrame:
+        b = fr.join(F.broadcast(pdf), part)
+        lo, hi = F.col("_lo"), F.col("_hi")
+        u = F.when(hi > lo, (F.col(value).cast("double") - lo) / (hi - lo)).otherwise(F.lit(0.0))
+        b = b.withColumn("_f", F.col("_pi") + 0.001 + 0.998 * u)
+        return _bucketize(b, "_f", splits).drop("_f", "_pi", "_lo", "_hi")
+
+    return assign
+
+
 def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None = None,
                group: list[str] | None = None, buckets: int | None = None,
                accuracy: int | None = None, unique_by: list[str] | None = None,
@@ -65,14 +155,15 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     (``_tie`` is then the row's own count): a total order for ranking by a
     hash, where two keys may collide.
 
-    The pre-aggregated frame is read three times (cut points, bucket totals,
-    the running sums). Over a plain scan the three reads are pruned to the
-    columns each needs and cost less than a write; for an expensive input
-    (joins, an explode, nested ranks) pass ``materialize=True`` to write it
-    once to the shared checkpoint folder, so its lineage runs once and a lost
-    executor does not recompute it from the source. The cut-point and bucket-offset
-    tables have ``parts`` and ``parts x buckets`` rows: they are the build
-    sides of broadcast joins, never the data side.
+    The input is read three times: cut points (a quantile sketch per part),
+    bucket totals (a count per part and bucket) and the tie aggregation that
+    feeds the running sums; only the last is a large aggregation. For an
+    expensive input (joins, an explode) pass ``materialize=True`` to write
+    the needed columns once to the shared checkpoint folder first, so the
+    lineage runs once and a lost executor does not recompute it from the
+    source. Cut-point and bucket-offset tables have ``parts`` and
+    ``parts x buckets`` rows: they are the build sides of broadcast joins,
+    never the data side.
     """
     group = list(group or [])
     for u in unique_by or []:
@@ -82,31 +173,23 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     # Cut points only balance the buckets: a rank error of 1 / (20 buckets)
     # is plenty and keeps the quantile sketches small.
     accuracy = accuracy or max(200, 20 * buckets)
-    n = F.sum(F.col(weight)) if weight else F.count(F.lit(1))
-    agg = (df.where(F.col(value).isNotNull())
-             .groupBy(*part, *group, value).agg(n.cast("bigint").alias("n")))
+    w = F.col(weight) if weight else F.lit(1)
+    src = df.where(F.col(value).isNotNull()).select(*part, *group, value, w.cast("bigint").alias("_w"))
     if materialize:
-        agg = cut_lineage(agg)
-
-    if part:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = agg.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"))
-        b = agg.join(F.broadcast(cuts), part)
-        elems = [F.col("_cuts").getItem(i) for i in range(len(probs))]
-        b = b.withColumn("_b", _count_below(F.col(value), elems)).drop("_cuts")
-    else:
-        cuts = _cuts_literal(agg, value, buckets, accuracy)
-        b = agg.withColumn("_b", _count_below(F.col(value), [F.lit(float(c)) for c in cuts]))
+        src = cut_lineage(src)
+    assign = _bucketer(src, part, value, buckets, accuracy)
+    agg = assign(src.groupBy(*part, *group, value).agg(F.sum("_w").alias("n")))
 
-    # Offsets of the buckets: a frame of at most parts x buckets rows.
-    bt = b.groupBy(*part, "_b").agg(F.sum("n").alias("_bn"))
+    # Offsets of the buckets: a frame of at most parts x buckets rows,
+    # counted on the input rows (no distinct aggregation needed).
+    bt = assign(src).groupBy(*part, "_b").agg(F.sum("_w").alias("_bn"))
     wp = Window.partitionBy(*part) if part else Window.partitionBy()
     bt = bt.select(*part, "_b",
                    F.coalesce(F.sum("_bn").over(
                        wp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
                    .alias("_off"),
                    F.sum("_bn").over(wp).alias("_total"))
-    b = b.join(F.broadcast(bt), [*part, "_b"])
+    b = agg.join(F.broadcast(bt), [*part, "_b"])
 
     if unique_by:
         w_cum = (Window.partitionBy(*part, "_b").orderBy(value, *unique_by)

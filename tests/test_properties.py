@@ -31,7 +31,7 @@ def test_hot_value_and_buckets(spark):
     xs = np.concatenate([np.full(3000, 7.0), rng.normal(size=6000).round(2)])
     df = spark.createDataFrame([(float(x),) for x in xs], "v double")
     expect = dict(zip(xs, _ranks_pd(xs)))
-    for b in (2, 16, 64):
+    for b in (2, 16, 64, 300):
         got = {r.v: r.midrank for r in W.midranks(df, [], "v", buckets=b).collect()}
         assert all(got[k] == pytest.approx(v) for k, v in expect.items())
 
@@ -117,3 +117,22 @@ def test_null_and_empty_columns(spark):
     empty = df.where(F.lit(False))
     assert A.describe(empty, ["b"]).count() == 0 or A.describe(empty, ["b"]).first()["count"] == 0
     assert W.midranks(empty, [], "b").count() == 0
+
+
+@pytest.mark.parametrize("max_splits", [None, 10])
+def test_part_buckets_many_and_fallback(spark, monkeypatch, max_splits):
+    # Per-part binary-search buckets (and the comparison fallback used when
+    # parts x buckets exceeds the split budget) give the same mid-ranks.
+    if max_splits:
+        monkeypatch.setattr(W, "MAX_SPLITS", max_splits)
+    rng = np.random.default_rng(21)
+    rows = []
+    for p, scale in (("a", 1.0), ("b", 1e6), ("c", 1e-3)):
+        vals = np.round(rng.lognormal(size=700) * scale, 3)
+        rows += [(p, float(v)) for v in vals]
+    df = spark.createDataFrame(rows, "p string, v double")
+    got = {(r.p, r.v): r.midrank for r in W.midranks(df, ["p"], "v", buckets=80).collect()}
+    pdf = pd.DataFrame(rows, columns=["p", "v"])
+    pdf["r"] = pdf.groupby("p").v.rank(method="average")
+    for p, v, rk in pdf.itertuples(index=False):
+        assert got[(p, v)] == pytest.approx(rk)
