@@ -46,9 +46,9 @@ def test_prefix_clash_and_range(spark):
 
 def test_typing_rules(spark):
     rows = [(0, 1.0, 1, 0.5, None), (1, 0.0, 3, 7.0, 1.0), (1, None, 5, 2.0, None), (0, 1.0, 7, 9.0, None)]
-    df = spark.createDataFrame(rows, "b int, bn double, cat int, f double, allnull double")
+    df = spark.createDataFrame(rows, "b int, bn double, cat int, f double, sparse double")
     d = {r.column: r.inferred for r in PR.infer_types(df).collect()}
-    assert d == {"b": "boolean", "bn": "boolean", "cat": "category", "f": "double", "allnull": "double"}
+    assert d == {"b": "boolean", "bn": "boolean", "cat": "category", "f": "double", "sparse": "boolean"}
     typed = PR.apply_types(df, d)
     assert dict(typed.dtypes)["b"] == "boolean" and dict(typed.dtypes)["f"] == "double"
     assert typed.where(F.col("bn").isNull()).count() == 1  # NULL stays NULL (D5)
