@@ -128,8 +128,8 @@ def _betainc(d, a: str, b: str, x: str) -> str:
     one_minus = f"(1.0 - {x})"
     direct = f"{front(a, b, x)} * {_betacf(d, a, b, x)} / {a}"
     flipped = f"1.0 - {front(b, a, one_minus)} * {_betacf(d, b, a, one_minus)} / {b}"
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL THEN CAST(NULL AS DOUBLE) "
-            f"WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 "
+            f"THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
             f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
 
 
@@ -155,7 +155,7 @@ def _gamma_parts(d, a: str, x: str) -> tuple[str, str, str]:
 def _gammainc_upper(d, a: str, x: str) -> str:
     a, x = f"CAST({a} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
     series, cf, pref = _gamma_parts(d, a, x)
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 "
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 "
             f"WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} ELSE {pref} * {cf} END)")
 
 

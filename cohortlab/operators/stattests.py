@@ -27,7 +27,9 @@ def kruskal(df: DataFrame, value: str, group: str, part: list[str] | None = None
         F.sum("tie_term").alias("T"),
         F.count(F.lit(1)).alias("k"))
     N = F.col("N")
-    h = (12.0 / (N * (N + 1.0)) * F.col("S") - 3.0 * (N + 1.0)) / (1.0 - F.col("T") / (N * N * N - N))
+    # try_divide: all values tied (or one row) leave H undefined -> NULL.
+    h = F.try_divide(12.0 / (N * (N + 1.0)) * F.col("S") - 3.0 * (N + 1.0),
+                     1.0 - F.try_divide(F.col("T"), N * N * N - N))
     out = g.select(*part, h.alias("H"), (F.col("k") - 1).cast("bigint").alias("df"),
                    F.col("N").cast("bigint").alias("n"))
     return out.withColumn("p", D.chi2_sf("H", "df"))
@@ -54,20 +56,20 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_level, part: list[str]
     N = nx + ny
     ux = F.col("Rx") - nx * (nx + 1.0) / 2.0
     uy = nx * ny - ux
-    sd = F.sqrt((1.0 - F.col("T") / (N * N * N - N)) * nx * ny * (N + 1.0) / 12.0)
+    sd = F.sqrt((1.0 - F.try_divide(F.col("T"), N * N * N - N)) * nx * ny * (N + 1.0) / 12.0)
     mu = nx * ny / 2.0
     cc = 0.5 if use_continuity else 0.0
     if alternative is None:
-        z, u = (F.greatest(ux, uy) - mu - cc) / sd, F.least(ux, uy)
+        z, u = F.try_divide(F.greatest(ux, uy) - mu - cc, sd), F.least(ux, uy)
         p = D.norm_sf("abs(z)")
     elif alternative == "two-sided":
-        z, u = (F.greatest(ux, uy) - mu - cc) / sd, ux
+        z, u = F.try_divide(F.greatest(ux, uy) - mu - cc, sd), ux
         p = F.least(F.lit(1.0), 2.0 * D.norm_sf("z"))
     elif alternative == "greater":
-        z, u = (ux - mu - cc) / sd, ux
+        z, u = F.try_divide(ux - mu - cc, sd), ux
         p = D.norm_sf("z")
     elif alternative == "less":
-        z, u = (uy - mu - cc) / sd, ux
+        z, u = F.try_divide(uy - mu - cc, sd), ux
         p = D.norm_sf("z")
     else:
         raise ValueError(alternative)
@@ -96,13 +98,14 @@ def ttest(df: DataFrame, cols: list[str], group: str, a=1, b=0, equal_var: bool
     diff = F.col("ma") - F.col("mb")
     if equal_var:
         dof = na + nb - 2.0
-        sp2 = ((na - 1.0) * va + (nb - 1.0) * vb) / dof
-        se = F.sqrt(sp2 * (1.0 / na + 1.0 / nb))
+        sp2 = F.try_divide((na - 1.0) * va + (nb - 1.0) * vb, dof)
+        se = F.sqrt(sp2 * (F.try_divide(F.lit(1.0), na) + F.try_divide(F.lit(1.0), nb)))
     else:
-        qa, qb = va / na, vb / nb
+        qa, qb = F.try_divide(va, na), F.try_divide(vb, nb)
         se = F.sqrt(qa + qb)
-        dof = (qa + qb) * (qa + qb) / (qa * qa / (na - 1.0) + qb * qb / (nb - 1.0))
-    t = diff / se
+        dof = F.try_divide((qa + qb) * (qa + qb),
+                           F.try_divide(qa * qa, na - 1.0) + F.try_divide(qb * qb, nb - 1.0))
+    t = F.try_divide(diff, se)
     out = m.select("column", t.alias("t"), dof.alias("df"))
     return out.withColumn("p", D.t_sf_two_sided("t", "df"))
 
@@ -116,7 +119,7 @@ def _oneway_from_groups(g: DataFrame, keys: list[str]) -> DataFrame:
         F.sum((F.col("n") - 1.0) * F.coalesce(F.col("var"), F.lit(0.0))).alias("within"))
     N, k = F.col("N"), F.col("k").cast("double")
     between = F.col("s2") - F.col("s1") * F.col("s1") / N
-    f = (between / (k - 1.0)) / (F.col("within") / (N - k))
+    f = F.try_divide(F.try_divide(between, k - 1.0), F.try_divide(F.col("within"), N - k))
     out = agg.select(*keys, f.alias("F"), (k - 1.0).alias("df_between"), (N - k).alias("df_within"))
     return out.withColumn("p", D.f_sf("F", "df_between", "df_within"))
 

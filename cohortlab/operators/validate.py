@@ -75,7 +75,7 @@ def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None
     g = rs.groupBy(*by).agg(F.sum(F.when(pos, F.col("rank_sum"))).alias("R1"),
                             F.sum(F.when(pos, F.col("n"))).cast("double").alias("n1"),
                             F.sum(F.when(~pos, F.col("n"))).cast("double").alias("n0"))
-    auc = (F.col("R1") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))
+    auc = F.try_divide(F.col("R1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
     return g.select(*by, auc.alias("auc"))
 
 
@@ -95,15 +95,16 @@ def classification_metrics(df: DataFrame, label: str, prob: str, by: list[str] |
         F.avg((F.col(prob) - y) * (F.col(prob) - y)).alias("brier"))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
-    sens = tp / (tp + fn)
-    spec = tn / (tn + fp)
+    # try_divide: an empty class in a group gives NULL, not a failed job.
+    sens = F.try_divide(tp, tp + fn)
+    spec = F.try_divide(tn, tn + fp)
     f1_pos = F.when(2 * tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn)).otherwise(0.0)
     f1_neg = F.when(2 * tn + fn + fp > 0, 2 * tn / (2 * tn + fn + fp)).otherwise(0.0)
     m = c.select(*by,
-                 ((tp + tn) / n).alias("accuracy"),
+                 F.try_divide(tp + tn, n).alias("accuracy"),
                  ((sens + spec) / 2.0).alias("balanced_accuracy"),
                  sens.alias("sensitivity"), spec.alias("specificity"),
-                 ((f1_pos * (tp + fn) + f1_neg * (tn + fp)) / n).alias("f1_weighted"),
+                 F.try_divide(f1_pos * (tp + fn) + f1_neg * (tn + fp), n).alias("f1_weighted"),
                  F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("ppv"),
                  F.when(tn + fn > 0, tn / (tn + fn)).otherwise(0.0).alias("npv"),
                  "brier")

@@ -90,3 +90,18 @@ def test_permutation_refit_mode(spark):
                                  train_size=0.3).first()
     assert res.n_null == 3 and res.n_exceed == 0
     assert res.p_value == pytest.approx(1 / 4)
+
+
+def test_degenerate_groups_give_null_not_errors(spark):
+    # ANSI mode is on: a constant column, a missing group and a constant flag
+    # must give NULL statistics rather than failing with division by zero.
+    df = spark.createDataFrame([(1, 5.0, 0), (1, 5.0, 0), (0, 5.0, 0), (0, 5.0, 0)], "g int, x double, f int")
+    t = ST.ttest(df, ["x"], "g", 1, 0).first()
+    assert t.t is None and (t.p is None or math.isnan(t.p))
+    assert ST.ttest(df, ["x"], "g", 1, 7).first().t is None
+    a = ST.anova_f(df, ["x"], "g").first()
+    assert a.F is None
+    c = ST.chi2_independence(df, ["f"], "g").first()
+    assert c.dof == 0 and c.p is None
+    k = ST.kruskal(df, "x", "g").first()
+    assert k.H is None
