@@ -58,19 +58,19 @@ def kde_by_group(df: DataFrame, value: str, group: str, grid: int = 64,
     h = F.lit(float(bandwidth)) if bandwidth else F.pow(F.col("_n"), -0.2) * F.col("_sd")
     j = src.join(rng, group).select(group, F.col(value).cast("double").alias("v"), "_lo", "_hi",
                                     "_n", h.alias("_h"))
-    step = (F.col("_hi") - F.col("_lo")) / (grid - 1)
+    step = (F.col("_hi") - F.col("_lo")) / max(grid - 1, 1)
     sums = []
     for k in range(grid):
         x = F.col("_lo") + step * k
-        u = (x - F.col("v")) / F.col("_h")
+        u = F.try_divide(x - F.col("v"), F.col("_h"))  # a one-row group has no bandwidth
         sums.append(F.sum(F.exp(-0.5 * u * u)).alias(f"k{k}"))
     g = j.groupBy(group).agg(F.first("_lo").alias("lo"), F.first("_hi").alias("hi"),
                              F.first("_n").alias("n"), F.first("_h").alias("h"), *sums)
     norm = F.col("n") * F.col("h") * math.sqrt(2 * math.pi)
     pts = F.explode(F.array(*[
         F.struct(F.lit(k).alias("point"),
-                 (F.col("lo") + (F.col("hi") - F.col("lo")) / (grid - 1) * k).alias("x"),
-                 (F.col(f"k{k}") / norm).alias("density"))
+                 (F.col("lo") + (F.col("hi") - F.col("lo")) / max(grid - 1, 1) * k).alias("x"),
+                 F.try_divide(F.col(f"k{k}"), norm).alias("density"))
         for k in range(grid)])).alias("_p")
     return g.select(group, pts).select(group, "_p.point", "_p.x", "_p.density")
 

@@ -136,3 +136,12 @@ def test_part_buckets_many_and_fallback(spark, monkeypatch, max_splits):
     pdf["r"] = pdf.groupby("p").v.rank(method="average")
     for p, v, rk in pdf.itertuples(index=False):
         assert got[(p, v)] == pytest.approx(rk)
+
+
+def test_kde_and_histogram_on_single_value_group(spark):
+    from cohortlab.operators import figures as FG
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("b", 3.0), ("b", 2.5)], "g string, v double")
+    k = {(r.g, r.point): r.density for r in FG.kde_by_group(df, "v", "g", grid=5).collect()}
+    assert k[("a", 0)] is None and k[("b", 2)] > 0
+    h = FG.histogram_by_group(df, "v", "g", bins=4).collect()
+    assert sum(r.n for r in h if r.g == "a") == 1 and sum(r.n for r in h if r.g == "b") == 3
