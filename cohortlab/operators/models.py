@@ -66,7 +66,8 @@ def logit_fit(df: DataFrame, label: str, terms: list[str], max_iter: int = 100,
     se = [ses[-1]] + ses[:-1]
     pv = [pvs[-1]] + pvs[:-1]
     terms_out = ["Intercept"] + names
-    rows = [(t, float(b), float(e), float(b / e), float(p), float(b - Z975 * e), float(b + Z975 * e))
+    rows = [(t, float(b), float(e), float(b / e) if e else float("nan"), float(p),
+             float(b - Z975 * e), float(b + Z975 * e))
             for t, b, e, p in zip(terms_out, coefs, se, pv)]
     k = len(coefs)
     stats = {"llf": (2.0 * k - aic) / 2.0, "aic": aic, "n": n_obs, "k": k}
