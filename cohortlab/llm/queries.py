@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, secretscan
+from . import jaccard, packing, quality, secretscan
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.digests(secretscan.secrets(table(spark, sf_dir, "documents")))
 
@@ -21,5 +25,5 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op6_secret_scans, op7_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_jaccard_join, op6_secret_scans, op7_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
