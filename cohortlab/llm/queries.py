@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, packing, quality, secretscan
+from . import decontam, jaccard, packing, quality, secretscan
 from .common import table
 
 
@@ -25,5 +25,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_jaccard_join, op6_secret_scans, op7_quality_rules)}
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op5_jaccard_join, op6_secret_scans, op7_quality_rules, op8_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
