@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, packing, quality, secretscan
+from . import decontam, jaccard, langid, packing, quality, secretscan, tokencount
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.languages(docs, langid.prototypes(docs))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -29,5 +34,9 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_jaccard_join, op6_secret_scans, op7_quality_rules, op8_benchmark_decontamination)}
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), tokencount.ranked_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op5_jaccard_join, op6_secret_scans, op7_quality_rules, op8_benchmark_decontamination, op9_token_counts)}
 ORACLE_SQL: dict[str, str] = {}
