@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import jaccard, packing, quality, secretscan
+from cohortlab.llm import decontam, jaccard, packing, quality, secretscan
 from cohortlab.llm.common import stage, table
 
 
@@ -25,6 +25,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return jaccard.one_of_each(docs, size=5, percent=80)
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a copy of a benchmark item go."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are cut out of the texts; ``n_chars`` follows the new text."""
     return secretscan.clean(docs)
@@ -38,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
     ("secret scans", secret_scans),
     ("packing", pack),
 ]
