@@ -31,7 +31,12 @@ LANCZOS_COEF = [
 ]
 FPMIN = 1e-300
 MIN_STEPS = 200
-MAX_STEPS = 100_000
+# Shapes above this use an asymptotic expansion (or, for a beta function with
+# two such shapes, give NULL); the step count below it is never cut short.
+LARGE = 1e8
+# Denominator degrees of freedom, per numerator degree, from which t and F
+# tails come from the incomplete gamma function.
+LARGE_RATIO = 1e5
 
 
 class _Spark:
@@ -89,7 +94,7 @@ class _Duck:
 
 def _steps(*shape: str) -> str:
     big = f"greatest({', '.join(f'abs({s})' for s in shape)})" if len(shape) > 1 else f"abs({shape[0]})"
-    return f"least(CAST(ceil(sqrt({big}) * 10.0) AS INT) + {MIN_STEPS}, {MAX_STEPS})"
+    return f"(CAST(ceil(sqrt(least({big}, {LARGE!r})) * 10.0) AS INT) + {MIN_STEPS})"
 
 
 def _guard(v: str) -> str:
@@ -128,7 +133,7 @@ def _betainc(d, a: str, b: str, x: str) -> str:
     one_minus = f"(1.0 - {x})"
     direct = f"{front(a, b, x)} * {_betacf(d, a, b, x)} / {a}"
     flipped = f"1.0 - {front(b, a, one_minus)} * {_betacf(d, b, a, one_minus)} / {b}"
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 "
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 OR greatest({a}, {b}) > {LARGE!r} "
             f"THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
             f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
 
@@ -153,12 +158,23 @@ def _gamma_parts(d, a: str, x: str) -> tuple[str, str, str]:
 
 
 def _gammainc_upper(d, a: str, x: str) -> str:
+    """Q(a, x); for a above LARGE by the cube-root normal approximation
+    (Wilson and Hilferty), whose error there is below 1e-9."""
     a, x = f"CAST({a} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
     series, cf, pref = _gamma_parts(d, a, x)
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 "
+    large = ""
+    if not _is_small(a):
+        root = f"((power({x} / {a}, 1.0 / 3.0) - 1.0 + 1.0 / (9.0 * {a})) * 3.0 * sqrt({a}))"
+        large = f"WHEN {a} > {LARGE!r} THEN {_norm_sf(d, root)} "
+    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 {large}"
             f"WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} ELSE {pref} * {cf} END)")
 
 
+def _is_small(a: str) -> bool:
+    """A literal shape needs no branch for large ones."""
+    return a == "CAST(0.5 AS DOUBLE)"
+
+
 def _norm_sf(d, z: str) -> str:
     z = f"CAST({z} AS DOUBLE)"
     upper = _gammainc_upper(d, "0.5", f"({z} * {z} / 2.0)")
@@ -169,12 +185,31 @@ def _chi2_sf(d, x: str, df: str) -> str:
     return _gammainc_upper(d, f"(({df}) / 2.0)", f"(({x}) / 2.0)")
 
 
+def _log1p(y: str) -> str:
+    """ln(1 + y) for y >= 0 without losing the digits of a small y."""
+    return f"(CASE WHEN {y} < 1e-3 THEN {y} * (1.0 - {y} * (1.0 / 2.0 - {y} * (1.0 / 3.0 - {y} * (1.0 / 4.0 - {y} / 5.0)))) ELSE ln(1.0 + {y}) END)"
+
+
+def _many_df(d, y: str, d1: str, d2: str) -> str:
+    """F (or squared t) tail for d2 much larger than d1, y = d1 F / d2: the
+    incomplete beta I_x(a, b) with a = d2/2, b = d1/2 is Q(b, N ln(1 + y))
+    with N = a + b/2 - 1/2, up to a relative error of order b/N^2 (Wise)."""
+    n = f"(({d2}) / 2.0 + ({d1}) / 4.0 - 0.5)"
+    return _gammainc_upper(d, "0.5" if d1 == "1.0" else f"(({d1}) / 2.0)", f"({n} * {_log1p(y)})")
+
+
 def _t_sf_two_sided(d, t: str, df: str) -> str:
+    few = _t_few(d, t, df)
+    return f"(CASE WHEN ({df}) >= {LARGE_RATIO!r} THEN {_many_df(d, f'(({t}) * ({t}) / ({df}))', '1.0', df)} ELSE {few} END)"
+
+
+def _t_few(d, t: str, df: str) -> str:
     return _betainc(d, f"(({df}) / 2.0)", "0.5", f"(({df}) / (({df}) + ({t}) * ({t})))")
 
 
 def _f_sf(d, f: str, d1: str, d2: str) -> str:
-    return (f"(CASE WHEN ({f}) <= 0 THEN 1.0 ELSE "
+    many = _many_df(d, f"(({d1}) * ({f}) / ({d2}))", d1, d2)
+    return (f"(CASE WHEN ({f}) <= 0 THEN 1.0 WHEN ({d2}) >= {LARGE_RATIO!r} * greatest(1.0, ({d1})) THEN {many} ELSE "
             + _betainc(d, f"(({d2}) / 2.0)", f"(({d1}) / 2.0)", f"(({d2}) / (({d2}) + ({d1}) * ({f})))")
             + " END)")
 

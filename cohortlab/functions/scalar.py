@@ -76,7 +76,7 @@ def recode_map(c, mapping: dict) -> Column:
     expr = F.when(col == F.lit(items[0][0]), F.lit(items[0][1]))
     for k, v in items[1:]:
         expr = expr.when(col == F.lit(k), F.lit(v))
-    return expr.otherwise(col)
+    return expr.otherwise(col.cast("string") if any(isinstance(v, str) for v in mapping.values()) else col)
 
 
 def outcome_flag(a, b, a_value=1, b_min=1) -> Column:

@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import exact_quantiles
+from ..session import cut_lineage
+from .ranks import exact_quantiles, null_safe_join
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None,
                 name: str = "column", value: str = "value") -> DataFrame:
-    """Unpivot numeric columns to ``(by..., column, value DOUBLE)``."""
+    """Unpivot numeric columns to ``(by..., column, value DOUBLE)``; NaN becomes NULL."""
     by = by or []
-    casted = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    casted = df.select(*by, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
     return casted.unpivot(by, cols, name, value)
 
 
@@ -45,7 +46,7 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
         q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
     else:
         q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).drop("n")
-    out = mom.join(q, keys, "left")
+    out = null_safe_join(mom, q, keys, "left")
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     rnd = (lambda c: F.bround(F.col(c), digits)) if digits is not None else F.col
     return out.select(*keys, F.col("count").cast("bigint").alias("count"),
@@ -70,10 +71,10 @@ def count_by_strata(df: DataFrame, strata: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, col: str, dropna: bool = True) -> DataFrame:
     """A5: counts per value, descending, with the share of all counted rows.
-    The total is one distributed count, used as a literal."""
+    The total is the sum of the written counts, used as a literal."""
     src = df.where(F.col(col).isNotNull()) if dropna else df
-    total = src.count()
-    g = src.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+    g = cut_lineage(src.groupBy(col).agg(F.count(F.lit(1)).alias("count")))
+    total = g.agg(F.sum("count")).first()[0] or 0
     return g.withColumn("share", F.col("count") / F.lit(float(max(total, 1)))) \
         .orderBy(F.desc("count"), F.col(col))
 
@@ -89,13 +90,17 @@ def flag_counts_by_outcome(df: DataFrame, flags: list[str], outcome: str,
                               .alias(f"n_{outcome}_{lv}") for lv in levels])
 
 
-def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 10000) -> DataFrame:
-    """Two-way table in long form ``(a, b, n)`` with zero cells kept.
+def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 10000, zero_cells: bool = True) -> DataFrame:
+    """Two-way table in long form ``(a, b, n)``.
 
-    Zero cells come from a pivot on the levels of ``b`` (a bounded list,
+    With ``zero_cells=False`` it is a plain grouped count, for any number of
+    levels. Zero cells come from a pivot on the levels of ``b`` (a bounded list,
     checked against ``max_levels``) followed by an unpivot, not from a cross
     join of level lists.
     """
+    if not zero_cells:
+        return (df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+                .groupBy(a, b).agg(F.count(F.lit(1)).cast("bigint").alias("n")))
     levels = [r[0] for r in df.select(b).where(F.col(b).isNotNull()).distinct()
               .limit(max_levels + 1).collect()]
     if len(levels) > max_levels:

@@ -1,7 +1,9 @@
 """Formula terms to a design matrix.
 
-Terms: ``x`` (numeric), ``C(x)`` (treatment coding, first sorted level is
-the reference), ``a*b`` (a + b + a:b) and ``a:b`` (interaction only).
+Terms: ``x`` (numeric; a text column is a factor, as formulas read it),
+``C(x)`` (treatment coding, first sorted level is the reference), ``a*b`` (a +
+b + a:b; ``a*b*c`` likewise all subsets, smaller first) and ``a:b``
+(interaction only).
 Levels come from one distinct pass per factor (bounded by its cardinality,
 checked); dummies are ``when`` expressions and products are column
 products, so the whole matrix is one ``select``.
@@ -10,6 +12,7 @@ products, so the whole matrix is one ``select``.
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +32,10 @@ def _expand_terms(terms: list[str]) -> list[list[str]]:
         t = t.replace(" ", "")
         if "*" in t:
             atoms = t.split("*")
-            for a in atoms:
-                if [a] not in out:
-                    out.append([a])
-            out.append(atoms)
+            for size in range(1, len(atoms) + 1):
+                for some in combinations(atoms, size):
+                    if list(some) not in out:
+                        out.append(list(some))
         elif ":" in t:
             out.append(t.split(":"))
         elif [t] not in out:
@@ -53,12 +56,15 @@ def design_columns(df: DataFrame, terms: list[str],
     """Column expressions of the design matrix, their safe column names and
     their readable term names (patsy style, e.g. ``C(g)[T.b]:x``)."""
     levels = dict(levels or {})
+    types = dict(df.dtypes)
     cols: list[Column] = []
     safe: list[str] = []
     names: list[str] = []
 
     def atom_parts(a: str):
         m = _FACTOR.match(a)
+        if not m and types[a] == "string":
+            m = _FACTOR.match(f"C({a})")
         if not m:
             return [(F.col(a).cast("double"), a, a)]
         v = m.group(1)

@@ -1,8 +1,8 @@
 """Tables behind the reference's figures.
 
 Only the aggregations are built; drawing is left to the caller. Group
-statistics (min, max, n, sd) are one small grouped table joined back on the
-group key, which AQE broadcasts when it is small.
+statistics (min, max, n, sd) are one grouped table, brought to the data by a checked
+broadcast, so the data is not dealt out by a few group keys.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import with_part_stats
+
 
 def errorbar_scores(scores: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
     """Mean and population sd (ddof 0) of the scores of each model."""
@@ -34,7 +36,7 @@ def histogram_by_group(df: DataFrame, value: str, group: str, bins: int = 10) ->
     # A single-valued group gets a unit-wide range around its value.
     lo_e = F.when(hi > lo, lo).otherwise(lo - 0.5)
     hi_e = F.when(hi > lo, hi).otherwise(hi + 0.5)
-    j = src.join(rng, group).select(group, F.col(value).cast("double").alias("v"),
+    j = with_part_stats(src, rng, [group], 128).select(group, F.col(value).cast("double").alias("v"),
                                     lo_e.alias("lo"), hi_e.alias("hi"), "_n")
     b = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
                 F.lit(bins - 1)).cast("int")
@@ -56,7 +58,7 @@ def kde_by_group(df: DataFrame, value: str, group: str, grid: int = 64,
     src = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     rng = _group_range(src, value, group)
     h = F.lit(float(bandwidth)) if bandwidth else F.pow(F.col("_n"), -0.2) * F.col("_sd")
-    j = src.join(rng, group).select(group, F.col(value).cast("double").alias("v"), "_lo", "_hi",
+    j = with_part_stats(src, rng, [group], 128).select(group, F.col(value).cast("double").alias("v"), "_lo", "_hi",
                                     "_n", h.alias("_h"))
     step = (F.col("_hi") - F.col("_lo")) / max(grid - 1, 1)
     sums = []

@@ -1,9 +1,8 @@
 """Equi-joins on one key.
 
-Spark picks the physical join: with AQE on, a side whose *materialised*
-shuffle output is below ``spark.sql.autoBroadcastJoinThreshold`` becomes a
-broadcast hash join at run time, otherwise it stays sort-merge. We only hint
-``broadcast`` after checking the row count of the small side ourselves.
+Spark picks the physical join: a side that it finds (or, with AQE on, has
+measured to be) below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast,
+any other join stays sort-merge. No join here carries a hint.
 """
 
 from __future__ import annotations
@@ -15,19 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_key
 
-# Row bound for an explicit broadcast hint (lookups, codebooks, level lists).
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint broadcast only when the frame has at most ``max_rows`` rows.
-
-    The count is one cheap job on a small side; beyond the bound the frame
-    is returned unhinted and the join shuffles (sort-merge) instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def join_inner(left: DataFrame, right: DataFrame, key: str | list[str]) -> DataFrame:
     """Inner equi-join; Spark/AQE choose broadcast or sort-merge."""
@@ -42,12 +28,13 @@ def join_fold(parts: dict[str, DataFrame], key: str, value: str,
     tagged, unioned and folded with one conditional aggregation per key:
     a single shuffle with map-side partial aggregation. Inner-join semantics
     need each part to have unique keys; a duplicate key raises at run time.
+    Rows with a NULL key join nothing and are left out.
     """
     names = list(parts)
     tagged = reduce(
         DataFrame.unionByName,
         [df.select(F.col(key), F.col(value).cast("double").alias("_v"),
-                   F.lit(n).alias("_src")) for n, df in parts.items()],
+                   F.lit(n).alias("_src")).where(F.col(key).isNotNull()) for n, df in parts.items()],
     )
     aggs = []
     for n in names:
@@ -66,7 +53,8 @@ def join_fold(parts: dict[str, DataFrame], key: str, value: str,
 def parse_and_fold(parts: dict[str, DataFrame], id_col: str, value_col: str,
                    offset: int, key: str = "id", shift: int = 0) -> DataFrame:
     """J2 as the reference uses it: per file keep (id, score), parse the key
-    from its string id (C1), then fold; finally shift the key (P13)."""
+    from its string id (C1), then fold; finally shift the key (P13).
+    Malformed ids have no key and are left out; ``parse_rejects`` counts them."""
     parsed = {
         n: df.select(parse_key(F.col(id_col), offset).alias(key), F.col(value_col))
         for n, df in parts.items()
@@ -75,8 +63,16 @@ def parse_and_fold(parts: dict[str, DataFrame], id_col: str, value_col: str,
     return out.withColumn(key, F.col(key) + F.lit(shift)) if shift else out
 
 
+def parse_rejects(parts: dict[str, DataFrame], id_col: str, offset: int) -> DataFrame:
+    """``(part, n_rejected)``, the rows of each file whose id gives no key."""
+    tagged = reduce(DataFrame.unionByName, [
+        df.select(F.lit(n).alias("part"), parse_key(F.col(id_col), offset).isNull().cast("bigint").alias("bad"))
+        for n, df in parts.items()])
+    return tagged.groupBy("part").agg(F.sum("bad").alias("n_rejected"))
+
+
 def lookup_join(df: DataFrame, lookup: DataFrame, key: str, label: str,
-                missing: str = "fehlt", max_rows: int = BROADCAST_ROWS) -> DataFrame:
+                missing: str = "fehlt") -> DataFrame:
     """J3 + C14: left join to a lookup table, misses filled with a constant."""
-    lk = broadcast_if_small(lookup.select(key, label), max_rows)
+    lk = lookup.select(key, label)
     return df.join(lk, key, "left").withColumn(label, F.coalesce(F.col(label), F.lit(missing)))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .describe import long_values
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, present
 
 BLOCK = 60
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -51,9 +51,9 @@ def _as_long(spark, prof: dict[str, dict], fields: list[tuple[str, str]]) -> Dat
 
 
 def na_percent(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Percentage of NULL per column (one pass)."""
+    """Percentage of NULL (or NaN) per column (one pass)."""
     cols = cols or df.columns
-    row = df.agg(*[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(c) for c in cols])
+    row = df.agg(*[(F.avg((~present(df, c)).cast("double")) * 100.0).alias(c) for c in cols])
     return row.unpivot([], cols, "column", "percent_missing")
 
 
@@ -67,11 +67,16 @@ def column_max(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 def column_nunique(df: DataFrame, cols: list[str] | None = None,
                    approx_rsd: float | None = None) -> DataFrame:
     """Distinct non-NULL values per column; ``approx_rsd`` switches to
-    HyperLogLog++ (``approx_count_distinct``) for very large frames."""
+    HyperLogLog++ (``approx_count_distinct``) for very large frames. The exact
+    form counts the distinct (column, value) pairs, so each value is dealt
+    out once however many rows hold it."""
     cols = cols or df.columns
-    fn = (lambda c: F.approx_count_distinct(c, approx_rsd)) if approx_rsd else F.count_distinct
-    row = df.agg(*[fn(F.col(c)).cast("bigint").alias(c) for c in cols])
-    return row.unpivot([], cols, "column", "nunique")
+    if approx_rsd:
+        row = df.agg(*[F.approx_count_distinct(c, approx_rsd).cast("bigint").alias(c) for c in cols])
+        return row.unpivot([], cols, "column", "nunique")
+    pairs = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "column", "value")
+    found = pairs.distinct().groupBy("column").agg(F.count("value").cast("bigint").alias("nunique"))
+    return found
 
 
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
@@ -120,8 +125,8 @@ def drop_constant(df: DataFrame) -> DataFrame:
 
 def sparse_columns(df: DataFrame, threshold: float = 0.2) -> list[str]:
     cols = df.columns
-    prof = _one_row(df, cols, {"na": lambda c: F.avg(c.isNull().cast("double"))})
-    return [c for c in cols if prof[c]["na"] is not None and prof[c]["na"] >= threshold]
+    prof = {r["column"]: r["percent_missing"] for r in na_percent(df, cols).collect()}
+    return [c for c in cols if prof[c] is not None and prof[c] >= 100.0 * threshold]
 
 
 def drop_sparse(df: DataFrame, threshold: float = 0.2) -> DataFrame:
@@ -148,7 +153,7 @@ def infer_types(df: DataFrame, cols: list[str] | None = None, cat_max: float = 7
     })
     cand = [c for c in cols if p1[c]["max"] is not None and p1[c]["max"] <= cat_max
             and not (p1[c]["nonbin"] == 0 and p1[c]["max"] == 1.0)]
-    p2 = _one_row(df, cand, {"nd": F.count_distinct}) if cand else {}
+    p2 = {r["column"]: {"nd": r["nunique"]} for r in column_nunique(df, cand).collect()} if cand else {}
     rows = []
     for c in cols:
         mx, nonbin = p1[c]["max"], p1[c]["nonbin"]

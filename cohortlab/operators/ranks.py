@@ -5,137 +5,81 @@ whole column would put every row into one task, so instead:
 
 1. ties are pre-aggregated to ``(part, [group], value) -> n`` (a hot value
    holding a third of all rows becomes one row);
-2. values are cut into buckets at approximate quantiles of the distinct
-   values (``percentile_approx``), found by binary search (O(log buckets)
-   per row, so the bucket count can grow with the data); equal values
+2. values are cut into buckets at approximate quantiles of their own part
+   (``percentile_approx``), found by binary search in the part's array of
+   cuts (O(log buckets) comparisons inside code generation); equal values
    always share a bucket, so the result does not depend on where the cuts
-   fall, only the balance does;
-3. per-bucket totals (a small frame: parts x buckets rows) give each
-   bucket's offset by a running sum;
+   fall, only the balance does, and outliers or infinities move no cut of
+   another part;
+3. per-bucket totals, summed from the tie table (parts x buckets rows), give
+   each bucket's offset by a running sum;
 4. inside a bucket a windowed running sum gives the count at or below each
    value; windows are partitioned by ``(part, bucket)``, so many tasks share
-   the work.
+   the work, and the offsets are joined on the same keys.
 
-Mid-ranks, rank sums and exact linear-interpolated quantiles all follow.
+Exact quantiles need no ranks of all values: a sketch brackets each wanted
+position, the values below the bracket are counted and only those inside it
+are grouped and ordered.
+
+A NULL part is a part like any other: all joins on parts are null-safe.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# Size up to which a table of statistics by part is broadcast to the data it
+# belongs to (its rows are counted first); a larger one has so many parts
+# that the join deals the data out well.
+BROADCAST_BYTES = 64 << 20
+# Rank error of the sketch behind a quantile's bracket, as 1 / accuracy.
+BRACKET_ACCURACY = 10_000
+WHOLE_PARTS = 20_000
+
 
 def default_buckets(df: DataFrame) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(8, n)
 
 
-def _cuts_literal(agg: DataFrame, value: str, buckets: int, accuracy: int) -> list[float]:
-    probs = [i / buckets for i in range(1, buckets)]
-    row = agg.agg(F.percentile_approx(value, probs, accuracy).alias("c")).first()
-    return sorted(set(float(c) for c in (row["c"] or [])))
-
-
-# Upper bound on parts x buckets for the per-part split list (it travels
-# with the tasks of the bucketing step); beyond it the parts share
-# ``FEW_BUCKETS`` buckets found by comparisons against an array column.
-MAX_SPLITS = 1_000_000
-FEW_BUCKETS = 32
-# Up to this many buckets a sum of comparisons (inside whole-stage codegen,
-# no extra job) is cheaper than a binary search; beyond it the search wins.
-LINEAR_BUCKETS = 64
-
-
-def _bucketize(df: DataFrame, col: str, splits: list[float], out: str = "_b") -> DataFrame:
-    """Bucket index by binary search over sorted split points (the ML
-    ``Bucketizer``, a JVM transformer): O(log buckets) per row."""
-    inner = sorted(set(splits)) or [0.0]  # the transformer needs at least three edges
-    edges = [float("-inf")] + inner + [float("inf")]
-    tmp = f"{out}_d"
-    b = Bucketizer(splits=edges, inputCol=col, outputCol=tmp, handleInvalid="keep").transform(df)
-    return b.withColumn(out, F.col(tmp).cast("int")).drop(tmp)
-
-
-def _count_below(value: Column, cuts) -> Column:
-    """Number of cut points strictly below ``value``: a sum of comparisons
-    (no lambda), against literals or the elements of an array column."""
-    terms = [(value > c).cast("int") for c in cuts]
-    if not terms:
-        return F.lit(0)
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out
-
-
-def _bucketer(src: DataFrame, part: list[str], value: str, buckets: int, accuracy: int):
-    """Cut points from the input rows, returned as ``assign(frame)`` which
-    adds the bucket index ``_b`` to any frame with the part and value columns.
-
-    Without parts the cuts are literals. With parts, one small row per part
-    (its cuts, min and max) is collected. For few buckets the cuts travel as
-    an array column of a broadcast part table and the bucket is a sum of
-    comparisons; for many, part p is given the interval (p, p + 1) of one
-    line, its values mapped into it by their position between the part's
-    min and max, and one binary search over all parts' split points finds
-    the bucket. Both are monotone in the value within a part, so equal values
-    share a bucket and order is kept; only the balance depends on the cuts.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet; the left side's key columns stay."""
+    renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+
+
+def with_part_stats(df: DataFrame, stats: DataFrame, part: list[str], row_bytes: int) -> DataFrame:
+    """Add the statistics of each row's part: ``stats`` has one row a part.
+
+    Without parts its only row enters as literals. Else the table is written
+    once, its rows are counted, and it is broadcast when rows x ``row_bytes``
+    is small, so the data is not dealt out by a few part keys.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    spark = src.sparkSession
     if not part:
-        cuts = _cuts_literal(src, value, buckets, accuracy)
-        if buckets <= LINEAR_BUCKETS:
-            return lambda fr: fr.withColumn("_b", _count_below(F.col(value), [F.lit(c) for c in cuts]))
-        return lambda fr: _bucketize(fr.withColumn("_vd", F.col(value).cast("double")), "_vd", cuts).drop("_vd")
-
-    stats = src.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"),
-                                   F.min(value).cast("double").alias("_lo"),
-                                   F.max(value).cast("double").alias("_hi"))
-    max_parts = max(1, MAX_SPLITS // buckets)
-    rows = stats.limit(max_parts + 1).collect()
-    types = dict(src.dtypes)
-    keys = ", ".join(f"`{c}` {types[c]}" for c in part)
-
-    if len(rows) > max_parts:
-        # Very many parts: each keeps FEW_BUCKETS buckets, cuts joined lazily.
-        few = [i / FEW_BUCKETS for i in range(1, FEW_BUCKETS)]
-        cuts = src.groupBy(*part).agg(F.percentile_approx(value, few, accuracy).alias("_cuts"))
-        elems = [F.col("_cuts").getItem(i) for i in range(len(few))]
-        return lambda fr: fr.join(cuts, part).withColumn("_b", _count_below(F.col(value), elems)).drop("_cuts")
-
-    if buckets <= LINEAR_BUCKETS:
-        width = len(probs)
-        pdf = spark.createDataFrame(
-            [(*[r[c] for c in part], [float(x) for x in (r["_cuts"] or [])]) for r in rows],
-            f"{keys}, _cuts array<double>")
-        elems = [F.col("_cuts").getItem(i) for i in range(width)]
-        return lambda fr: fr.join(F.broadcast(pdf), part) \
-            .withColumn("_b", _count_below(F.col(value).cast("double"), elems)).drop("_cuts")
-
-    def pos(i, lo, hi, v):
-        u = (v - lo) / (hi - lo) if hi > lo else 0.0
-        return i + 0.001 + 0.998 * u
-
-    splits, pmap = [], []
-    for i, r in enumerate(rows):
-        lo, hi = r["_lo"], r["_hi"]
-        splits.append(float(i))
-        splits += [pos(i, lo, hi, float(c)) for c in (r["_cuts"] or [])]
-        pmap.append((*[r[c] for c in part], i, lo, hi))
-    pdf = spark.createDataFrame(pmap, f"{keys}, _pi int, _lo double, _hi double")
-
-    def assign(fr: DataFrame) -> DataFrame:
-        b = fr.join(F.broadcast(pdf), part)
-        lo, hi = F.col("_lo"), F.col("_hi")
-        u = F.when(hi > lo, (F.col(value).cast("double") - lo) / (hi - lo)).otherwise(F.lit(0.0))
-        b = b.withColumn("_f", F.col("_pi") + 0.001 + 0.998 * u)
-        return _bucketize(b, "_f", splits).drop("_f", "_pi", "_lo", "_hi")
-
-    return assign
+        row = stats.first()
+        return df.withColumns({f.name: F.lit(row[f.name]).cast(f.dataType) if not isinstance(row[f.name], list)
+                               else F.array(*[F.lit(x) for x in row[f.name]]).cast(f.dataType) for f in stats.schema.fields})
+    table = cut_lineage(stats)
+    if table.count() * row_bytes <= BROADCAST_BYTES:
+        table = F.broadcast(table)
+    return null_safe_join(df, table, part)
+
+
+def _bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
+    """Add ``_b``, the number of cuts in ``_cuts`` (sorted) strictly below the value."""
+    out = df.withColumn("_b", F.lit(0))
+    step = 1 << max(0, (buckets - 1).bit_length() - 1)
+    while step:
+        below = F.coalesce(F.get("_cuts", F.col("_b") + (step - 1)) < F.col(value), F.lit(False))
+        out = out.withColumn("_b", F.when(below, F.col("_b") + step).otherwise(F.col("_b")))
+        step //= 2
+    return out.drop("_cuts")
 
 
 def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None = None,
@@ -148,22 +92,18 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     ``_tie``   rows in the part with this exact value (all groups),
     ``_total`` rows in the part.
 
-    NULL values are left out (they have no rank).
+    NULL and NaN values are left out (they have no rank).
 
     With ``unique_by`` (columns that identify a row, e.g. a key) equal
     values are ordered by those columns, so every row gets its own position
     (``_tie`` is then the row's own count): a total order for ranking by a
     hash, where two keys may collide.
 
-    The input is read three times: cut points (a quantile sketch per part),
-    bucket totals (a count per part and bucket) and the tie aggregation that
-    feeds the running sums; only the last is a large aggregation. For an
-    expensive input (joins, an explode) pass ``materialize=True`` to write
-    the needed columns once to the shared checkpoint folder first, so the
-    lineage runs once and a lost executor does not recompute it from the
-    source. Cut-point and bucket-offset tables have ``parts`` and
-    ``parts x buckets`` rows: they are the build sides of broadcast joins,
-    never the data side.
+    The input is read for the cut points (a quantile sketch per part) and for
+    the tie aggregation. For an expensive input (joins, an explode) pass
+    ``materialize=True`` to write the needed columns once to the shared
+    checkpoint folder first, so the lineage runs once and a lost executor
+    does not recompute it from the source.
     """
     group = list(group or [])
     for u in unique_by or []:
@@ -174,22 +114,20 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
     # is plenty and keeps the quantile sketches small.
     accuracy = accuracy or max(200, 20 * buckets)
     w = F.col(weight) if weight else F.lit(1)
-    src = df.where(F.col(value).isNotNull()).select(*part, *group, value, w.cast("bigint").alias("_w"))
+    src = df.where(present(df, value)).select(*part, *group, value, w.cast("bigint").alias("_w"))
     if materialize:
         src = cut_lineage(src)
-    assign = _bucketer(src, part, value, buckets, accuracy)
-    agg = assign(src.groupBy(*part, *group, value).agg(F.sum("_w").alias("n")))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = src.groupBy(*part).agg(F.percentile_approx(value, probs, accuracy).alias("_cuts"))
+    ties = src.groupBy(*part, *group, value).agg(F.sum("_w").alias("n"))
+    agg = _bucket(with_part_stats(ties, cuts, part, 8 * buckets + 64), value, buckets)
 
-    # Offsets of the buckets: a frame of at most parts x buckets rows,
-    # counted on the input rows (no distinct aggregation needed).
-    bt = assign(src).groupBy(*part, "_b").agg(F.sum("_w").alias("_bn"))
     wp = Window.partitionBy(*part) if part else Window.partitionBy()
-    bt = bt.select(*part, "_b",
-                   F.coalesce(F.sum("_bn").over(
-                       wp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-                   .alias("_off"),
-                   F.sum("_bn").over(wp).alias("_total"))
-    b = agg.join(F.broadcast(bt), [*part, "_b"])
+    bt = agg.groupBy(*part, "_b").agg(F.sum("n").alias("_bn")).select(
+        *part, "_b",
+        F.coalesce(F.sum("_bn").over(wp.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.sum("_bn").over(wp).alias("_total"))
+    b = null_safe_join(agg, bt, [*part, "_b"])
 
     if unique_by:
         w_cum = (Window.partitionBy(*part, "_b").orderBy(value, *unique_by)
@@ -205,6 +143,12 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
                     "_total")
 
 
+def present(df: DataFrame, col: str) -> Column:
+    """Neither NULL nor, for a floating column, NaN (the other missing marker)."""
+    c = F.col(col)
+    return c.isNotNull() & ~F.isnan(c) if dict(df.dtypes)[col] in ("double", "float") else c.isNotNull()
+
+
 def midranks(df: DataFrame, part: list[str], value: str, group: list[str] | None = None,
              weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """Average rank of each (part, group, value) block, ties averaged.
@@ -235,27 +179,56 @@ def rank_sums(df: DataFrame, part: list[str], group: str, value: str,
 
 
 def exact_quantiles(df: DataFrame, part: list[str], value: str, probs: list[float],
-                    names: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+                    names: list[str] | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (numpy's default, DuckDB's
-    ``quantile_cont``), one row per part. No per-group value map is kept in
-    one task: the positions are found from the distributed cumulative counts.
+    ``quantile_cont``), one row per part.
+
+    A sketch with a rank error of at most n / accuracy gives, three errors
+    below and above each wanted position, a bracket of values. A second pass
+    counts the values below each bracket and groups those inside it, so about
+    6 / accuracy of the values (and their ties, as one row each) are dealt
+    out and ordered, in a window by part and position. Parts of fewer than
+    ``WHOLE_PARTS`` rows, where an error is less than a few rows, are ordered
+    whole. A bracket that did not hold its position would stop the job.
     """
     names = names or [f"q{int(round(p * 100))}" for p in probs]
-    c = cumulative(df, part, value, buckets=buckets)
-    start = F.col("_cum") - F.col("n")          # 0-based first position of the block
-    end = F.col("_cum")                          # exclusive
+    src = df.where(present(df, value)).select(*part, F.col(value).cast("double").alias("_v"))
+    err = 3.0 / BRACKET_ACCURACY
+    edges = [x for p in probs for x in (max(0.0, p - err), min(1.0, p + err))]
+    stats = src.groupBy(*part).agg(F.percentile_approx("_v", edges, BRACKET_ACCURACY).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    rows = with_part_stats(src, stats, part, 16 * len(edges) + 64)
+    # The lowest and highest edges are open, so no position falls outside at the ends.
+    low = [F.when(F.lit(p - err <= 0) | (F.col("_n") < WHOLE_PARTS), F.lit(float("-inf"))).otherwise(F.get("_e", F.lit(2 * i))) for i, p in enumerate(probs)]
+    high = [F.when(F.lit(p + err >= 1) | (F.col("_n") < WHOLE_PARTS), F.lit(float("inf"))).otherwise(F.get("_e", F.lit(2 * i + 1))) for i, p in enumerate(probs)]
+    inside = F.array_compact(F.array(*[F.when((F.col("_v") >= low[i]) & (F.col("_v") <= high[i]), F.lit(i)) for i in range(len(probs))]))
+    below = [F.count(F.when(F.col("_v") < low[i], F.lit(1))).alias(f"_below{i}") for i in range(len(probs))]
+    counts = rows.groupBy(*part).agg(F.first("_n").alias("n"), *below)
+    held = (rows.select(*part, "_v", F.explode(inside).alias("_i")).groupBy(*part, "_i", "_v").agg(F.count(F.lit(1)).alias("_c")))
+    run = Window.partitionBy(*part, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = held.withColumn("_end", F.sum("_c").over(run))
+    if part:
+        held = null_safe_join(held, counts, part)
+    else:
+        held = with_part_stats(held, counts, [], 0)
     aggs = []
     for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_total") - 1)
+        h = F.lit(float(p)) * (F.col("n") - 1)
         lo = F.floor(h)
-        hi = F.least(lo + 1, F.col("_total") - 1)
-        aggs += [F.max(F.when((start <= lo) & (lo < end), F.col(value))).alias(f"_lo{i}"),
-                 F.max(F.when((start <= hi) & (hi < end), F.col(value))).alias(f"_hi{i}"),
+        hi = F.least(lo + 1, F.col("n") - 1)
+        end = F.col(f"_below{i}") + F.col("_end")
+        start = end - F.col("_c")
+        here = F.col("_i") == i
+        aggs += [F.max(F.when(here & (start <= lo) & (lo < end), F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(here & (start <= hi) & (hi < end), F.col("_v"))).alias(f"_hi{i}"),
                  F.first(h - lo).alias(f"_fr{i}")]
-    g = c.groupBy(*part).agg(*aggs, F.first("_total").alias("n"))
-    return g.select(*part, "n", *[
-        (F.col(f"_lo{i}") + F.col(f"_fr{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(nm)
-        for i, nm in enumerate(names)])
+    g = held.groupBy(*part).agg(*aggs, F.first("n").alias("n"))
+
+    def quantile(i: int) -> Column:
+        lo, hi, fr = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_fr{i}")
+        lost = F.raise_error(F.lit("exact_quantiles: position outside its bracket")).cast("double")
+        return F.when(lo.isNull() | hi.isNull(), lost).when((lo == hi) | (fr == 0), lo).otherwise(lo + fr * (hi - lo))
+
+    return g.select(*part, "n", *[quantile(i).alias(nm) for i, nm in enumerate(names)])
 
 
 def fdr_bh(df: DataFrame, p: str = "p", family: list[str] | None = None,
@@ -263,15 +236,20 @@ def fdr_bh(df: DataFrame, p: str = "p", family: list[str] | None = None,
            out: str = "p_fdr") -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within each family.
 
-    q_(i) = min_{j >= i} p_(j) m / j, capped at 1. The input is a table of
-    test results (one row per test), so its size is the number of tests.
+    q_(i) = min_{j >= i} p_(j) m / j, capped at 1, over the tests that have a
+    p-value; a NULL (or NaN) p takes no rank, does not count in m, and gets a
+    NULL q and a NULL ``reject``. The input is a table of test results (one
+    row per test), so its size is the number of tests.
     """
     family = family or []
+    valid = present(df, p)
+    tested = df.withColumn("_ok", valid)
     order = [F.col(p)] + [F.col(c) for c in (order_tie or [])]
-    w = Window.partitionBy(*family).orderBy(*order)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    ranked = df.withColumn("_rank", F.row_number().over(w)).withColumn("_m", m)
+    keys = [*family, "_ok"]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    m = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    ranked = tested.withColumn("_rank", F.row_number().over(w)).withColumn("_m", m)
     scaled = F.col(p) * F.col("_m") / F.col("_rank")
     tail = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    res = ranked.withColumn(out, F.least(F.min(scaled).over(tail), F.lit(1.0)))
-    return res.withColumn("reject", F.col(out) <= alpha).drop("_rank", "_m")
+    res = ranked.withColumn(out, F.when(F.col("_ok"), F.least(F.min(scaled).over(tail), F.lit(1.0))))
+    return res.withColumn("reject", F.col(out) <= alpha).drop("_rank", "_m", "_ok")

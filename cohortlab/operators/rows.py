@@ -12,12 +12,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this many keys an exclusion list becomes a (broadcast) anti join
-# instead of an IN-list predicate. The list is driver-side, so its size is
-# known here: that is the size check behind the broadcast.
-IN_LIST_LIMIT = 1000
-BROADCAST_KEY_LIMIT = 5_000_000
-
+from .ranks import present
 
 def filter_eq(df: DataFrame, col: str, value) -> DataFrame:
     """F1."""
@@ -37,8 +32,8 @@ def filter_threshold(df: DataFrame, col: str, k, op: str = ">=") -> DataFrame:
 
 
 def filter_notnull(df: DataFrame, col: str) -> DataFrame:
-    """F4."""
-    return df.where(F.col(col).isNotNull())
+    """NaN counts as missing in a floating column, as in F5."""
+    return df.where(present(df, col))
 
 
 def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -46,19 +41,17 @@ def complete_cases(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.na.drop("any", subset=cols)
 
 
-def exclude_keys(df: DataFrame, key: str, keys: list) -> DataFrame:
-    """drop rows whose key is in a list.
+def exclude_keys(df: DataFrame, key: str, keys: list | DataFrame) -> DataFrame:
+    """drop rows whose key is in a list or in the key column of a frame.
 
-    Short lists stay an IN predicate (pushed to the scan); long ones become a
-    left-anti join against a broadcast key table whose size is the list's.
+    Rows with a NULL key stay, and a NULL among the keys excludes nothing,
+    for either kind and any number of keys. A list is a predicate (pushed to
+    the scan); a frame is a left-anti join, whose strategy Spark picks.
     """
-    if len(keys) <= IN_LIST_LIMIT:
-        return df.where(~F.col(key).isin(list(keys)))
-    spark = df.sparkSession
-    kt = spark.createDataFrame([(k,) for k in keys], [key])
-    if len(keys) <= BROADCAST_KEY_LIMIT:
-        kt = F.broadcast(kt)
-    return df.join(kt, key, "left_anti")
+    if isinstance(keys, DataFrame):
+        return df.join(keys.select(key).distinct(), key, "left_anti")
+    given = [k for k in keys if k is not None]
+    return df.where(F.col(key).isNull() | ~F.col(key).isin(given)) if given else df
 
 
 def first_n(df: DataFrame, n: int, order_by: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from .describe import long_values
-from .ranks import exact_quantiles, fdr_bh, rank_sums
+from .ranks import exact_quantiles, fdr_bh, rank_sums, with_part_stats
 from .rows import complete_cases
 
 
@@ -21,15 +21,17 @@ def kruskal(df: DataFrame, value: str, group: str, part: list[str] | None = None
     """Kruskal-Wallis H with tie correction; one row per part."""
     part = part or []
     rs = rank_sums(df.where(F.col(group).isNotNull()), part, group, value)
+    # Deviations of the mean ranks from their expectation, so no two numbers
+    # of the size of N are subtracted.
+    off = F.col("rank_sum") / F.col("n") - (F.col("total") + 1.0) / 2.0
     g = rs.groupBy(*part).agg(
         F.sum("n").cast("double").alias("N"),
-        F.sum(F.col("rank_sum") * F.col("rank_sum") / F.col("n")).alias("S"),
+        F.sum(F.col("n") * off * off).alias("S"),
         F.sum("tie_term").alias("T"),
         F.count(F.lit(1)).alias("k"))
     N = F.col("N")
     # try_divide: all values tied (or one row) leave H undefined -> NULL.
-    h = F.try_divide(12.0 / (N * (N + 1.0)) * F.col("S") - 3.0 * (N + 1.0),
-                     1.0 - F.try_divide(F.col("T"), N * N * N - N))
+    h = F.try_divide(12.0 / (N * (N + 1.0)) * F.col("S"), 1.0 - F.try_divide(F.col("T"), N * N * N - N))
     out = g.select(*part, h.alias("H"), (F.col("k") - 1).cast("bigint").alias("df"),
                    F.col("N").cast("bigint").alias("n"))
     return out.withColumn("p", D.chi2_sf("H", "df"))
@@ -42,6 +44,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_level, part: list[str]
     ``alternative=None`` is the legacy convention of the reference: U is the
     smaller of the two U values and p the one-sided tail of |z|.
     'two-sided', 'less', 'greater' follow the current convention (U of x).
+    Every part gives a row: one without exactly two groups (``n_groups``) has
+    NULL statistics.
     """
     part = part or []
     rs = rank_sums(df.where(F.col(group).isNotNull()), part, group, value)
@@ -73,9 +77,10 @@ def mann_whitney(df: DataFrame, value: str, group: str, x_level, part: list[str]
         p = D.norm_sf("z")
     else:
         raise ValueError(alternative)
-    out = g.where(F.col("k") == 2).select(*part, u.alias("U"), z.alias("z"),
-                                           nx.cast("bigint").alias("n_x"), ny.cast("bigint").alias("n_y"))
-    return out.select(*part, "U", "z", p.alias("p"), "n_x", "n_y")
+    two = F.col("k") == 2
+    out = g.select(*part, F.when(two, u).alias("U"), F.when(two, z).alias("z"), nx.cast("bigint").alias("n_x"),
+                   ny.cast("bigint").alias("n_y"), F.col("k").cast("bigint").alias("n_groups"))
+    return out.select(*part, "U", "z", p.alias("p"), "n_x", "n_y", "n_groups")
 
 
 def _two_group_moments(df: DataFrame, cols: list[str], group: str, a, b):
@@ -111,15 +116,19 @@ def ttest(df: DataFrame, cols: list[str], group: str, a=1, b=0, equal_var: bool
 
 
 def _oneway_from_groups(g: DataFrame, keys: list[str]) -> DataFrame:
-    """One-way ANOVA F from per-group (n, mean, var) rows."""
-    agg = g.groupBy(*keys).agg(
+    """One-way ANOVA F from per-group (n, mean, var) rows. The sum of squares
+    between groups is taken of deviations from the grand mean, so a common
+    offset of the data does not cancel digits."""
+    w = Window.partitionBy(*keys)
+    some = F.first("mean").over(w)  # any group's mean as origin keeps the sum small
+    grand = F.col("_o") + F.sum(F.col("n") * (F.col("mean") - F.col("_o"))).over(w) / F.sum("n").over(w)
+    dev = g.withColumn("_o", some).withColumn("_g", grand)
+    agg = dev.groupBy(*keys).agg(
         F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
-        F.sum(F.col("n") * F.col("mean")).alias("s1"),
-        F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("s2"),
+        F.sum(F.col("n") * (F.col("mean") - F.col("_g")) * (F.col("mean") - F.col("_g"))).alias("between"),
         F.sum((F.col("n") - 1.0) * F.coalesce(F.col("var"), F.lit(0.0))).alias("within"))
     N, k = F.col("N"), F.col("k").cast("double")
-    between = F.col("s2") - F.col("s1") * F.col("s1") / N
-    f = F.try_divide(F.try_divide(between, k - 1.0), F.try_divide(F.col("within"), N - k))
+    f = F.try_divide(F.try_divide(F.col("between"), k - 1.0), F.try_divide(F.col("within"), N - k))
     out = agg.select(*keys, f.alias("F"), (k - 1.0).alias("df_between"), (N - k).alias("df_within"))
     return out.withColumn("p", D.f_sf("F", "df_between", "df_within"))
 
@@ -136,12 +145,12 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def levene_median(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """T5: Brown-Forsythe / Levene with median centring, per column.
 
-    Group medians are exact (distributed cumulative counts); the median
-    table has columns x groups rows and is joined back (AQE broadcasts it).
+    Group medians are exact; the median table has columns x groups rows and
+    is brought to the data by a checked broadcast.
     """
     long = long_values(df, cols, [group]).where(F.col("value").isNotNull() & F.col(group).isNotNull())
     med = exact_quantiles(long, ["column", group], "value", [0.5], ["median"]).drop("n")
-    z = long.join(med, ["column", group]).select(
+    z = with_part_stats(long, med, ["column", group], 128).select(
         "column", group, F.abs(F.col("value") - F.col("median")).alias("z"))
     g = z.groupBy("column", group).agg(F.count("z").cast("double").alias("n"),
                                        F.avg("z").alias("mean"), F.var_samp("z").alias("var"))
@@ -162,8 +171,10 @@ def _chi2_from_counts(cnt: DataFrame, outcome: str) -> DataFrame:
     ct = F.sum("o").over(Window.partitionBy("column", outcome))
     nn = F.sum("o").over(Window.partitionBy("column"))
     cells = cnt.select("column", "level", outcome, "o", (rt * ct / nn).alias("e"), nn.alias("N"))
+    # Cells without rows are not here; each would add its e, together N - sum(e).
+    gap = F.col("o") - F.col("e")
     g = cells.groupBy("column").agg(
-        (F.sum(F.col("o") * F.col("o") / F.col("e")) - F.first("N")).alias("chi2"),
+        (F.sum(gap * gap / F.col("e")) + (F.first("N") - F.sum("e"))).alias("chi2"),
         ((F.count_distinct("level") - 1) * (F.count_distinct(outcome) - 1)).cast("bigint").alias("dof"),
         F.first("N").cast("bigint").alias("n"))
     return g.withColumn("p", D.chi2_sf("chi2", "dof"))
@@ -172,8 +183,8 @@ def _chi2_from_counts(cnt: DataFrame, outcome: str) -> DataFrame:
 def chi2_independence(df: DataFrame, cols: list[str], outcome: str) -> DataFrame:
     """Pearson chi-square (no Yates) of each column against an outcome.
 
-    Uses chi2 = sum(o^2 / e) - N, so cells with zero count (absent from the
-    grouped counts) need no restoring. dof = (r - 1)(c - 1) over observed
+    Cells with zero count (absent from the grouped counts) add their expected
+    counts, which is what those of the other cells leave of N. dof = (r - 1)(c - 1) over observed
     levels. The count table has (columns x levels x outcomes) rows.
     """
     return _chi2_from_counts(_level_counts(df, cols, outcome), outcome)

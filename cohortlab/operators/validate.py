@@ -10,24 +10,40 @@ put a class (possibly a third of all rows) into a single task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+import os
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import cumulative, rank_sums
+from ..session import cut_lineage
+from .ranks import cumulative, null_safe_join, rank_sums
 
 
 def _hash(seed: int, *cols) -> F.Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def _key_order(df: DataFrame, key: str) -> F.Column:
+    """A number that never falls as the key grows, for any kind of key: a
+    number stays itself; of text, seven bytes after what all keys begin with."""
+    kind = dict(df.dtypes)[key]
+    if kind != "string":
+        return F.col(key).cast("double" if kind in ("double", "float") else "long")
+    ends = df.agg(F.min(key), F.max(key)).first()
+    same = len(os.path.commonprefix([x.encode() for x in ends if x is not None]) if all(x is not None for x in ends) else b"")
+    digits = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), same + 1, 7)), 14, "0")
+    return F.conv(digits, 16, 10).cast("long")
+
+
 def class_rank(df: DataFrame, key: str, label: str, seed: int | None = 10,
                extra_part: list[str] | None = None) -> DataFrame:
     """1-based position of each key inside its class: in hash order
-    (``seed`` given) or in key order (``seed=None``). Returns
-    ``(extra_part, label, key, rank, class_n)``."""
+    (``seed`` given) or in key order (``seed=None``). Rows with a NULL label
+    are a class of their own. Returns ``(extra_part, label, key, rank, class_n)``."""
     part = [*(extra_part or []), label]
-    order = _hash(seed, F.col(key)) if seed is not None else F.col(key)
-    src = df.select(*part, key, order.cast("long").alias("_o"))
+    order = _hash(seed, F.col(key)) if seed is not None else _key_order(df, key)
+    src = df.select(*part, key, order.alias("_o"))
     c = cumulative(src, part, "_o", unique_by=[key])
     return c.select(*part, key, F.col("_cum").alias("rank"), F.col("_total").alias("class_n"))
 
@@ -39,7 +55,7 @@ def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int
     repeated folds use a different ``repeat`` (mixed into the hash)."""
     s = None if seed is None else seed * 1000003 + repeat
     r = class_rank(df, key, label, s)
-    return df.join(r.select(key, ((F.col("rank") - 1) % k).cast("int").alias(name)), key)
+    return null_safe_join(df, r.select(key, ((F.col("rank") - 1) % k).cast("int").alias(name)), [key])
 
 
 def stratified_split(df: DataFrame, key: str, label: str, train_size: float = 0.1,
@@ -48,7 +64,7 @@ def stratified_split(df: DataFrame, key: str, label: str, train_size: float = 0.
     are 'train', the rest 'test'."""
     r = class_rank(df, key, label, seed)
     split = F.when(F.col("rank") <= F.floor(F.col("class_n") * train_size), "train").otherwise("test")
-    return df.join(r.select(key, split.alias("split")), key)
+    return null_safe_join(df, r.select(key, split.alias("split")), [key])
 
 
 def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0,
@@ -58,13 +74,13 @@ def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0,
     The row at position r in key order receives the label of the row at
     position r in hash order; both positions come from distributed ranks
     and meet in one equi-join on r (no shuffle of a single partition)."""
-    by_key = cumulative(df.select(key, F.col(key).cast("long").alias("_o")), [], "_o", unique_by=[key]) \
+    by_key = cumulative(df.select(key, _key_order(df, key).alias("_o")), [], "_o", unique_by=[key]) \
         .select(key, F.col("_cum").alias("_r"))
     by_hash = cumulative(df.select(key, label, _hash(seed, F.col(key)).alias("_o")), [], "_o",
                          group=[label], unique_by=[key]) \
         .select(F.col(label).alias(name), F.col("_cum").alias("_r"))
     perm = by_key.join(by_hash, "_r").select(key, name)
-    return df.join(perm, key)
+    return null_safe_join(df, perm, [key])
 
 
 def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
@@ -146,25 +162,46 @@ def perm_pvalue(null: DataFrame, score: str, true_score: float) -> DataFrame:
                     ((F.col("n_exceed") + 1.0) / (F.col("n_null") + 1.0)).alias("p_value"))
 
 
+# Rows of one permutation that are ordered in one window, on average.
+ORDERED_ROWS = 4096
+
+
 def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
                          n_permutations: int, seed: int = 0) -> DataFrame:
     """M11 (scale mode): null distribution of the AUC of fixed scores under
-    permuted labels. Scores are ranked once; in permutation b the positives
-    are the n1 keys first in ``xxhash64(seed, b, key)`` order, and the AUC
-    follows from their rank sum. Work is n_permutations x rows, spread
-    over tasks by permutation and hash bucket. Returns ``(perm, auc)``."""
-    base = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(key, label, score)
-    ranked = cumulative(base.select(key, score), [], score, group=[key])
-    mid = ranked.select(key, (F.col("_cum") - (F.col("_tie") - 1) / 2.0).alias("mid"))
-    counts = base.agg(F.sum(F.col(label).cast("long")).alias("n1"), F.count(F.lit(1)).alias("n")).first()
+    permuted labels. In permutation b the positives are the n1 keys first in
+    ``xxhash64(seed, b, key)`` order, and the AUC follows from their rank sum.
+    Returns ``(perm, auc)``.
+
+    Scores are ranked once, as a table of distinct scores. Hash values are cut
+    into bins by their first bits; counts and rank sums by (permutation, bin)
+    are summed in the tasks, and tell in which bin the n1-th key of each
+    permutation lies. Only that bin's rows (about ``ORDERED_ROWS`` for each
+    permutation) are ordered: no rows x permutations table is stored or dealt
+    out.
+    """
+    base = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(key, label, F.col(score).cast("double").alias("_s"))
+    ties = cumulative(base.select("_s"), [], "_s")
+    mid = ties.select("_s", (F.col("_cum") - (F.col("_tie") - 1) / 2.0).alias("mid"))
+    ranked = cut_lineage(base.join(mid, "_s").select(key, label, "mid"))
+    counts = ranked.agg(F.sum(F.col(label).cast("long")).alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n = int(counts["n1"] or 0), int(counts["n"])
     n0 = n - n1
-    rep = mid.select(key, "mid", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
-    rep = rep.withColumn("_h", _hash(seed, F.col("perm"), F.col(key)))
-    order = cumulative(rep, ["perm"], "_h", group=["mid"], unique_by=[key], materialize=True)
-    pos = order.where(F.col("_cum") <= n1)
-    auc = (F.sum("mid") - F.lit(n1 * (n1 + 1) / 2.0)) / F.lit(float(max(n1 * n0, 1)))
-    return pos.groupBy("perm").agg(auc.alias("auc"))
+    bits = max(0, math.ceil(math.log2(max(n, 1) / ORDERED_ROWS)))
+    rows = ranked.select(key, "mid", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
+    rows = rows.withColumn("_h", _hash(seed, F.col("perm"), F.col(key)))
+    rows = rows.withColumn("_bin", F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    run = Window.partitionBy("perm").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = rows.groupBy("perm", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("mid").alias("_m"))
+    bins = bins.select("perm", "_bin", "_n", F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"),
+                       F.coalesce(F.sum("_m").over(run), F.lit(0.0)).alias("_sum"))
+    last = bins.where((F.col("_before") < n1) & (F.col("_before") + F.col("_n") >= n1)).select("perm", "_bin", "_before", "_sum")
+    # One row a permutation: the number of permutations is a parameter.
+    edge = rows.join(F.broadcast(last), ["perm", "_bin"])
+    place = F.row_number().over(Window.partitionBy("perm").orderBy("_h", key))
+    edge = edge.withColumn("_place", place).where(F.col("_place") + F.col("_before") <= n1)
+    auc = (F.first("_sum") + F.sum("mid") - F.lit(n1 * (n1 + 1) / 2.0)) / F.lit(float(max(n1 * n0, 1)))
+    return edge.groupBy("perm").agg(auc.alias("auc"))
 
 
 def permutation_test(df: DataFrame, key: str, label: str, score: str, true_score: float | None = None,

@@ -41,7 +41,7 @@ def test_exact_quantiles_match_numpy(spark, probs):
     rng = np.random.default_rng(3)
     rows = [(g, float(x)) for g in ("a", "b") for x in rng.integers(0, 20, size=501 if g == "a" else 40)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in W.exact_quantiles(df, ["g"], "v", probs, ["x", "y", "z"], buckets=5).collect()}
+    got = {r.g: r for r in W.exact_quantiles(df, ["g"], "v", probs, ["x", "y", "z"]).collect()}
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     for g, sub in pdf.groupby("g"):
         q = np.quantile(sub.v.to_numpy(), probs)
@@ -119,12 +119,12 @@ def test_null_and_empty_columns(spark):
     assert W.midranks(empty, [], "b").count() == 0
 
 
-@pytest.mark.parametrize("max_splits", [None, 10])
-def test_part_buckets_many_and_fallback(spark, monkeypatch, max_splits):
-    # Per-part binary-search buckets (and the comparison fallback used when
-    # parts x buckets exceeds the split budget) give the same mid-ranks.
-    if max_splits:
-        monkeypatch.setattr(W, "MAX_SPLITS", max_splits)
+@pytest.mark.parametrize("broadcast_bytes", [None, 0])
+def test_part_buckets_with_and_without_broadcast(spark, monkeypatch, broadcast_bytes):
+    # Per-part binary-search buckets give the same mid-ranks whether the cut
+    # table is broadcast or joined.
+    if broadcast_bytes is not None:
+        monkeypatch.setattr(W, "BROADCAST_BYTES", broadcast_bytes)
     rng = np.random.default_rng(21)
     rows = []
     for p, scale in (("a", 1.0), ("b", 1e6), ("c", 1e-3)):
