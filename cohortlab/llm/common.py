@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,3 +33,15 @@ def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Parts of a batch, so that the Python objects of few texts live at once."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What ``make`` gave the first time it was asked for in this worker process.
+
+    Task code arrives by value, so its globals are new in every task; tables
+    that later tasks of the worker can use again live in a module of their own.
+    """
+    state = sys.modules.setdefault("_text_operator_state", types.ModuleType("_text_operator_state")).__dict__
+    if key not in state:
+        state[key] = make()
+    return state[key]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices, stage
+from .common import as_bytes, kept, slices, stage
 from .components import components
 
 KEPT_WORDS = 300_000
@@ -72,7 +72,7 @@ class Shingles:
 
     def __init__(self, size: int):
         self.size = size
-        self.known = Digests()
+        self.known = kept("word digests", Digests)
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = (text or b"").lower().split()

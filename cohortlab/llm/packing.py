@@ -9,6 +9,7 @@ are, and a group's loss is its last, partly filled sequence at most.
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -18,16 +19,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
-from .common import as_bytes, slices, stage
+from .common import as_bytes, kept, slices, stage
 
 CAPACITY = 4096
 #: Pieces in a group, on average.
 GROUP_PIECES = 4096
-#: Words whose ids a task keeps; the table is emptied when it is full.
-KEPT_WORDS = 250_000
+#: Words whose ids a worker keeps, and as many older ones; words that come again move to the new table.
+KEPT_WORDS = 120_000
 #: Longer words are not kept.
 KEPT_BYTES = 48
+#: Marks that are cut off the end of a word of letters.
+MARKS = b".,;:!?%*#$&|()"
+#: New words of letters that are tokenised in one text.
+JOINED_WORDS = 1000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 
@@ -35,29 +41,78 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class WordIds:
     """Ids of a text through ids of its words.
 
-    The tokenizer drops white space before it merges, so the ids of a text are
-    those of its words (runs without ASCII white space) one after another;
-    other white space is left to the tokenizer. Words are looked up in a
-    table, and only new ones are tokenised.
+    The tokenizer drops white space before it merges and never merges a letter
+    with a mark, so the ids of a text are those of its words (runs without
+    ASCII white space) one after another, and those of a word of letters with
+    marks after it are those of the two parts. Parts are looked up in a table;
+    new words of letters are tokenised many at once, and the ids that end a
+    word tell them apart; all else is tokenised alone.
     """
 
     def __init__(self, file: str):
         self.tokenizer = Tokenizer.from_file(file)
+        # To words of a-z the steps before merging do nothing but cut at spaces.
+        self.plain = Tokenizer.from_file(file)
+        self.plain.normalizer, self.plain.pre_tokenizer = None, WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def encoded(tokenizer: Tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """Enter the ids of ``words``."""
+        known, letters, alone, marked = self.known, set(), set(), []
+        for w in words:
+            core = w.rstrip(MARKS)
+            if core.isalpha() or not core.isascii() and (x := core.decode()).isalpha() and x.lower().isalpha():
+                if core not in known:
+                    letters.add(core)
+                if len(core) < len(w):
+                    marked.append((w, core, tail := w[len(core):]))
+                    if tail not in known:
+                        alone.add(tail)
+            else:
+                alone.add(w)
+        simple = [x for x in letters if x.isalpha() and x.islower()]
+        alone = list(alone)
+        for tokenizer, some in ((self.plain, simple), (self.tokenizer, list(letters.difference(simple)))):
+            chunks = [some[at:at + JOINED_WORDS] for at in range(0, len(some), JOINED_WORDS)]
+            for chunk, ids in zip(chunks, self.encoded(tokenizer, [b" ".join(c).decode() for c in chunks]), strict=True):
+                stops = np.flatnonzero(self.ends[ids]) + 1
+                if len(stops) != len(chunk):  # letters to Python, not to the tokenizer
+                    alone += chunk
+                    continue
+                data, at = ids.tobytes(), 0
+                for w, stop in zip(chunk, (stops * 4).tolist(), strict=True):
+                    known[w] = data[at:stop]
+                    at = stop
+        for at in range(0, len(alone), 10_000):
+            part = alone[at:at + 10_000]
+            known.update(zip(part, (ids.tobytes() for ids in self.encoded(self.tokenizer, [w.decode() for w in part])), strict=True))
+        for w, core, tail in marked:
+            known[w] = known[core] + known[tail]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        if len(known) + len(new) > KEPT_WORDS:
-            known.clear()
-            new = list({w for words in split for w in words})
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, "<u4").tobytes()
-        out = [b"".join([known[w] for w in words]) for words in split]
+        # The tokenizer lower-cases after composing; a combining mark or a special token must be seen first.
+        split = [(t if b"<|" in t or b"\xcc" in t or b"\xcd" in t else t.lower()).split() for t in texts]
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set()
+        for w in set().union(*split):
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.add(w)
+        self.learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > KEPT_BYTES:
                 del known[w]
@@ -68,7 +123,8 @@ def pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int, id_
     """Rows (doc_id, start, length, ids_crc32, doc_tokens, salt); salt is random by task and row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(tokenizer_file)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        ids = kept(("word ids", tokenizer_file), lambda: WordIds(tokenizer_file))
         end = np.asarray([end_id], "<u4").tobytes()
         made, seed = 0, TaskContext.get().partitionId()
         for batch in batches:
