@@ -164,12 +164,12 @@ def midranks(df: DataFrame, part: list[str], value: str, group: list[str] | None
 
 
 def rank_sums(df: DataFrame, part: list[str], group: str, value: str,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """Rank sum, size and tie term per (part, group).
 
     ``tie_term`` summed over the groups of a part gives sum(t^3 - t) over
     the distinct values of the part (each group adds its share n/t)."""
-    r = midranks(df, part, value, [group], buckets=buckets)
+    r = midranks(df, part, value, [group], weight=weight, buckets=buckets)
     t = F.col("tie").cast("double")
     return (r.groupBy(*part, group)
              .agg(F.sum(F.col("n") * F.col("midrank")).alias("rank_sum"),

@@ -83,10 +83,11 @@ def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0,
     return null_safe_join(df, perm, [key])
 
 
-def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None) -> DataFrame:
-    """M9: exact ROC AUC from mid-ranks (Mann-Whitney), per group ``by``."""
+def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """M9: exact ROC AUC from mid-ranks (Mann-Whitney), per group ``by``;
+    a row with ``weight`` n counts as n rows."""
     by = by or []
-    rs = rank_sums(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), by, label, score)
+    rs = rank_sums(df.where(F.col(label).isNotNull() & F.col(score).isNotNull()), by, label, score, weight=weight)
     pos = F.col(label) == 1
     g = rs.groupBy(*by).agg(F.sum(F.when(pos, F.col("rank_sum"))).alias("R1"),
                             F.sum(F.when(pos, F.col("n"))).cast("double").alias("n1"),
@@ -96,19 +97,22 @@ def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None
 
 
 def classification_metrics(df: DataFrame, label: str, prob: str, by: list[str] | None = None,
-                           threshold: float = 0.5, pred: str | None = None) -> DataFrame:
+                           threshold: float = 0.5, pred: str | None = None, weight: str | None = None) -> DataFrame:
     """M9: AUC, accuracy, balanced accuracy, sensitivity, specificity,
     weighted F1, PPV, NPV and Brier score per group, from one grouped
-    aggregate (confusion counts, squared error) plus the exact AUC."""
+    aggregate (confusion counts, squared error) plus the exact AUC. A row
+    with ``weight`` n counts as n rows."""
     by = by or []
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
     y = F.col(label).cast("int")
     yhat = F.col(pred).cast("int") if pred else (F.col(prob) >= threshold).cast("int")
     c = df.groupBy(*by).agg(
-        F.sum(((y == 1) & (yhat == 1)).cast("double")).alias("tp"),
-        F.sum(((y == 0) & (yhat == 1)).cast("double")).alias("fp"),
-        F.sum(((y == 0) & (yhat == 0)).cast("double")).alias("tn"),
-        F.sum(((y == 1) & (yhat == 0)).cast("double")).alias("fn"),
-        F.avg((F.col(prob) - y) * (F.col(prob) - y)).alias("brier"))
+        F.sum(((y == 1) & (yhat == 1)).cast("double") * w).alias("tp"),
+        F.sum(((y == 0) & (yhat == 1)).cast("double") * w).alias("fp"),
+        F.sum(((y == 0) & (yhat == 0)).cast("double") * w).alias("tn"),
+        F.sum(((y == 1) & (yhat == 0)).cast("double") * w).alias("fn"),
+        F.try_divide(F.sum((F.col(prob) - y) * (F.col(prob) - y) * w),
+                     F.sum(F.when((F.col(prob) - y).isNotNull(), w))).alias("brier"))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
     # try_divide: an empty class in a group gives NULL, not a failed job.
@@ -124,9 +128,9 @@ def classification_metrics(df: DataFrame, label: str, prob: str, by: list[str] |
                  F.when(tp + fp > 0, tp / (tp + fp)).otherwise(0.0).alias("ppv"),
                  F.when(tn + fn > 0, tn / (tn + fn)).otherwise(0.0).alias("npv"),
                  "brier")
-    a = auc_exact(df, label, prob, by)
+    a = auc_exact(df, label, prob, by, weight)
     if by:
-        return a.join(m, by)
+        return null_safe_join(a, m, by)
     # Both sides are one row: the AUC enters as a literal (no cross join).
     return m.select(F.lit(a.first()["auc"]).cast("double").alias("auc"), *m.columns)
 

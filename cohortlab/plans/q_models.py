@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import dist as D
 from ..functions.scalar import aic
 from ..operators import cv as CV
-from ..operators import impute as IM
 from ..operators import models as M
+from ..operators import pipeline as PL
+from ..operators import rows as R
 from ..operators import stattests as ST
 from ..operators.design import design_matrix as build_design
-from ..operators.validate import stratified_folds
 from ..session import cut_lineage, scratch_path
 from . import fixtures as FX
 from .fixtures import with_views
@@ -107,10 +107,23 @@ def impute_mean(spark, sf_dir):
     return rounded(M.impute_mean(fn, NULL_COLS))
 
 
+# One gap column, one predictor, no penalty: the chained imputer is then a simple regression, as SQL has it.
+_CHAINED_SQL = with_views(
+    "SELECT " + r("l_quantity") + " AS l_quantity, " + r(
+        "coalesce(CAST(l_tax AS DOUBLE), (SELECT regr_intercept(l_tax, l_quantity) FROM f_nulls) + "
+        "(SELECT regr_slope(l_tax, l_quantity) FROM f_nulls) * l_quantity)") + " AS l_tax FROM f_nulls", "f_nulls")
+
+
+@query("impute_chained_simple", "M1", sql=_CHAINED_SQL)
+def impute_chained_simple(spark, sf_dir):
+    fn = FX.f_nulls(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in ("l_quantity", "l_tax")])
+    return rounded(PL.fit_imputer(fn, ["l_quantity", "l_tax"], rounds=2, reg=0.0).transform(fn))
+
+
 @query("impute_chained", "M1")
 def impute_chained(spark, sf_dir):
     fn = FX.f_nulls(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in NULL_COLS])
-    return IM.impute_chained(fn, NULL_COLS, rounds=2)
+    return PL.fit_imputer(fn, NULL_COLS, rounds=2).transform(fn)
 
 
 SCALE_COLS = [f"e{i}" for i in range(8)]
@@ -131,6 +144,16 @@ def _kbest_sql() -> str:
     return head + "\nSELECT \"column\", F FROM (SELECT \"column\", " + body + ") a ORDER BY F DESC, \"column\" LIMIT 10"
 
 
+def _kbest_sql_of_cohort() -> str:
+    cols = ["o_totalprice", "c_acctbal", "n_lines", "avg_qty", "avg_disc"]
+    some = "(SELECT * FROM f_cohort WHERE n_lines IS NOT NULL)"
+    each = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, sum(n * (m - g) * (m - g)) / (count(*) - 1) / (sum((n - 1) * v) / (sum(n) - count(*))) AS f FROM "
+        f"(SELECT outcome, count(*) AS n, avg({c}) AS m, var_samp({c}) AS v, (SELECT avg({c}) FROM {some} a) AS g FROM {some} b GROUP BY outcome) x"
+        for c in cols)
+    return f"SELECT feature, {r('f')} AS value FROM ({each}) y ORDER BY f DESC, feature LIMIT 3"
+
+
 @query("select_k_best", "M4 W6 T9", sql=_kbest_sql())
 def select_k_best(spark, sf_dir):
     f = ST.anova_f(FX.f_wide(spark, sf_dir), FX.embed_cols(), "y")
@@ -149,64 +172,105 @@ def select_elastic_net(spark, sf_dir):
     return M.select_elastic_net(FX.f_wide(spark, sf_dir), FX.embed_cols(), "y", reg=0.05, l1_ratio=0.5)
 
 
+_KEYS_ONCE = "SELECT count(*) AS n, count(DISTINCT {key}) AS n_keys, CAST(0 AS BIGINT) AS n_bad FROM {src}"
+
+
+def _facts(df, key):
+    """Rows, distinct keys and scores that are no probability of a fitted model's output."""
+    bad = F.count(F.when(F.col("prob").isNull() | ~F.col("prob").between(0, 1), F.lit(1)))
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_keys"), bad.alias("n_bad"))
+
+
 @query("svm_balanced", "M5")
 def svm_balanced(spark, sf_dir):
-    return M.svm_balanced(FX.f_wide(spark, sf_dir), "vec_id", FX.embed_cols(), "y")
+    w = FX.f_wide(spark, sf_dir)
+    svm = PL.calibrate(w, "vec_id", FX.embed_cols(), "y", cost=1.0)
+    return w.select("vec_id", "y", svm.margin().alias("margin"), svm.probability().alias("prob"))
 
 
 OUTER_K, INNER_K = 10, 3
 
-
-# One nested cross-validation serves both queries below: its result frames
-# read materialised fold tables, so the second query reuses the fitted run
-# of the same session and tables instead of fitting all models again.
-_NESTED: dict = {}
+# The order-level cohort carries real signal for its outcome and has NULLs
+# (orders without lines), so every stage of the tuned pipeline does work.
+COHORT_FEATURES = ["o_totalprice", "c_acctbal", "n_lines", "avg_qty", "avg_disc"]
 
 
-def _nested(spark, sf_dir):
-    k = (id(spark), spark.sparkContext.applicationId, sf_dir)
-    if k not in _NESTED:
-        _NESTED.clear()
-        _NESTED[k] = CV.nested_cv(FX.f_wide(spark, sf_dir), "vec_id", "y", FX.embed_cols(),
-                                  outer_k=OUTER_K, inner_k=INNER_K)
-    return _NESTED[k]
+def _cohort(spark, sf_dir):
+    return cut_lineage(FX.f_cohort(spark, sf_dir).select("o_orderkey", "outcome", *COHORT_FEATURES))
 
 
 @query("nested_cv", "M6 M8 M9 M13")
 def nested_cv(spark, sf_dir):
-    return _nested(spark, sf_dir).scores
+    return PL.nested(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, outer_k=OUTER_K, inner_k=INNER_K).scores
 
 
 @query("oof_probabilities", "M8b")
 def oof_probabilities(spark, sf_dir):
-    return _nested(spark, sf_dir).oof
+    """Held-out probabilities of one cell: with nothing to search, a fit a fold."""
+    return PL.nested(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, PL.cells(costs=(1.0,)), outer_k=OUTER_K).oof
 
 
-# The order-level cohort carries real signal for its outcome and has NULLs
-# (orders without lines), so the tuned pipeline's impute stage does work.
-COHORT_FEATURES = ["o_totalprice", "c_acctbal", "n_lines", "avg_qty", "avg_disc"]
+@query("oof_every_key_once", "M8b M13", sql=with_views(_KEYS_ONCE.format(key="o_orderkey", src="f_cohort"), "f_cohort"))
+def oof_every_key_once(spark, sf_dir):
+    """Rows, distinct keys and invalid probabilities of a three-fold run."""
+    found = PL.nested(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, PL.cells(costs=(1.0,)), outer_k=3)
+    return _facts(found.oof, "o_orderkey")
 
 
-def _folded_cohort(spark, sf_dir):
-    coh = FX.f_cohort(spark, sf_dir).select("o_orderkey", "outcome", *COHORT_FEATURES)
-    return cut_lineage(stratified_folds(coh, "o_orderkey", "outcome", k=INNER_K, seed=10, name="_f"))
+GRID = PL.cells(costs=(0.1, 1.0), alphas=(0.001, 0.01))
 
 
 @query("grid_search", "M7")
 def grid_search(spark, sf_dir):
-    _, table = CV.grid_search(_folded_cohort(spark, sf_dir), COHORT_FEATURES, "outcome", "_f", INNER_K)
-    return table
+    return PL.search(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, GRID, INNER_K)[1]
+
+
+@query("grid_search_best", "M7", sql=f"SELECT CAST({len(GRID)} AS BIGINT) AS n_cells, CAST({2 * INNER_K} AS INTEGER) AS n_scores, true AS best_is_greatest")
+def grid_search_best(spark, sf_dir):
+    """The cell returned has the table's greatest mean score over all repeated folds."""
+    best, table = PL.search(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, GRID, INNER_K, repeats=2)
+    chosen = (F.col("alpha") == best["alpha"]) & (F.col("l1_ratio") == best["l1_ratio"]) & (F.col("cost") == best["cost"])
+    return table.agg(F.count(F.lit(1)).alias("n_cells"), F.min("n").alias("n_scores"),
+                     (F.max(F.when(chosen, F.col("score"))) == F.max("score")).alias("best_is_greatest"))
 
 
 @query("selected_features", "M10 F10 W5")
 def selected_features(spark, sf_dir):
-    best, _ = CV.grid_search(_folded_cohort(spark, sf_dir), COHORT_FEATURES, "outcome", "_f", INNER_K)
-    return M.selected_features(best, COHORT_FEATURES)
+    coh = _cohort(spark, sf_dir)
+    best, _ = PL.search(coh, "o_orderkey", "outcome", COHORT_FEATURES, PL.cells(), INNER_K)
+    found = PL.selected(spark, PL.fit(coh, "o_orderkey", "outcome", COHORT_FEATURES, best))
+    return R.drop_zero(found, "value").orderBy(F.desc("value"), "feature")
+
+
+@query("selected_f_test", "M4 M6 M10", sql=with_views(
+    _kbest_sql_of_cohort(), "f_cohort"))
+def selected_f_test(spark, sf_dir):
+    """The F selector inside the pipeline: the three greatest F of the imputed, scaled features."""
+    coh = _cohort(spark, sf_dir).na.drop("any")
+    model = PL.fit(coh, "o_orderkey", "outcome", COHORT_FEATURES, PL.cells()[0], PL.Settings(selector="f_test", k=3))
+    return rounded(PL.selected(spark, model))
+
+
+@query("permutation_refit", "M11 A19", sql="SELECT CAST(5 AS BIGINT) AS n_null, true AS p_fits")
+def permutation_refit(spark, sf_dir):
+    """The refitting permutation test with a small n: as many null scores as asked for, p = (k + 1) / (n + 1)."""
+    out = CV.permutation_test_refit(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, true_score=0.9, n_permutations=5)
+    return out.select("n_null", (F.abs(F.col("p_value") - (F.col("n_exceed") + 1) / (F.col("n_null") + 1)) < 1e-12).alias("p_fits"))
 
 
 @query("model_roundtrip", "S7")
 def model_roundtrip(spark, sf_dir):
     w = FX.f_wide(spark, sf_dir)
-    model = M.classifier_pipeline(FX.embed_cols(), "y", reg=0.05).fit(w)
-    loaded = M.save_and_load(model, scratch_path(spark, "model"))
-    return M.positive_prob(loaded.transform(w)).select("vec_id", "y", "prob")
+    live = PL.fit(w, "vec_id", "y", FX.embed_cols(), PL.cells()[0])
+    return PL.Fitted.load(spark, live.save(spark, scratch_path(spark, "model"))).transform(w, ["vec_id", "y"]).drop("margin")
+
+
+@query("model_roundtrip_equal", "S7", sql=with_views(
+    "SELECT count(*) AS n, count(*) AS n_equal FROM f_cohort", "f_cohort"))
+def model_roundtrip_equal(spark, sf_dir):
+    """A saved and loaded pipeline gives every row the live one's probability."""
+    coh = _cohort(spark, sf_dir)
+    live = PL.fit(coh, "o_orderkey", "outcome", COHORT_FEATURES, PL.cells()[0])
+    loaded = PL.Fitted.load(spark, live.save(spark, scratch_path(spark, "model")))
+    both = live.transform(coh, ["o_orderkey"]).join(loaded.transform(coh, ["o_orderkey"]).select("o_orderkey", F.col("prob").alias("again")), "o_orderkey")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("prob") == F.col("again"), F.lit(1))).alias("n_equal"))

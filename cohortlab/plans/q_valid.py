@@ -109,11 +109,12 @@ def _summary_sql() -> str:
 def cv_score_summary(spark, sf_dir):
     s = FX.f_scored(spark, sf_dir)
     test = V.metrics_long(V.classification_metrics(s, "label", "prob", ["fold"]), ["fold"], "test")
-    # Training rows of outer fold k are all rows outside k: each row joins
-    # the nine folds it is not held out from.
+    # Training rows of outer fold k are all rows outside k: each distinct
+    # (label, score) of a fold, with its count, joins the other nine folds.
     others = F.filter(F.sequence(F.lit(0), F.lit(N_FOLDS - 1)), lambda f: f != F.col("fold"))
-    train_rows = s.select(F.explode(others).alias("fold"), "label", "prob")
-    train = V.metrics_long(V.classification_metrics(train_rows, "label", "prob", ["fold"]), ["fold"], "train")
+    counted = s.groupBy("fold", "label", "prob").agg(F.count(F.lit(1)).alias("n"))
+    train_rows = counted.select(F.explode(others).alias("fold"), "label", "prob", "n")
+    train = V.metrics_long(V.classification_metrics(train_rows, "label", "prob", ["fold"], weight="n"), ["fold"], "train")
     return rounded(V.cv_score_summary(test.unionByName(train)))
 
 

