@@ -36,23 +36,16 @@ def _grid(pipe, regs, l1s):
     return ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(l1s)).build(), lr
 
 
-def has_nulls(df: DataFrame, cols: list[str]) -> bool:
-    """One aggregate: does any of ``cols`` hold a NULL?"""
-    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_n{i}") for i, c in enumerate(cols)]).first()
-    return any(v for v in row)
-
-
 def grid_search(df: DataFrame, features: list[str], label: str, fold_col: str, k: int,
-                regs=DEFAULT_REGS, l1s=DEFAULT_L1, parallelism: int = 1, impute: bool | None = None):
+                regs=DEFAULT_REGS, l1s=DEFAULT_L1, parallelism: int = 1):
     """M7: grid search over (reg, l1_ratio) with given folds, refit on best.
-    The impute stage is left out only when the features hold no NULL (it
-    would be the identity). Returns ``(best PipelineModel, table (reg,
+    The impute stage is always there, so the model scores rows with gaps
+    whatever the training rows held. Returns ``(best PipelineModel, table (reg,
     l1_ratio, auc))``."""
-    impute = has_nulls(df, features) if impute is None else impute
-    pipe = classifier_pipeline(features, label, impute=impute)
+    pipe = classifier_pipeline(features, label)
     grid, lr = _grid(pipe, regs, l1s)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=k, foldCol=fold_col,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction"),
+                        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0),
                         parallelism=parallelism, seed=0)
     model = cv.fit(df)
     rows = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
@@ -70,14 +63,13 @@ def nested_cv(df: DataFrame, key: str, label: str, features: list[str], outer_k:
     # the shared checkpoint folder: every fit below reads them, none
     # re-derives the input or the folds.
     base = cut_lineage(df.select(key, label, *features))
-    impute = has_nulls(base, features)
     data = cut_lineage(stratified_folds(base, key, label, outer_k, seed, name="_outer"))
     tests, trains, params = [], [], []
     for f in range(outer_k):
         train = data.where(F.col("_outer") != f)
         test = data.where(F.col("_outer") == f)
         train = cut_lineage(stratified_folds(train, key, label, inner_k, seed + 1 + f, name="_inner"))
-        best, table = grid_search(train, features, label, "_inner", inner_k, regs, l1s, parallelism, impute)
+        best, table = grid_search(train, features, label, "_inner", inner_k, regs, l1s, parallelism)
         params.append(table.orderBy(F.desc("auc"), "reg", "l1_ratio").limit(1)
                       .withColumn("fold", F.lit(f)))
         tests.append(positive_prob(best.transform(test)).select(key, F.lit(f).alias("fold"), label, "prob"))

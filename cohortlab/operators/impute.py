@@ -1,58 +1,17 @@
-"""Chained-equations imputation (M1) as a Spark ML-style estimator loop.
+"""Chained-equations imputation (M1) of one frame: fitted and applied at once.
 
-Start from column means; then, for a few rounds, regress every column with
-gaps on its ``n_nearest`` most correlated columns (ridge
-``LinearRegression``, fitted on the rows where that column was observed)
-and replace only the originally missing cells by the clipped prediction.
-
-Each fit is a distributed job; the correlation matrix of the current frame
-(k x k, from one Gramian pass) picks the predictors deterministically. The
-lineage is cut after every round with a reliable ``checkpoint()`` into the
-shared checkpoint folder, so a lost executor recomputes one round at most.
+The estimator and its fitted form, for use inside folds, are
+``pipeline.fit_imputer`` and ``pipeline.Imputer``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.regression import LinearRegression
-from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..session import cut_lineage
-from .models import assemble, impute_mean
-
 
-def _corr(df: DataFrame, cols: list[str]) -> np.ndarray:
-    m = Correlation.corr(assemble(df.select(*cols), cols, "_v"), "_v").first()[0]
-    return np.nan_to_num(m.toArray())
+from .pipeline import fit_imputer
 
 
 def impute_chained(df: DataFrame, cols: list[str], rounds: int = 3, n_nearest: int = 10,
-                   min_value: float = -5000.0, max_value: float = 5000.0, reg: float = 1e-3,
-                   checkpoint: bool = True) -> DataFrame:
+                   min_value: float = -5000.0, max_value: float = 5000.0, reg: float = 1e-3) -> DataFrame:
     """M1: observed cells are never changed; missing cells are predicted."""
-    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols]).first()
-    gaps = sorted([c for c in cols if row[c] > 0], key=lambda c: (row[c], c))
-    if not gaps:
-        return df
-    masks = {c: f"_miss_{i}" for i, c in enumerate(gaps)}
-    cur = df.select("*", *[F.col(c).isNull().alias(m) for c, m in masks.items()])
-    cur = impute_mean(cur, cols)
-    for _ in range(rounds):
-        corr = _corr(cur, cols)
-        for t in gaps:
-            i = cols.index(t)
-            order = sorted((j for j in range(len(cols)) if j != i),
-                           key=lambda j: (-abs(corr[i, j]), cols[j]))
-            preds = [cols[j] for j in order[:n_nearest]]
-            data = assemble(cur, preds, "_f")
-            lr = LinearRegression(featuresCol="_f", labelCol=t, predictionCol="_pred",
-                                  regParam=reg, elasticNetParam=0.0, maxIter=100)
-            model = lr.fit(data.where(~F.col(masks[t])))
-            filled = F.least(F.greatest(F.col("_pred"), F.lit(min_value)), F.lit(max_value))
-            cur = model.transform(data).withColumn(
-                t, F.when(F.col(masks[t]), filled).otherwise(F.col(t))).drop("_f", "_pred")
-        if checkpoint:
-            cur = cut_lineage(cur)
-    return cur.drop(*masks.values())
+    return fit_imputer(df, cols, rounds, n_nearest, reg, min_value, max_value).transform(df)

@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -167,36 +167,6 @@ def slice_selected(df: DataFrame, vector_col: str, selected: list[int], out: str
     return VectorSlicer(inputCol=vector_col, outputCol=out, indices=selected).transform(df)
 
 
-def svm_balanced(df: DataFrame, key: str, features: list[str], label: str, reg: float = 0.01,
-                 platt_folds: int = 5, seed: int = 10) -> DataFrame:
-    """M5: linear SVM with balanced class weights and sigmoid (Platt)
-    calibrated probabilities. The sigmoid is fitted on out-of-fold margins
-    (``platt_folds`` stratified folds) and applied to the margins of the
-    SVM refitted on all rows. Returns ``(key, label, margin, prob)``."""
-    from .validate import stratified_folds
-    from ..session import cut_lineage
-    # Checkpoint the projected input first: the NULL filter then acts on a
-    # plain table instead of on many derived columns (keeps planning small).
-    base = cut_lineage(df.select(key, label, *features)).na.drop("any")
-    base = with_class_weights(base, label)
-    # Materialise the fold-tagged training table once (reliable checkpoint):
-    # the fold loop and the refit then read it instead of re-deriving it.
-    base = cut_lineage(stratified_folds(base, key, label, k=platt_folds, seed=seed, name="_pf"))
-    base = assemble(base, features)
-    svc = LinearSVC(featuresCol="features", labelCol=label, weightCol="weight", regParam=reg, maxIter=100)
-    oof = None
-    for f in range(platt_folds):
-        m = svc.fit(base.where(F.col("_pf") != f))
-        part = m.transform(base.where(F.col("_pf") == f)) \
-            .select(key, label, vector_to_array("rawPrediction")[1].alias("margin"))
-        oof = part if oof is None else oof.unionByName(part)
-    platt = LogisticRegression(featuresCol="m", labelCol=label, regParam=0.0).fit(assemble(oof, ["margin"], "m"))
-    final = svc.fit(base)
-    margins = final.transform(base).select(key, label, vector_to_array("rawPrediction")[1].alias("margin"))
-    scored = platt.transform(assemble(margins, ["margin"], "m"))
-    return scored.select(key, label, "margin", vector_to_array("probability")[1].alias("prob"))
-
-
 def classifier_pipeline(features: list[str], label: str, reg: float = 0.01, l1_ratio: float = 0.0,
                         impute: bool = True) -> Pipeline:
     """M6: impute -> assemble -> scale -> elastic-net logistic classifier.

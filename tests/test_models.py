@@ -59,7 +59,7 @@ def test_chained_imputation_keeps_observed(spark):
         c = float(-v + rng.normal(scale=0.1))
         rows.append((i, a if i % 7 else None, b if i % 5 else None, c))
     df = spark.createDataFrame(rows, "k long, a double, b double, c double")
-    out = impute_chained(df, ["a", "b", "c"], rounds=2, checkpoint=True).toPandas().set_index("k").sort_index()
+    out = impute_chained(df, ["a", "b", "c"], rounds=2).toPandas().set_index("k").sort_index()
     src = df.toPandas().set_index("k").sort_index()
     obs = src.notna()
     assert (out[obs] == src[obs]).sum().sum() == obs.sum().sum()
