@@ -10,7 +10,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.session import cut_lineage, ensure_checkpoint_dir
+from cohortlab.session import cut_lineage, ensure_checkpoint_dir, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,21 @@ def stage(df: DataFrame) -> DataFrame:
     return cut_lineage(df, "table")
 
 
+class Stage:
+    """A frame written to the shared checkpoint folder, to be dropped by its owner when nothing reads it any more."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = scratch_path(self.spark, "stage")
+        df.write.parquet(self.path)
+        self.df = self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes, one object a row."""
     return column.cast(pa.binary()).to_pylist()

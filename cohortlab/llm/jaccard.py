@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, kept, slices, stage
+from .common import Stage, as_bytes, kept, slices, stage
 from .components import components
 
 KEPT_WORDS = 300_000
 #: Members of a group that one tile holds.
 TILE = 512
+#: Words of a folded sketch.
+FOLDED = 32
 #: Growth of the size bands, and spare blocks as a share of the needed ones.
 RATIO, SPARE = 1.6, 0.15
 CONTEXT_BITS = 8
@@ -236,6 +238,22 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where((100 + percent) * both >= percent * total).select("a", "b"))
 
 
+def close_pairs(pairs: DataFrame, words: DataFrame, bands: Bands) -> DataFrame:
+    """The pairs (a, b) that their folded sketches allow to link, before any
+    set is dealt out for them: lossless, as sketches never overstate."""
+    left = words.select(F.col("id").alias("a"), "band", F.col("n").alias("na"), F.col("sketch").alias("wa"))
+    right = words.select(F.col("id").alias("b"), "band", F.col("n").alias("nb"), F.col("sketch").alias("wb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [np.bitwise_count(np.frombuffer(x, np.uint64) ^ np.frombuffer(y, np.uint64)).sum(dtype=np.int64) <= bands.allowed(m + n)
+                    for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sized = pairs.join(left, "a").join(right, ["b", "band"]).where(100 * F.least("na", "nb") >= bands.percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a long, b long").distinct()
+
+
 def tiled(members: DataFrame) -> DataFrame:
     """Rows (key, ti, tj, ...) of ``members(key, id, ...)``: each group in tiles
     of about ``TILE`` members, each member in every pair of tiles with its own."""
@@ -295,7 +313,10 @@ def near(rows: DataFrame, bands: Bands) -> DataFrame:
 
 
 def sketches(sets: DataFrame, bands: Bands) -> DataFrame:
-    """(id, band, sketch, n): the parity words of every band that a set takes part in."""
+    """(id, band, sketch, n): the parity words of every band that a set takes
+    part in, folded by XOR to ``FOLDED`` words at most. Folding keeps the bound:
+    a differing shingle still turns one bit. Groups and pairs then carry a few
+    hundred bytes for a set of any size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,13 +324,19 @@ def sketches(sets: DataFrame, bands: Bands) -> DataFrame:
                 out = []
                 for i, s in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     s = s.values.to_numpy().view(np.uint64)
-                    out += [(i, c, sketch(s, blocks)[0].tobytes(), len(s)) for c, blocks, _ in bands.of(len(s))]
+                    out += [(i, c, folded(sketch(s, blocks)[0]).tobytes(), len(s)) for c, blocks, _ in bands.of(len(s))]
                 columns = list(zip(*out, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["id", "band", "sketch", "n"])
 
     return sets.select("id", "s").mapInArrow(run, "id long, band long, sketch binary, n long")
 
 
+def folded(words: np.ndarray) -> np.ndarray:
+    if len(words) <= FOLDED:
+        return words
+    return np.bitwise_xor.reduce(np.pad(words, (0, -len(words) % FOLDED)).reshape(-1, FOLDED), axis=0)
+
+
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
     """(id, s): the sorted hashes of the documents (id, text)."""
 
@@ -342,16 +369,21 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     """
     bands = Bands(percent)
     docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = stage(signatures(docs, size, bands))
+    full = Stage(signatures(docs, size, bands))
+    rows = stage(full.df.select("doc_id", "n", "fp"))
     classes = stage(rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    keyed = rows.where(F.size("keys") > 0).select("fp", "doc_id", "keys").join(classes.select("fp", F.col("rep").alias("doc_id")), ["fp", "doc_id"])
+    # Copies are few beside all documents, so it is their ids that are left out of the keys.
+    copies = rows.join(classes, "fp").where("doc_id <> rep").select("doc_id", "fp").distinct()
+    keyed = full.df.where(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).join(stage(copies), ["doc_id", "fp"], "left_anti")
     members = stage(shared(keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))))
+    full.drop()
 
     wanted = members.select("id").distinct()
     texts = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id"), F.xxhash64("text"), F.length("text")).agg(F.first("text").alias("text"))
     sets = stage(shingle_sets(texts.select("id", "text"), size))
     stars = members.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    links = stage(verified(stars, sets, percent))
+    words = stage(sketches(sets, bands))
+    links = stage(verified(close_pairs(stars, words, bands), sets, percent))
     first = stage(components(links))
 
     placed = stage(members.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left")
@@ -359,7 +391,6 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
     open_ = placed.join(mixed, "key").withColumn("band", F.col("key").bitwiseAND(F.lit((1 << CONTEXT_BITS) - 1)))
     open_ = stage(open_)
-    words = sketches(sets.join(open_.select("id").distinct(), "id", "left_semi"), bands)
     candidates = near(tiled(open_.join(words, ["id", "band"])), bands)
     more = stage(verified(candidates, sets, percent))
 

@@ -83,6 +83,7 @@ def test_linked_sets_share_a_key(n, edits, seed, percent):
     for c, blocks, _ in bands.of(len(a)):
         pa, pb = jaccard.sketch(a, blocks)[0], jaccard.sketch(b, blocks)[0]
         assert np.bitwise_count(pa ^ pb).sum() <= apart
+        assert np.bitwise_count(jaccard.folded(pa) ^ jaccard.folded(pb)).sum() <= apart
     if apart and 100 * both >= percent * (len(a) + len(b) - both):
         assert set(jaccard.block_keys(a, bands)) & set(jaccard.block_keys(b, bands))
 
