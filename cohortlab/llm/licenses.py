@@ -87,7 +87,7 @@ def with_bag(df: DataFrame) -> DataFrame:
 
 
 def templates_sql(spark: SparkSession, templates: tuple[tuple[str, str], ...], percent: int) -> tuple[str, list[tuple[int, int]]]:
-    """The templates as a constant array of (license, n, low, high, g, c), and their size bounds.
+    """The templates as a constant array of (id, license, n, low, high, g, c), and their size bounds.
 
     ``g`` are a template's distinct bigrams and ``c`` how often each occurs.
     The templates are a parameter, a list of a few short texts.
@@ -100,33 +100,83 @@ def templates_sql(spark: SparkSession, templates: tuple[tuple[str, str], ...], p
         sizes.append((low, high))
         distinct = sorted(set(bag))
         name = license_.replace("'", "''")
-        entries.append(f"named_struct('license', '{name}', 'n', {len(bag)}, 'low', {low}, 'high', {high}, "
+        entries.append(f"named_struct('id', {len(entries)}, 'license', '{name}', 'n', {len(bag)}, 'low', {low}, 'high', {high}, "
                        f"'g', array({', '.join(f'bigint({g!s})' if g != -2**63 else 'bigint(-9223372036854775807 - 1)' for g in distinct)}), "
                        f"'c', array({', '.join(str(bag.count(g)) for g in distinct)}))")
-    none = "cast(array() as array<struct<license:string,n:int,low:int,high:int,g:array<bigint>,c:array<int>>>)"
+    none = "cast(array() as array<struct<id:int,license:string,n:int,low:int,high:int,g:array<bigint>,c:array<int>>>)"
     return f"array({', '.join(entries)})" if entries else none, sizes
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, unit, text) of the parts of each text that are compared.
+    """(doc_id, kind, unit, text, norm) of the parts of each text that are compared.
 
     ``line``: each line with a word. ``paragraph``: each run of two or more
     such lines between blank lines, if there are at least two runs; ``whole``:
     all lines of a text that has two or more. Numbers count from 0, also over
-    lines and paragraphs without words.
+    lines and paragraphs without words. ``norm``, of the whole only, still has
+    the line feeds.
     """
     # A column of its own, or each use below would normalise the text again.
     norm = docs.where("text is not null").select("doc_id", normalised(F.col("text")).alias("norm"))
     norm = norm.withColumn("blocks", F.split("norm", "\n ?(?:\n ?)+"))
-    part = lambda kind, i, x: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("unit"), F.trim(x).alias("text"))
+    part = lambda kind, i, x, norm=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("unit"), F.trim(x).alias("text"), norm.alias("norm"))
     joined = lambda x: F.regexp_replace(x, " ?\n[ \n]*", " ")
     lines = F.transform(F.split("norm", "\n"), lambda x, i: part("line", i, x))
     blocks = F.transform(F.filter(F.transform("blocks", lambda x, i: F.struct(i.alias("i"), F.trim(x, F.lit(" \n")).alias("x"))), lambda b: b["x"].contains("\n")),
                          lambda b: part("paragraph", b["i"], joined(b["x"])))
-    none = F.array().cast("array<struct<kind:string,unit:int,text:string>>")
-    whole = F.when(F.trim("norm", F.lit(" \n")).contains("\n"), F.array(part("whole", F.lit(0), joined(F.trim("norm", F.lit(" \n")))))).otherwise(none)
+    none = F.array().cast("array<struct<kind:string,unit:int,text:string,norm:string>>")
+    whole = F.when(F.trim("norm", F.lit(" \n")).contains("\n"), F.array(part("whole", F.lit(0), joined(F.trim("norm", F.lit(" \n"))), F.col("norm")))).otherwise(none)
     some = F.when(F.size("blocks") > 1, blocks).otherwise(none)
-    return norm.select("doc_id", F.explode(F.concat(lines, some, whole)).alias("x")).where("x.text <> ''").select("doc_id", "x.kind", "x.unit", "x.text")
+    return norm.select("doc_id", F.explode(F.concat(lines, some, whole)).alias("x")).where("x.text <> ''").select("doc_id", "x.kind", "x.unit", "x.text", "x.norm")
+
+
+def best_sql(templates: str, n: str, bag: str, percent: int) -> str:
+    """The best of ``templates`` for a bag of ``n`` bigrams: an array of one or no (less, license, id)."""
+    # Each distinct bigram of a template that a part lacks is lost to it at least once.
+    possible = f"({n} between t.low and t.high) and 200 * (t.n - size(t.g) + size(array_intersect(t.g, {bag}))) >= {percent} * ({n} + t.n)"
+    shared = f"aggregate(zip_with(t.g, t.c, (g, c) -> least(c, size(filter({bag}, b -> b = g)))), 0, (s, k) -> s + k)"
+    found = f"transform(filter({templates}, t -> {possible}), t -> named_struct('both', {shared}, 'n', t.n, 'license', t.license, 'id', t.id))"
+    return (f"slice(array_sort(transform(filter({found}, f -> 200 * f.both >= {percent} * ({n} + f.n)), "
+            f"f -> named_struct('less', -2 * f.both / ({n} + f.n), 'license', f.license, 'id', f.id))), 1, 1)")
+
+
+def let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def runs_sql(templates: str, percent: int) -> str:
+    """The runs of two or more consecutive lines of ``norm`` that are notices, as an array of (kind, unit, less, license).
+
+    ``bag`` is the whole's.
+
+    Only templates of whose bigrams the text has enough are looked for, from
+    each line on as far as their sizes allow. Lines, paragraphs and the whole
+    have rows of their own (``free`` is 0): here they only stand against worse
+    runs of their template that share a line with them, as better runs do.
+    """
+    kind = "array<struct<less:double,free:int,license:string,id:int,i:int,j:int,unit:int>>"
+    none = f"cast(array() as {kind})"
+    # As many bigrams as any bag that reaches the least Dice must share with the template.
+    enough = lambda bag: f"{200 - percent} * (t.n - size(t.g) + size(array_intersect(t.g, {bag}))) >= {percent} * t.n"
+    ends = ("aggregate(slice(lines, i + 1, top + 1), named_struct('n', 0, 'ends', cast(array() as array<int>)), (s, x) -> IF(s.n + x.n > top + 1, "
+            "named_struct('n', top + 2, 'ends', s.ends), named_struct('n', s.n + x.n, 'ends', array_append(s.ends, s.n + x.n))), s -> s.ends)")
+    window = "split(array_join(transform(slice(lines, i + 1, size(ends)), x -> x.text), ' '), ' ')"
+    bigrams = "IF(size(words) > 1, transform(sequence(0, size(words) - 2), p -> xxhash64(words[p], words[p + 1])), cast(array() as array<bigint>))"
+    alone = ("j = 0 or (i = 0 and i + j = size(lines) - 1) or (lines[i + j].unit - lines[i].unit = j and "
+             "coalesce(get(lines, i - 1).unit < lines[i].unit - 1, true) and coalesce(get(lines, i + j + 1).unit > lines[i + j].unit + 1, true))")
+    one = (f"transform({let('slice(near, 1, e - 1)', 'part', best_sql('usable', '(e - 1)', 'part', percent))}, x -> named_struct('less', x.less, "
+           f"'free', IF({alone}, 0, 1), 'license', x.license, 'id', x.id, 'i', i, 'j', i + j, 'unit', lines[i].unit))")
+    at_start = let(f"filter(found, t -> {enough('near')})", "usable", f"IF(size(usable) = 0, {none}, flatten(transform(ends, (e, j) -> {one})))")
+    starts = let(ends, "ends", f"IF(size(ends) = 0, {none}, {let(window, 'words', let(bigrams, 'near', at_start))})")
+    listed = let("array_max(transform(found, t -> t.high))", "top", f"flatten(transform(sequence(0, size(lines) - 1), i -> {starts}))")
+    picked = (f"aggregate(array_sort({listed}), {none}, (kept, x) -> IF(x.free = 1 and exists(kept, y -> y.id = x.id and y.i <= x.j and x.i <= y.j), kept, array_append(kept, x)), "
+              "kept -> transform(filter(kept, x -> x.free = 1), x -> named_struct('kind', 'run', 'unit', x.unit, 'less', x.less, 'license', x.license)))")
+    picked = let("transform(filter(transform(split(norm, '\\n'), (x, i) -> named_struct('unit', i, 'text', trim(x))), x -> x.text <> ''), "
+                 "x -> named_struct('unit', x.unit, 'text', x.text, 'n', size(split(x.text, ' '))))", "lines", picked)
+    no_rows = "cast(array() as array<struct<kind:string,unit:int,less:double,license:string>>)"
+    seen = f"array_intersect(bag, flatten(transform({templates}, t -> t.g)))"
+    return let(seen, "seen", let(f"filter({templates}, t -> {enough('seen')})", "found", f"IF(size(found) = 0, {no_rows}, {picked})"))
 
 
 def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,10 +184,16 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     ``units``, that is a licence notice: its best template (ties: first by
     name) at a Dice coefficient of percent/100 or more.
 
+    A notice of several paragraphs, or between other lines, is a ``run``: two
+    or more consecutive lines, blank ones between them left out, whose unit
+    is the first one's. Runs of one template that share lines are one notice,
+    and the best is given (ties: the first, then the shortest), unless a
+    line, paragraph or whole that shares lines with it is as good.
+
     Null and empty texts have no parts and give no rows; null ids stay null;
     repeated rows give their matches again; other columns are not read. Each
     part is judged alone, in one pass and without a shuffle, so copies, hot
-    sources and long texts only make more parts.
+    sources and long texts only make more parts; runs are judged text by text.
     """
     spark = docs.sparkSession
     constant, sizes = templates_sql(spark, templates, percent)
@@ -146,15 +202,14 @@ def licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES
     fits = F.lit(False)
     for low, high in merged(sizes):
         fits = fits | F.col("n").between(low, high)
-    bags = with_bag(parts.withColumn("n", n).where(fits))
-    # Each distinct bigram of a template that a part lacks is lost to it at least once.
-    possible = f"(n between t.low and t.high) and 200 * (t.n - size(t.g) + size(array_intersect(t.g, bag))) >= {percent} * (n + t.n)"
-    shared = "aggregate(zip_with(t.g, t.c, (g, c) -> least(c, size(filter(bag, b -> b = g)))), 0, (s, k) -> s + k)"
-    found = f"transform(filter({constant}, t -> {possible}), t -> named_struct('both', {shared}, 'n', t.n, 'license', t.license))"
-    best = (f"slice(array_sort(transform(filter({found}, f -> 200 * f.both >= {percent} * (n + f.n)), "
-            "f -> named_struct('less', -2 * f.both / (n + f.n), 'license', f.license))), 1, 1)")
+    least = min((low for low, _ in sizes), default=0)
+    bags = with_bag(parts.withColumn("n", n).withColumn("fits", fits).where(F.col("fits") | ((F.col("kind") == "whole") & (F.col("n") >= least))))
+    none = "cast(array() as array<struct<kind:string,unit:int,less:double,license:string>>)"
+    alone = f"IF(fits, transform({best_sql(constant, 'n', 'bag', percent)}, x -> named_struct('kind', kind, 'unit', unit, 'less', x.less, 'license', x.license)), {none})"
+    runs = f"IF(kind = 'whole', {runs_sql(constant, percent)}, {none})"
     # As a generator the match is worked out once; as a column Catalyst would move its null test down and repeat it all.
-    return bags.select("doc_id", "kind", "unit", F.explode(F.expr(best)).alias("x")).select("doc_id", "kind", "unit", "x.license", (-F.col("x.less")).alias("dice"))
+    found = bags.select("doc_id", F.explode(F.expr(f"concat({alone}, {runs})")).alias("x"))
+    return found.select("doc_id", "x.kind", "x.unit", "x.license", (-F.col("x.less")).alias("dice"))
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -169,7 +224,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def oracle_sql(templates: tuple[tuple[str, str], ...] = TEMPLATES, percent: int = 80) -> str:
-    """DuckDB SQL of ``licenses`` over the view documents."""
+    """DuckDB SQL of the lines, paragraphs and wholes of ``licenses`` over the view documents; it looks for no runs."""
     rows = ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in t)) for t in templates)
     norm = lambda x: f"regexp_replace(translate({x}, '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g')"
     flat = lambda x: f"trim(regexp_replace({x}, '[ \\n]+', ' ', 'g'))"

@@ -257,6 +257,64 @@ def test_licenses(spark):
     assert licenses.licenses(spark.createDataFrame(rows, DOCS), templates=()).collect() == []
 
 
+_APACHE = """Copyright 2020 Some Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_notices_of_several_paragraphs(spark):
+    code = "\n".join(f"value{i} = other{i} of the table and in the list{i}" for i in range(80))
+    comment = lambda mark, x: "\n".join(mark + " " + y if y else mark for y in x.split("\n"))
+    long_line = "filler " * 3000
+    rows = [(1, comment("#", _APACHE) + "\n\n" + code), (2, "/*\n" + comment(" *", _GPL) + "\n */\n" + code), (3, "# Title\n" + code + "\n\n## License\n\n" + _MIT + "\n\n" + code),
+            (4, code + "\n" + _GPL + "\n" + long_line + "\n" + code + "\n\n" + _MIT + "\n" + _GPL), (5, code), (6, _GPL.replace("any later", "any other later") + "\n\n" + _GPL + "\n" + code)]
+    got = defaultdict(list)
+    for r in licenses.licenses(spark.createDataFrame(rows + rows[2:3], DOCS)).collect():
+        if r["kind"] == "run":
+            got[r["doc_id"]].append((r["unit"], r["license"], round(r["dice"], 3)))
+    assert got[1] == [(2, "apache-2.0", 1.0)] and got[2] == [(1, "gpl-3.0", 1.0)] and got[3] == [(84, "mit", 1.0)] * 2
+    assert sorted(got[4]) == [(80, "gpl-3.0", 1.0), (171, "mit", 1.0), (188, "gpl-3.0", 1.0)] and 5 not in got
+    assert [x[:2] for x in sorted(got[6])] == [(0, "gpl-3.0"), (10, "gpl-3.0")] and 0.95 < sorted(got[6])[0][2] < 1
+
+
 def test_size_bounds_are_exact():
     for percent in (60, 80, 95):
         for b in range(1, 120):
