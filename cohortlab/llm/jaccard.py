@@ -373,8 +373,8 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     rows = stage(full.df.select("doc_id", "n", "fp"))
     classes = stage(rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
     # Copies are few beside all documents, so it is their ids that are left out of the keys.
-    copies = rows.join(classes, "fp").where("doc_id <> rep").select("doc_id", "fp").distinct()
-    keyed = full.df.where(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).join(stage(copies), ["doc_id", "fp"], "left_anti")
+    copies = stage(rows.join(classes, "fp").where("doc_id <> rep").select("doc_id", "fp").distinct())
+    keyed = full.df.where(F.col("doc_id").isNotNull() & (F.size("keys") > 0)).join(copies, ["doc_id", "fp"], "left_anti")
     members = stage(shared(keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))))
     full.drop()
 
@@ -394,7 +394,10 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "do
     candidates = near(tiled(open_.join(words, ["id", "band"])), bands)
     more = stage(verified(candidates, sets, percent))
 
-    reached = stage(components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    # An id with several sets is one document, also where a copy's row was left out of the keys: it ties its classes.
+    again = rows.where("fp is not null and doc_id is not null").select("doc_id", "fp").distinct().groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("a"))
+    of_several = copies.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).join(again, "a", "left_semi")
+    reached = stage(components(first.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(of_several)))
     named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return (rows.select("doc_id", "n", "fp").join(named, "fp", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")))

@@ -64,6 +64,15 @@ def test_same_id_twice(spark):
     assert [c for _, _, c in got] == [3, 3, 3, 3]
 
 
+def test_same_id_ties_its_classes(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    found = jaccard.similar(spark.createDataFrame([(5, a), (5, b), (3, a), (9, b), (8, c), (1, c), (8, a + " more"), (7, "x y z"), (7, "x y z")], DOCS), 3, 80).collect()
+    got = {r["doc_id"]: r["component_id"] for r in found}
+    assert len(found) == 9 and got == {5: 1, 3: 1, 9: 1, 8: 1, 1: 1, 7: 7}
+    apart = jaccard.similar(spark.createDataFrame([(5, a), (5, b), (3, a), (4, b), (9, b)], DOCS), 3, 80).collect()
+    assert {r["component_id"] for r in apart} == {3}
+
+
 def test_extreme_ids(spark):
     text = " ".join(f"t{i}" for i in range(80))
     rows = [(2**62 + 1, text), (2**62, text + " x"), (-2**62 - 3, text + " y")]
