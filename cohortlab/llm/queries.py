@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lbl, licenses, packing, quality, secretscan, tokencount, urlfilter, warc
+from . import decontam, divergence, jaccard, langid, lbl, licenses, packing, quality, secretscan, tokencount, urlfilter, variants, warc
 from .common import table
 
 
@@ -72,10 +72,18 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "\n"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
 def op12_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.scores(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, url, html, regexp_extract(url, '^[^:/?#]*://([^#]*)', 1) AS rest, regexp_matches(url, '^[^:/?#]*://') AS good FROM pages),
 h AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_replace(regexp_extract(rest, '^([^/?]*)', 1), '^.*@', ''),
@@ -101,8 +109,9 @@ SELECT capture_id, url_key, ts, r.id AS response_id, outcome,
 FROM o
 """
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_license_scans, op4_url_filters, op5_jaccard_join, op6_secret_scans, op7_quality_rules, op8_benchmark_decontamination, op9_token_counts, op10_warc_revisits, op12_lm_scores)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language_id, op3_license_scans, op4_url_filters, op5_jaccard_join, op6_secret_scans, op7_quality_rules, op8_benchmark_decontamination, op9_token_counts, op10_warc_revisits, op11_source_divergence, op12_lm_scores, op13_spelling_variants)}
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scans": licenses.oracle_sql(),
     "op10_warc_revisits": _WARC_SQL,
+    "op11_source_divergence": divergence.ORACLE_SQL,
 }
