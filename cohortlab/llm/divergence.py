@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -344,15 +345,14 @@ def compared(rows: DataFrame, top: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         lang = table.column("lang")[0].as_py()
-        kind = table.column("kind").combine_chunks().to_numpy(zero_copy_only=False)
-        col = lambda c, k: np.array(table.column(c).filter(pa.array(kind == k)).to_pylist())
-        names = np.array(table.column("source").filter(pa.array(kind == 0)).to_pylist(), dtype=object)
-        totals, terms, lang_total = col("total", 0).astype(np.int64), int(col("terms", 0)[0]), int(col("lang_total", 0)[0])
-        key_row = int(np.flatnonzero(kind == 2)[0])
-        sizes = np.frombuffer(table.column("sizes")[key_row].as_py(), np.int32).astype(np.int64)
-        blob, starts, n = table.column("keys")[key_row].as_py(), np.cumsum(sizes) - sizes, len(sizes)
-        place = {name: i for i, name in enumerate(names)}
-        source, slot, count = np.array([place[s] for s in col("source", 1)], np.int64), col("slot", 1).astype(np.int64), col("count", 1).astype(np.int64)
+        groups, found, keys = (table.filter(pc.equal(table.column("kind"), k)) for k in range(3))
+        numbers = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+        names = np.array(groups.column("source").to_pylist(), dtype=object)
+        totals, terms, lang_total = numbers(groups, "total"), groups.column("terms")[0].as_py(), groups.column("lang_total")[0].as_py()
+        sizes = np.frombuffer(keys.column("sizes")[0].as_py(), np.int32).astype(np.int64)
+        blob, starts, n = keys.column("keys")[0].as_py(), np.cumsum(sizes) - sizes, len(sizes)
+        source = pc.index_in(found.column("source"), value_set=groups.column("source").combine_chunks()).to_numpy().astype(np.int64)
+        slot, count = numbers(found, "slot"), numbers(found, "count")
         lang_counts = np.zeros(n, np.int64)
         np.add.at(lang_counts, slot, count)
         q = shares(lang_counts, np.int64(lang_total), terms)
@@ -385,11 +385,11 @@ def compared(rows: DataFrame, top: int) -> DataFrame:
             for other_at in range(0, len(names), BLOCK):
                 other = np.arange(other_at, min(other_at + BLOCK, len(names)))
                 r = p if other_at == at else dense(other)
-                some = has if other_at == at else r != base[other][:, None]
+                any_ = (has if other_at == at else r != base[other][:, None]).any(axis=0)
                 for i, s in enumerate(block):
-                    use = np.flatnonzero(has[i] | some.any(axis=0))
+                    use = np.flatnonzero(has[i] | any_)
                     none = _distance(base[s], base[other]) * (n - len(use))
-                    value = none + _distance(p[i][use], r[:, use]).sum(axis=1)
+                    value = none + (_distance(p[i], r) if len(use) == n else _distance(p[i][use], r[:, use])).sum(axis=1)
                     keep = other != s
                     out["source"] += [names[s]] * int(keep.sum())
                     out["part"] += ["pair"] * int(keep.sum())

@@ -37,9 +37,12 @@ class Limits:
     """Parameters of the rules.
 
     ``bands``: whole texts by length; shorter ones than the first band get no
-    verdict from the ratio. ``chunk_low``/``chunk_high``: band of each full
-    chunk of ``chunk_bytes``; a text goes when more than ``chunk_share`` of its
-    full chunks lie outside. ``min_words``, ``repeat_percent``: the base rules.
+    verdict from the ratio. ``chunk_low``/``chunk_high``: band of each chunk of
+    ``chunk_bytes``; what is left after the full chunks is judged by a last
+    chunk of that size that ends where the text ends. A text goes when more
+    than ``chunk_share`` of its chunks lie outside. A text shorter than a chunk
+    is one chunk by itself, judged by its length's band alone. ``min_words``,
+    ``repeat_percent``: the base rules.
     """
 
     bands: tuple[Band, ...] = (Band(200, 0.35, 0.95), Band(600, 0.28, 0.85), Band(2400, 0.22, 0.72))
@@ -76,15 +79,16 @@ def repeat_words(words: list[bytes]) -> int:
 
 
 def ratios(text: bytes, limits: Limits, zip_: zstandard.ZstdCompressor) -> tuple[float | None, int, int]:
-    """Ratio of the whole text (None if empty), its full chunks, and those outside the chunk band."""
+    """Ratio of the whole text (None if empty), its chunks, and those outside the chunk band."""
     if not text:
         return None, 0, 0
-    full = len(text) // limits.chunk_bytes
-    bad = 0
-    for k in range(full):
-        part = text[k * limits.chunk_bytes:(k + 1) * limits.chunk_bytes]
-        bad += not limits.chunk_low <= len(zip_.compress(part)) / len(part) <= limits.chunk_high
-    return len(zip_.compress(text)) / len(text), full, bad
+    size, bad = limits.chunk_bytes, 0
+    starts = [*range(0, len(text) - size + 1, size)]
+    if starts and len(text) % size:
+        starts.append(len(text) - size)
+    for at in starts:
+        bad += not limits.chunk_low <= len(zip_.compress(text[at:at + size])) / size <= limits.chunk_high
+    return len(zip_.compress(text)) / len(text), len(starts), bad
 
 
 def judge(text: bytes | None, limits: Limits, zip_: zstandard.ZstdCompressor) -> tuple:

@@ -30,12 +30,15 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 
 # Added kinds, with the prefixes their issuers document.
 CRC_TOKEN = re.compile(rb"(?:gh[pousr]_|npm_)([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-PEM = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END \1PRIVATE KEY-----")
+PEM_BEGIN = re.compile(rb"-----BEGIN ([A-Z ]*)PRIVATE KEY-----")
+PEM_END = re.compile(rb"-----END ([A-Z ]*)PRIVATE KEY-----")
+NOT_IN_PEM = re.compile(rb"[^A-Za-z0-9+/=\s:,-]")
 KEYWORDS = {
     "assign": ("password", "passwd", "secret", "token", "apikey", "api_key"),
     "access": ("akia",),
     "crc_token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"),
     "pem": ("-----begin ",),
+    "pem_end": ("-----end ",),
 }
 KINDS = (*BASE, "crc_token", "pem")
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -65,10 +68,15 @@ def checksum_ok(body: bytes, tail: bytes) -> bool:
 def byte_spans(text: bytes, words: ahocorasick.Automaton) -> list[Span]:
     """All spans in bytes. Matches of a kind are leftmost and do not overlap:
     a hit inside an earlier match of its kind is skipped, also where that
-    match was then dropped as too short or for its checksum."""
+    match was then dropped as too short or for its checksum. A key block runs
+    from the last header of its name to the next end mark of that name, with
+    nothing between them but what a block may hold; every header is tried once
+    and bytes are looked through once, so the scan is linear in the text."""
     spans: list[Span] = [("hex", *m.span()) for m in HEX.finditer(text)]
     hits = sorted((end + 1 - n, kind) for end, (kind, n) in words.iter(text.lower().decode("latin-1")))
-    done = dict.fromkeys(KINDS, 0)
+    done = dict.fromkeys(KEYWORDS, 0)
+    headers: dict[bytes, tuple[int, int]] = {}  # by name: where the last header begins, and the next byte no block may hold
+    bad = -1
     for start, kind in hits:
         if start < done[kind]:
             continue
@@ -86,9 +94,17 @@ def byte_spans(text: bytes, words: ahocorasick.Automaton) -> list[Span]:
             if (m := CRC_TOKEN.match(text, start)) and checksum_ok(m[1], m[2]):
                 done[kind] = m.end()
                 spans.append((kind, *m.span()))
-        elif m := PEM.match(text, start):
-            done[kind] = m.end()
-            spans.append((kind, *m.span()))
+        elif kind == "pem":
+            if m := PEM_BEGIN.match(text, start):
+                if bad < m.end():
+                    bad = stop.start() if (stop := NOT_IN_PEM.search(text, m.end())) else len(text)
+                headers[m[1]] = start, bad
+        elif (m := PEM_END.match(text, start)) and m[1] in headers:
+            begin, stop_at = headers.pop(m[1])
+            if stop_at >= start:
+                done["pem"] = done["pem_end"] = m.end()
+                headers.clear()
+                spans.append(("pem", begin, m.end()))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,14 +26,12 @@ SEEDS: tuple[str, ...] = (
     "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx",
 )
 
-#: Longest word of the unigram model, and longest run that is split in one piece.
-MAX_WORD, MAX_RUN = 20, 255
-#: Features are hashed into so many weights (a table of fixed size for the tasks).
-BUCKETS = 1 << 18
+#: Letters by which longer words of the model are looked up.
+PREFIX = 20
 #: Lidstone's constant of naive Bayes.
 ALPHA = 0.1
-#: Copies of the host table that a hot host's pages are dealt over.
-SALTS = 8
+#: A host or token is hot if it has more than this share of all; so there are at most ``HOT`` hot ones, which are broadcast.
+HOT = 1000
 
 
 def host_of(url: Column) -> Column:
@@ -68,69 +65,80 @@ def word_counts(pages: DataFrame, html_col: str, seeds: tuple[str, ...]) -> Data
     Seed words count at least once, or they could not be found in a host.
     """
     text = F.lower(F.regexp_replace(F.regexp_replace(pages[html_col].cast("string"), r"<[^>]*>", " "), r"[^\p{L}]+", " "))
-    words = pages.select(F.explode(F.split(text, " ")).alias("word")).where(F.length("word").between(2, MAX_WORD))
+    words = pages.select(F.explode(F.split(text, " ")).alias("word")).where(F.length("word") >= 2)
     given = pages.sparkSession.createDataFrame([(s,) for s in seeds] or [("-",)], "word string").where("word <> '-'")
     return words.unionByName(given).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def most_probable(run: str, found: list[tuple[int, str, int]], total: int) -> list[str]:
+    """Viterbi: the most probable words of a run, of ``found(place, word, n)``.
+
+    A letter in no word costs a tenth of a word seen once; neighbours of that
+    kind come out as one token. Of equally probable splits the one is taken
+    whose last word is the shortest (a stray letter before any word), and so on
+    towards the front.
+    """
+    unknown, ending = math.log(0.1 / total), {}
+    for at, word, n in found:
+        if run.startswith(word, at):
+            ending.setdefault(at + len(word), []).append((len(word), math.log(n / total)))
+    score, back = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        s, size = score[end - 1] + unknown, -1
+        for n, p in sorted(ending.get(end, ())):
+            if score[end - n] + p > s:
+                s, size = score[end - n] + p, n
+        score.append(s)
+        back.append(size)
+    words, end, stray = [], len(run), ""
+    while end:
+        size = back[end]
+        if size < 0:
+            stray = run[end - 1] + stray
+            end -= 1
+            continue
+        if stray:
+            words.append(stray)
+            stray = ""
+        words.append(run[end - size:end])
+        end -= size
+    return ([stray] if stray else []) + words[::-1]
+
+
 def split_runs(runs: DataFrame, model: DataFrame) -> DataFrame:
     """(run, words): the most probable words of each distinct run of letters.
 
-    All parts of a run that may be words are looked up in the model by a join,
-    so neither the model nor the runs need fit anywhere; a run gathers at most
-    ``MAX_WORD`` entries for each of its at most ``MAX_RUN`` letters. A letter
-    in no word costs a tenth of a word seen once; neighbours of that kind come
-    out as one token.
+    All parts of 2 to ``PREFIX`` letters of a run are looked up in the model by
+    a join; a longer word is found by its first ``PREFIX`` letters. So neither
+    the model nor the runs need fit anywhere, and runs and words may have any
+    length; a run gathers the words of the model that occur in it.
     """
     model = stage(model)
     total = model.agg(F.sum("n")).first()[0] or 1
-    parts = (runs.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("run"))))
-             .withColumn("len", F.explode(F.sequence(F.lit(2), F.least(F.lit(MAX_WORD), F.greatest(F.lit(2), F.length("run") - F.col("at") + 1)))))
-             .where("at + len - 1 <= length(run)")
-             .withColumn("word", F.expr("substring(run, at, len)")))
-    found = parts.join(model, "word").groupBy("run").agg(F.collect_list(F.struct("at", "len", "n")).alias("found"))
+    numbered = stage(runs.withColumn("id", F.monotonically_increasing_id()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for first in range(0, len(run), 10_000):
+                    parts = [(at, run[at:at + n]) for at in range(first, min(first + 10_000, len(run))) for n in range(2, min(PREFIX, len(run) - at) + 1)]
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.string())], ["id", "at", "part"])
+
+    parts = numbered.select("id", "run").mapInArrow(cut, "id long, at int, part string")
+    keyed = model.withColumn("part", F.col("word").substr(1, PREFIX))
+    found = parts.join(keyed, "part").groupBy("id").agg(F.collect_list(F.struct("at", "word", "n")).alias("found"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unknown = math.log(0.1 / total)
         for batch in batches:
-            out = []
-            for run, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ending: dict[int, list[tuple[int, float]]] = {}
-                for f in sorted(found or [], key=lambda f: (f["at"], f["len"])):
-                    ending.setdefault(f["at"] - 1 + f["len"], []).append((f["len"], math.log(f["n"] / total)))
-                score, back = [0.0], [0]
-                for end in range(1, len(run) + 1):
-                    s, size = score[end - 1] + unknown, -1
-                    for n, p in ending.get(end, ()):
-                        if score[end - n] + p > s:
-                            s, size = score[end - n] + p, n
-                    score.append(s)
-                    back.append(size)
-                words, end, stray = [], len(run), ""
-                while end:
-                    if back[end] < 0:
-                        stray = run[end - 1] + stray
-                        end -= 1
-                        continue
-                    if stray:
-                        words.append(stray)
-                        stray = ""
-                    words.append(run[end - back[end]:end])
-                    end -= back[end]
-                if stray:
-                    words.append(stray)
-                out.append(words[::-1])
+            out = [most_probable(run, [(f["at"], f["word"], f["n"]) for f in some or []], total) for run, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], ["run", "words"])
 
-    return runs.join(found, "run", "left").select("run", "found").mapInArrow(best, "run string, words array<string>")
+    return numbered.join(found, "id", "left").select("run", "found").mapInArrow(best, "run string, words array<string>")
 
 
 def host_words(hosts: DataFrame, model: DataFrame) -> DataFrame:
-    """(host, words): the words of each distinct host in order. Runs are of
-    letters; one longer than ``MAX_RUN`` is split in pieces of that length."""
-    pieces = F.flatten(F.transform(F.regexp_extract_all("host", F.lit(r"(\p{L}+)"), 1), lambda r: F.transform(
-        F.sequence(F.lit(0), F.floor((F.length(r) - 1) / MAX_RUN)), lambda k: F.substring(r, (k * MAX_RUN + 1).cast("int"), F.lit(MAX_RUN)))))
-    each = stage(hosts.select("host", F.posexplode(pieces).alias("place", "run")))
+    """(host, words): the words of each distinct host, run of letters after run."""
+    each = stage(hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit(r"(\p{L}+)"), 1)).alias("place", "run")))
     words = split_runs(each.select("run").distinct(), model)
     return (each.join(words, "run").groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "words"))).alias("x"))
             .select("host", F.flatten(F.col("x.words")).alias("words")))
@@ -157,44 +165,48 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, seeds:
 
     Everything is counted over all rows: words of the texts, distinct hosts,
     and tokens by label, each summed in the tasks before it is dealt out. A
-    hot host is split once, as every host; its pages meet the host table in
-    ``SALTS`` copies. Only sums over ``BUCKETS`` hashed tokens reach the driver.
+    host is split once, however many pages it has. Hosts and tokens with more
+    than one in ``HOT`` of all pages or tokens are joined by a broadcast, there
+    are at most ``HOT`` of them; all others by a shuffle, in which no key is
+    hot then. Weights are decimals, so their sums do not depend on the order.
     """
     url = pages[url_col].cast("string")
-    urls = pages.select(pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    urls = stage(pages.select(F.monotonically_increasing_id().alias("row"), pages[id_col].cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path")))
     model = word_counts(pages, html_col, seeds)
-    table = stage(host_words(urls.select("host").where("host <> ''").distinct(), model))
+    of_host = stage(urls.groupBy("host").agg(F.count("*").alias("pages")))
+    table = stage(host_words(of_host.select("host").where("host <> ''"), model))
     positive = F.arrays_overlap("words", F.array(*[F.lit(s) for s in seeds])) if seeds else F.lit(False)
-    copies = table.withColumn("positive", positive).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = urls.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    joined = _joined(urls, table.withColumn("positive", positive), of_host, "host", "pages")
     tokens = features(F.coalesce("words", F.array().cast("array<string>")), F.col("path"))
-    joined = stage(salted.join(copies, ["host", "salt"], "left").select(
-        "page_id", "host", "path", F.coalesce("positive", F.lit(False)).alias("positive"),
-        F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(BUCKETS)).cast("int")).alias("tokens")))
+    joined = stage(joined.select("row", "page_id", "host", "path", F.coalesce("positive", F.lit(False)).alias("positive"), tokens.alias("tokens")))
 
     sizes = {r["positive"]: r["n"] for r in joined.groupBy("positive").agg(F.count("*").alias("n")).collect()}
-    sums = joined.select("positive", F.explode("tokens").alias("token")).groupBy("positive", "token").agg(F.count("*").alias("n")).toArrow()
-    counts = np.zeros((2, BUCKETS))
-    counts[sums["positive"].to_numpy().astype(int), sums["token"].to_numpy()] = sums["n"].to_numpy()
+    each = joined.select("row", "positive", F.explode("tokens").alias("token"))
+    counts = stage(each.groupBy("token").agg(F.count("*").alias("n"), F.count(F.when(F.col("positive"), 1)).alias("n_positive")))
     prior, weights = bayes(counts, sizes.get(False, 0), sizes.get(True, 0))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(3)
-            flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-            sums = np.r_[0.0, np.cumsum(weights[flat])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.round(prior + sums[ends[1:]] - sums[ends[:-1]], 6))], ["page_id", "host", "path", "score"])
-
-    scored = joined.select("page_id", "host", "path", "tokens").mapInArrow(score, "page_id long, host string, path string, score double")
+    sums = _joined(each.select("row", "token"), weights, counts.select("token", "n"), "token", "n").groupBy("row").agg(F.sum("weight").alias("total"))
+    scored = joined.select("row", "page_id", "host", "path").join(sums, "row", "left").withColumn(
+        "score", F.round(F.lit(prior) + F.coalesce(F.col("total").cast("double"), F.lit(0.0)), 6))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
 
 
-def bayes(counts: np.ndarray, negatives: int, positives: int) -> tuple[float, np.ndarray]:
-    """Log prior odds and a weight for each hashed token; without examples of
-    both kinds the prior is the surest allow and weights are 0."""
+def _joined(rows: DataFrame, table: DataFrame, sizes: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` left joined with ``table`` on ``key``; ``sizes`` has the rows of each key."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    hot = F.broadcast(sizes.where(F.col(n) * HOT > total).select(key))
+    return (rows.join(hot, key, "left_semi").join(F.broadcast(table.join(hot, key, "left_semi")), key, "left")
+            .unionByName(rows.join(hot, key, "left_anti").join(table.join(hot, key, "left_anti"), key, "left")))
+
+
+def bayes(counts: DataFrame, negatives: int, positives: int) -> tuple[float, DataFrame]:
+    """Log prior odds and (token, weight) of every token of ``counts(token, n,
+    n_positive)``; without examples of both kinds the prior is the surest allow
+    and weights are 0."""
     if not negatives or not positives:
-        return -50.0, np.zeros(counts.shape[1])
-    used = (counts.sum(axis=0) > 0).sum()
-    share = (counts + ALPHA) / (counts.sum(axis=1, keepdims=True) + ALPHA * used)
-    return math.log(positives / negatives), np.log(share[1] / share[0])
+        return -50.0, counts.select("token", F.lit(0).cast("decimal(20,10)").alias("weight"))
+    all_ = counts.agg(F.count("*").alias("used"), F.sum("n").alias("n"), F.sum("n_positive").alias("n_positive")).first()
+    more = ALPHA * all_["used"]
+    yes = (F.col("n_positive") + ALPHA) / ((all_["n_positive"] or 0) + more)
+    no = (F.col("n") - F.col("n_positive") + ALPHA) / ((all_["n"] or 0) - (all_["n_positive"] or 0) + more)
+    return math.log(positives / negatives), counts.select("token", F.log(yes / no).cast("decimal(20,10)").alias("weight"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -54,6 +55,17 @@ def test_quality_counts(spark, docs):
     assert quality.quality(docs.where("doc_id < 0")).collect() == []
 
 
+def test_quality_judges_the_end_of_a_text():
+    rnd, zip_ = random.Random(4), zstandard.ZstdCompressor(level=3)
+    prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 7))) for _ in range(1500))
+    limits = quality.Limits()
+    judged = lambda text: quality.judge(text.encode(), limits, zip_)
+    phrase = " ".join(f"buy it now {i % 7}" for i in range(400))
+    assert judged(prose[:4200])[6:] == (True, pytest.approx(judged(prose[:4200])[7]), 2, 0)
+    assert not judged(prose[:4200] + " " + phrase[:3400])[6] and judged(prose[:4200] + " " + phrase[:3400])[8:] == (2, 1)
+    assert judged(prose[:4096])[8] == 1 and judged(prose[:4095])[8] == 0 and judged(prose[:4097])[8] == 2
+
+
 def test_quality_bands(spark):
     rnd = random.Random(2)
     prose = " ".join("".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(2, 7))) for _ in range(1500))
@@ -105,6 +117,17 @@ def crc_tail(body):
     return out.rjust(6, "0")
 
 
+def test_key_blocks_take_linear_time():
+    words = secretscan.automaton()
+    header, end = b"-----BEGIN PRIVATE KEY-----", b"-----END PRIVATE KEY-----"
+    for text in (header * 40_000, header * 20_000 + b"!" + end * 20_000, b"-----BEGIN %s PRIVATE KEY-----" * 3 % (b"A", b"B", b"C") * 10_000):
+        begin = time.perf_counter()
+        assert [s for s in secretscan.scan(text, words) if s[0] == "pem"] == []
+        assert time.perf_counter() - begin < 5
+    assert secretscan.scan(header * 3 + b"\nab+/=\n" + end + end, words) == [("pem", 54, 54 + 27 + 7 + 25)]
+    assert secretscan.scan(header + b"{}" + end + b"x" + b"-----BEGIN EC PRIVATE KEY-----\nq\n-----END EC PRIVATE KEY-----", words)[0][1] == 55
+
+
 def test_checksums_and_redaction(spark):
     body = "aB3" * 10
     good, bad = "ghp_" + body + crc_tail(body), "ghp_" + body + "000000"
