@@ -1,118 +1,50 @@
-"""Leak-free nested cross-validation.
-
-Outer folds and inner folds are stratified fold columns (``validate``);
-the inner search is ``CrossValidator(foldCol=...)`` over a ``ParamGrid``,
-refitted on the outer training rows; held-out rows never reach a fitted
-statistic. All scores are computed by the exact metric operators on the
-predictions, as DataFrames.
-"""
+"""The permutation test that refits the pipeline."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .models import classifier_pipeline, positive_prob
-from .validate import classification_metrics, metrics_long, stratified_folds
-
-DEFAULT_REGS = (0.01, 0.1)
-DEFAULT_L1 = (0.0, 0.5)
-
-
-@dataclass
-class NestedResult:
-    scores: DataFrame       # (fold, split, metric, score)
-    oof: DataFrame          # (key, fold, label, prob): every key once
-    params: DataFrame       # (fold, reg, l1_ratio, inner_auc)
-
-
-def _grid(pipe, regs, l1s):
-    lr = pipe.getStages()[-1]
-    return ParamGridBuilder().addGrid(lr.regParam, list(regs)).addGrid(lr.elasticNetParam, list(l1s)).build(), lr
-
-
-def grid_search(df: DataFrame, features: list[str], label: str, fold_col: str, k: int,
-                regs=DEFAULT_REGS, l1s=DEFAULT_L1, parallelism: int = 1):
-    """M7: grid search over (reg, l1_ratio) with given folds, refit on best.
-    The impute stage is always there, so the model scores rows with gaps
-    whatever the training rows held. Returns ``(best PipelineModel, table (reg,
-    l1_ratio, auc))``."""
-    pipe = classifier_pipeline(features, label)
-    grid, lr = _grid(pipe, regs, l1s)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, numFolds=k, foldCol=fold_col,
-                        evaluator=BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction", numBins=0),
-                        parallelism=parallelism, seed=0)
-    model = cv.fit(df)
-    rows = [(float(pm[lr.regParam]), float(pm[lr.elasticNetParam]), float(m))
-            for pm, m in zip(grid, model.avgMetrics)]
-    table = df.sparkSession.createDataFrame(rows, "reg double, l1_ratio double, auc double")
-    return model.bestModel, table
-
+from . import batch as B
+from . import pipeline as PL
+from .ranks import null_safe_join
+from .validate import METRICS, class_rank, classification_metrics, perm_pvalue, permute_labels
 
-def nested_cv(df: DataFrame, key: str, label: str, features: list[str], outer_k: int = 10,
-              inner_k: int = 5, seed: int = 10, regs=DEFAULT_REGS, l1s=DEFAULT_L1,
-              parallelism: int = 1, train_scores: bool = True) -> NestedResult:
-    """Outer stratified folds; in each, an inner grid search on the
-    training rows only, then train and test scores of the refitted model."""
-    # The projected input and then the fold-tagged table are materialised in
-    # the shared checkpoint folder: every fit below reads them, none
-    # re-derives the input or the folds.
-    base = cut_lineage(df.select(key, label, *features))
-    data = cut_lineage(stratified_folds(base, key, label, outer_k, seed, name="_outer"))
-    tests, trains, params = [], [], []
-    for f in range(outer_k):
-        train = data.where(F.col("_outer") != f)
-        test = data.where(F.col("_outer") == f)
-        train = cut_lineage(stratified_folds(train, key, label, inner_k, seed + 1 + f, name="_inner"))
-        best, table = grid_search(train, features, label, "_inner", inner_k, regs, l1s, parallelism)
-        params.append(table.orderBy(F.desc("auc"), "reg", "l1_ratio").limit(1)
-                      .withColumn("fold", F.lit(f)))
-        tests.append(positive_prob(best.transform(test)).select(key, F.lit(f).alias("fold"), label, "prob"))
-        if train_scores:
-            trains.append(positive_prob(best.transform(train)).select(F.lit(f).alias("fold"), label, "prob"))
-    oof = tests[0]
-    for t in tests[1:]:
-        oof = oof.unionByName(t)
-    scores = metrics_long(classification_metrics(oof, label, "prob", ["fold"]), ["fold"], "test")
-    if train_scores:
-        tr = trains[0]
-        for t in trains[1:]:
-            tr = tr.unionByName(t)
-        scores = scores.unionByName(
-            metrics_long(classification_metrics(tr, label, "prob", ["fold"]), ["fold"], "train"))
-    par = params[0]
-    for p in params[1:]:
-        par = par.unionByName(p)
-    return NestedResult(scores=scores, oof=oof,
-                        params=par.select("fold", "reg", "l1_ratio", F.col("auc").alias("inner_auc")))
+# Permutations whose pipelines are fitted in the same passes.
+AT_ONCE = 20
 
 
 def permutation_test_refit(df: DataFrame, key: str, label: str, features: list[str], true_score: float,
-                           n_permutations: int = 100, train_size: float = 0.1, reg: float = 0.01,
-                           metric: str = "accuracy") -> DataFrame:
+                           n_permutations: int = 100, train_size: float = 0.1, cell: dict | None = None,
+                           metric: str = "accuracy", s: PL.Settings = PL.Settings()) -> DataFrame:
     """M11 mode (a), the reference's procedure: for permutation i, a
-    stratified split (``train_size`` of each class for training, seed i), a
-    pipeline fit on the training rows, and the score on the test rows
-    against permuted test labels. Exactly ``n_permutations`` fits (each a
-    distributed job); p = (k + 1) / (n + 1) with k null scores >= the true
-    score. For large n the scale mode is ``validate.permutation_test``.
+    stratified split (``train_size`` of each class for training, seed i), a fit
+    of the four-stage pipeline on the training rows, and the score (decisions
+    at margin 0) on the test rows against permuted test labels. Exactly
+    ``n_permutations`` fits, ``AT_ONCE`` in the same passes; p = (k + 1) / (n + 1)
+    with k null scores >= the true score. Rows with a NULL label take no part.
+    For large n the scale mode is ``validate.permutation_test``.
     Returns one row ``(n_exceed, n_null, p_value, true_score)``.
     """
-    from .validate import perm_pvalue, permute_labels, stratified_split
-    base = cut_lineage(df.select(key, label, *features))
-    pipe = classifier_pipeline(features, label, reg=reg)
+    if metric not in METRICS or metric == "brier":
+        raise ValueError(metric)
+    cell = cell or PL.cells()[-1]
+    base = cut_lineage(df.where(F.col(label).isNotNull()).select(key, label, *features))
     scores = []
-    for i in range(n_permutations):
-        sp = stratified_split(base, key, label, train_size=train_size, seed=i)
-        model = pipe.fit(sp.where(F.col("split") == "train"))
-        test = permute_labels(sp.where(F.col("split") == "test"), key, label, seed=i, name="_perm")
-        pred = positive_prob(model.transform(test))
-        row = classification_metrics(pred, "_perm", "prob").select(metric).first()
-        scores.append((i, float(row[0])))
+    for first in range(0, n_permutations, AT_ONCE):
+        seeds, data = range(first, min(first + AT_ONCE, n_permutations)), base
+        for i in seeds:
+            ranked = class_rank(base, key, label, i)
+            data = null_safe_join(data, ranked.select(key, (F.col("rank") > F.floor(F.col("class_n") * train_size)).cast("int").alias(f"_t{i}")), [key])
+        rows = B.Rows.of(data, label, features, [f"_t{i}" for i in seeds], keep=[key])
+        models, prepared, which = PL.fit_many(rows, [(((k, 0, True),), cell) for k in range(len(seeds))], s, None)
+        place = {c: i for i, c in enumerate(features)}
+        tests = [B.Scored(which[k], ((k, 1, True),), np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept])) for k, m in enumerate(models)]
+        found = cut_lineage(B.scored(rows, prepared, tests, [key]))
+        permuted = permute_labels(found, key, "_y", seed=first, name="_perm", by=["part"])
+        table = classification_metrics(permuted, "_perm", "score", ["part"], threshold=0.0)
+        scores += [(first + r["part"], None if r[metric] is None else float(r[metric])) for r in table.select("part", metric).collect()]
     null = df.sparkSession.createDataFrame(scores, "perm int, score double")
     return perm_pvalue(null, "score", true_score).withColumn("true_score", F.lit(float(true_score)))

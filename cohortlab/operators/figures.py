@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .design import factor_levels
 from .ranks import with_part_stats
 
 
@@ -77,10 +78,13 @@ def kde_by_group(df: DataFrame, value: str, group: str, grid: int = 64,
     return g.select(group, pts).select(group, "_p.point", "_p.x", "_p.density")
 
 
-def ordered_counts(df: DataFrame, x: str, hue: str, order: list, hue_levels: list) -> DataFrame:
+def ordered_counts(df: DataFrame, x: str, hue: str, order: list | None, hue_levels: list) -> DataFrame:
     """Counts of ``x`` by ``hue`` in a given category order, zero for
     absent pairs; ``position`` is the place in ``order``. Both level lists are
-    bounded literals (categories), so the order table is broadcast."""
+    bounded literals (categories), so the order table is broadcast. Without an
+    order the categories are those of the column, in their own order."""
+    if order is None:
+        order = factor_levels(df, x)
     counts = df.where(F.col(x).isin(list(order)) & F.col(hue).isin(list(hue_levels))) \
         .groupBy(x).pivot(hue, list(hue_levels)).agg(F.count(F.lit(1)))
     spark = df.sparkSession

@@ -1,28 +1,36 @@
-"""Regression with inference, feature scaling/selection and classifiers
-(R2-R4, M2-M5, M10, S7).
-
-Fitting uses Spark ML: ``GeneralizedLinearRegression`` and
-``LinearRegression(solver="normal")`` solve through a distributed Gramian
-(one aggregate per iteration), ``LogisticRegression``/``LinearSVC`` through
-distributed gradients. Result tables are built from the fitted summary
-(a few numbers per term) on the driver.
+"""Regression with inference, mean imputation, scaling and the elastic-net
+selection as tables (R2-R4, M1-M3, M5).
+
+``GeneralizedLinearRegression`` solves the logistic model through a distributed
+Gramian (one aggregate an iteration); least squares come from a QR factor
+merged in a tree. Result tables are built from a few numbers per term.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext, cloudpickle
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler, VectorSlicer
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import dist as D
 from .design import design_matrix
+from .pipeline import fit_selector
 from .ranks import fdr_bh
 
+# Executors need not have this module: what runs in tasks is sent with them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Z975 = 1.959963984540054  # standard normal 97.5 % quantile (fixed value)
 
 
@@ -86,27 +94,79 @@ def logit_odds_ratios(table: DataFrame, digits: int = 4) -> DataFrame:
                     F.bround(F.exp("hi"), digits).alias("ci_hi"))
 
 
+# A column is aliased if what earlier columns leave of it is below this share of its length.
+ALIASED = 1e-9
+# Triangular factors one task merges.
+FAN_IN = 64
+
+
+def triangular_factor(df: DataFrame, cols: list[str]) -> tuple[np.ndarray, int]:
+    """R of the QR decomposition of (1, cols) over all rows, and the number of
+    rows: factors of blocks are merged in a tree, so no product of the columns
+    is taken and precision is that of the data, not of its square."""
+    k = len(cols) + 1
+
+    def pack(r: np.ndarray, n: int, part: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), pa.array([r.tobytes()], pa.binary())], ["part", "n", "r"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, n = np.zeros((0, k)), 0
+        for batch in batches:
+            x = np.column_stack([np.ones(batch.num_rows), *[c.to_numpy(zero_copy_only=False) for c in batch.columns]])
+            r, n = np.linalg.qr(np.vstack([r, x]), mode="r"), n + len(x)
+        yield pack(r, n, TaskContext.get().partitionId())
+
+    def merged(ns: list[int], rs: list[bytes]) -> tuple[np.ndarray, int]:
+        return np.linalg.qr(np.vstack([np.zeros((1, k)), *[np.frombuffer(r).reshape(-1, k) for r in rs]]), mode="r"), sum(ns)
+
+    def merge(table: pa.Table) -> pa.Table:
+        r, n = merged(table.column("n").to_pylist(), table.column("r").to_pylist())
+        return pa.Table.from_batches([pack(r, n, min(table.column("part").to_pylist()))])
+
+    data = df.select(*[F.col(c).cast("double") for c in cols])
+    parts, found = data.rdd.getNumPartitions(), data.mapInArrow(run, "part long, n long, r binary")
+    while parts > 8:
+        parts = -(-parts // FAN_IN)
+        found = found.groupBy((F.col("part") % parts).alias("_g")).applyInArrow(merge, "part long, n long, r binary")
+    rows = sorted(found.collect())
+    return merged([r["n"] for r in rows], [bytes(r["r"]) for r in rows])
+
+
 def ols_fit(df: DataFrame, label: str, terms: list[str]) -> tuple[DataFrame, dict]:
-    """Ordinary least squares with t-based inference (normal equations).
-    Returns ``(table (term, coef, se, t, p), stats r2, n)``."""
+    """Ordinary least squares with t-based inference, from a QR factor.
+
+    Complete cases only. A term that is a linear combination of the terms
+    before it is aliased: it keeps its row, with NULL statistics, and the model
+    is that of the other terms. Returns ``(table (term, coef, se, t, p), stats
+    r2, n, rank)``.
+    """
     X, safe, names = design_matrix(df, terms, keep=[label])
     X = X.na.drop("any")
-    data = assemble(X, safe).select(F.col(label).cast("double").alias("label"), "features")
-    data = data.persist()
-    try:
-        m = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True,
-                             standardization=False).fit(data)
-        s = m.summary
-        ses, tvs, pvs = list(s.coefficientStandardErrors), list(s.tValues), list(s.pValues)
-        r2, n_obs = float(s.r2), int(s.numInstances)
-    finally:
-        data.unpersist()
-    coefs = [m.intercept] + list(m.coefficients)
-    se, tv, pv = [ses[-1]] + ses[:-1], [tvs[-1]] + tvs[:-1], [pvs[-1]] + pvs[:-1]
-    rows = [(t, float(b), float(e), float(tt), float(p))
-            for t, b, e, tt, p in zip(["Intercept"] + names, coefs, se, tv, pv)]
-    table = df.sparkSession.createDataFrame(rows, "term string, coef double, se double, t double, p double")
-    return table, {"r2": r2, "n": n_obs}
+    r, n = triangular_factor(X, [*safe, label])
+    r = np.vstack([r, np.zeros((max(0, len(safe) + 2 - len(r)), len(safe) + 2))])
+    y, used, basis = r[:, -1], [], np.zeros((len(r), 0))
+    for j in range(len(safe) + 1):
+        left = r[:, j]
+        for _ in range(2):
+            left = left - basis @ (basis.T @ left)
+        if np.linalg.norm(left) > ALIASED * np.linalg.norm(r[:, j]):
+            used.append(j)
+            basis = np.column_stack([basis, left / np.linalg.norm(left)])
+    upper = basis.T @ r[:, used]
+    coef = np.linalg.solve(upper, basis.T @ y) if used else np.zeros(0)
+    left = y - basis @ (basis.T @ y)
+    rss, free = float(left @ left), n - len(used)
+    one = basis[:, :1] if used else np.zeros((len(r), 0))
+    centred = y - one @ (one.T @ y)
+    tss = float(centred @ centred)
+    inverse = np.linalg.inv(upper) if used else np.zeros((0, 0))
+    se = np.sqrt((inverse * inverse).sum(axis=1) * rss / free) if free > 0 else np.full(len(used), np.nan)
+    number = lambda v: None if not np.isfinite(v) else float(v)
+    found = {j: (float(b), number(e), number(b / e) if e > 0 else None) for j, b, e in zip(used, coef, se)}
+    rows = [(i, t, *found.get(i, (None, None, None)), float(max(free, 1))) for i, t in enumerate(["Intercept", *names])]
+    table = df.sparkSession.createDataFrame(rows, "_i int, term string, coef double, se double, t double, _free double")
+    table = table.withColumn("p", F.when(F.col("t").isNotNull(), D.t_sf_two_sided("t", "_free"))).orderBy("_i").drop("_i", "_free")
+    return table, {"r2": 1 - rss / tss if tss > 0 else None, "n": n, "rank": len(used)}
 
 
 def impute_mean(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -141,32 +201,16 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
                     (F.sum("n_class").over(w) / (F.count(F.lit(1)).over(w) * F.col("n_class"))).alias("weight"))
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    counts = {r[label]: r["n_class"] for r in class_weights(df, label).collect()}
-    n, k = sum(counts.values()), len(counts)
-    expr = None
-    for lv, nc in counts.items():
-        w = F.lit(n / (k * nc))
-        expr = F.when(F.col(label) == lv, w) if expr is None else expr.when(F.col(label) == lv, w)
-    return df.withColumn(out, expr)
-
-
 def select_elastic_net(df: DataFrame, features: list[str], label: str, reg: float = 0.01,
                        l1_ratio: float = 0.5, threshold: float = 1e-5) -> DataFrame:
-    """M3: elastic-net logistic model on standardised features; keep features
-    with |coef| > threshold (threshold -inf keeps all, as the reference)."""
-    data = split_xy(scale_features(df, features, keep=[label]), features, label)
-    m = LogisticRegression(featuresCol="features", labelCol="label", regParam=reg,
-                           elasticNetParam=l1_ratio, maxIter=200).fit(data)
-    rows = [(f, float(c), bool(abs(c) > threshold)) for f, c in zip(features, m.coefficients)]
+    """M3: the pipeline's elastic-net selector on standardised features; keep
+    features with |coef| > threshold (threshold -inf keeps all, as the reference)."""
+    z = scale_features(df.where(F.col(label).isNotNull()), features, ddof=0, keep=[label])
+    scores = fit_selector(z, features, label, "elastic_net", reg, l1_ratio, threshold).scores
+    rows = [(f, scores[f], bool(abs(scores[f]) > threshold)) for f in features]
     return df.sparkSession.createDataFrame(rows, "feature string, coef double, selected boolean")
 
 
-def slice_selected(df: DataFrame, vector_col: str, selected: list[int], out: str) -> DataFrame:
-    """Keep the selected positions of a vector column (``VectorSlicer``)."""
-    return VectorSlicer(inputCol=vector_col, outputCol=out, indices=selected).transform(df)
-
-
 def classifier_pipeline(features: list[str], label: str, reg: float = 0.01, l1_ratio: float = 0.0,
                         impute: bool = True) -> Pipeline:
     """M6: impute -> assemble -> scale -> elastic-net logistic classifier.
@@ -187,18 +231,3 @@ def classifier_pipeline(features: list[str], label: str, reg: float = 0.01, l1_r
 
 def positive_prob(df: DataFrame, col: str = "probability", out: str = "prob") -> DataFrame:
     return df.withColumn(out, vector_to_array(col)[1])
-
-
-def save_and_load(model: PipelineModel, path: str) -> PipelineModel:
-    """Persist a fitted pipeline and read it back."""
-    model.write().overwrite().save(path)
-    return PipelineModel.load(path)
-
-
-def selected_features(model: PipelineModel, features: list[str]) -> DataFrame:
-    """Non-zero coefficients of the final classifier by |coef|, descending."""
-    from pyspark.sql import SparkSession
-    lr = model.stages[-1]
-    rows = [(f, float(c)) for f, c in zip(features, lr.coefficients)]
-    df = SparkSession.getActiveSession().createDataFrame(rows, "feature string, coef double")
-    return df.where(F.col("coef") != 0).orderBy(F.desc(F.abs("coef")), "feature")

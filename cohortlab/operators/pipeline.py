@@ -3,9 +3,8 @@ scaling, feature selection, balanced linear SVM with calibrated probabilities.
 
 Every stage is fitted on the rows it is given and becomes a small object of
 numbers; ``transform`` is column expressions only, so a fitted pipeline scores
-any frame in one pass, and held-out rows can reach no statistic. Fits are
-distributed: sums of products for the imputer and the scaler, Spark ML for
-the selector and the SVM.
+any frame in one pass, and held-out rows can reach no statistic. All folds and
+grid cells of a search are fitted in common passes (``batch``).
 """
 
 from __future__ import annotations
@@ -15,28 +14,22 @@ import json
 from dataclasses import asdict, dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranks import present
-from .stattests import anova_f
-from .validate import METRICS, classification_metrics, metrics_long, stratified_folds
+from . import batch as B
+from .ranks import null_safe_join, present
+from .validate import METRICS, class_rank, classification_metrics, metrics_long
 
-# Rows of a fitting table that one task holds; the table is rewritten so.
-ROWS_PER_TASK = 200_000
 # Targets whose sums of products one aggregate takes.
 TARGETS_PER_PASS = 4
 
 
 def compact(df: DataFrame) -> DataFrame:
-    """The frame written once, in as many parts as its rows need: iterative
-    fits run a job an iteration, and each costs at least a task a part."""
+    """The frame written once, in as many parts as its rows need."""
     table = cut_lineage(df)
-    parts = -(-table.count() // ROWS_PER_TASK)
-    return table.coalesce(max(1, parts))
+    return table.coalesce(max(1, -(-table.count() // B.ROWS_PER_TASK)))
 
 
 # ------------------------------------------------------------------ imputer
@@ -89,12 +82,21 @@ def fit_imputer(df: DataFrame, columns: list[str], rounds: int = 3, n_nearest: i
     """M1: fit by ridge regression of each column with gaps on its ``n_nearest``
     most correlated columns, over the rows where it was observed.
 
-    A column without any observed value has the mean 0 and no regression. One
-    aggregate gives means, one the correlations of the mean-filled frame, and
-    each round sums products for ``TARGETS_PER_PASS`` columns at once; the
-    systems of n_nearest + 1 unknowns are solved on the driver. The frame is
-    written after each round.
+    A column without any observed value has the mean 0 and no regression. The
+    moments of each missingness pattern give all rounds at once; where a
+    prediction could reach ``low`` or ``high``, or there are very many
+    patterns, the rows are read in each round (``fit_imputer_by_rows``).
     """
+    rows = B.Rows.of(df.select(F.lit(0).alias("_l"), *columns), "_l", columns, [])
+    s = Settings(rounds=rounds, n_nearest=n_nearest)
+    return prepare_all(rows, [()], s, reg, low, high)[0][0]
+
+
+def fit_imputer_by_rows(df: DataFrame, columns: list[str], rounds: int = 3, n_nearest: int = 10, reg: float = 1e-3,
+                        low: float = -5000.0, high: float = 5000.0) -> Imputer:
+    """``fit_imputer`` from the rows: one aggregate gives means, one the
+    correlations of the mean-filled frame, and each round sums products for
+    ``TARGETS_PER_PASS`` columns at once; the frame is written after each round."""
     seen = {c: F.when(present(df, c), F.col(c).cast("double")) for c in columns}
     row = df.agg(F.count(F.lit(1)).alias("n"), *[f(x).alias(f"{k}{i}") for i, x in enumerate(seen.values()) for k, f in (("c", F.count), ("m", F.avg))]).first()
     out = Imputer(list(columns), [float(row[f"m{i}"] or 0.0) for i in range(len(columns))], [], low, high)
@@ -117,7 +119,7 @@ def _nearest(cur: DataFrame, gaps: list[int], k: int, n_nearest: int) -> dict[in
     near = {}
     for t in gaps:
         others = [j for j in range(k) if j != t]
-        row = cur.agg(*[F.nanvl(F.corr(f"_x{j}", f"_x{t}"), F.lit(0.0)).alias(f"r{j}") for j in others]).first()
+        row = cur.agg(*[F.try_divide(F.covar_pop(f"_x{j}", f"_x{t}"), F.stddev_pop(f"_x{j}") * F.stddev_pop(f"_x{t}")).alias(f"r{j}") for j in others]).first()
         near[t] = sorted(others, key=lambda j: (-abs(row[f"r{j}"] or 0.0), j))[:n_nearest]
     return near
 
@@ -161,7 +163,9 @@ class Scaler:
 
 def fit_scaler(df: DataFrame, columns: list[str]) -> Scaler:
     row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return Scaler(list(columns), [float(row[f"m{i}"] or 0.0) for i in range(len(columns))], [float(row[f"s{i}"] or 1.0) for i in range(len(columns))])
+    means, sds = ([float(row[f"{k}{i}"] or 0.0) for i in range(len(columns))] for k in "ms")
+    # A deviation that is only the rounding of the mean is none.
+    return Scaler(list(columns), means, [s if s > 1e-12 * abs(m) else 1.0 for m, s in zip(means, sds)])
 
 
 # ----------------------------------------------------------------- selector
@@ -172,6 +176,36 @@ class Selector:
     kind: str
     names: list[str]
     scores: dict[str, float]
+    intercept: float = 0.0
+
+
+def _selectors(rows: B.Rows, prepared: list[B.Prepared], wanted: list[tuple[int, B.Subset, float, float]], s: Settings) -> list[Selector]:
+    """A selector for each (prepared, subset, alpha, l1_ratio)."""
+    columns, every = rows.features, np.arange(len(rows.features))
+    if s.selector is None:
+        return [Selector("none", list(columns), {}) for _ in wanted]
+    if s.selector == "f_test":
+        out = []
+        for f in B.f_scores(rows, prepared, [w[:2] for w in wanted]):
+            scores = dict(zip(columns, map(float, f)))
+            top = set(sorted(columns, key=lambda c: (-scores[c], c))[:s.k])
+            out.append(Selector("f_test", [c for c in columns if c in top], scores))
+        return out
+    if s.selector != "elastic_net":
+        raise ValueError(s.selector)
+    fits = [B.Logistic(f, subset, every, alpha=a, l1_ratio=r) for f, subset, a, r in wanted]
+    B.solve(rows, prepared, fits)
+    out = []
+    for fit_ in fits:
+        scores = dict(zip(columns, map(float, fit_.point[:-1])))
+        out.append(Selector("elastic_net", [c for c in columns if abs(scores[c]) > s.threshold] or [max(columns, key=lambda c: (abs(scores[c]), c))], scores, float(fit_.point[-1])))
+    return out
+
+
+def _plain(columns: list[str]) -> B.Prepared:
+    """Columns as they are; a missing cell makes the fit fail."""
+    k = len(columns)
+    return B.Prepared(np.full(k, np.nan), [], -np.inf, np.inf, np.zeros(k), np.ones(k))
 
 
 def fit_selector(df: DataFrame, columns: list[str], label: str, kind: str | None = "elastic_net", alpha: float = 0.01,
@@ -179,31 +213,27 @@ def fit_selector(df: DataFrame, columns: list[str], label: str, kind: str | None
     """``elastic_net``: columns whose logistic coefficient exceeds the threshold
     (the greatest one if none does); ``f_test``: the k greatest ANOVA F (ties
     by name); None: all."""
-    if kind is None:
-        return Selector("none", list(columns), {})
-    if kind == "f_test":
-        scores = {r["column"]: float(r["F"] or 0.0) for r in anova_f(df, columns, label).collect()}
-        top = set(sorted(columns, key=lambda c: (-scores.get(c, 0.0), c))[:k])
-        return Selector(kind, [c for c in columns if c in top], scores)
-    if kind != "elastic_net":
-        raise ValueError(kind)
-    data = VectorAssembler(inputCols=columns, outputCol="_v").transform(df)
-    model = LogisticRegression(featuresCol="_v", labelCol=label, regParam=alpha, elasticNetParam=l1_ratio, maxIter=100, standardization=False).fit(data)
-    scores = {c: float(b) for c, b in zip(columns, model.coefficients.toArray())}
-    names = [c for c in columns if abs(scores[c]) > threshold] or [max(columns, key=lambda c: (abs(scores[c]), c))]
-    return Selector(kind, names, scores)
+    rows = B.Rows.of(df.where(F.col(label).isNotNull()), label, columns, [])
+    return _selectors(rows, [_plain(columns)], [(0, (), alpha, l1_ratio)], Settings(selector=kind, threshold=threshold, k=k))[0]
 
 
 # ---------------------------------------------------------------------- SVM
 @dataclass
 class Svm:
-    """M5: margin = weights * x + intercept, probability = 1 / (1 + exp(-(a * margin + b)))."""
+    """M5: margin = weights * x + intercept, probability = 1 / (1 + exp(-(a * margin + b))).
+
+    ``gap`` is a proven bound on how far the objective is above the least one,
+    as a share of it, after ``passes`` passes over the rows; the dual weights behind
+    it are c * min(max(1 - y * margin, 0) / ``width``, 1)."""
 
     columns: list[str]
     weights: list[float]
     intercept: float
     a: float = 1.0
     b: float = 0.0
+    gap: float = 0.0
+    width: float = 1.0
+    passes: int = 0
 
     def margin(self) -> Column:
         out = F.lit(self.intercept)
@@ -215,32 +245,62 @@ class Svm:
         return 1.0 / (1.0 + F.exp(-(F.lit(self.a) * self.margin() + F.lit(self.b))))
 
 
-def fit_svm(df: DataFrame, columns: list[str], label: str, cost: float = 1.0, max_iter: int = 15) -> Svm:
+@dataclass
+class Want:
+    """An SVM to be fitted: on the prepared rows of a subset, with some columns."""
+
+    prepared: int
+    subset: B.Subset
+    names: list[str]
+    cost: float
+
+
+def _svms(rows: B.Rows, prepared: list[B.Prepared], wanted: list[Want], s: Settings, platt: int | None) -> list[Svm]:
+    """All SVMs in common passes. ``platt`` is the tag of calibration folds: then
+    each SVM has a sigmoid of the margins of rows that the SVM behind them had not seen."""
+    place = {c: i for i, c in enumerate(rows.features)}
+    folds = range(s.platt_folds) if platt is not None else ()
+    at = [(w, part) for w in wanted for part in [w.subset, *[(*w.subset, (platt, f, False)) for f in folds]]]
+    subsets = list(dict.fromkeys(part for _, part in at))
+    counts = dict(zip(subsets, B.class_counts(rows, subsets)))
+    fits = [B.Hinge(w.prepared, part, np.array([place[c] for c in w.names]), cost=w.cost, counts=counts[part], tol=s.tol) for w, part in at]
+    for f in fits:
+        if min(f.counts) == 0:  # one label only: nothing to tell apart, every row gets its side
+            f.point, f.gap, f.primal, f.done = np.append(np.zeros(len(f.cols)), 1.0 if f.counts[1] else -1.0), 0.0, 0.0, True
+    B.solve(rows, prepared, fits)
+    out, step = [], 1 + len(folds)
+    for i, w in enumerate(wanted):
+        f = fits[i * step]
+        out.append(Svm(list(w.names), [float(x) for x in f.point[:-1]], float(f.point[-1]), gap=float(max(f.gap, 0.0) / max(f.primal, 1e-300)), width=f.width, passes=f.passes))
+    if platt is not None:
+        held = [[B.Scored(w.prepared, (*w.subset, (platt, k, True)), fits[i * step + 1 + k].cols, fits[i * step + 1 + k].point) for k in folds] for i, w in enumerate(wanted)]
+        for svm, (a, b) in zip(out, B.sigmoids(rows, prepared, held, [counts[w.subset] for w in wanted])):
+            svm.a, svm.b = a, b
+    return out
+
+
+def _tagged(df: DataFrame, key: str, label: str, folds: dict[str, int], seed: int, within: list[str] = ()) -> DataFrame:
+    """Fold numbers by hash order of the keys, classes spread evenly within each combination of the columns ``within``."""
+    for i, (name, k) in enumerate(folds.items()):
+        ranked = class_rank(df, key, label, seed * 1000003 + i, list(within))
+        df = null_safe_join(df, ranked.select(key, ((F.col("rank") - 1) % k).cast("int").alias(name)), [key])
+    return df
+
+
+def fit_svm(df: DataFrame, columns: list[str], label: str, cost: float = 1.0, tol: float = 1e-3) -> Svm:
     """Linear SVM with balanced class weights n / (classes * n of the class);
-    ``cost`` is the weight of the errors (C), summed over rows."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values())
-    weight = F.lit(0.0)
-    for level, c in counts.items():
-        weight = F.when(F.col(label) == level, n / (len(counts) * c)).otherwise(weight)
-    data = VectorAssembler(inputCols=columns, outputCol="_v").transform(df.withColumn("_w", weight))
-    model = LinearSVC(featuresCol="_v", labelCol=label, weightCol="_w", regParam=1.0 / (cost * n), maxIter=max_iter, tol=1e-4, standardization=False).fit(data)
-    return Svm(list(columns), [float(x) for x in model.coefficients.toArray()], float(model.intercept))
-
-
-def calibrate(df: DataFrame, key: str, columns: list[str], label: str, cost: float, folds: int = 3, seed: int = 10, max_iter: int = 15) -> Svm:
+    ``cost`` is the weight of the errors (C), summed over rows. It ends when the
+    duality gap is at most ``tol`` of the objective."""
+    rows = B.Rows.of(df.where(F.col(label).isNotNull()), label, columns, [])
+    return _svms(rows, [_plain(columns)], [Want(0, (), columns, cost)], Settings(tol=tol), None)[0]
+
+
+def calibrate(df: DataFrame, key: str, columns: list[str], label: str, cost: float, folds: int = 5, seed: int = 10, tol: float = 1e-3) -> Svm:
     """An SVM on all rows, with a sigmoid (Platt) fitted to margins of rows
     that the SVM behind them had not seen: ``folds`` stratified folds."""
-    data = compact(stratified_folds(df, key, label, k=folds, seed=seed, name="_p"))
-    held = None
-    for f in range(folds):
-        part = fit_svm(data.where(F.col("_p") != f), columns, label, cost, max_iter)
-        scored = data.where(F.col("_p") == f).select(F.col(label), part.margin().alias("_m"))
-        held = scored if held is None else held.unionByName(scored)
-    sigmoid = LogisticRegression(featuresCol="_v", labelCol=label, regParam=0.0).fit(VectorAssembler(inputCols=["_m"], outputCol="_v").transform(held))
-    out = fit_svm(data, columns, label, cost, max_iter)
-    out.a, out.b = float(sigmoid.coefficients[0]), float(sigmoid.intercept)
-    return out
+    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *[c for c in columns if c != key]), key, label, {"_p": folds}, seed)
+    rows = B.Rows.of(data, label, columns, ["_p"])
+    return _svms(rows, [_plain(columns)], [Want(0, (), columns, cost)], Settings(tol=tol, platt_folds=folds, seed=seed), 0)[0]
 
 
 # ----------------------------------------------------------------- pipeline
@@ -272,32 +332,72 @@ class Fitted:
 
 @dataclass(frozen=True)
 class Settings:
-    """Parameters that a search does not vary."""
+    """Parameters that a search does not vary; ``tol`` is the SVM's relative duality gap."""
 
     selector: str | None = "elastic_net"
     rounds: int = 3
     n_nearest: int = 10
     k: int = 10
     threshold: float = 1e-5
-    max_iter: int = 15
-    platt_folds: int = 3
+    tol: float = 1e-3
+    platt_folds: int = 5
     seed: int = 10
 
 
-def prepare(df: DataFrame, features: list[str], s: Settings) -> tuple[Imputer, Scaler]:
-    """Imputer and scaler of some training rows."""
-    imputer = fit_imputer(df, features, s.rounds, s.n_nearest)
-    return imputer, fit_scaler(imputer.transform(df.select(*features)), features)
+def prepare_all(rows: B.Rows, subsets: list[B.Subset], s: Settings, reg: float = 1e-3, low: float = -5000.0, high: float = 5000.0) -> list[tuple[Imputer, Scaler]]:
+    """Imputer and scaler of every subset of the rows: two passes for all, or a
+    pass a round for each subset where the moments do not suffice."""
+    out, names = [], rows.features
+    try:
+        m = B.moments(rows, subsets)
+    except B.Unbounded:
+        m = None
+    for f, subset in enumerate(subsets):
+        try:
+            if m is None:
+                raise B.Unbounded
+            means, rounds, center, scale = B.chained(m, f, names, s.rounds, s.n_nearest, reg, low, high)
+            imputer = Imputer(list(names), means, [[Regression(*r) for r in models] for models in rounds], low, high)
+            out.append((imputer, Scaler(list(names), center, scale)))
+        except B.Unbounded:
+            some = rows.df
+            for tag, value, equal in subset:
+                some = some.where((F.col(rows.tags[tag]) == value) == F.lit(equal))
+            some = some.select(*[F.col(f"_f{i}").alias(f"f{i}") for i in range(len(names))])
+            plain = [f"f{i}" for i in range(len(names))]
+            imputer = fit_imputer_by_rows(some, plain, s.rounds, s.n_nearest, reg, low, high)
+            scaler = fit_scaler(imputer.transform(some), plain)
+            imputer.columns, scaler.columns = list(names), list(names)
+            out.append((imputer, scaler))
+    return out
+
+
+def _as_arrays(imputer: Imputer, scaler: Scaler) -> B.Prepared:
+    return B.Prepared(np.array(imputer.means), [[(m.target, m.predictors, np.array(m.coefs), m.intercept) for m in models] for models in imputer.rounds],
+                      imputer.low, imputer.high, np.array(scaler.means), np.array(scaler.sds))
+
+
+def fit_many(rows: B.Rows, wanted: list[tuple[B.Subset, dict]], s: Settings, platt: int | None) -> tuple[list[Fitted], list[B.Prepared], list[int]]:
+    """All four stages for each (subset, cell): imputer and scaler once a
+    subset, the selector once for each of its own parameters. Also the prepared
+    forms of the subsets, and which one each pipeline has."""
+    subsets = list(dict.fromkeys(subset for subset, _ in wanted))
+    fitted = prepare_all(rows, subsets, s)
+    prepared = [_as_arrays(*x) for x in fitted]
+    at = {subset: i for i, subset in enumerate(subsets)}
+    nets = list(dict.fromkeys((at[subset], subset, cell["alpha"], cell["l1_ratio"]) for subset, cell in wanted))
+    chosen = dict(zip(nets, _selectors(rows, prepared, nets, s)))
+    selectors = [chosen[(at[subset], subset, cell["alpha"], cell["l1_ratio"])] for subset, cell in wanted]
+    svms = _svms(rows, prepared, [Want(at[subset], subset, sel.names, cell["cost"]) for (subset, cell), sel in zip(wanted, selectors)], s, platt)
+    models = [Fitted(*fitted[at[subset]], sel, svm) for (subset, _), sel, svm in zip(wanted, selectors, svms)]
+    return models, prepared, [at[subset] for subset, _ in wanted]
 
 
 def fit(df: DataFrame, key: str, label: str, features: list[str], cell: dict, s: Settings = Settings()) -> Fitted:
     """All four stages on ``df``; ``cell`` holds cost, alpha and l1_ratio.
     Rows with a NULL label are left out of the fit."""
-    rows = df.where(F.col(label).isNotNull())
-    imputer, scaler = prepare(rows, features, s)
-    z = compact(scaler.transform(imputer.transform(rows.select(key, label, *features))))
-    selector = fit_selector(z, features, label, s.selector, cell["alpha"], cell["l1_ratio"], s.threshold, s.k)
-    return Fitted(imputer, scaler, selector, calibrate(z, key, selector.names, label, cell["cost"], s.platt_folds, s.seed, s.max_iter))
+    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, {"_p": s.platt_folds}, s.seed)
+    return fit_many(B.Rows.of(data, label, features, ["_p"]), [((), cell)], s, 0)[0][0]
 
 
 def cells(costs=(0.1, 1.0), alphas=(0.01,), l1_ratios=(0.5,)) -> list[dict]:
@@ -305,47 +405,55 @@ def cells(costs=(0.1, 1.0), alphas=(0.01,), l1_ratios=(0.5,)) -> list[dict]:
     return [{"cost": c, "alpha": a, "l1_ratio": r} for a in alphas for r in l1_ratios for c in costs]
 
 
+# M7: the grid of the study, 4 costs x 6 mixing ratios x 10 penalties.
+STUDY_GRID = cells((0.001, 0.01, 0.1, 1.0), tuple(round(0.1 * i, 1) for i in range(1, 11)), (0.1, 0.5, 0.7, 0.9, 0.95, 0.99))
+
+
+def _search(rows: B.Rows, outers: list[B.Subset], grid: list[dict], inner: list[int], k: int, metric: str, probas: bool, platt: int | None,
+            s: Settings) -> list[list[tuple]]:
+    """For each outer subset the grid's rows (alpha, l1_ratio, cost, score, sd, n) over all inner folds; ``inner`` are their tags."""
+    if metric not in METRICS:
+        raise ValueError(metric)
+    probas = probas or metric == "brier"
+    folds = [(o, tag, f) for o in range(len(outers)) for tag in inner for f in range(k)]
+    wanted = [((*outers[o], (tag, f, False)), cell) for o, tag, f in folds for cell in grid]
+    models, prepared, which = fit_many(rows, wanted, s, platt if probas else None)
+    place = {c: i for i, c in enumerate(rows.features)}
+    scores = []
+    for i, (m, (o, tag, f)) in enumerate(zip(models, (x for x in folds for _ in grid))):
+        scores.append(B.Scored(which[i], (*outers[o], (tag, f, True)), np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept]), (m.svm.a, m.svm.b) if probas else None))
+    table = classification_metrics(cut_lineage(B.scored(rows, prepared, scores)), "_y", "score", ["part"], threshold=0.5 if probas else 0.0)
+    found = {r["part"]: r[metric] for r in table.select("part", metric).collect()}
+    out = []
+    for o in range(len(outers)):
+        of_cell = []
+        for c, cell in enumerate(grid):
+            got = [x for i, (at, _, _) in enumerate(folds) if at == o and (x := found.get(i * len(grid) + c)) is not None]
+            of_cell.append((cell["alpha"], cell["l1_ratio"], cell["cost"], float(np.mean(got)) if got else None, float(np.std(got)) if got else None, len(got)))
+        out.append(of_cell)
+    return out
+
+
+def _best(table: list[tuple], metric: str) -> int:
+    sign = -1 if metric == "brier" else 1
+    return max(range(len(table)), key=lambda i: (table[i][3] is not None, sign * (table[i][3] or 0.0), -i))
+
+
 def search(df: DataFrame, key: str, label: str, features: list[str], grid: list[dict], k: int = 3, repeats: int = 1,
            metric: str = "auc", probas: bool = False, s: Settings = Settings()) -> tuple[dict, DataFrame]:
     """M7: repeated stratified inner folds over the rows of ``df``.
 
     Returns the best cell (greatest mean score, least for the Brier score;
-    ties: first) and the table (alpha, l1_ratio, cost, score, sd, n). Imputer
-    and scaler are fitted once a fold, the selector once for each of its own
-    parameters, and only the SVM for every cell; all cells of a fold are
-    scored by one query. Decisions are taken at margin 0, or with ``probas``
-    at calibrated probability 1/2, which the Brier score needs.
+    ties: first) and the table (alpha, l1_ratio, cost, score, sd, n). All cells
+    of all folds are fitted in common passes and scored by one query. Decisions
+    are taken at margin 0, or with ``probas`` at calibrated probability 1/2,
+    which the Brier score needs.
     """
-    if metric not in METRICS:
-        raise ValueError(metric)
-    probas = probas or metric == "brier"
-    rows, found = df.where(F.col(label).isNotNull()).select(key, label, *features), []
-    for repeat, fold in itertools.product(range(repeats), range(k)):
-        if fold == 0:
-            folded = compact(stratified_folds(rows, key, label, k, s.seed, repeat, name="_f"))
-        train = folded.where(F.col("_f") != fold)
-        imputer, scaler = prepare(train, features, s)
-        z = compact(scaler.transform(imputer.transform(folded)))
-        train, held = z.where(F.col("_f") != fold), z.where(F.col("_f") == fold)
-        chosen: dict[tuple, Selector] = {}
-        scores = []
-        for i, cell in enumerate(grid):
-            at = (cell["alpha"], cell["l1_ratio"])
-            if at not in chosen:
-                chosen[at] = fit_selector(train, features, label, s.selector, *at, s.threshold, s.k)
-            names = chosen[at].names
-            svm = calibrate(train, key, names, label, cell["cost"], s.platt_folds, s.seed, s.max_iter) if probas else fit_svm(train, names, label, cell["cost"], s.max_iter)
-            scores.append(F.struct(F.lit(i).alias("cell"), (svm.probability() if probas else svm.margin()).alias("score")))
-        long = held.select(F.col(label).alias("_y"), F.explode(F.array(*scores)).alias("x")).select("_y", "x.cell", "x.score")
-        table = classification_metrics(long, "_y", "score", ["cell"], threshold=0.5 if probas else 0.0)
-        found += [(r["cell"], float(r[metric])) for r in table.select("cell", metric).collect() if r[metric] is not None]
-    rows_ = []
-    for i, cell in enumerate(grid):
-        got = [x for c, x in found if c == i]
-        rows_.append((cell["alpha"], cell["l1_ratio"], cell["cost"], float(np.mean(got)) if got else None, float(np.std(got)) if got else None, len(got)))
-    sign = -1 if metric == "brier" else 1
-    best = max(range(len(grid)), key=lambda i: (rows_[i][3] is not None, sign * (rows_[i][3] or 0.0), -i))
-    return grid[best], df.sparkSession.createDataFrame(rows_, "alpha double, l1_ratio double, cost double, score double, sd double, n int")
+    tags = {f"_i{r}": k for r in range(repeats)}
+    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, tags | {"_p": s.platt_folds}, s.seed)
+    rows = B.Rows.of(data, label, features, [*tags, "_p"])
+    table = _search(rows, [()], grid, list(range(repeats)), k, metric, probas, repeats, s)[0]
+    return grid[_best(table, metric)], df.sparkSession.createDataFrame(table, "alpha double, l1_ratio double, cost double, score double, sd double, n int")
 
 
 @dataclass
@@ -362,28 +470,31 @@ def nested(df: DataFrame, key: str, label: str, features: list[str], grid: list[
            inner_repeats: int = 1, metric: str = "auc", probas: bool = False, s: Settings = Settings()) -> Nested:
     """M8: in each outer stratified fold the grid is searched on the training
     rows (a single cell needs no search), the best cell refitted on them, and all metrics are taken of the
-    training and the held-out rows."""
-    grid = grid or cells()
-    data = compact(stratified_folds(df.select(key, label, *features).where(F.col(label).isNotNull()), key, label, outer_k, s.seed, name="_outer"))
-    parts, params, models = [], [], []
-    for f in range(outer_k):
-        train = data.where(F.col("_outer") != f)
-        best, inner = grid[0], None
-        if len(grid) > 1:
-            best, table = search(train, key, label, features, grid, inner_k, inner_repeats, metric, probas, s)
-            same = (F.col("alpha") == best["alpha"]) & (F.col("l1_ratio") == best["l1_ratio"]) & (F.col("cost") == best["cost"])
-            inner = table.where(same).first()["score"]
-        params.append((f, best["alpha"], best["l1_ratio"], best["cost"], inner))
-        model = fit(train, key, label, features, best, s)
-        models.append(model)
-        parts.append(model.transform(data, [key, label, "_outer"]).select(key, F.lit(f).alias("fold"), label, "prob", (F.col("_outer") == f).alias("held")))
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
-    scored = cut_lineage(scored)
+    training and the held-out rows.
+
+    Inner folds are laid within each outer fold, so they are even folds of
+    every training set, and the searches of all outer folds run in the same passes.
+    """
+    grid, repeats = grid or cells(), range(inner_repeats)
+    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, {"_outer": outer_k}, s.seed)
+    data = _tagged(cut_lineage(data), key, label, {f"_i{r}": inner_k for r in repeats} | {"_p": s.platt_folds}, s.seed + 1, ["_outer"])
+    rows = B.Rows.of(data, label, features, ["_outer", *[f"_i{r}" for r in repeats], "_p"], keep=[key])
+    outers, platt = [((0, f, False),) for f in range(outer_k)], 1 + inner_repeats
+    best, inner = [0] * outer_k, [None] * outer_k
+    if len(grid) > 1:
+        for f, table in enumerate(_search(rows, outers, grid, [1 + r for r in repeats], inner_k, metric, probas, platt, s)):
+            best[f] = _best(table, metric)
+            inner[f] = table[best[f]][3]
+    models, prepared, which = fit_many(rows, [(outers[f], grid[best[f]]) for f in range(outer_k)], s, platt)
+    place = {c: i for i, c in enumerate(features)}
+    all_rows = [B.Scored(which[f], (), np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept]), (m.svm.a, m.svm.b)) for f, m in enumerate(models)]
+    marked = data.select(key, "_outer")
+    scored = cut_lineage(null_safe_join(B.scored(rows, prepared, all_rows, [key]), marked, [key]).select(
+        key, F.col("part").alias("fold"), F.col("_y").alias(label), F.col("score").alias("prob"), (F.col("_outer") == F.col("part")).alias("held")))
     oof = scored.where("held").drop("held")
     scores = metrics_long(classification_metrics(oof, label, "prob", ["fold"]), ["fold"], "test").unionByName(
         metrics_long(classification_metrics(scored.where("not held"), label, "prob", ["fold"]), ["fold"], "train"))
+    params = [(f, grid[best[f]]["alpha"], grid[best[f]]["l1_ratio"], grid[best[f]]["cost"], inner[f]) for f in range(outer_k)]
     return Nested(scores, oof, df.sparkSession.createDataFrame(params, "fold int, alpha double, l1_ratio double, cost double, inner_score double"), models)
 
 

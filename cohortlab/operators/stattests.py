@@ -190,6 +190,22 @@ def chi2_independence(df: DataFrame, cols: list[str], outcome: str) -> DataFrame
     return _chi2_from_counts(_level_counts(df, cols, outcome), outcome)
 
 
+def chi2_expected(df: DataFrame, col: str, outcome: str) -> DataFrame:
+    """The table of ``col`` against ``outcome`` with observed and expected
+    counts ``(level, outcome, observed, expected)``, cells without rows included.
+
+    The totals of levels and outcomes are joined on a constant-free key: every
+    level row carries the array of outcome totals, as long as there are outcomes.
+    """
+    cnt = _level_counts(df, [col], outcome)
+    by_outcome = cnt.groupBy("column", outcome).agg(F.sum("o").alias("c")).groupBy("column").agg(
+        F.sort_array(F.collect_list(F.struct(F.col(outcome).alias("value"), "c"))).alias("outcomes"), F.sum("c").alias("n"))
+    by_level = cnt.groupBy("column", "level").agg(F.sum("o").alias("r"), F.map_from_entries(F.collect_list(F.struct(outcome, "o"))).alias("seen"))
+    cells = by_level.join(by_outcome, "column").select("level", "r", "seen", "n", F.explode("outcomes").alias("x"))
+    return cells.select("level", F.col("x.value").alias(outcome), F.coalesce(F.try_element_at("seen", F.col("x.value")), F.lit(0.0)).cast("bigint").alias("observed"),
+                        (F.col("r") * F.col("x.c") / F.col("n")).alias("expected"))
+
+
 def flag_summary_with_p(df: DataFrame, flags: list[str], outcome: str, digits: int = 3,
                         alpha: float = 0.05, levels=(0, 1)) -> DataFrame:
     """Per flag, sums per outcome level (A10), chi-square p

@@ -11,7 +11,6 @@ put a class (possibly a third of all rows) into a single task.
 from __future__ import annotations
 
 import math
-import os
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +23,36 @@ def _hash(seed: int, *cols) -> F.Column:
     return F.xxhash64(F.lit(seed), *cols)
 
 
+def _md5(seed: int, *cols) -> F.Column:
+    """60 bits of an MD5, which other engines can compute as well."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+HASHES = {"xxhash64": _hash, "md5": _md5}
+
+# Cut points of text keys are these steps of a binary search over at most 4095 sampled keys.
+TEXT_STEPS = [1 << i for i in range(11, -1, -1)]
+
+
 def _key_order(df: DataFrame, key: str) -> F.Column:
-    """A number that never falls as the key grows, for any kind of key: a
-    number stays itself; of text, seven bytes after what all keys begin with."""
+    """A number that never falls as the key grows, for any kind of key; a NULL
+    key comes first. A number stays itself; of a text it is how many of about
+    3800 keys, sampled by hash, are below it, so that equal numbers are as
+    rare as the keys are many, whatever the keys look like."""
     kind = dict(df.dtypes)[key]
+    if kind in ("double", "float"):
+        return F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
     if kind != "string":
-        return F.col(key).cast("double" if kind in ("double", "float") else "long")
-    ends = df.agg(F.min(key), F.max(key)).first()
-    same = len(os.path.commonprefix([x.encode() for x in ends if x is not None]) if all(x is not None for x in ends) else b"")
-    digits = F.rpad(F.hex(F.substring(F.col(key).cast("binary"), same + 1, 7)), 14, "0")
-    return F.conv(digits, 16, 10).cast("long")
+        return F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
+    share = -(-df.count() // 3800) or 1
+    some = df.select(key).where(F.col(key).isNotNull() & (F.pmod(F.xxhash64(F.lit("cuts"), key), F.lit(share)) == 0)).distinct().collect()
+    cuts = sorted((r[0] for r in some), key=lambda k: k.encode())
+    cuts = cuts[::-(-len(cuts) // 4095)] if cuts else cuts
+    if not cuts:
+        return F.lit(0)
+    known = F.lit(cuts)
+    return F.aggregate(F.lit(TEXT_STEPS), F.lit(0), lambda below, step: F.when(F.get(known, below + step - 1) < F.col(key), below + step).otherwise(below))
 
 
 def class_rank(df: DataFrame, key: str, label: str, seed: int | None = 10,
@@ -67,20 +86,23 @@ def stratified_split(df: DataFrame, key: str, label: str, train_size: float = 0.
     return null_safe_join(df, r.select(key, split.alias("split")), [key])
 
 
-def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0,
-                   name: str = "permuted") -> DataFrame:
-    """A random permutation of the label column over the keys.
+def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0, name: str = "permuted",
+                   by: list[str] | None = None, hash_name: str = "xxhash64") -> DataFrame:
+    """A random permutation of the label column over the keys, within each group ``by``.
 
     The row at position r in key order receives the label of the row at
     position r in hash order; both positions come from distributed ranks
-    and meet in one equi-join on r (no shuffle of a single partition)."""
-    by_key = cumulative(df.select(key, _key_order(df, key).alias("_o")), [], "_o", unique_by=[key]) \
-        .select(key, F.col("_cum").alias("_r"))
-    by_hash = cumulative(df.select(key, label, _hash(seed, F.col(key)).alias("_o")), [], "_o",
+    and meet in one equi-join on r (no shuffle of a single partition). A NULL
+    key is a key like any other and comes first."""
+    by = by or []
+    by_key = cumulative(df.select(*by, key, _key_order(df, key).alias("_o")), by, "_o", unique_by=[key]) \
+        .select(*by, key, F.col("_cum").alias("_r"))
+    order = HASHES[hash_name](seed, *[F.col(c) for c in by], F.col(key))
+    by_hash = cumulative(df.select(*by, key, label, order.alias("_o")), by, "_o",
                          group=[label], unique_by=[key]) \
-        .select(F.col(label).alias(name), F.col("_cum").alias("_r"))
-    perm = by_key.join(by_hash, "_r").select(key, name)
-    return null_safe_join(df, perm, [key])
+        .select(*by, F.col(label).alias(name), F.col("_cum").alias("_r"))
+    perm = null_safe_join(by_key, by_hash, [*by, "_r"]).select(*by, key, name)
+    return null_safe_join(df, perm, [*by, key])
 
 
 def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:
@@ -171,7 +193,7 @@ ORDERED_ROWS = 4096
 
 
 def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
-                         n_permutations: int, seed: int = 0) -> DataFrame:
+                         n_permutations: int, seed: int = 0, hash_name: str = "xxhash64") -> DataFrame:
     """M11 (scale mode): null distribution of the AUC of fixed scores under
     permuted labels. In permutation b the positives are the n1 keys first in
     ``xxhash64(seed, b, key)`` order, and the AUC follows from their rank sum.
@@ -193,7 +215,7 @@ def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
     n0 = n - n1
     bits = max(0, math.ceil(math.log2(max(n, 1) / ORDERED_ROWS)))
     rows = ranked.select(key, "mid", F.explode(F.sequence(F.lit(0), F.lit(n_permutations - 1))).alias("perm"))
-    rows = rows.withColumn("_h", _hash(seed, F.col("perm"), F.col(key)))
+    rows = rows.withColumn("_h", HASHES[hash_name](seed, F.col("perm"), F.col(key)))
     rows = rows.withColumn("_bin", F.shiftright("_h", 64 - bits) if bits else F.lit(0).cast("bigint"))
     run = Window.partitionBy("perm").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = rows.groupBy("perm", "_bin").agg(F.count(F.lit(1)).alias("_n"), F.sum("mid").alias("_m"))
@@ -209,9 +231,9 @@ def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
 
 
 def permutation_test(df: DataFrame, key: str, label: str, score: str, true_score: float | None = None,
-                     n_permutations: int = 1000, seed: int = 0) -> DataFrame:
+                     n_permutations: int = 1000, seed: int = 0, hash_name: str = "xxhash64") -> DataFrame:
     """p = (k + 1) / (n + 1) with k null AUCs >= the true AUC."""
-    null = permutation_null_auc(df, key, label, score, n_permutations, seed)
+    null = permutation_null_auc(df, key, label, score, n_permutations, seed, hash_name)
     if true_score is None:
         true_score = auc_exact(df, label, score).first()["auc"]
     return perm_pvalue(null, "auc", true_score).withColumn("true_auc", F.lit(float(true_score)))

@@ -90,6 +90,35 @@ def ols_fit(spark, sf_dir):
     return rounded(table.withColumn("r2", F.lit(st["r2"])))
 
 
+def _ols_aliased_sql() -> str:
+    s = ("SELECT count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my, var_pop(l_quantity) AS v1, var_pop(l_discount) AS v2, "
+         "covar_pop(l_quantity, l_discount) AS c12, covar_pop(l_extendedprice, l_quantity) AS c1, covar_pop(l_extendedprice, l_discount) AS c2, var_pop(l_extendedprice) AS vy FROM lineitem")
+    b = "SELECT *, v1 * v2 - c12 * c12 AS det, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM s"
+    e = "SELECT *, n * (vy - b1 * c1 - b2 * c2) / (n - 3) / n AS q, 1 - (vy - b1 * c1 - b2 * c2) / vy AS r2 FROM b"
+    rows = ("SELECT 'Intercept' AS term, my - b1 * m1 - b2 * m2 AS coef, sqrt(q * (1 + (m1 * m1 * v2 - 2 * m1 * m2 * c12 + m2 * m2 * v1) / det)) AS se, r2, n FROM e UNION ALL "
+            "SELECT 'l_quantity', b1, sqrt(q * v2 / det), r2, n FROM e UNION ALL SELECT 'l_discount', b2, sqrt(q * v1 / det), r2, n FROM e UNION ALL "
+            "SELECT 'twice', NULL, NULL, r2, n FROM e")
+    return (f"WITH s AS ({s}), b AS ({b}), e AS ({e}) SELECT term, {r('coef')} AS coef, {r('se')} AS se, {r('coef / se')} AS t, "
+            f"CASE WHEN coef IS NOT NULL THEN {r(D.sql_t_sf_two_sided('coef / se', '(n - 3)'))} END AS p, {r('r2')} AS r2 FROM ({rows}) x")
+
+
+@query("ols_aliased", "R3", sql=_ols_aliased_sql())
+def ols_aliased(spark, sf_dir):
+    """Two predictors, and a third that is a combination of the first and the intercept."""
+    li = FX.t(spark, sf_dir, "lineitem").withColumn("twice", F.col("l_quantity") * 2 + 1)
+    table, st = M.ols_fit(li, "l_extendedprice", ["l_quantity", "l_discount", "twice"])
+    return rounded(table.withColumn("r2", F.lit(st["r2"])))
+
+
+@query("odds_ratio_of_a_flag", "R4 C12 J4", sql=with_views(
+    f", t AS {_two_by_two()} SELECT term, round_even(coef, 4) AS coef, round_even(exp(coef), 4) AS odds_ratio, round_even(exp(coef - {M.Z975} * se), 4) AS ci_lo, "
+    f"round_even(exp(coef + {M.Z975} * se), 4) AS ci_hi FROM (SELECT 'Intercept' AS term, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM t UNION ALL "
+    "SELECT 'flag_disc', ln(a * d / (b * c)), sqrt(1 / a + 1 / b + 1 / c + 1 / d) FROM t) x", "f_flags").replace("\n, t AS", ", t AS"))
+def odds_ratio_of_a_flag(spark, sf_dir):
+    table, _ = M.logit_fit(FX.f_flags(spark, sf_dir), "outcome", ["flag_disc"])
+    return M.logit_odds_ratios(table).drop("p", "p_fdr")
+
+
 @query("logit_odds_ratios", "R4 C12 J4 T7")
 def logit_odds_ratios(spark, sf_dir):
     table, _ = M.logit_fit(FX.f_cohort(spark, sf_dir), "outcome", ["avg_qty", "avg_disc", "C(r_name)"])
@@ -172,6 +201,47 @@ def select_elastic_net(spark, sf_dir):
     return M.select_elastic_net(FX.f_wide(spark, sf_dir), FX.embed_cols(), "y", reg=0.05, l1_ratio=0.5)
 
 
+@query("elastic_net_optimality", "M3", sql=" UNION ALL ".join(f"SELECT '{c}' AS feature, true AS optimal" for c in ["(intercept)", *FX.embed_cols()]))
+def elastic_net_optimality(spark, sf_dir):
+    """First-order conditions of the selector's objective, the gradient taken by column expressions."""
+    alpha, l1_ratio, cols = 0.05, 0.5, FX.embed_cols()
+    z = cut_lineage(M.scale_features(FX.f_wide(spark, sf_dir), cols, ddof=0, keep=["y"]))
+    found = PL.fit_selector(z, cols, "y", "elastic_net", alpha, l1_ratio)
+    margin = sum((F.lit(found.scores[c]) * F.col(c) for c in cols), F.lit(found.intercept))
+    error = 1.0 / (1.0 + F.exp(-margin)) - F.col("y")
+    slopes = z.agg(F.avg(error).alias("(intercept)"), *[F.avg(error * F.col(c)).alias(c) for c in cols])
+
+    def holds(c):
+        w = found.scores[c]
+        if w:
+            return F.abs(F.col(c) + alpha * (l1_ratio * (1 if w > 0 else -1) + (1 - l1_ratio) * w)) < 1e-6
+        return F.abs(F.col(c)) < alpha * l1_ratio + 1e-6
+
+    facts = [F.struct(F.lit(c).alias("feature"), (holds(c) if c in cols else F.abs(F.col(c)) < 1e-6).alias("optimal")) for c in ["(intercept)", *cols]]
+    return slopes.select(F.explode(F.array(*facts)).alias("x")).select("x.*")
+
+
+@query("svm_optimality", "M5", sql="SELECT 'duality gap' AS fact, true AS holds UNION ALL SELECT 'dual weights balance' AS fact, true AS holds")
+def svm_optimality(spark, sf_dir):
+    """The SVM's primal and dual objectives by column expressions: no weights could do better than the gap."""
+    cols, cost, tol = FX.embed_cols(), 1.0, 1e-3
+    w = cut_lineage(FX.f_wide(spark, sf_dir))
+    svm = PL.fit_svm(w, cols, "y", cost, tol)
+    n = {row["y"]: row["n"] for row in w.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    c = F.when(F.col("y") == 1, cost * sum(n.values()) / (2 * n[1])).otherwise(cost * sum(n.values()) / (2 * n[0]))
+    side = 2 * F.col("y") - 1
+    u = F.lit(1.0) - side * svm.margin()
+    a = c * F.least(F.greatest(u / svm.width, F.lit(0.0)), F.lit(1.0))
+    of = lambda k, x: F.sum(F.when(F.col("y") == k, x).otherwise(0.0))
+    row = w.withColumns({"_a": a, "_c": c, "_u": u}).agg(F.sum(F.col("_c") * F.greatest("_u", F.lit(0.0))).alias("hinge"), of(1, F.col("_a")).alias("a1"), of(0, F.col("_a")).alias("a0"),
+                                                         *[of(k, F.col("_a") * F.col(x)).alias(f"x{k}{x}") for k in (0, 1) for x in cols]).first()
+    least = min(row["a1"], row["a0"])
+    pull = sum((row["x1" + x] * least / row["a1"] - row["x0" + x] * least / row["a0"]) ** 2 for x in cols)
+    primal = sum(b * b for b in svm.weights) / 2 + row["hinge"]
+    facts = [("duality gap", primal - (2 * least - pull / 2) <= 1.001 * tol * primal), ("dual weights balance", abs(row["a1"] - row["a0"]) <= 0.05 * least)]
+    return spark.createDataFrame(facts, "fact string, holds boolean")
+
+
 _KEYS_ONCE = "SELECT count(*) AS n, count(DISTINCT {key}) AS n_keys, CAST(0 AS BIGINT) AS n_bad FROM {src}"
 
 
@@ -206,8 +276,8 @@ def nested_cv(spark, sf_dir):
 
 @query("oof_probabilities", "M8b")
 def oof_probabilities(spark, sf_dir):
-    """Held-out probabilities of one cell: with nothing to search, a fit a fold."""
-    return PL.nested(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, PL.cells(costs=(1.0,)), outer_k=OUTER_K).oof
+    """Held-out probabilities of the tuned model, the search of ``nested_cv`` in every fold."""
+    return PL.nested(_cohort(spark, sf_dir), "o_orderkey", "outcome", COHORT_FEATURES, outer_k=OUTER_K, inner_k=INNER_K).oof
 
 
 @query("oof_every_key_once", "M8b M13", sql=with_views(_KEYS_ONCE.format(key="o_orderkey", src="f_cohort"), "f_cohort"))
@@ -242,6 +312,16 @@ def selected_features(spark, sf_dir):
     return R.drop_zero(found, "value").orderBy(F.desc("value"), "feature")
 
 
+@query("best_parameters", "M7 M10")
+def best_parameters(spark, sf_dir):
+    """The best cell with its inner score, and the columns its refitted pipeline selects."""
+    coh = _cohort(spark, sf_dir)
+    best, table = PL.search(coh, "o_orderkey", "outcome", COHORT_FEATURES, GRID, INNER_K)
+    found = PL.selected(spark, PL.fit(coh, "o_orderkey", "outcome", COHORT_FEATURES, best))
+    row = table.where((F.col("alpha") == best["alpha"]) & (F.col("l1_ratio") == best["l1_ratio"]) & (F.col("cost") == best["cost"])).first()
+    return found.select(*[F.lit(row[c]).alias(c) for c in ("alpha", "l1_ratio", "cost", "score", "sd", "n")], "feature", "value")
+
+
 @query("selected_f_test", "M4 M6 M10", sql=with_views(
     _kbest_sql_of_cohort(), "f_cohort"))
 def selected_f_test(spark, sf_dir):

@@ -312,6 +312,14 @@ def chi2_independence(spark, sf_dir):
     return rounded(ST.chi2_independence(FX.f_flags(spark, sf_dir), FX.FLAG_NAMES, "outcome"))
 
 
+@query("chi2_expected", "T6 A11", sql=(
+    "SELECT l.o_orderpriority AS level, o.o_orderstatus, count(x.o_orderkey) AS observed, " + r("max(l.n) * max(o.n) / max(t.n)") + " AS expected FROM "
+    "(SELECT o_orderpriority, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY o_orderpriority) l CROSS JOIN (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus) o "
+    "CROSS JOIN (SELECT count(*) AS n FROM orders) t LEFT JOIN orders x ON x.o_orderpriority = l.o_orderpriority AND x.o_orderstatus = o.o_orderstatus GROUP BY l.o_orderpriority, o.o_orderstatus"))
+def chi2_expected(spark, sf_dir):
+    return rounded(ST.chi2_expected(FX.t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus"))
+
+
 def _flag_summary_sql() -> str:
     counts = union([
         f"SELECT '{f}' AS flag, CAST(sum(CASE WHEN outcome = 0 THEN {f} ELSE 0 END) AS BIGINT) AS n_outcome_0, "

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import figures as FG
 from ..operators import validate as V
+from ..session import cut_lineage
 from . import fixtures as FX
 from .fixtures import with_views
 from .registry import query
@@ -187,6 +188,53 @@ def stratified_split(spark, sf_dir):
     return V.stratified_split(s, "o_orderkey", "label", train_size=0.1, seed=None)
 
 
+@query("ordered_counts_default", "A18", sql=(
+    "SELECT CAST(o.position AS INTEGER) AS position, o.o_orderpriority, s.o_orderstatus, CAST(count(x.o_orderkey) AS BIGINT) AS n FROM "
+    "(SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS position FROM (SELECT DISTINCT o_orderpriority FROM orders) d) o CROSS JOIN (SELECT * FROM (VALUES "
+    + ", ".join(f"('{v}')" for v in STATUS_LEVELS) + ") AS u(o_orderstatus)) s "
+    "LEFT JOIN orders x ON x.o_orderpriority = o.o_orderpriority AND x.o_orderstatus = s.o_orderstatus GROUP BY o.position, o.o_orderpriority, s.o_orderstatus"))
+def ordered_counts_default(spark, sf_dir):
+    return FG.ordered_counts(FX.t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus", None, STATUS_LEVELS)
+
+
+# Keys that differ only in their last characters, one that begins otherwise, and NULL.
+_TEXT_KEYS = ("(SELECT CASE WHEN o_orderkey % 1000 = 7 THEN 'A' || o_orderkey WHEN o_orderkey = 1 THEN NULL ELSE 'subject_with_a_long_name_' || o_orderkey END AS subject, label FROM f_scored)")
+
+
+def _text_keys(spark, sf_dir):
+    return FX.f_scored(spark, sf_dir).select(F.expr("CASE WHEN o_orderkey % 1000 = 7 THEN concat('A', o_orderkey) WHEN o_orderkey = 1 THEN NULL ELSE concat('subject_with_a_long_name_', o_orderkey) END").alias("subject"), "label")
+
+
+@query("stratified_folds_text_key", "W3", sql=with_views(
+    "SELECT subject, label, CAST((row_number() OVER (PARTITION BY label ORDER BY subject NULLS FIRST) - 1) % 10 AS INTEGER) AS cv_fold FROM " + _TEXT_KEYS + " k", "f_scored"))
+def stratified_folds_text_key(spark, sf_dir):
+    return V.stratified_folds(cut_lineage(_text_keys(spark, sf_dir)), "subject", "label", k=10, seed=None, name="cv_fold")
+
+
+@query("permute_labels_md5", "W4", sql=with_views(
+    "SELECT a.subject, a.label, b.label AS permuted FROM (SELECT *, row_number() OVER (ORDER BY subject NULLS FIRST) AS r FROM " + _TEXT_KEYS + " k) a JOIN "
+    "(SELECT label, row_number() OVER (ORDER BY substr(md5(concat_ws(':', '7', subject)), 1, 15), subject NULLS FIRST) AS r FROM " + _TEXT_KEYS + " k) b ON a.r = b.r", "f_scored"))
+def permute_labels_md5(spark, sf_dir):
+    """The permutation with a hash that SQL can compute as well."""
+    return V.permute_labels(cut_lineage(_text_keys(spark, sf_dir)), "subject", "label", seed=7, hash_name="md5")
+
+
+N_MD5 = 20
+
+
+@query("permutation_test_md5", "T10 M11", sql=with_views(
+    f", ranked AS (SELECT o_orderkey, label, mid FROM (SELECT o_orderkey, label, rank() OVER (ORDER BY prob) + (count(*) OVER (PARTITION BY prob) - 1) / 2.0 AS mid FROM f_scored WHERE label IS NOT NULL AND prob IS NOT NULL) m), "
+    "z AS (SELECT sum(label) AS n1, count(*) - sum(label) AS n0 FROM ranked), "
+    f"drawn AS (SELECT perm, mid, row_number() OVER (PARTITION BY perm ORDER BY substr(md5('3:' || perm || ':' || o_orderkey), 1, 15), o_orderkey) AS place FROM ranked, range({N_MD5}) t(perm)), "
+    "null_ AS (SELECT perm, (sum(mid) - max(n1) * (max(n1) + 1) / 2.0) / (max(n1) * max(n0)) AS auc FROM drawn, z WHERE place <= n1 GROUP BY perm), "
+    "truth AS (SELECT (sum(mid) FILTER (WHERE label = 1) - max(n1) * (max(n1) + 1) / 2.0) / (max(n1) * max(n0)) AS t FROM ranked, z) "
+    "SELECT count(*) FILTER (WHERE auc >= t) AS n_exceed, count(*) AS n_null, " + r("(count(*) FILTER (WHERE auc >= t) + 1.0) / (count(*) + 1.0)") + " AS p_value, "
+    + r("max(t)") + " AS true_auc FROM null_, truth", "f_scored").replace("\n, ranked AS", ", ranked AS"))
+def permutation_test_md5(spark, sf_dir):
+    s = FX.f_scored(spark, sf_dir)
+    return rounded(V.permutation_test(s, "o_orderkey", "label", "prob", n_permutations=N_MD5, seed=3, hash_name="md5"))
+
+
 @query("permute_labels", "W4")
 def permute_labels(spark, sf_dir):
     s = FX.f_scored(spark, sf_dir).select("o_orderkey", "label")
