@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .nulls import null_auc_from_counts
 from .ranks import cumulative, null_safe_join, rank_sums
 
 
@@ -231,9 +232,18 @@ def permutation_null_auc(df: DataFrame, key: str, label: str, score: str,
 
 
 def permutation_test(df: DataFrame, key: str, label: str, score: str, true_score: float | None = None,
-                     n_permutations: int = 1000, seed: int = 0, hash_name: str = "xxhash64") -> DataFrame:
-    """p = (k + 1) / (n + 1) with k null AUCs >= the true AUC."""
-    null = permutation_null_auc(df, key, label, score, n_permutations, seed, hash_name)
+                     n_permutations: int = 1000, seed: int = 0, hash_name: str = "xxhash64",
+                     draw: str = "counts") -> DataFrame:
+    """p = (k + 1) / (n + 1) with k null AUCs >= the true AUC.
+
+    ``draw="counts"`` draws the positives of each distinct score (``nulls``);
+    ``draw="keys"`` orders the keys by ``hash_name``, which other engines can repeat."""
+    if draw == "counts":
+        null = null_auc_from_counts(df, label, score, n_permutations, seed)
+    elif draw == "keys":
+        null = permutation_null_auc(df, key, label, score, n_permutations, seed, hash_name)
+    else:
+        raise ValueError(draw)
     if true_score is None:
         true_score = auc_exact(df, label, score).first()["auc"]
     return perm_pvalue(null, "auc", true_score).withColumn("true_auc", F.lit(float(true_score)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import figures as FG
+from ..operators import nulls as N
 from ..operators import validate as V
 from ..session import cut_lineage
 from . import fixtures as FX
@@ -232,7 +233,7 @@ N_MD5 = 20
     + r("max(t)") + " AS true_auc FROM null_, truth", "f_scored").replace("\n, ranked AS", ", ranked AS"))
 def permutation_test_md5(spark, sf_dir):
     s = FX.f_scored(spark, sf_dir)
-    return rounded(V.permutation_test(s, "o_orderkey", "label", "prob", n_permutations=N_MD5, seed=3, hash_name="md5"))
+    return rounded(V.permutation_test(s, "o_orderkey", "label", "prob", n_permutations=N_MD5, seed=3, hash_name="md5", draw="keys"))
 
 
 @query("permute_labels", "W4")
@@ -241,7 +242,28 @@ def permute_labels(spark, sf_dir):
     return V.permute_labels(s, "o_orderkey", "label", seed=7)
 
 
+# The study's number of permutations.
+N_STUDY = 10000
+
+
 @query("permutation_test", "T10 M11")
 def permutation_test(spark, sf_dir):
     s = FX.f_scored(spark, sf_dir)
-    return V.permutation_test(s, "o_orderkey", "label", "prob", n_permutations=200, seed=3)
+    return V.permutation_test(s, "o_orderkey", "label", "prob", n_permutations=N_STUDY, seed=3)
+
+
+@query("permutation_null_moments", "T10 M11", sql=with_views(
+    f"SELECT CAST(sum(y) AS BIGINT) AS n1, CAST(sum(t) - sum(y) AS BIGINT) AS n0, CAST({N_STUDY} AS BIGINT) AS n_null, "
+    "round((sum(t) + 1 - sum(t * t * t - t) / (sum(t) * (sum(t) - 1))) / (12 * sum(y) * (sum(t) - sum(y))), 12) AS variance, "
+    "true AS mean_fits, true AS variance_fits FROM (SELECT prob, CAST(count(*) AS DOUBLE) AS t, CAST(sum(label) AS DOUBLE) AS y "
+    "FROM f_scored WHERE label IS NOT NULL AND prob IS NOT NULL GROUP BY prob) g", "f_scored"))
+def permutation_null_moments(spark, sf_dir):
+    """Mean and variance of the drawn null against their closed forms, within five standard errors."""
+    s = FX.f_scored(spark, sf_dir)
+    null = N.null_auc_from_counts(s, "label", "prob", N_STUDY, seed=3)
+    drawn = null.agg(F.count("auc").alias("n"), F.avg("auc").alias("m"), F.var_samp("auc").alias("v")).first()
+    v = F.col("variance")
+    return N.null_variance(s, "label", "prob").select(
+        "n1", "n0", F.lit(drawn["n"]).cast("bigint").alias("n_null"), F.round(v, 12).alias("variance"),
+        (F.abs(F.lit(drawn["m"]) - 0.5) < 5 * F.sqrt(v / N_STUDY)).alias("mean_fits"),
+        (F.abs(F.lit(drawn["v"]) / v - 1) < 5 * (2 / N_STUDY) ** 0.5).alias("variance_fits"))
