@@ -27,6 +27,7 @@ from ..functions import dist as D
 from .design import design_matrix
 from .pipeline import fit_selector
 from .ranks import fdr_bh
+from .separation import independent_columns, separated_terms
 
 # Executors need not have this module: what runs in tasks is sent with them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -52,36 +53,69 @@ def logit_fit(df: DataFrame, label: str, terms: list[str], max_iter: int = 100,
               tol: float = 1e-10) -> tuple[DataFrame, dict]:
     """R2: logistic regression with Wald inference. Complete cases only.
 
-    Returns ``(table, stats)``: table rows ``(term, coef, se, z, p, lo, hi)``
-    with the intercept first; stats ``llf, aic, n, k``.
+    Returns ``(table, stats)``: table rows ``(term, coef, se, z, p, lo, hi,
+    status)`` with the intercept first; stats ``llf, aic, n, k``. The label is 0 or 1.
+
+    ``status`` is 'estimated'; 'separated' for a term whose estimate is not
+    finite (``separation``); 'aliased' for a combination of earlier terms. The
+    last two keep their row with NULL statistics. The others are estimated on the
+    rows that no direction of recession separates, which is the limit of the fit:
+    separated rows reach likelihood one. k counts all terms but the aliased ones.
     """
     X, safe, names = design_matrix(df, terms, keep=[label])
-    X = X.na.drop("any")
-    data = assemble(X, safe).select(F.col(label).cast("double").alias("label"), "features")
-    glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol,
-                                      fitIntercept=True, featuresCol="features", labelCol="label")
-    # IRLS passes over the data once per iteration: keep the (small) design
+    # Every pass of the search and of IRLS reads the rows: keep the (small) design
     # rows cached instead of re-deriving them from the source each time.
-    data = data.persist()
+    X = X.na.drop("any").select(*[F.col(c).cast("double") for c in [*safe, label]]).persist()
     try:
-        m = glr.fit(data)
-        s = m.summary
-        ses, pvs = list(s.coefficientStandardErrors), list(s.pValues)
-        aic, n_obs = float(s.aic), int(s.numInstances)
+        r, n_obs = triangular_factor(X, [*safe, label])
+        r = r[:, :-1]
+        used, basis = independent_columns(r, ALIASED) if n_obs else ([], r)
+        cols = [safe[j - 1] for j in used[1:]]
+        status = dict.fromkeys(range(len(safe) + 1), "aliased")
+        found, ll = {}, 0.0
+        if used:
+            factor = lambda rows: triangular_factor(rows, [*cols, label])[0][:, :-1]
+            apart, rest = separated_terms(X.select(*cols, label), cols, basis.T @ r[:, used], factor)
+            status.update({used[i]: "separated" if i in apart else "estimated" for i in range(len(used))})
+            kept = used
+            if apart:
+                whole = factor(rest)
+                # Rows may be left where only combinations of separated terms can be told apart.
+                some = independent_columns(whole, ALIASED)[0] if np.abs(whole).max(initial=0.0) > 0 else []
+                kept = [used[i] for i in some]
+            if kept:
+                found, ll = _irls(rest, [safe[j - 1] for j in kept[1:]], label, kept, max_iter, tol)
     finally:
-        data.unpersist()
+        X.unpersist()
+    rows = [(t, *(found[j] if j in found and status[j] == "estimated" else [None] * 6), status[j])
+            for j, t in enumerate(["Intercept", *names])]
+    k = len(used)
+    table = df.sparkSession.createDataFrame(
+        rows, "term string, coef double, se double, z double, p double, lo double, hi double, status string")
+    return table, {"llf": ll, "aic": 2.0 * k - 2.0 * ll, "n": n_obs, "k": k}
+
+
+def _irls(X: DataFrame, cols: list[str], label: str, places: list[int], max_iter: int, tol: float) -> tuple[dict, float]:
+    """Estimates by place (coef, se, z, p, lo, hi) and the log-likelihood."""
+    if not cols:
+        # Without columns the fit is the share of ones.
+        n, ones = X.agg(F.count(F.lit(1)), F.sum(label)).first()
+        share = ones / n
+        b, e = math.log(share / (1 - share)), 1 / math.sqrt(n * share * (1 - share))
+        p = math.erfc(abs(b / e) / math.sqrt(2))
+        return {places[0]: (b, e, b / e, p, b - Z975 * e, b + Z975 * e)}, ones * math.log(share) + (n - ones) * math.log(1 - share)
+    data = assemble(X, cols).select(F.col(label).alias("label"), "features")
+    glr = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=max_iter, tol=tol,
+                                      fitIntercept=True, featuresCol="features", labelCol="label")
+    m = glr.fit(data)
+    s = m.summary
+    ses, pvs, aic = list(s.coefficientStandardErrors), list(s.pValues), float(s.aic)
     coefs = [m.intercept] + list(m.coefficients)
     se = [ses[-1]] + ses[:-1]
     pv = [pvs[-1]] + pvs[:-1]
-    terms_out = ["Intercept"] + names
-    rows = [(t, float(b), float(e), float(b / e) if e else float("nan"), float(p),
-             float(b - Z975 * e), float(b + Z975 * e))
-            for t, b, e, p in zip(terms_out, coefs, se, pv)]
-    k = len(coefs)
-    stats = {"llf": (2.0 * k - aic) / 2.0, "aic": aic, "n": n_obs, "k": k}
-    table = df.sparkSession.createDataFrame(
-        rows, "term string, coef double, se double, z double, p double, lo double, hi double")
-    return table, stats
+    found = {j: (float(b), float(e), float(b / e) if e else float("nan"), float(p), float(b - Z975 * e), float(b + Z975 * e))
+             for j, b, e, p in zip(places, coefs, se, pv)}
+    return found, (2.0 * len(coefs) - aic) / 2.0
 
 
 def logit_odds_ratios(table: DataFrame, digits: int = 4) -> DataFrame:
@@ -144,14 +178,8 @@ def ols_fit(df: DataFrame, label: str, terms: list[str]) -> tuple[DataFrame, dic
     X = X.na.drop("any")
     r, n = triangular_factor(X, [*safe, label])
     r = np.vstack([r, np.zeros((max(0, len(safe) + 2 - len(r)), len(safe) + 2))])
-    y, used, basis = r[:, -1], [], np.zeros((len(r), 0))
-    for j in range(len(safe) + 1):
-        left = r[:, j]
-        for _ in range(2):
-            left = left - basis @ (basis.T @ left)
-        if np.linalg.norm(left) > ALIASED * np.linalg.norm(r[:, j]):
-            used.append(j)
-            basis = np.column_stack([basis, left / np.linalg.norm(left)])
+    y = r[:, -1]
+    used, basis = independent_columns(r[:, :-1], ALIASED)
     upper = basis.T @ r[:, used]
     coef = np.linalg.solve(upper, basis.T @ y) if used else np.zeros(0)
     left = y - basis @ (basis.T @ y)

@@ -58,7 +58,7 @@ def _logit_sql() -> str:
 @query("logit_fit", "R2", sql=_logit_sql())
 def logit_fit(spark, sf_dir):
     table, _ = M.logit_fit(FX.f_flags(spark, sf_dir), "outcome", ["flag_disc"])
-    return rounded(table)
+    return rounded(table.drop("status"))
 
 
 @query("aic_expr", "C15 R2", sql=with_views(
@@ -110,6 +110,20 @@ def ols_aliased(spark, sf_dir):
     return rounded(table.withColumn("r2", F.lit(st["r2"])))
 
 
+@query("logit_separated", "R2", sql=with_views(
+    ", t AS (SELECT CAST(count(*) FILTER (WHERE flag_disc = 1 AND outcome = 1) AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE flag_disc = 1 AND outcome = 0) AS DOUBLE) AS b, "
+    "CAST(count(*) FILTER (WHERE flag_disc = 0 AND outcome = 1) AS DOUBLE) AS c, CAST(count(*) FILTER (WHERE flag_disc = 0 AND outcome = 0) AS DOUBLE) AS d FROM f_flags WHERE flag_r = 1) "
+    f"SELECT 'flag_disc' AS term, {r('ln(a * d / (b * c))')} AS coef, {r('sqrt(1 / a + 1 / b + 1 / c + 1 / d)')} AS se, 'estimated' AS status FROM t UNION ALL "
+    "SELECT term, NULL, NULL, status FROM (VALUES ('Intercept', 'separated'), ('flag_r', 'separated'), ('twice', 'aliased')) v(term, status)",
+    "f_flags").replace("\n, t AS", ", t AS"))
+def logit_separated(spark, sf_dir):
+    """No row without flag_r has the outcome: the flag and the intercept have no finite
+    estimate, flag_disc is estimated on the rows that have the flag."""
+    df = FX.f_flags(spark, sf_dir).withColumn("twice", 2 * F.col("flag_disc") + 1)
+    table, _ = M.logit_fit(df, "outcome", ["flag_r", "flag_disc", "twice"])
+    return rounded(table.select("term", "coef", "se", "status"))
+
+
 @query("odds_ratio_of_a_flag", "R4 C12 J4", sql=with_views(
     f", t AS {_two_by_two()} SELECT term, round_even(coef, 4) AS coef, round_even(exp(coef), 4) AS odds_ratio, round_even(exp(coef - {M.Z975} * se), 4) AS ci_lo, "
     f"round_even(exp(coef + {M.Z975} * se), 4) AS ci_hi FROM (SELECT 'Intercept' AS term, ln(c / d) AS coef, sqrt(1 / c + 1 / d) AS se FROM t UNION ALL "
