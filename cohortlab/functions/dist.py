@@ -17,6 +17,7 @@ Arguments are SQL snippets: column names, literals or small expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,6 +67,14 @@ class _Spark:
         t = f"({z} + {LANCZOS_G + 0.5!r})"
         return f"({0.5 * math.log(2 * math.pi)!r} + ({z} + 0.5) * ln({t}) - {t} + ln({a}))"
 
+    @staticmethod
+    def let(name: str, body: Callable[..., str], **values: str) -> str:
+        """``body`` of the values, worked out once a row and named, so that the
+        text that repeats them stays short and flat (the SQL parser's time
+        grows steeply with nested parentheses)."""
+        fields = ", ".join(f"'{k}', {v}" for k, v in values.items())
+        return f"(transform(array(named_struct({fields})), {name} -> {body(*(f'{name}.{k}' for k in values))})[0])"
+
 
 class _Duck:
     @staticmethod
@@ -91,6 +100,10 @@ class _Duck:
     def lgamma(x: str) -> str:
         return f"lgamma({x})"
 
+    @staticmethod
+    def let(name: str, body: Callable[..., str], **values: str) -> str:
+        return body(*values.values())
+
 
 def _steps(*shape: str) -> str:
     big = f"greatest({', '.join(f'abs({s})' for s in shape)})" if len(shape) > 1 else f"abs({shape[0]})"
@@ -130,12 +143,15 @@ def _betainc(d, a: str, b: str, x: str) -> str:
         return (f"exp({d.lgamma(f'{a_} + {b_}')} - {d.lgamma(a_)} - {d.lgamma(b_)} "
                 f"+ {a_} * ln({x_}) + {b_} * ln(1.0 - {x_}))")
 
-    one_minus = f"(1.0 - {x})"
-    direct = f"{front(a, b, x)} * {_betacf(d, a, b, x)} / {a}"
-    flipped = f"1.0 - {front(b, a, one_minus)} * {_betacf(d, b, a, one_minus)} / {b}"
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 OR greatest({a}, {b}) > {LARGE!r} "
-            f"THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
-            f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
+    def tail(a: str, b: str, x: str) -> str:
+        one_minus = f"(1.0 - {x})"
+        direct = f"{front(a, b, x)} * {_betacf(d, a, b, x)} / {a}"
+        flipped = f"1.0 - {front(b, a, one_minus)} * {_betacf(d, b, a, one_minus)} / {b}"
+        return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {b} IS NULL OR {a} <= 0 OR {b} <= 0 OR greatest({a}, {b}) > {LARGE!r} "
+                f"THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 0.0 WHEN {x} >= 1 THEN 1.0 "
+                f"WHEN {x} < ({a} + 1.0) / ({a} + {b} + 2.0) THEN {direct} ELSE {flipped} END)")
+
+    return d.let("of_beta", tail, a=a, b=b, x=x)
 
 
 def _gamma_parts(d, a: str, x: str) -> tuple[str, str, str]:
@@ -161,13 +177,18 @@ def _gammainc_upper(d, a: str, x: str) -> str:
     """Q(a, x); for a above LARGE by the cube-root normal approximation
     (Wilson and Hilferty), whose error there is below 1e-9."""
     a, x = f"CAST({a} AS DOUBLE)", f"CAST({x} AS DOUBLE)"
-    series, cf, pref = _gamma_parts(d, a, x)
-    large = ""
-    if not _is_small(a):
-        root = f"((power({x} / {a}, 1.0 / 3.0) - 1.0 + 1.0 / (9.0 * {a})) * 3.0 * sqrt({a}))"
-        large = f"WHEN {a} > {LARGE!r} THEN {_norm_sf(d, root)} "
-    return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 {large}"
-            f"WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} ELSE {pref} * {cf} END)")
+    small = _is_small(a)
+
+    def tail(a: str, x: str) -> str:
+        series, cf, pref = _gamma_parts(d, a, x)
+        large = ""
+        if not small:
+            root = f"((power({x} / {a}, 1.0 / 3.0) - 1.0 + 1.0 / (9.0 * {a})) * 3.0 * sqrt({a}))"
+            large = f"WHEN {a} > {LARGE!r} THEN {_norm_sf(d, root)} "
+        return (f"(CASE WHEN {x} IS NULL OR {a} IS NULL OR {a} <= 0 THEN CAST(NULL AS DOUBLE) WHEN {x} <= 0 THEN 1.0 {large}"
+                f"WHEN {x} < {a} + 1.0 THEN 1.0 - {series} * {pref} ELSE {pref} * {cf} END)")
+
+    return d.let("of_half" if small else "of_gamma", tail, a=a, x=x)
 
 
 def _is_small(a: str) -> bool:
