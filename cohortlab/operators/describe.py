@@ -1,9 +1,8 @@
 """Describe, group summaries, counts, correlations, standardisation
 (A1-A5, A10-A15).
 
-Statistics for many columns are computed on the unpivoted frame
-``(by..., column, value)`` with one ``groupBy``: one scan and one shuffle of
-partial aggregates for all columns and all groups, instead of one job per
+Statistics for many columns come from one ``groupBy`` for all columns and all
+groups, one scan and one shuffle of partial aggregates, instead of one job per
 column or per stratum.
 """
 
@@ -13,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .ranks import exact_quantiles, null_safe_join
+from .ranks import column_quantiles
 
 
 def long_values(df: DataFrame, cols: list[str], by: list[str] | None = None,
@@ -32,25 +31,20 @@ def describe(df: DataFrame, cols: list[str], by: list[str] | None = None,
     uses ``percentile_approx`` (bounded memory sketch) instead.
     """
     by = by or []
-    # NULLs stay in for the moments, so an all-NULL column still gets a row
-    # (count 0, other statistics NULL) as pandas reports it.
-    long = long_values(df, cols, by)
-    keys = [*by, "column"]
-    mom = long.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
+    moments = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    points, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
     if approx:
-        q = long.where(F.col("value").isNotNull()).groupBy(*keys) \
-            .agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 10000).alias("_q"))
-        q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(["p25", "p50", "p75"])])
+        keys = [*by, "column"]
+        # NULLs stay in, so an all-NULL column still gets a row (count 0, other
+        # statistics NULL) as pandas reports it.
+        out = long_values(df, cols, by).groupBy(*keys).agg(
+            F.count("value").alias("n"), *[fn("value").alias(m) for m, fn in moments.items()], F.percentile_approx("value", points, 10000).alias("_q"))
+        out = out.withColumns({nm: F.get("_q", F.lit(i)) for i, nm in enumerate(names)})
     else:
-        q = exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75], ["p25", "p50", "p75"]).drop("n")
-    out = null_safe_join(mom, q, keys, "left")
+        out = column_quantiles(df, by, cols, points, names, moments)
     stats = ["mean", "std", "min", "p25", "p50", "p75", "max"]
     rnd = (lambda c: F.bround(F.col(c), digits)) if digits is not None else F.col
-    return out.select(*keys, F.col("count").cast("bigint").alias("count"),
-                      *[rnd(c).alias(c) for c in stats])
+    return out.select(*by, "column", F.col("n").cast("bigint").alias("count"), *[rnd(c).alias(c) for c in stats])
 
 
 def stratum_mean_std(df: DataFrame, value: str, strata: list[str],

@@ -12,10 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .describe import long_values
-from .ranks import exact_quantiles, present
+from .ranks import column_quantiles, present
 
 BLOCK = 60
+#: Binary logarithm of the entries of a bounded distinct set.
+SKETCH_LG = 6
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType, T.BooleanType)
 
@@ -82,12 +83,12 @@ def column_nunique(df: DataFrame, cols: list[str] | None = None,
 def iqr_outliers(df: DataFrame, cols: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """Values outside [Q1 - k IQR, Q3 + k IQR] per column.
 
-    Pass 1: exact quartiles of every column (distributed cumulative counts).
-    Pass 2: one conditional count per column over the original frame, with
+    First exact quartiles of every column (``ranks.column_quantiles``), then
+    one conditional count per column over the original frame, with
     the fences as literals (k rows were collected, one per column).
     """
     cols = cols or numeric_columns(df)
-    q = exact_quantiles(long_values(df, cols), ["column"], "value", [0.25, 0.75], ["q1", "q3"])
+    q = column_quantiles(df, [], cols, [0.25, 0.75], ["q1", "q3"])
     fences = {r["column"]: (r["q1"], r["q3"]) for r in q.collect()}
     exprs = []
     for c in cols:
@@ -135,32 +136,48 @@ def drop_sparse(df: DataFrame, threshold: float = 0.2) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in sparse])
 
 
+def distinct_sketch(c: Column) -> Column:
+    """Bounded distinct set: a theta sketch keeps the values' hashes up to its
+    nominal entries, and below that number its estimate is the exact count."""
+    return F.theta_sketch_estimate(F.theta_sketch_agg(c, SKETCH_LG))
+
+
 def infer_types(df: DataFrame, cols: list[str] | None = None, cat_max: float = 7.0,
-                float_min_distinct: int = 7) -> DataFrame:
+                float_min_distinct: int = 7, exact_counts: bool = True) -> DataFrame:
     """One decision per numeric column (rule D6):
 
     * ``boolean``  all non-NULL values in {0, 1} and max = 1;
     * ``category`` otherwise max <= 7 and fewer than 7 distinct values;
     * ``double``   otherwise.
 
-    Pass 1 gets max and the count of values outside {0, 1} for all columns;
-    pass 2 counts distinct values only for the category candidates.
+    One pass gets max, the count of values outside {0, 1} and a bounded distinct
+    set for all columns; no values are dealt out. ``n_distinct`` is given for
+    columns that the maximum leaves open. Of those with 64 values or more, which
+    are ``double`` whatever their number, it is counted by ``column_nunique``, or left
+    NULL with ``exact_counts=False``.
     """
     cols = cols or numeric_columns(df)
+    if float_min_distinct > 1 << SKETCH_LG:
+        raise ValueError(f"float_min_distinct: at most {1 << SKETCH_LG}")
     p1 = _one_row(df, cols, {
         "max": lambda c: F.max(c.cast("double")),
         "nonbin": lambda c: F.count(F.when(~c.cast("double").isin(0.0, 1.0), F.lit(1))),
+        "few": lambda c: distinct_sketch(c.cast("double")),
     })
     cand = [c for c in cols if p1[c]["max"] is not None and p1[c]["max"] <= cat_max
             and not (p1[c]["nonbin"] == 0 and p1[c]["max"] == 1.0)]
-    p2 = {r["column"]: {"nd": r["nunique"]} for r in column_nunique(df, cand).collect()} if cand else {}
+    p2 = {c: {"nd": p1[c]["few"]} for c in cand}
+    many = [c for c in cand if p1[c]["few"] >= 1 << SKETCH_LG]
+    if many:
+        counts = {r["column"]: r["nunique"] for r in column_nunique(df, many).collect()} if exact_counts else {}
+        p2 |= {c: {"nd": counts.get(c)} for c in many}
     rows = []
     for c in cols:
         mx, nonbin = p1[c]["max"], p1[c]["nonbin"]
         nd = p2.get(c, {}).get("nd")
         if mx is not None and nonbin == 0 and mx == 1.0:
             kind = "boolean"
-        elif c in p2 and nd < float_min_distinct:
+        elif nd is not None and nd < float_min_distinct:
             kind = "category"
         else:
             kind = "double"

@@ -26,6 +26,7 @@ A NULL part is a part like any other: all joins on parts are null-safe.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -40,6 +41,8 @@ BROADCAST_BYTES = 64 << 20
 # Rank error of the sketch behind a quantile's bracket, as 1 / accuracy.
 BRACKET_ACCURACY = 10_000
 WHOLE_PARTS = 20_000
+# Columns whose sketches one aggregate holds.
+COLUMNS_AT_ONCE = 16
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -231,6 +234,70 @@ def exact_quantiles(df: DataFrame, part: list[str], value: str, probs: list[floa
     return g.select(*part, "n", *[quantile(i).alias(nm) for i, nm in enumerate(names)])
 
 
+def column_quantiles(df: DataFrame, part: list[str], cols: list[str], probs: list[float], names: list[str],
+                     moments: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """``(part, column, n, moments..., names...)``: exact quantiles, as
+    ``exact_quantiles`` gives them, and other aggregates of many numeric columns.
+
+    The frame stays wide: one aggregate takes the sketches and the ``moments``
+    (double aggregates by name) of all columns, a second pass counts the values
+    below each bracket, and only the values inside a bracket become rows of
+    their own. Columns are taken in blocks, so that a task's sketches are
+    few. NULL and NaN are left out; a part whose column has no value keeps its row,
+    with n = 0 and NULL quantiles, and without parts an empty frame has one row a column.
+    """
+    blocks = [cols[i:i + COLUMNS_AT_ONCE] for i in range(0, len(cols), COLUMNS_AT_ONCE)]
+    return reduce(DataFrame.unionByName, [_column_block(df, part, block, probs, names, moments or {}) for block in blocks])
+
+
+def _column_block(df: DataFrame, part: list[str], cols: list[str], probs: list[float], names: list[str],
+                  moments: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    n_cols, spots = range(len(cols)), [(i, k) for i in range(len(cols)) for k in range(len(probs))]
+    src = df.select(*part, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    err = 3.0 / BRACKET_ACCURACY
+    edges = [x for p in probs for x in (max(0.0, p - err), min(1.0, p + err))]
+    aggs = [a for i in n_cols for a in (F.count(f"_x{i}").alias(f"_n{i}"), F.percentile_approx(f"_x{i}", edges, BRACKET_ACCURACY).alias(f"_e{i}"))]
+    table = cut_lineage(src.groupBy(*part).agg(*aggs, *[fn(F.col(f"_x{i}")).alias(f"_{m}{i}") for i in n_cols for m, fn in moments.items()]))
+    brackets = table.select(*part, *[f"_{x}{i}" for i in n_cols for x in ("n", "e")])
+    if not part:
+        rows = with_part_stats(src, brackets, [], 0)
+    else:
+        small = table.count() * len(cols) * (16 * len(edges) + 64) <= BROADCAST_BYTES
+        rows = null_safe_join(src, F.broadcast(brackets) if small else brackets, part)
+
+    def edge(i: int, k: int, high: int) -> Column:
+        outer = probs[k] + err >= 1 if high else probs[k] - err <= 0
+        return F.when(F.lit(outer) | (F.col(f"_n{i}") < WHOLE_PARTS), F.lit(float("inf" if high else "-inf"))) \
+            .otherwise(F.get(f"_e{i}", F.lit(2 * k + high)))
+
+    x = [F.col(f"_x{i}") for i in n_cols]
+    counts = rows.groupBy(*part).agg(*[F.max(f"_n{i}").alias(f"_n{i}") for i in n_cols],
+                                     *[F.count(F.when(x[i] < edge(i, k, 0), F.lit(1))).alias(f"_b{i}_{k}") for i, k in spots])
+    spot = lambda i, k, *more: F.struct(F.lit(i).alias("_c"), F.lit(k).alias("_k"), *more)
+    # The values below a bracket are one row before its values, so running counts start with them.
+    below = counts.select(*part, F.explode(F.array(*[spot(i, k, F.lit(None).cast("double").alias("_v"), F.col(f"_b{i}_{k}").alias("_m"),
+                                                          F.col(f"_n{i}").alias("_n")) for i, k in spots])).alias("_s")).select(*part, "_s.*")
+    inside = F.array_compact(F.array(*[F.when((x[i] >= edge(i, k, 0)) & (x[i] <= edge(i, k, 1)), spot(i, k, x[i].alias("_v"))) for i, k in spots]))
+    held = rows.select(*part, F.explode(inside).alias("_s")).select(*part, "_s.*").groupBy(*part, "_c", "_k", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    at = Window.partitionBy(*part, "_c", "_k")
+    run = at.orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.withColumn("_n", F.lit(None).cast("bigint")).unionByName(below) \
+        .withColumn("_end", F.sum("_m").over(run)).withColumn("_n", F.max("_n").over(at)).where(F.col("_v").isNotNull())
+    h = F.get(F.array(*[F.lit(float(p)) for p in probs]), F.col("_k")) * (F.col("_n") - 1)
+    lo = F.floor(h)
+    hi = F.least(lo + 1, F.col("_n") - 1)
+    start, end = F.col("_end") - F.col("_m"), F.col("_end")
+    found = ranked.groupBy(*part, "_c", "_k").agg(F.max(F.when((start <= lo) & (lo < end), F.col("_v"))).alias("_lo"),
+                                                  F.max(F.when((start <= hi) & (hi < end), F.col("_v"))).alias("_hi"), F.first(h - lo).alias("_fr"))
+    low, high, fr = F.col("_lo"), F.col("_hi"), F.col("_fr")
+    lost = F.raise_error(F.lit("column_quantiles: position outside its bracket")).cast("double")
+    quantile = F.when(low.isNull() | high.isNull(), lost).when((low == high) | (fr == 0), low).otherwise(low + fr * (high - low))
+    wide = found.withColumn("_q", quantile).groupBy(*part, "_c").agg(*[F.max(F.when(F.col("_k") == k, F.col("_q"))).alias(nm) for k, nm in enumerate(names)])
+    base = table.select(*part, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), *[F.col(f"_{m}{i}").alias(m) for m in moments])
+                                                   for i, c in enumerate(cols)])).alias("_s")).select(*part, "_s.*")
+    return null_safe_join(base, wide, [*part, "_c"], "left").select(*part, "column", "n", *moments, *names)
+
+
 def fdr_bh(df: DataFrame, p: str = "p", family: list[str] | None = None,
            order_tie: list[str] | None = None, alpha: float = 0.05,
            out: str = "p_fdr") -> DataFrame:

@@ -8,12 +8,15 @@ variables are tested in one query through the unpivoted frame.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dist as D
+from ..session import cut_lineage
 from .describe import long_values
-from .ranks import exact_quantiles, fdr_bh, rank_sums, with_part_stats
+from .ranks import COLUMNS_AT_ONCE, column_quantiles, fdr_bh, rank_sums, with_part_stats
 from .rows import complete_cases
 
 
@@ -145,16 +148,23 @@ def anova_f(df: DataFrame, cols: list[str], label: str) -> DataFrame:
 def levene_median(df: DataFrame, cols: list[str], group: str) -> DataFrame:
     """T5: Brown-Forsythe / Levene with median centring, per column.
 
-    Group medians are exact; the median table has columns x groups rows and
-    is brought to the data by a checked broadcast.
+    Group medians are exact; the median table has one row a group and is
+    brought to the data by a checked broadcast. The frame stays wide, and
+    the deviations are summed up by group for a block of columns at a time.
     """
-    long = long_values(df, cols, [group]).where(F.col("value").isNotNull() & F.col(group).isNotNull())
-    med = exact_quantiles(long, ["column", group], "value", [0.5], ["median"]).drop("n")
-    z = with_part_stats(long, med, ["column", group], 128).select(
-        "column", group, F.abs(F.col("value") - F.col("median")).alias("z"))
-    g = z.groupBy("column", group).agg(F.count("z").cast("double").alias("n"),
-                                       F.avg("z").alias("mean"), F.var_samp("z").alias("var"))
-    return _oneway_from_groups(g, ["column"])
+    src = df.where(F.col(group).isNotNull()).select(group, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"_x{i}") for i, c in enumerate(cols)])
+    groups = []
+    for at in range(0, len(cols), COLUMNS_AT_ONCE):
+        block = {f"_x{i}": c for i, c in list(enumerate(cols))[at:at + COLUMNS_AT_ONCE]}
+        part = src.select(group, *block)
+        med = cut_lineage(column_quantiles(part, [group], list(block), [0.5], ["median"])).groupBy(group).agg(
+            *[F.max(F.when(F.col("column") == x, F.col("median"))).alias(f"_m{x}") for x in block])
+        z = with_part_stats(part, med, [group], 16 * len(block) + 64).select(group, *[F.abs(F.col(x) - F.col(f"_m{x}")).alias(x) for x in block])
+        sums = z.groupBy(group).agg(*[a for x in block for a in (F.count(x).cast("double").alias(f"_n{x}"), F.avg(x).alias(f"_a{x}"), F.var_samp(x).alias(f"_v{x}"))])
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{x}").alias("n"), F.col(f"_a{x}").alias("mean"), F.col(f"_v{x}").alias("var"))
+                                    for x, c in block.items()])).alias("_s")
+        groups.append(sums.select(group, cells).select("_s.column", group, "_s.n", "_s.mean", "_s.var").where(F.col("n") > 0))
+    return _oneway_from_groups(reduce(DataFrame.unionByName, groups), ["column"])
 
 
 def _level_counts(df: DataFrame, cols: list[str], outcome: str, level_type: str = "string") -> DataFrame:

@@ -125,6 +125,21 @@ def modality_split(spark, sf_dir):
     return P.modality_split(w, groups, outcome="y", key="vec_id")["mod1"]
 
 
+@query("modality_frames", "P12", sql=with_views(" UNION ALL ".join(
+    [f"SELECT 'mod{k}' AS modality, vec_id, y, " + ", ".join(f"e{8 * k + i} AS v{i}" for i in range(8)) + " FROM f_wide" for k in range(8)]
+    + ["SELECT 'rest' AS modality, vec_id, y, " + ", ".join(f"NULL AS v{i}" for i in range(8)) + " FROM f_wide"]), "f_wide"))
+def modality_frames(spark, sf_dir):
+    """All frames of the split, one below the other."""
+    groups = {f"mod{k}": [f"e{i}" for i in range(8 * k, 8 * k + 8)] for k in range(8)}
+    frames = P.modality_split(FX.f_wide(spark, sf_dir), groups, outcome="y", key="vec_id")
+    rows = []
+    for name, frame in frames.items():
+        values = groups.get(name, [])
+        rows.append(frame.select(F.lit(name).alias("modality"), "vec_id", "y", *[
+            (F.col(values[i]) if values else F.lit(None).cast("double")).alias(f"v{i}") for i in range(8)]))
+    return FX.union_all(rows)
+
+
 @query("key_parse", "C1 P13", sql=(
     "SELECT c_custkey, TRY_CAST(substr(c_name, 10) AS BIGINT) AS parsed_key, "
     "TRY_CAST(substr(c_name, 10) AS BIGINT) + 10000 AS shifted_key FROM customer"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
 
 from ..functions import dist as D
 from ..operators import describe as A
@@ -32,6 +33,16 @@ def describe_by_group(spark, sf_dir):
     return A.describe(FX.staged(FX.f_cohort(spark, sf_dir)), COHORT_CONT, by=["outcome"])
 
 
+_ORDERS_WITH_NULL = "(SELECT NULLIF(o_orderstatus, 'P') AS status, o_totalprice, o_custkey FROM orders)"
+
+
+@query("describe_null_group", "A2", sql=describe_sql(_ORDERS_WITH_NULL, ["o_totalprice", "o_custkey"], ["status"]))
+def describe_null_group(spark, sf_dir):
+    o = FX.t(spark, sf_dir, "orders")
+    o = o.select(F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_totalprice", "o_custkey")
+    return A.describe(FX.staged(o), ["o_totalprice", "o_custkey"], by=["status"])
+
+
 @query("stratum_mean_std", "A3", sql=with_views(
     "SELECT outcome, c_mktsegment, count(o_totalprice) AS n, round_even(avg(o_totalprice), 2) AS mean, "
     "round_even(stddev_samp(o_totalprice), 2) AS std FROM f_cohort GROUP BY outcome, c_mktsegment",
@@ -159,6 +170,23 @@ def infer_types(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ ranks
+# What the rules of Y1-Y3 make of the columns, whose domains are the same at every scale.
+PROFILE_TYPES = {"one": "boolean", "flag": "boolean", "n_regionkey": "category", "s_acctbal": "double", "l_linenumber": "double",
+                 "l_linecode": "category", "l_quantity": "double", "l_discount": "double", "l_tax": "double"}
+
+
+def _typed_sql() -> str:
+    made = {"boolean": "{0} <> 0", "category": "CAST({0} AS INTEGER)", "double": "CAST({0} AS DOUBLE)"}
+    return with_views("SELECT " + ", ".join(f"{made[k].format(c)} AS {c}" for c, k in PROFILE_TYPES.items()) + " FROM f_profile", "f_profile")
+
+
+@query("typed_frame", "Y1 Y2 Y3 Y4", sql=_typed_sql())
+def typed_frame(spark, sf_dir):
+    df = FX.f_profile(spark, sf_dir)
+    found = PR.infer_types(df, exact_counts=False).collect()  # one row a column
+    return PR.apply_types(df, {r["column"]: r["inferred"] for r in found})
+
+
 @query("midrank", "W1", sql=(
     "SELECT l_linestatus, l_extendedprice, count(*) AS n, "
     "sum(count(*)) OVER (PARTITION BY l_linestatus ORDER BY l_extendedprice) - (count(*) - 1) / 2.0 "

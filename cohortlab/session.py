@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,7 +65,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path inside the shared checkpoint folder (never machine-local
     on a cluster: the folder is the one the cluster names)."""
     base = ensure_checkpoint_dir(spark)
-    return f"{base.rstrip('/')}/cohortlab-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/cohortlab-{name}-{uuid.uuid4().hex[:12]}"
+    for written in _OPEN:
+        written.append(path)
+    return path
+
+
+#: Paths given out inside each open ``stages`` block.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[list[str]]:
+    """Own the stages that operators write inside the block: on leaving, their
+    folders are deleted from the checkpoint folder. Results are lazy, so
+    write or collect them inside."""
+    written: list[str] = []
+    _OPEN.append(written)
+    try:
+        yield written
+    finally:
+        _OPEN[:] = [w for w in _OPEN if w is not written]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in written:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, how: str = "table") -> DataFrame:

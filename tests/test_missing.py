@@ -1,6 +1,7 @@
 """Missing values, hot values and large numbers: each case has one defined result."""
 
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from cohortlab.operators import ranks as W
 from cohortlab.operators import rows as R
 from cohortlab.operators import stattests as ST
 from cohortlab.operators import validate as V
+from cohortlab.session import stages
 from cohortlab.sources import io
 
 
@@ -192,3 +194,46 @@ def test_permutation_null_bins(spark, monkeypatch):
     monkeypatch.setattr(V, "ORDERED_ROWS", 16)
     assert {r.perm: pytest.approx(r.auc) for r in V.permutation_null_auc(df, "k", "y", "s", 20, seed=4).collect()} == whole
     assert len(whole) == 20
+
+
+@pytest.mark.parametrize("n, block", [(6000, 2), (150_000, 16)])  # parts ordered whole, and by brackets
+def test_column_quantiles_equal_numpy(spark, monkeypatch, n, block):
+    monkeypatch.setattr(W, "COLUMNS_AT_ONCE", block)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(np.array(["a", "b", None], dtype=object), n, p=[0.4, 0.4, 0.2]),
+                        "x": np.where(rng.random(n) < 0.3, 5.0, rng.normal(5, 3, n).round(2)),
+                        "y": np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 9, n))})
+    df = spark.createDataFrame(pdf).select("g", "x", "y", F.lit(None).cast("double").alias("none"))
+    probs, names = [0.0, 0.25, 0.5, 0.9, 1.0], list("abcde")
+    got = {(r.g, r.column): r for r in W.column_quantiles(df, ["g"], ["x", "y", "none"], probs, names, {"top": F.max}).collect()}
+    assert len(got) == 9
+    for (g, c), r in got.items():
+        v = pdf[pdf.g.isna() if g is None else pdf.g == g][c].dropna() if c != "none" else pd.Series(dtype="float64")
+        assert r.n == len(v)
+        assert [r[k] for k in names] == (pytest.approx(list(np.quantile(v, probs))) if len(v) else [None] * 5)
+        assert r.top == (v.max() if len(v) else None)
+    whole = {r.column: r for r in W.column_quantiles(df, [], ["x", "none"], [0.5], ["m"]).collect()}
+    assert (whole["x"].m, whole["none"].m, whole["none"].n) == (pytest.approx(np.median(pdf.x)), None, 0)
+    empty = df.where("x > 1e9")
+    assert [(r.column, r.n, r.m) for r in W.column_quantiles(empty, [], ["x"], [0.5], ["m"]).collect()] == [("x", 0, None)]
+    assert W.column_quantiles(empty, ["g"], ["x"], [0.5], ["m"]).collect() == []
+
+
+def test_bounded_distinct_sets(spark):
+    df = spark.range(5000).selectExpr("id % 6 as six", "id % 7 as seven", "-cast(id as double) / 3 as many", "cast(null as int) as nothing",
+                                      "if(id % 2 = 0, double('nan'), 1.5) as nan", "-(id % 63) as below", "-(id % 64) as full")
+    for exact in (True, False):
+        got = {r.column: (r.n_distinct, r.inferred) for r in PR.infer_types(df, exact_counts=exact).collect()}
+        assert got["six"] == (6, "category") and got["seven"] == (7, "double") and got["below"] == (63, "double")
+        assert got["nothing"] == (None, "double")
+        assert got["many"] == (5000 if exact else None, "double") and got["full"] == (64 if exact else None, "double")
+    plan = df.agg(PR.distinct_sketch(F.col("many")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "SinglePartition" in plan  # partial sets only
+
+
+def test_stages_are_deleted_by_their_owner(spark):
+    df = spark.range(100).selectExpr("id % 3 as g", "cast(id as double) as v")
+    with stages(spark) as written:
+        assert A.describe(df, ["v"], by=["g"]).count() == 3
+        assert written and all(os.path.isdir(p.removeprefix("file:")) for p in written)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in written)
