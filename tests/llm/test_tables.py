@@ -78,6 +78,26 @@ def test_leak_edges(spark):
     assert decontam.without_leaks(df, none).count() == len(rows)
 
 
+def test_leaks_of_an_item_with_two_texts(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(25)) for c in "ab")
+    items = spark.createDataFrame([(1, one), (1, two), (2, one)], ITEMS)
+    docs = clashing(spark, [(1, "x " + two), (2, one + " y " + two), (3, one), (3, "z " + one), (4, "a0 " * 40)])
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["hamming"], r["start"], r["n_windows"]) for r in decontam.leaks(docs, items).collect()}
+    # Where both texts of a document hold the item, each place counts once.
+    assert got == {(1, 1): (1, 0, 1, 1), (2, 1): (1, 0, 0, 2), (2, 2): (1, 0, 0, 1), (3, 1): (1, 0, 0, 2), (3, 2): (1, 0, 0, 2)}
+
+
+def test_leaks_name_items_by_the_index(spark):
+    """Without a radius only windows with the item's own fingerprint are found, whatever shingles they share."""
+    rnd = random.Random(5)
+    text = words(rnd, 120)
+    docs = [(0, text), (1, text[:30] + ["changed"] + text[31:])]
+    items = spark.createDataFrame([(1, " ".join(text))], ITEMS)
+    frame = clashing(spark, [(d, " ".join(w)) for d, w in docs])
+    assert [r["doc_id"] for r in decontam.leaks(frame, items, radius=0).collect()] == [0]
+    assert sorted(r["doc_id"] for r in decontam.leaks(frame, items).collect()) == [0, 1]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     small = sorted(tuple(r) for r in decontam.leaks(docs, items).collect())
