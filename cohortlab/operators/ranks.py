@@ -257,8 +257,11 @@ def _column_block(df: DataFrame, part: list[str], cols: list[str], probs: list[f
     err = 3.0 / BRACKET_ACCURACY
     edges = [x for p in probs for x in (max(0.0, p - err), min(1.0, p + err))]
     aggs = [a for i in n_cols for a in (F.count(f"_x{i}").alias(f"_n{i}"), F.percentile_approx(f"_x{i}", edges, BRACKET_ACCURACY).alias(f"_e{i}"))]
-    table = cut_lineage(src.groupBy(*part).agg(*aggs, *[fn(F.col(f"_x{i}")).alias(f"_{m}{i}") for i in n_cols for m, fn in moments.items()]))
-    brackets = table.select(*part, *[f"_{x}{i}" for i in n_cols for x in ("n", "e")])
+    sums = src.groupBy(*part).agg(*aggs, *[fn(F.col(f"_x{i}")).alias(f"_{m}{i}") for i in n_cols for m, fn in moments.items()])
+    cells = F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), F.col(f"_e{i}").alias("_e"),
+                               *[F.col(f"_{m}{i}").alias(m) for m in moments]) for i, c in enumerate(cols)])
+    table = cut_lineage(sums.select(*part, cells.alias("_s")))
+    brackets = table.select(*part, *[F.get("_s", F.lit(i))[x].alias(f"_{x.strip('_')}{i}") for i in n_cols for x in ("n", "_e")])
     if not part:
         rows = with_part_stats(src, brackets, [], 0)
     else:
@@ -293,8 +296,7 @@ def _column_block(df: DataFrame, part: list[str], cols: list[str], probs: list[f
     lost = F.raise_error(F.lit("column_quantiles: position outside its bracket")).cast("double")
     quantile = F.when(low.isNull() | high.isNull(), lost).when((low == high) | (fr == 0), low).otherwise(low + fr * (high - low))
     wide = found.withColumn("_q", quantile).groupBy(*part, "_c").agg(*[F.max(F.when(F.col("_k") == k, F.col("_q"))).alias(nm) for k, nm in enumerate(names)])
-    base = table.select(*part, F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.lit(c).alias("column"), F.col(f"_n{i}").alias("n"), *[F.col(f"_{m}{i}").alias(m) for m in moments])
-                                                   for i, c in enumerate(cols)])).alias("_s")).select(*part, "_s.*")
+    base = table.select(*part, F.explode("_s").alias("_s")).select(*part, *[F.col("_s")[x].alias(x) for x in ("_c", "column", "n", *moments)])
     return null_safe_join(base, wide, [*part, "_c"], "left").select(*part, "column", "n", *moments, *names)
 
 
