@@ -5,16 +5,18 @@ words. A window is fingerprinted by SimHash over its weighted word shingles; a
 multi-index over the blocks of the items' fingerprints finds every item within
 the Hamming radius; the exact weighted similarity of the shingles decides.
 
-Which windows are fingerprinted: a window as similar as asked for shares at
-least one shingle with its item, so windows of an item's length are laid where a
-shingle of the document is also one of an item, with both copies of the
-shingle in the same place. A window of an altered passage is thus laid once for each
-alignment that its shared shingles give. Laying names no item; the multi-index does.
+Which windows are fingerprinted: every place and every length of an item is judged
+by a bound. A window as similar as asked for shares with its item at least that
+part of the item's weight, so the shingles in it that are of any item of its
+length weigh at least that part of the lightest such item. Their weight is a running
+sum over a document's places; all windows that reach the bound are laid, whatever the
+order of their shingles, and no other window could pass. Laying names no item; the
+multi-index does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -75,8 +77,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 8
 
     Returns (key, doc_id, item_id, similarity, hamming, start, n_windows):
     the best window's similarity, its fingerprint's distance from the item's
-    and its first word (from 0; ties: least distance, then first), and how
-    many of the laid windows passed. A window passes when it is as long as the
+    and its first word (from 0; ties: least distance, then first), and at how
+    many places windows passed: windows of a text that start at adjacent words
+    are one place, that of the best of them. A window passes when it is as long as the
     item (or is the whole of a shorter document), its fingerprint lies within
     ``radius`` and shared weight / weight of the union of the shingles is
     percent/100 or more. Items shorter than a shingle are their own only one.
@@ -98,33 +101,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 8
     which a corpus has more than a benchmark has items.
     """
     text = docs[text_col].cast("string")
-    docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("key"), docs[id_col].isNotNull().alias("named"), text.alias("text"))
+    docs = docs.select(F.coalesce(docs[id_col].cast("long"), F.xxhash64(text)).alias("key"), docs[id_col].isNotNull().alias("named"), F.xxhash64(text).alias("of"), text.alias("text"))
     items = items_of(benchmark, size, item_col, item_text_col)
     small = items.count() * BLOCKS * 64 <= BROADCAST_ROWS
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``size`` values
 
     at = []
     for k in sizes or [size]:
-        of_item = items.where(F.col("size") == k).select("n", F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-        index = stage(of_item.select("n", F.posexplode(F.expr(grams("h", k))).alias("in_item", "g")).distinct())
+        of_item = items.where(F.col("size") == k).select("n", "s", F.expr(WEIGHT.format("s")).alias("weight"))
+        lightest = of_item.groupBy("n").agg(F.min("weight").alias("least"))
+        index = stage(of_item.select("n", F.explode("s").alias("x")).select("n", "x.g", "x.w").distinct().join(lightest, "n"))
         if index.count() <= BROADCAST_ROWS:
             index = F.broadcast(index)
         hashed = docs.select("key", "named", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
         of_doc = hashed.select("key", "named", F.posexplode(F.expr(grams("h", k))).alias("in_doc", "g"))
-        at.append(of_doc.join(index, "g").select("key", "named", F.lit(k).alias("size"), "n", (F.col("in_doc") - F.col("in_item")).alias("start")))
-    laid = at[0]
+        at.append(of_doc.join(index, "g").select("key", "named", F.lit(k).alias("size"), "n", "least", "in_doc", "w"))
+    hits = at[0]
     for more in at[1:]:
-        laid = laid.unionByName(more)
-    laid = stage(laid.distinct().groupBy("key", "named").agg(F.collect_list(F.struct("size", "n", "start")).alias("laid")))
-
-    # Windows that overlap an end are moved inside the text, where several may meet.
-    inside = F.expr("""array_distinct(transform(laid, x -> named_struct('size', x.size, 'n', least(x.n, len),
-        'start', greatest(0, least(x.start, len - least(x.n, len))))))""")
-    words = docs.join(laid, ["key", "named"]).select("key", "named", "laid", words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
-    windows = (words.select("key", "named", "words", "len", F.explode(inside).alias("x")).where("x.n >= x.size")
-               .select("key", "named", "len", "x.size", "x.n", "x.start", F.expr("slice(words, x.start + 1, x.n)").alias("words")))
+        hits = hits.unionByName(more)
+    # A hit weighs in the windows that start from n - size places before it up to its own place.
+    steps = F.array(F.struct((F.col("in_doc") - F.col("n") + F.col("size")).alias("at"), F.col("w").alias("by")),
+                    F.struct((F.col("in_doc") + 1).alias("at"), (-F.col("w")).alias("by")))
+    length = ["key", "named", "size", "n", "least"]
+    steps = hits.distinct().select(*length, F.explode(steps).alias("x")).groupBy(*length, "x.at").agg(F.sum("x.by").alias("by"))
+    along = Window.partitionBy(*length).orderBy("at")
+    enough = steps.select(*length, "at", (100 * F.sum("by").over(along) >= percent * F.col("least")).alias("enough"))
+    turns = enough.withColumn("before", F.coalesce(F.lag("enough").over(along), F.lit(False))).where("enough != before")
+    ranges = turns.withColumn("end", F.lead("at").over(along)).where("enough and end is not null")
+    laid = stage(ranges.groupBy("key", "named").agg(F.collect_list(F.struct("size", "n", "at", "end")).alias("laid")))
+
+    # The whole of a document shorter than several items is one window.
+    some = F.expr("filter(laid, x -> x.n <= len OR x.n = array_min(transform(filter(laid, y -> y.n > len AND y.size = x.size), y -> y.n)))")
+    first, last = F.expr("greatest(0, x.at)"), F.expr("least(x.end - 1, greatest(0, len - x.n))")
+    short = laid.agg(F.sum(F.size("laid"))).first()[0] or 0
+    words = docs.join(_small(laid, short <= BROADCAST_ROWS), ["key", "named"]).select("key", "named", "of", "laid", words_of(F.col("text")).alias("words")).withColumn("len", F.size("words"))
+    windows = (words.select("key", "named", "of", "words", "len", F.explode(some).alias("x")).where(F.expr("least(x.n, len) >= x.size"))
+               .select("key", "named", "of", "words", "len", "x.size", F.expr("least(x.n, len)").alias("n"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("start"))
+               .select("key", "named", "of", "len", "size", "n", "start", F.expr("slice(words, start + 1, n)").alias("words")))
     cases = " ".join(f"WHEN size = {k} THEN {weighted('words', k)}" for k in (sizes or [size]))
-    windows = windows.select("key", "named", "len", "size", "n", "start", F.expr(f"CASE {cases} END").alias("s"))
+    windows = windows.select("key", "named", "of", "len", "size", "n", "start", F.expr(f"CASE {cases} END").alias("s"))
     windows = stage(windows.withColumn("fp", F.expr(SIMHASH)))
 
     flips = f"filter(sequence(0, {(1 << BLOCK_BITS) - 1}), m -> bit_count(m) <= {radius // BLOCKS})"
@@ -143,9 +158,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, percent: int = 8
              .withColumn("all", F.expr(WEIGHT.format("s")) + F.expr(WEIGHT.format("t")))
              .where((100 + percent) * F.col("both") >= percent * F.col("all"))
              .withColumn("similarity", F.col("both") / (F.col("all") - F.col("both"))))
-    places = exact.groupBy("key", "named", "item_id", "start", "n").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"))).alias("x"))
-    best = F.max(F.struct("x.similarity", "x.h", (-F.col("start")).alias("s")))
-    return (places.groupBy("key", "named", "item_id").agg(best.alias("x"), F.count("*").alias("n_windows"))
+    text_item = ["key", "named", "of", "item_id"]
+    passed = exact.groupBy(*text_item, "start").agg(F.max(F.struct("similarity", (-F.col("hamming")).alias("h"), (-F.col("start")).alias("s"))).alias("x"))
+    along = Window.partitionBy(*text_item).orderBy("start")
+    passed = passed.withColumn("apart", F.coalesce(F.col("start") - F.lag("start").over(along) > 1, F.lit(False)).cast("int"))
+    places = passed.withColumn("place", F.sum("apart").over(along)).groupBy(*text_item, "place").agg(F.max("x").alias("x"))
+    return (places.groupBy("key", "named", "item_id").agg(F.max("x").alias("x"), F.count_distinct("x.s").alias("n_windows"))
             .select("key", F.when(F.col("named"), F.col("key")).alias("doc_id"), "item_id", "x.similarity",
                     (-F.col("x.h")).alias("hamming"), (-F.col("x.s")).alias("start"), "n_windows"))
 

@@ -98,6 +98,19 @@ def test_leaks_name_items_by_the_index(spark):
     assert sorted(r["doc_id"] for r in decontam.leaks(frame, items).collect()) == [0, 1]
 
 
+def test_leaks_look_at_every_window(spark):
+    """A copy with its halves exchanged has no shingle in the item's place; of a long item twice, each place counts once."""
+    rnd = random.Random(11)
+    item, noise = words(rnd, 60), words(rnd, 300)
+    docs = [(1, noise[:37] + item[30:] + item[:30] + noise[37:]), (2, item[30:] + item[:30]), (3, noise[:9] + item + noise[9:200] + item[30:] + item[:30]), (4, noise)]
+    items = [(7, item), (8, words(rnd, 60))]
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.leaks(clashing(spark, [(d, " ".join(w)) for d, w in docs]), spark.createDataFrame([(i, " ".join(w)) for i, w in items], ITEMS)).collect()}
+    want = brute_leaks(docs, items)
+    assert set(got) == set(want) == {(1, 7), (2, 7), (3, 7)}
+    assert all(abs(got[k]["similarity"] - s) < 1e-9 for k, s in want.items())
+    assert [(got[d, 7]["start"], got[d, 7]["n_windows"]) for d in (1, 2, 3)] == [(37, 1), (0, 1), (9, 2)]
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     docs, items = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     small = sorted(tuple(r) for r in decontam.leaks(docs, items).collect())
