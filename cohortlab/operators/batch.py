@@ -7,8 +7,10 @@ driver. So the number of Spark jobs depends on the iterations of the slowest
 model, not on folds or grid cells.
 
 A table (``Rows``) has a 0/1 label, feature columns and small whole-number tags,
-such as fold numbers; a subset is a conjunction of conditions on tags. Tasks
-send one vector of sums each, added up in a tree of fan-in ``FAN_IN``.
+such as fold numbers; a subset is a conjunction of conditions on tags. Passes
+read blocks, a few thousand rows as one packed row, so that a pass does not
+turn every cell into Arrow again. Tasks send one vector of sums each, added up
+in a tree of fan-in ``FAN_IN`` where they are many or long.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 
 # Executors need not have this module: what runs in tasks is sent with them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # Rows of a table that one task holds, and that are worth a task; sums that one task adds up.
 ROWS_PER_TASK, ROWS_A_TASK = 50_000, 1000
 FAN_IN = 64
+# Numbers of all tasks together that come to the driver without a tree.
+GATHERED = 1_000_000
 # Numbers that the models of one batch may send in a pass.
 BATCH_NUMBERS = 4_000_000
 # Missingness patterns, and numbers of their moments, that are gathered; beyond them rows are read in each round.
@@ -42,26 +46,50 @@ Subset = tuple[tuple[int, int, bool], ...]
 
 @dataclass
 class Rows:
-    """A stored table with columns ``_y``, the tags and the features, and the number of its parts."""
+    """A stored table with columns ``_y``, the tags and the features, the same rows in blocks, and the number of its parts."""
 
     df: DataFrame
     features: list[str]
     tags: list[str]
     parts: int
+    blocks: DataFrame
 
     @staticmethod
     def of(df: DataFrame, label: str, features: list[str], tags: list[str], keep: list[str] = ()) -> Rows:
         """Written once, in as many parts as its rows need. Rows with a NULL label must be gone."""
         cells = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(f"_f{i}") for i, c in enumerate(features)]
         table = cut_lineage(df.select(*keep, F.col(label).cast("int").alias("_y"), *[F.col(t).cast("int") for t in tags], *cells))
-        n = table.count()
-        parts = max(1, -(-n // ROWS_PER_TASK), min(df.sparkSession.sparkContext.defaultParallelism, n // ROWS_A_TASK))
+        n, cores = table.count(), df.sparkSession.sparkContext.defaultParallelism
+        parts = max(1, -(-n // ROWS_PER_TASK), min(cores, n // ROWS_A_TASK))
+        if parts > cores:  # as many for each core
+            parts = -(-parts // cores) * cores
         if table.rdd.getNumPartitions() < parts:
             table = cut_lineage(table.repartition(parts))
-        return Rows(table.coalesce(parts), list(features), list(tags), parts)
+        table = table.coalesce(parts)
+        return Rows(table, list(features), list(tags), parts, _blocks(table.select("_y", *tags, *[f"_f{i}" for i in range(len(features))]), len(tags)))
 
-    def arrays(self) -> DataFrame:
-        return self.df.select("_y", *self.tags, *[f"_f{i}" for i in range(len(self.features))])
+
+def _blocks(table: DataFrame, tags: int) -> DataFrame:
+    """The rows (label, tags, features) packed and stored, one row a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y, t, x = _arrays(batch, tags)
+                packed = [y.tobytes(), t.astype(np.int32).tobytes("F"), x.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([b], pa.binary()) for b in packed]], ["n", "y", "tags", "x"])
+
+    path = scratch_path(table.sparkSession, "blocks")
+    table.mapInArrow(run, "n int, y binary, tags binary, x binary").write.option("compression", "none").parquet(path)
+    return table.sparkSession.read.parquet(path)
+
+
+def _unpacked(batch: pa.RecordBatch, tags: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Labels, tags and features of each block of a batch."""
+    for i in range(batch.num_rows):
+        n = batch.column(0)[i].as_py()
+        y, t, x = (batch.column(k)[i].as_buffer() for k in (1, 2, 3))
+        yield np.frombuffer(y, np.int64), np.frombuffer(t, np.int32).reshape((n, tags), order="F"), np.frombuffer(x).reshape(n, -1)
 
 
 def _arrays(batch: pa.RecordBatch, tags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,16 +114,16 @@ def total(rows: Rows, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndar
         from pyspark import TaskContext
         out, part = np.zeros(size), TaskContext.get().partitionId()
         for batch in batches:
-            if batch.num_rows:
-                out += work(*_arrays(batch, tags))
+            for block in _unpacked(batch, tags):
+                out += work(*block)
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         parts, sums = table.column("part").to_pylist(), table.column("sums").to_pylist()
         return pa.table({"part": [min(parts)], "sums": pa.array([sum(np.frombuffer(s) for s in sums).tobytes()], pa.binary())})
 
-    found, parts = rows.arrays().mapInArrow(run, "part long, sums binary"), rows.parts
-    while parts > 8:
+    found, parts = rows.blocks.mapInArrow(run, "part long, sums binary"), rows.parts
+    while parts > 8 and parts * size > GATHERED:
         parts = -(-parts // FAN_IN)
         found = found.groupBy((F.col("part") % parts).alias("_g")).applyInArrow(add, "part long, sums binary")
     return sum((np.frombuffer(bytes(r["sums"])) for r in sorted(found.collect())), np.zeros(size))
@@ -251,6 +279,13 @@ class Prepared:
             z[at] = now
         return (z - self.center) / self.scale
 
+    def columns(self, x: np.ndarray, cols: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+        """``apply`` of features x rows, for some columns; ``gaps`` are the rows with missing cells."""
+        z = (x[cols] - self.center[cols, None]) / self.scale[cols, None]
+        if len(gaps):
+            z[:, gaps] = self.apply(x[:, gaps].T)[:, cols].T
+        return z
+
 
 # ------------------------------------------------------------------- models
 @dataclass
@@ -278,6 +313,11 @@ class Problem:
         raise NotImplementedError
 
     def sums(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z = z[:, self.cols].T
+        return self.by_class(z[:, y != 1], z[:, y == 1])
+
+    def by_class(self, neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        """``sums`` of the rows with label 0 and 1, each as the model's columns x rows."""
         raise NotImplementedError
 
     def judge(self, sums: np.ndarray) -> tuple[float, np.ndarray | None, float]:
@@ -320,13 +360,14 @@ class Logistic(Problem):
         k = len(self.cols) + 1
         return 2 + k + k * k
 
-    def sums(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        x = np.column_stack([z[:, self.cols], np.ones(len(z))])
+    def by_class(self, neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        n = neg.shape[1] + pos.shape[1]
+        x = np.vstack([np.hstack([neg, pos]), np.ones((1, n))]).T
         m = x @ self.at
-        t = np.where(y == 1, self.targets[1], self.targets[0])
+        t = np.repeat(self.targets, [neg.shape[1], pos.shape[1]])
         q = 1 / (1 + np.exp(-np.clip(m, -700, 700)))
         loss = np.logaddexp(0, m) - t * m
-        return np.concatenate([[len(z), loss.sum()], x.T @ (q - t), (x.T @ (x * (q * (1 - q))[:, None])).ravel()])
+        return np.concatenate([[n, loss.sum()], x.T @ (q - t), (x.T @ (x * (q * (1 - q))[:, None])).ravel()])
 
     def judge(self, sums: np.ndarray):
         k, n = len(self.at), max(sums[0], 1.0)
@@ -391,18 +432,20 @@ class Hinge(Problem):
         k = len(self.cols)
         return 5 + 2 * k + (k + 1) ** 2
 
-    def sums(self, z: np.ndarray, y: np.ndarray) -> np.ndarray:
-        x = np.column_stack([z[:, self.cols], np.ones(len(z))])
-        n = sum(self.counts)
-        c = np.where(y == 1, self.cost * n / (2 * max(self.counts[1], 1)), self.cost * n / (2 * max(self.counts[0], 1)))
-        u = 1 - np.where(y == 1, 1.0, -1.0) * (x @ self.at)
-        a = c * np.clip(u / self.width, 0, 1)
-        inside = (u > 0) & (u < self.width)
-        rounded = c * np.where(u <= 0, 0.0, np.where(inside, u * u / (2 * self.width), u - self.width / 2))
-        hinge = c * np.maximum(u, 0)
-        pos, near = y == 1, x[inside]
-        return np.concatenate([[hinge.sum(), rounded.sum(), (hinge - a * u).sum(), a[pos].sum(), a[~pos].sum()], a[pos] @ x[pos, :-1], a[~pos] @ x[~pos, :-1],
-                               (near.T @ (near * (c[inside] / self.width)[:, None])).ravel()])
+    def by_class(self, neg: np.ndarray, pos: np.ndarray) -> np.ndarray:
+        k, n, w = len(self.cols), sum(self.counts), self.at[:-1]
+        sums, dual, pull, curve = np.zeros(3), [], [], np.zeros((k + 1, k + 1))
+        for x, side, count in ((pos, 1.0, self.counts[1]), (neg, -1.0, self.counts[0])):
+            c = self.cost * n / (2 * max(count, 1))
+            u = np.maximum(1 - side * (w @ x + self.at[-1]), 0)
+            a = np.minimum(u / self.width, 1)
+            sums += c * np.array([u.sum(), a @ u - self.width / 2 * (a @ a), (1 - a) @ u])
+            dual.append(c * a.sum())
+            pull.append(c * (x @ a))
+            inside = np.flatnonzero((a > 0) & (a < 1))
+            near = np.vstack([x[:, inside], np.ones((1, len(inside)))])
+            curve += (near @ near.T) * (c / self.width)
+        return np.concatenate([sums, dual, *pull, curve.ravel()])
 
     def update(self, sums: np.ndarray) -> None:
         self.passes += 1
@@ -465,18 +508,23 @@ def solve(rows: Rows, prepared: list[Prepared], problems: list[Problem]) -> None
 
 
 def _gather(prepared: list[Prepared], live: list[Problem]):
-    used = {p.prepared: prepared[p.prepared] for p in live}
+    used: dict[int, list[tuple[int, Problem]]] = {}
+    for i, p in enumerate(live):
+        used.setdefault(p.prepared, []).append((i, p))
+    cols = {f: np.unique(np.concatenate([p.cols for _, p in some])).astype(int) for f, some in used.items()}
+    own = {f: prepared[f] for f in used}
 
     def work(y: np.ndarray, tags: np.ndarray, x: np.ndarray) -> np.ndarray:
         out: list[np.ndarray | None] = [None] * len(live)
-        for f, own in used.items():
-            z, masks = own.apply(x), {}
-            for i, p in enumerate(live):
-                if p.prepared == f:
-                    if p.subset not in masks:
-                        some = members(tags, p.subset)
-                        masks[p.subset] = (z[some], y[some])
-                    out[i] = p.sums(*masks[p.subset])
+        pos, gaps, x = y == 1, np.flatnonzero(np.isnan(x).any(axis=1)), np.ascontiguousarray(x.T)
+        for f, some in used.items():
+            z, sides = own[f].columns(x, cols[f], gaps), {}
+            for i, p in some:
+                if p.subset not in sides:
+                    held = members(tags, p.subset)
+                    sides[p.subset] = [z.take(np.flatnonzero(held & at), axis=1) for at in (~pos, pos)]
+                place = np.searchsorted(cols[f], p.cols)
+                out[i] = p.by_class(*[side if len(place) == len(side) else side[place] for side in sides[p.subset]])
         return np.concatenate(out)
 
     return work

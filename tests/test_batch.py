@@ -168,3 +168,30 @@ def test_aliased_terms_are_named(spark):
     table, stats = M.ols_fit(df.limit(2), "y", ["x"])
     assert stats["n"] == 2 and all(r.se is None or not math.isfinite(r.se) for r in table.collect())
     assert [r.coef for r in M.ols_fit(df.limit(0), "y", ["x"])[0].collect()] == [None, None]
+
+
+def test_passes_read_blocks(spark, table, monkeypatch):
+    """The rows are stored packed, one block a part here, and short sums of many parts need no shuffle."""
+    monkeypatch.setattr(B, "ROWS_PER_TASK", 20)
+    rows = B.Rows.of(table.withColumn("t", F.lit(7)), "y", FEATURES, ["t"])
+    stored = rows.blocks.collect()
+    assert len(stored) <= rows.parts < sum(r["n"] for r in stored) == table.count() and rows.parts > 8
+    found = B.total(rows, 3, lambda y, t, x: np.array([y.sum(), t[:, 0].sum(), np.nansum(x)]))
+    want = rows.df.agg(F.sum("_y"), F.sum("t"), sum(F.sum(f"_f{i}") for i in range(len(FEATURES)))).first()
+    assert list(found) == pytest.approx(list(want))
+    monkeypatch.setattr(B, "GATHERED", 0)
+    assert list(B.total(rows, 3, lambda y, t, x: np.array([y.sum(), t[:, 0].sum(), np.nansum(x)]))) == pytest.approx(list(found))
+
+
+@pytest.mark.parametrize("width", [2.0, 0.05])
+def test_hinge_sums_by_class_equal_plain_ones(width):
+    rng = np.random.default_rng(3)
+    neg, pos = rng.normal(size=(2, 70)), rng.normal(size=(2, 30)) + 0.3
+    fit = B.Hinge(0, (), np.arange(2), cost=0.7, counts=(70.0, 30.0), width=width)
+    fit.at = np.array([0.4, -0.2, 0.1])
+    x, side, c = np.vstack([np.hstack([neg, pos]), np.ones(100)]).T, np.repeat([-1.0, 1.0], [70, 30]), np.repeat([0.7 * 100 / 140, 0.7 * 100 / 60], [70, 30])
+    u = 1 - side * (x @ fit.at)
+    a, inside, hinge = c * np.clip(u / width, 0, 1), (u > 0) & (u < width), c * np.maximum(u, 0)
+    rounded = c * np.where(u <= 0, 0, np.where(inside, u * u / (2 * width), u - width / 2))
+    want = [[hinge.sum(), rounded.sum(), (hinge - a * u).sum(), a[70:].sum(), a[:70].sum()], pos @ a[70:], neg @ a[:70], (x[inside].T @ (x[inside] * (c[inside] / width)[:, None])).ravel()]
+    assert list(fit.by_class(neg, pos)) == pytest.approx(list(np.concatenate(want)))
