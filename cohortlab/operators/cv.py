@@ -10,7 +10,7 @@ from ..session import cut_lineage
 from . import batch as B
 from . import pipeline as PL
 from .ranks import null_safe_join
-from .validate import METRICS, class_rank, classification_metrics, perm_pvalue, permute_labels
+from .validate import METRICS, class_rank, classification_metrics, one_class_a_key, perm_pvalue, permute_labels, with_splits
 
 # Permutations whose pipelines are fitted in the same passes.
 AT_ONCE = 20
@@ -32,10 +32,12 @@ def permutation_test_refit(df: DataFrame, key: str, label: str, features: list[s
         raise ValueError(metric)
     cell = cell or PL.cells()[-1]
     base = cut_lineage(df.where(F.col(label).isNotNull()).select(key, label, *features))
-    scores = []
+    scores, plain = [], one_class_a_key(base, key, [label])
     for first in range(0, n_permutations, AT_ONCE):
         seeds, data = range(first, min(first + AT_ONCE, n_permutations)), base
-        for i in seeds:
+        if plain:
+            data = with_splits(base, key, label, train_size, [*seeds], lambda i: f"_t{i}")
+        for i in () if plain else seeds:
             ranked = class_rank(base, key, label, i)
             data = null_safe_join(data, ranked.select(key, (F.col("rank") > F.floor(F.col("class_n") * train_size)).cast("int").alias(f"_t{i}")), [key])
         rows = B.Rows.of(data, label, features, [f"_t{i}" for i in seeds], keep=[key])
@@ -43,7 +45,8 @@ def permutation_test_refit(df: DataFrame, key: str, label: str, features: list[s
         place = {c: i for i, c in enumerate(features)}
         tests = [B.Scored(which[k], ((k, 1, True),), np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept])) for k, m in enumerate(models)]
         found = cut_lineage(B.scored(rows, prepared, tests, [key]))
-        permuted = permute_labels(found, key, "_y", seed=first, name="_perm", by=["part"])
+        # Written, as the metrics read it more than once.
+        permuted = cut_lineage(permute_labels(found, key, "_y", seed=first, name="_perm", by=["part"]).select("part", "_perm", "score"))
         table = classification_metrics(permuted, "_perm", "score", ["part"], threshold=0.0)
         scores += [(first + r["part"], None if r[metric] is None else float(r[metric])) for r in table.select("part", metric).collect()]
     null = df.sparkSession.createDataFrame(scores, "perm int, score double")

@@ -20,16 +20,18 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import batch as B
 from .ranks import null_safe_join, present
-from .validate import METRICS, class_rank, classification_metrics, metrics_long
+from .validate import METRICS, class_rank, classification_metrics, metrics_long, one_class_a_key, with_class_rank
 
 # Targets whose sums of products one aggregate takes.
 TARGETS_PER_PASS = 4
+# Rows of one part of a compact table.
+ROWS_PER_PART = 50_000
 
 
 def compact(df: DataFrame) -> DataFrame:
     """The frame written once, in as many parts as its rows need."""
     table = cut_lineage(df)
-    return table.coalesce(max(1, -(-table.count() // B.ROWS_PER_TASK)))
+    return table.coalesce(max(1, -(-table.count() // ROWS_PER_PART)))
 
 
 # ------------------------------------------------------------------ imputer
@@ -280,8 +282,15 @@ def _svms(rows: B.Rows, prepared: list[B.Prepared], wanted: list[Want], s: Setti
 
 
 def _tagged(df: DataFrame, key: str, label: str, folds: dict[str, int], seed: int, within: list[str] = ()) -> DataFrame:
-    """Fold numbers by hash order of the keys, classes spread evenly within each combination of the columns ``within``."""
+    """Fold numbers by hash order of the keys, classes spread evenly within each combination of the columns ``within``.
+
+    Where a key has rows of several classes, each of its rows meets each of the key's ranks."""
+    plain = one_class_a_key(df, key, [*within, label])
     for i, (name, k) in enumerate(folds.items()):
+        if plain:
+            df = with_class_rank(df, key, [*within, label], seed * 1000003 + i, "_rank")
+            df = df.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+            continue
         ranked = class_rank(df, key, label, seed * 1000003 + i, list(within))
         df = null_safe_join(df, ranked.select(key, ((F.col("rank") - 1) % k).cast("int").alias(name)), [key])
     return df

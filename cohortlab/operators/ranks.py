@@ -146,6 +146,30 @@ def cumulative(df: DataFrame, part: list[str], value: str, weight: str | None =
                     "_total")
 
 
+def positions(df: DataFrame, part: list[str], value: str, unique_by: list[str]) -> DataFrame:
+    """``df`` with ``_r``, the rows of its part up to each row in the order of
+    ``value`` and ``unique_by``, and ``_first``, false for a row equal in all of
+    them to an earlier one (they share ``_r``, the last one's place).
+
+    As ``cumulative``, but the rows keep their columns and are dealt out once,
+    by (part, bucket). Rows whose value is NULL or NaN are left out.
+    """
+    buckets = default_buckets(df)
+    src = df.where(present(df, value))
+    # Cuts only balance the buckets, so one row in 16, picked by hash, gives them; a part without any is one bucket.
+    picked = src.where(F.pmod(F.xxhash64(F.lit("cuts"), value, *unique_by), F.lit(16)) == 0)
+    cuts = picked.groupBy(*part).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], max(200, 20 * buckets)).alias("_cuts"))
+    if part:
+        cuts = null_safe_join(src.select(*part).distinct(), cuts, part, "left")
+    rows = _bucket(with_part_stats(src, cuts, part, 8 * buckets + 64), value, buckets)
+    before = F.sum("_n").over(Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    off = rows.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n")).select(*part, "_b", F.coalesce(before, F.lit(0)).alias("_off"))
+    run = Window.partitionBy("_b", *part).orderBy(value, *unique_by)
+    rows = rows.withColumns({"_in": F.count(F.lit(1)).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow)), "_first": F.rank().over(run) == F.row_number().over(run)})
+    rows = with_part_stats(rows, off, [*part, "_b"], 64)
+    return rows.select(*df.columns, (F.col("_off") + F.col("_in")).alias("_r"), "_first")
+
+
 def present(df: DataFrame, col: str) -> Column:
     """Neither NULL nor, for a floating column, NaN (the other missing marker)."""
     c = F.col(col)

@@ -11,13 +11,14 @@ put a class (possibly a third of all rows) into a single task.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .nulls import null_auc_from_counts
-from .ranks import cumulative, null_safe_join, rank_sums
+from .ranks import cumulative, null_safe_join, positions, rank_sums, with_part_stats
 
 
 def _hash(seed: int, *cols) -> F.Column:
@@ -68,6 +69,76 @@ def class_rank(df: DataFrame, key: str, label: str, seed: int | None = 10,
     return c.select(*part, key, F.col("_cum").alias("rank"), F.col("_total").alias("class_n"))
 
 
+# Rows of a class in one bin of hashes, on average.
+HASHED_ROWS = 16_384
+
+
+def one_class_a_key(df: DataFrame, key: str, part: list[str]) -> bool:
+    """Whether all rows of a key lie in the same class (columns ``part``)."""
+    cls = F.xxhash64(*[F.struct(F.col(c).isNull().alias("none"), F.col(c)) for c in part])
+    split = df.select(F.col(key).alias("_k"), cls.alias("_c")).groupBy("_k").agg((F.min("_c") != F.max("_c")).alias("_split"))
+    return not split.where("_split").take(1)
+
+
+def _hash_bins(n: int) -> Callable[[F.Column], F.Column]:
+    """The bin of a hash: its first bits, as many as leave about ``HASHED_ROWS`` of ``n`` rows in a bin. Bins are in the order of the hashes."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / HASHED_ROWS)))
+    return (lambda h: F.shiftright(h, 64 - bits)) if bits else (lambda h: F.lit(0).cast("bigint"))
+
+
+def _below(counts: DataFrame, part: list[str]) -> DataFrame:
+    """Counts ``_n`` by (part, _b) with ``_off``, the rows of the part in lower bins, and ``_total``."""
+    run = Window.partitionBy(*part)
+    before = F.sum("_n").over(run.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(*part, "_b", "_n", F.coalesce(before, F.lit(0)).alias("_off"), F.sum("_n").over(run).alias("_total"))
+
+
+def with_class_rank(df: DataFrame, key: str, part: list[str], seed: int, rank: str = "rank") -> DataFrame:
+    """``df`` with each row's ``class_rank`` in hash order as column ``rank``; all
+    rows of a key must lie in one class (``one_class_a_key``).
+
+    Hashes are spread evenly, so their first bits are balanced buckets without
+    a sketch. The rows themselves are dealt out by (class, bin) and keep their
+    columns, so that no join by key brings the ranks back.
+    """
+    rows = df.withColumn("_h", _hash(seed, F.col(key)))
+    rows = rows.withColumn("_b", _hash_bins(df.count())(F.col("_h")))
+    off = _below(rows.groupBy(*part, "_b").agg(F.count(F.lit(1)).alias("_n")), part).select(*part, "_b", "_off")
+    run = Window.partitionBy("_b", *part).orderBy("_h", key).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.withColumn("_in", F.count(F.lit(1)).over(run))
+    placed = with_part_stats(placed, off, [*part, "_b"], 64)
+    return placed.select(*df.columns, (F.col("_off") + F.col("_in")).alias(rank))
+
+
+def with_splits(df: DataFrame, key: str, label: str, train_size: float, seeds: list[int], name: Callable[[int], str]) -> DataFrame:
+    """``df`` with a column ``name(seed)`` for each seed: 0 for the first
+    floor(train_size * n_class) rows of each class in hash order, else 1.
+
+    Where a split ends is one (hash, key) of each class: counts by bin of
+    hashes tell its bin, and only the rows of that bin are ordered, so the table
+    is read twice and dealt out never. All rows of a key must lie in one class.
+    """
+    bin_of = _hash_bins(df.count())
+    marks = F.explode(F.array(*[F.struct(F.lit(i).alias("_i"), _hash(i, F.col(key)).alias("_h")) for i in seeds]))
+    rows = df.select(F.col(label).alias("_l"), F.col(key).alias("_k"), marks.alias("_m")).select("_l", "_k", "_m.*").withColumn("_b", bin_of(F.col("_h")))
+    taken = F.floor(F.col("_total") * F.lit(train_size))
+    counts = _below(rows.groupBy("_l", "_i", "_b").agg(F.count(F.lit(1)).alias("_n")), ["_l", "_i"])
+    last = counts.where((F.col("_off") <= taken) & (F.col("_off") + F.col("_n") > taken)).select("_l", "_i", "_b", (taken - F.col("_off")).alias("_left"))
+    # One row a class and seed.
+    edge = null_safe_join(rows, F.broadcast(cut_lineage(last)), ["_l", "_i", "_b"])
+    run = Window.partitionBy("_l", "_i").orderBy("_h", "_k")
+    edge = edge.withColumn("_in", F.count(F.lit(1)).over(run.rangeBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("_in") > F.col("_left"))
+    ends = edge.withColumn("_first", F.row_number().over(run)).where("_first = 1").select("_l", "_i", "_h", "_k").collect()
+    kind = df.schema[key].dataType
+    tests = {i: F.lit(0) for i in seeds}
+    for e in ends:
+        h = _hash(e["_i"], F.col(key))
+        same = F.lit(True) if e["_k"] is None else F.coalesce(F.col(key) >= F.lit(e["_k"]).cast(kind), F.lit(False))
+        behind = F.when(h == e["_h"], same).otherwise(h > e["_h"])
+        tests[e["_i"]] = F.when(F.col(label).eqNullSafe(F.lit(e["_l"])), behind.cast("int")).otherwise(tests[e["_i"]])
+    return df.select("*", *[tests[i].alias(name(i)) for i in seeds])
+
+
 def stratified_folds(df: DataFrame, key: str, label: str, k: int = 10, seed: int | None = 10,
                      repeat: int = 0, name: str = "fold") -> DataFrame:
     """Fold id per key, stratified by label; class shares per fold differ
@@ -96,14 +167,11 @@ def permute_labels(df: DataFrame, key: str, label: str, seed: int = 0, name: str
     and meet in one equi-join on r (no shuffle of a single partition). A NULL
     key is a key like any other and comes first."""
     by = by or []
-    by_key = cumulative(df.select(*by, key, _key_order(df, key).alias("_o")), by, "_o", unique_by=[key]) \
-        .select(*by, key, F.col("_cum").alias("_r"))
+    by_key = positions(df.withColumn("_o", _key_order(df, key)), by, "_o", [key]).drop("_o", "_first")
     order = HASHES[hash_name](seed, *[F.col(c) for c in by], F.col(key))
-    by_hash = cumulative(df.select(*by, key, label, order.alias("_o")), by, "_o",
-                         group=[label], unique_by=[key]) \
-        .select(*by, F.col(label).alias(name), F.col("_cum").alias("_r"))
-    perm = null_safe_join(by_key, by_hash, [*by, "_r"]).select(*by, key, name)
-    return null_safe_join(df, perm, [*by, key])
+    by_hash = positions(df.select(*by, key, label, order.alias("_o")), by, "_o", [key, label]) \
+        .where("_first").select(*by, F.col(label).alias(name), "_r")
+    return null_safe_join(by_key, by_hash, ["_r", *by]).select(*df.columns, name)
 
 
 def auc_exact(df: DataFrame, label: str, score: str, by: list[str] | None = None, weight: str | None = None) -> DataFrame:

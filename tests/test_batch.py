@@ -195,3 +195,41 @@ def test_hinge_sums_by_class_equal_plain_ones(width):
     rounded = c * np.where(u <= 0, 0, np.where(inside, u * u / (2 * width), u - width / 2))
     want = [[hinge.sum(), rounded.sum(), (hinge - a * u).sum(), a[70:].sum(), a[:70].sum()], pos @ a[70:], neg @ a[:70], (x[inside].T @ (x[inside] * (c[inside] / width)[:, None])).ravel()]
     assert list(fit.by_class(neg, pos)) == pytest.approx(list(np.concatenate(want)))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Keys that are NULL or come several times, each in one class."""
+    rows = [(None if k == 7 else k, k % 3 and 1, float(i)) for i, k in enumerate([*range(60), 7, 5, 5, 12, 30, 31, 31])]
+    return spark.createDataFrame(rows, "k long, y int, x double").repartition(3)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("bin_rows", [5, 16_384])
+def test_ranks_without_a_join_by_key(spark, repeated, monkeypatch, bin_rows):
+    monkeypatch.setattr(V, "HASHED_ROWS", bin_rows)
+    assert V.one_class_a_key(repeated, "k", ["y"])
+    joined = V.null_safe_join(repeated, V.class_rank(repeated, "k", "y", 3).select("k", "rank", "class_n"), ["k"])
+    was = sorted((str(r.k), r.x, r.rank) for r in joined.collect())
+    assert sorted((str(r.k), r.x, r["rank"]) for r in V.with_class_rank(repeated, "k", ["y"], 3).collect()) == was
+    split = V.with_splits(repeated, "k", "y", 0.3, [3, 4], lambda i: f"t{i}")
+    assert sorted((str(r.k), r.x, r.t3) for r in split.collect()) == sorted((str(r.k), r.x, int(r["rank"] > math.floor(r.class_n * 0.3))) for r in joined.collect())
+    tagged = PL._tagged(repeated, "k", "y", {"f": 4}, 2)
+    assert {r.f for r in tagged.collect()} == {0, 1, 2, 3} and "__k" not in _plan(tagged) and "Join" not in _plan(split)
+
+
+def test_keys_of_two_classes_meet_both_ranks(spark):
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1)], "k long, y int")
+    assert not V.one_class_a_key(df, "k", ["y"]) and PL._tagged(df, "k", "y", {"f": 2}, 2).count() == 6
+
+
+def test_permuted_rows_are_dealt_out_once_a_side(spark, repeated):
+    """The label at place r in hash order goes to the key at place r in key order."""
+    got = V.permute_labels(repeated.where("k <> 5 and k <> 31 and k <> 12 and k <> 30"), "k", "y", seed=5, name="p")
+    rows = got.collect()
+    order = sorted((r for r in repeated.withColumn("h", V._hash(5, F.col("k"))).collect() if r.k not in (None, 5, 31, 12, 30)), key=lambda r: r.h)
+    assert [r.p for r in sorted(rows, key=lambda r: r.k)] == [r.y for r in order]
+    assert "__k#" not in _plan(got)
