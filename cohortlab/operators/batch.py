@@ -30,9 +30,14 @@ from ..session import cut_lineage, scratch_path
 # Executors need not have this module: what runs in tasks is sent with them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Rows of a table that one task holds, and that are worth a task; sums that one task adds up.
-ROWS_PER_TASK, ROWS_A_TASK = 50_000, 1000
+# Rows of a table that one task reads, block by block (the start of a task would outweigh the sums of fewer),
+# and that are worth a task; sums that one task adds up.
+ROWS_PER_TASK, ROWS_A_TASK = 500_000, 1000
 FAN_IN = 64
+# Fits of a table of more than four times START_ROWS rows look for their starting point on every PICKED-th row.
+START_ROWS, PICKED = 250_000, 8
+# Rows of a block of picked rows.
+BLOCK_ROWS = 10_000
 # Numbers of all tasks together that come to the driver without a tree.
 GATHERED = 1_000_000
 # Numbers that the models of one batch may send in a pass.
@@ -46,13 +51,16 @@ Subset = tuple[tuple[int, int, bool], ...]
 
 @dataclass
 class Rows:
-    """A stored table with columns ``_y``, the tags and the features, the same rows in blocks, and the number of its parts."""
+    """A stored table with columns ``_y``, the tags and the features, the same rows in blocks, and the number of its parts.
+
+    ``some`` are evenly picked rows of a large table, from which fits take their first point."""
 
     df: DataFrame
     features: list[str]
     tags: list[str]
     parts: int
     blocks: DataFrame
+    some: Rows | None = None
 
     @staticmethod
     def of(df: DataFrame, label: str, features: list[str], tags: list[str], keep: list[str] = ()) -> Rows:
@@ -63,10 +71,21 @@ class Rows:
         parts = max(1, -(-n // ROWS_PER_TASK), min(cores, n // ROWS_A_TASK))
         if parts > cores:  # as many for each core
             parts = -(-parts // cores) * cores
-        if table.rdd.getNumPartitions() < parts:
+        if table.rdd.getNumPartitions() < min(parts, cores):
             table = cut_lineage(table.repartition(parts))
-        table = table.coalesce(parts)
-        return Rows(table, list(features), list(tags), parts, _blocks(table.select("_y", *tags, *[f"_f{i}" for i in range(len(features))]), len(tags)))
+        packed = table.select("_y", *tags, *[f"_f{i}" for i in range(len(features))])
+        packed = packed.repartition(parts) if table.rdd.getNumPartitions() < parts else packed.coalesce(parts)
+        rows = Rows(table, list(features), list(tags), parts, _blocks(packed, len(tags)))
+        rows.some = rows.fewer(n)
+        return rows
+
+    def fewer(self, n: int) -> Rows | None:
+        """Every ``PICKED``-th of ``n`` rows, and so on, as long as they are many."""
+        if n < 4 * START_ROWS:
+            return None
+        out = Rows(self.df, self.features, self.tags, self.parts, _picked(self.blocks, len(self.tags), PICKED))
+        out.some = out.fewer(n // PICKED)
+        return out
 
 
 def _blocks(table: DataFrame, tags: int) -> DataFrame:
@@ -76,12 +95,38 @@ def _blocks(table: DataFrame, tags: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 y, t, x = _arrays(batch, tags)
-                packed = [y.tobytes(), t.astype(np.int32).tobytes("F"), x.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([b], pa.binary()) for b in packed]], ["n", "y", "tags", "x"])
+                yield _pack(y, t, x)
+
+    return _stored(table, run)
+
 
-    path = scratch_path(table.sparkSession, "blocks")
-    table.mapInArrow(run, "n int, y binary, tags binary, x binary").write.option("compression", "none").parquet(path)
-    return table.sparkSession.read.parquet(path)
+def _pack(y: np.ndarray, t: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    """A block. Labels are told apart by being 1 or not, so one byte holds them."""
+    packed = [(y == 1).astype(np.int8).tobytes(), t.astype(np.int32).tobytes("F"), np.ascontiguousarray(x).tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int32()), *[pa.array([b], pa.binary()) for b in packed]], ["n", "y", "tags", "x"])
+
+
+def _stored(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    path = scratch_path(df.sparkSession, "blocks")
+    df.mapInArrow(run, "n int, y binary, tags binary, x binary").write.option("compression", "none").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def _picked(blocks: DataFrame, tags: int, step: int) -> DataFrame:
+    """Every ``step``-th row of the blocks, as blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, skip = [], 0
+        for batch in batches:
+            for y, t, x in _unpacked(batch, tags):
+                found.append((y[skip::step], t[skip::step], x[skip::step].copy()))
+                skip = (skip - len(y)) % step
+        if found:
+            y, t, x = (np.concatenate(part) for part in zip(*found))
+            for at in range(0, len(y), BLOCK_ROWS):
+                yield _pack(*(a[at:at + BLOCK_ROWS] for a in (y, t, x)))
+
+    return _stored(blocks, run)
 
 
 def _unpacked(batch: pa.RecordBatch, tags: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -89,7 +134,7 @@ def _unpacked(batch: pa.RecordBatch, tags: int) -> Iterator[tuple[np.ndarray, np
     for i in range(batch.num_rows):
         n = batch.column(0)[i].as_py()
         y, t, x = (batch.column(k)[i].as_buffer() for k in (1, 2, 3))
-        yield np.frombuffer(y, np.int64), np.frombuffer(t, np.int32).reshape((n, tags), order="F"), np.frombuffer(x).reshape(n, -1)
+        yield np.frombuffer(y, np.int8), np.frombuffer(t, np.int32).reshape((n, tags), order="F"), np.frombuffer(x).reshape(n, -1)
 
 
 def _arrays(batch: pa.RecordBatch, tags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -437,14 +482,21 @@ class Hinge(Problem):
         sums, dual, pull, curve = np.zeros(3), [], [], np.zeros((k + 1, k + 1))
         for x, side, count in ((pos, 1.0, self.counts[1]), (neg, -1.0, self.counts[0])):
             c = self.cost * n / (2 * max(count, 1))
-            u = np.maximum(1 - side * (w @ x + self.at[-1]), 0)
-            a = np.minimum(u / self.width, 1)
-            sums += c * np.array([u.sum(), a @ u - self.width / 2 * (a @ a), (1 - a) @ u])
+            u = np.maximum((1 - side * self.at[-1]) - (side * w) @ x, 0)
+            a = np.minimum(u * (1 / self.width), 1)
+            all_u, within = u.sum(), a @ u
+            sums += c * np.array([all_u, within - self.width / 2 * (a @ a), all_u - within])
             dual.append(c * a.sum())
             pull.append(c * (x @ a))
-            inside = np.flatnonzero((a > 0) & (a < 1))
-            near = np.vstack([x[:, inside], np.ones((1, len(inside)))])
-            curve += (near @ near.T) * (c / self.width)
+            inside = (a > 0) & (a < 1)
+            some = np.count_nonzero(inside)
+            # Products of the rows inside: all rows with the others at 0 where they are many, else gathered.
+            held = x.take(np.flatnonzero(inside), axis=1) if 3 * some < len(a) else x * inside
+            first = held.sum(axis=1)
+            curve[:k, :k] += (held @ held.T) * (c / self.width)
+            curve[:k, k] += first * (c / self.width)
+            curve[k, :k] += first * (c / self.width)
+            curve[k, k] += some * (c / self.width)
         return np.concatenate([sums, dual, *pull, curve.ravel()])
 
     def update(self, sums: np.ndarray) -> None:
@@ -491,8 +543,30 @@ class Hinge(Problem):
         self.at, self.value, self.slope, self.damping = self.point, float("inf"), 0.0, 1e-3
 
 
+def _begin(rows: Rows, prepared: list[Prepared], problems: list[Hinge]) -> None:
+    """Starting points and widths from the same problems on ``rows.some``, the
+    errors weighing as much in all. Only the number of passes depends on it:
+    a fit ends by the duality gap over all its rows."""
+    subsets = list(dict.fromkeys(p.subset for p in problems))
+    counts = dict(zip(subsets, class_counts(rows.some, subsets)))
+    pairs = []
+    for p in problems:
+        if min(counts[p.subset]) > 0:
+            share = sum(p.counts) / sum(counts[p.subset])
+            pairs.append((p, Hinge(p.prepared, p.subset, p.cols, cost=p.cost * share, counts=counts[p.subset], tol=p.tol)))
+    try:
+        solve(rows.some, prepared, [small for _, small in pairs])
+    except ArithmeticError:  # a gap that does not close on few rows says nothing of all
+        return
+    for p, small in pairs:
+        p.at = p.point = small.point
+        p.width = small.width
+
+
 def solve(rows: Rows, prepared: list[Prepared], problems: list[Problem]) -> None:
     """All problems fitted in common passes, as many at once as ``BATCH_NUMBERS`` allows."""
+    if rows.some is not None and (hinges := [p for p in problems if isinstance(p, Hinge) and not p.done]):
+        _begin(rows, prepared, hinges)
     waiting = list(problems)
     while waiting:
         batch, numbers = [], 0
@@ -516,13 +590,21 @@ def _gather(prepared: list[Prepared], live: list[Problem]):
 
     def work(y: np.ndarray, tags: np.ndarray, x: np.ndarray) -> np.ndarray:
         out: list[np.ndarray | None] = [None] * len(live)
-        pos, gaps, x = y == 1, np.flatnonzero(np.isnan(x).any(axis=1)), np.ascontiguousarray(x.T)
+        pos, open_, x = y == 1, np.isnan(x).any(axis=1), np.ascontiguousarray(x.T)
+        gaps = np.flatnonzero(open_)
         for f, some in used.items():
-            z, sides = own[f].columns(x, cols[f], gaps), {}
+            held = {p.subset: members(tags, p.subset) for _, p in some}
+            # Only rows that some model reads are prepared.
+            at = np.flatnonzero(np.logical_or.reduce([*held.values()]))
+            if 2 * len(at) < len(y):
+                z, to, side_of = own[f].columns(x.take(at, axis=1), cols[f], np.flatnonzero(open_[at])), at, pos[at]
+            else:
+                z, to, side_of = own[f].columns(x, cols[f], gaps), slice(None), pos
+            sides = {}
             for i, p in some:
                 if p.subset not in sides:
-                    held = members(tags, p.subset)
-                    sides[p.subset] = [z.take(np.flatnonzero(held & at), axis=1) for at in (~pos, pos)]
+                    mine = held[p.subset][to]
+                    sides[p.subset] = [z.take(np.flatnonzero(mine & side), axis=1) for side in (~side_of, side_of)]
                 place = np.searchsorted(cols[f], p.cols)
                 out[i] = p.by_class(*[side if len(place) == len(side) else side[place] for side in sides[p.subset]])
         return np.concatenate(out)

@@ -233,3 +233,22 @@ def test_permuted_rows_are_dealt_out_once_a_side(spark, repeated):
     order = sorted((r for r in repeated.withColumn("h", V._hash(5, F.col("k"))).collect() if r.k not in (None, 5, 31, 12, 30)), key=lambda r: r.h)
     assert [r.p for r in sorted(rows, key=lambda r: r.k)] == [r.y for r in order]
     assert "__k#" not in _plan(got)
+
+
+@pytest.mark.parametrize("cost", [0.1, 10.0])
+def test_fits_start_from_picked_rows(spark, table, monkeypatch, cost):
+    """A large table's SVM starts near its end, and ends by the gap over all rows."""
+    many = PL.fit_imputer(table, FEATURES).transform(table).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    many = many.select("y", *[(F.col(c) + F.hash("k", "i", F.lit(c)) / 2.0 ** 33).alias(c) for c in FEATURES])
+    plain = PL.fit_svm(many, FEATURES, "y", cost)
+    monkeypatch.setattr(B, "START_ROWS", 500)
+    monkeypatch.setattr(B, "PICKED", 2)
+    rows = B.Rows.of(many, "y", FEATURES, [])
+    sizes, at = [], rows
+    while at is not None:
+        sizes.append(sum(r.n for r in at.blocks.collect()))
+        at = at.some
+    assert sizes == [8000, 4000, 2000, 1000] or all(abs(a - 2 * b) <= 16 for a, b in zip(sizes, sizes[1:])) and len(sizes) == 4
+    fast = PL.fit_svm(many, FEATURES, "y", cost)
+    assert fast.gap <= 1e-3 and fast.passes < plain.passes / 2
+    assert np.allclose(fast.weights, plain.weights, atol=0.05 * max(map(abs, plain.weights)))
