@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage, scratch_path
@@ -36,6 +36,8 @@ ROWS_PER_TASK, ROWS_A_TASK = 500_000, 1000
 FAN_IN = 64
 # Fits of a table of more than four times START_ROWS rows look for their starting point on every PICKED-th row.
 START_ROWS, PICKED = 250_000, 8
+# Rows of each label among the picked ones from which a logistic fit may start.
+ENOUGH = 100
 # Rows of a block of picked rows.
 BLOCK_ROWS = 10_000
 # Numbers of all tasks together that come to the driver without a tree.
@@ -61,6 +63,7 @@ class Rows:
     parts: int
     blocks: DataFrame
     some: Rows | None = None
+    patterns: list[Row] | None = None   # what ``moments`` found of the missingness patterns
 
     @staticmethod
     def of(df: DataFrame, label: str, features: list[str], tags: list[str], keep: list[str] = ()) -> Rows:
@@ -133,8 +136,9 @@ def _unpacked(batch: pa.RecordBatch, tags: int) -> Iterator[tuple[np.ndarray, np
     """Labels, tags and features of each block of a batch."""
     for i in range(batch.num_rows):
         n = batch.column(0)[i].as_py()
-        y, t, x = (batch.column(k)[i].as_buffer() for k in (1, 2, 3))
-        yield np.frombuffer(y, np.int8), np.frombuffer(t, np.int32).reshape((n, tags), order="F"), np.frombuffer(x).reshape(n, -1)
+        y, t = (batch.column(k)[i].as_buffer() for k in (1, 2))
+        x = np.frombuffer(batch.column(3)[i].as_buffer()).reshape(n, -1) if batch.num_columns > 3 else np.zeros((n, 0))
+        yield np.frombuffer(y, np.int8), np.frombuffer(t, np.int32).reshape((n, tags), order="F"), x
 
 
 def _arrays(batch: pa.RecordBatch, tags: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,8 +155,10 @@ def members(tags: np.ndarray, subset: Subset) -> np.ndarray:
     return out
 
 
-def total(rows: Rows, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of ``work(y, tags, x)``, a vector of ``size`` numbers, over all batches of the table: one pass."""
+def total(rows: Rows, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], features: bool = True) -> np.ndarray:
+    """The sum of ``work(y, tags, x)``, a vector of ``size`` numbers, over all batches of the table: one pass.
+
+    Without ``features`` only labels and tags are read, and x has no columns."""
     tags = len(rows.tags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +173,8 @@ def total(rows: Rows, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndar
         parts, sums = table.column("part").to_pylist(), table.column("sums").to_pylist()
         return pa.table({"part": [min(parts)], "sums": pa.array([sum(np.frombuffer(s) for s in sums).tobytes()], pa.binary())})
 
-    found, parts = rows.blocks.mapInArrow(run, "part long, sums binary"), rows.parts
+    blocks = rows.blocks if features else rows.blocks.select("n", "y", "tags")
+    found, parts = blocks.mapInArrow(run, "part long, sums binary"), rows.parts
     while parts > 8 and parts * size > GATHERED:
         parts = -(-parts // FAN_IN)
         found = found.groupBy((F.col("part") % parts).alias("_g")).applyInArrow(add, "part long, sums binary")
@@ -195,15 +202,16 @@ class Moments:
 
 
 def moments(rows: Rows, subsets: list[Subset]) -> Moments:
-    """One grouped pass for the patterns, one pass for the sums."""
+    """One grouped pass for the patterns, the first time, and one pass for the sums."""
     p = len(rows.features)
     cells = [f"_f{i}" for i in range(p)]
     pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cells])
-    got = (rows.df.groupBy(pattern.alias("_p")).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(k + c) for c in cells for k, f in (("lo", F.min), ("hi", F.max), ("s", F.sum), ("q", F.stddev_pop))])
-           .limit(MAX_PATTERNS + 1).collect())
+    if rows.patterns is None:
+        rows.patterns = (rows.df.groupBy(pattern.alias("_p")).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(k + c) for c in cells for k, f in (("lo", F.min), ("hi", F.max), ("s", F.sum), ("q", F.stddev_pop))])
+                         .limit(MAX_PATTERNS + 1).collect())
+    got = sorted(rows.patterns, key=lambda r: r["_p"])
     if len(got) > MAX_PATTERNS or len(got) * len(subsets) * p * p > MAX_MOMENTS:
         raise Unbounded
-    got.sort(key=lambda r: r["_p"])
     observed = np.array([[c == "1" for c in r["_p"]] for r in got], dtype=bool).reshape(len(got), p)
     pick = lambda k, none: np.array([[none if r[k + c] is None else r[k + c] for c in cells] for r in got]).reshape(len(got), p)
     n = np.array([r["n"] for r in got])[:, None] * observed
@@ -220,9 +228,12 @@ def moments(rows: Rows, subsets: list[Subset]) -> Moments:
         seen = ~np.isnan(x)
         u = np.where(seen, (x - center) / scale, 0.0)
         code = np.packbits(seen, axis=1)
-        kinds, where = np.unique(code, axis=0, return_inverse=True)
+        if code.shape[1] == 1:  # up to 8 features: no sort
+            kinds, where = np.flatnonzero(np.bincount(code[:, 0], minlength=256)).astype(np.uint8)[:, None], None
+        else:
+            kinds, where = np.unique(code, axis=0, return_inverse=True)
         for k, kind in enumerate(kinds):
-            at = np.flatnonzero(where.ravel() == k)
+            at = np.flatnonzero(code[:, 0] == kind[0] if where is None else where.ravel() == k)
             to = out[place[kind.tobytes()]]
             for f in range(len(subsets)):
                 some = u[at[mask[at, f]]]
@@ -414,6 +425,14 @@ class Logistic(Problem):
         loss = np.logaddexp(0, m) - t * m
         return np.concatenate([[n, loss.sum()], x.T @ (q - t), (x.T @ (x * (q * (1 - q))[:, None])).ravel()])
 
+    def update(self, sums: np.ndarray) -> None:
+        if self.value == float("inf") and self.at.any() and not self.judge(sums)[0] <= np.log(2):
+            # A start from picked rows that is worse than none (all weights 0).
+            self.passes += 1
+            self.at = self.point = np.zeros_like(self.point)
+            return
+        super().update(sums)
+
     def judge(self, sums: np.ndarray):
         k, n = len(self.at), max(sums[0], 1.0)
         l1, l2 = self.alpha * self.l1_ratio, self.alpha * (1 - self.l1_ratio)
@@ -543,15 +562,18 @@ class Hinge(Problem):
         self.at, self.value, self.slope, self.damping = self.point, float("inf"), 0.0, 1e-3
 
 
-def _begin(rows: Rows, prepared: list[Prepared], problems: list[Hinge]) -> None:
+def _begin(rows: Rows, prepared: list[Prepared], problems: list[Problem]) -> None:
     """Starting points and widths from the same problems on ``rows.some``, the
     errors weighing as much in all. Only the number of passes depends on it:
-    a fit ends by the duality gap over all its rows."""
+    an SVM ends by the duality gap over all its rows, a logistic fit by its step over all of them."""
     subsets = list(dict.fromkeys(p.subset for p in problems))
     counts = dict(zip(subsets, class_counts(rows.some, subsets)))
     pairs = []
     for p in problems:
-        if min(counts[p.subset]) > 0:
+        if isinstance(p, Logistic):
+            if min(counts[p.subset]) >= ENOUGH:
+                pairs.append((p, Logistic(p.prepared, p.subset, p.cols, p.alpha, p.l1_ratio, p.targets)))
+        elif min(counts[p.subset]) > 0:
             share = sum(p.counts) / sum(counts[p.subset])
             pairs.append((p, Hinge(p.prepared, p.subset, p.cols, cost=p.cost * share, counts=counts[p.subset], tol=p.tol)))
     try:
@@ -560,13 +582,14 @@ def _begin(rows: Rows, prepared: list[Prepared], problems: list[Hinge]) -> None:
         return
     for p, small in pairs:
         p.at = p.point = small.point
-        p.width = small.width
+        if isinstance(p, Hinge):
+            p.width = small.width
 
 
 def solve(rows: Rows, prepared: list[Prepared], problems: list[Problem]) -> None:
     """All problems fitted in common passes, as many at once as ``BATCH_NUMBERS`` allows."""
-    if rows.some is not None and (hinges := [p for p in problems if isinstance(p, Hinge) and not p.done]):
-        _begin(rows, prepared, hinges)
+    if rows.some is not None and (left := [p for p in problems if not p.done]):
+        _begin(rows, prepared, left)
     waiting = list(problems)
     while waiting:
         batch, numbers = [], 0
@@ -618,7 +641,7 @@ def class_counts(rows: Rows, subsets: list[Subset]) -> list[tuple[float, float]]
     def work(y: np.ndarray, tags: np.ndarray, x: np.ndarray) -> np.ndarray:
         return np.array([(~(y == 1) & s).sum() if k == 0 else ((y == 1) & s).sum() for s in (members(tags, sub) for sub in subsets) for k in (0, 1)], dtype=float)
 
-    found = total(rows, 2 * len(subsets), work)
+    found = total(rows, 2 * len(subsets), work, False)
     return [(float(found[2 * i]), float(found[2 * i + 1])) for i in range(len(subsets))]
 
 
@@ -657,6 +680,23 @@ class Scored:
     sigmoid: tuple[float, float] | None = None
 
 
+def _margins(own: Prepared, x: np.ndarray, some: list[tuple[int, Scored, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number, places, margins) of each (number, model, rows of its subset) of one prepared form.
+
+    Only rows and columns that a model reads are prepared."""
+    if not some:
+        return
+    at = np.flatnonzero(np.logical_or.reduce([held for _, _, held in some]))
+    cols = np.unique(np.concatenate([m.cols for _, m, _ in some])).astype(int)
+    x = np.ascontiguousarray(x.T if len(at) == len(x) else x[at].T)
+    z = own.columns(x, cols, np.flatnonzero(np.isnan(x).any(axis=0)))
+    for i, m, held in some:
+        mine = np.flatnonzero(held[at])
+        place = np.searchsorted(cols, m.cols)
+        margin = m.point[:-1] @ (z if len(place) == len(z) else z[place])
+        yield i, at[mine], margin.take(mine) + m.point[-1]
+
+
 def scored(rows: Rows, prepared: list[Prepared], models: list[Scored], keep: list[str] = ()) -> DataFrame:
     """(keep, _y, part, score): every model's score of every row of its subset, ``part`` being the model's place."""
     tags, first = len(rows.tags), len(keep)
@@ -668,12 +708,8 @@ def scored(rows: Rows, prepared: list[Prepared], models: list[Scored], keep: lis
         for batch in batches:
             y, t, x = _arrays(batch.select(range(first, batch.num_columns)), tags)
             for f, own in used.items():
-                z = own.apply(x)
-                for i, m in enumerate(models):
-                    if m.prepared != f:
-                        continue
-                    at = np.flatnonzero(members(t, m.subset))
-                    score = z[at][:, m.cols] @ m.point[:-1] + m.point[-1]
+                for i, at, score in _margins(own, x, [(i, m, members(t, m.subset)) for i, m in enumerate(models) if m.prepared == f]):
+                    m = models[i]
                     if m.sigmoid:
                         score = 1 / (1 + np.exp(-np.clip(m.sigmoid[0] * score + m.sigmoid[1], -700, 700)))
                     kept = batch.select(range(first)).take(pa.array(at)).columns if first else []
@@ -692,23 +728,32 @@ def sigmoids(rows: Rows, prepared: list[Prepared], held: list[list[Scored]], tol
         if not n0 or not n1:
             target = fits[-1].targets[1 if n1 else 0]
             fits[-1].point, fits[-1].done = np.array([0.0, np.log(target / (1 - target))]), True
-    used = {m.prepared: prepared[m.prepared] for some in held for m in some}
+    _fit_sigmoids(rows, prepared, held, fits)
+    return [(float(f.point[0]), float(f.point[1])) for f in fits]
+
+
+def _fit_sigmoids(rows: Rows, prepared: list[Prepared], held: list[list[Scored]], fits: list[Logistic]) -> None:
+    """Common passes for all sigmoids that are not done, those of a large table from a start on ``rows.some``."""
+    if rows.some is not None and (left := [i for i, f in enumerate(fits) if not f.done]):
+        subsets = list(dict.fromkeys(m.subset for i in left for m in held[i]))
+        counts = dict(zip(subsets, class_counts(rows.some, subsets)))
+        left = [i for i in left if min(sum(counts[m.subset][k] for m in held[i]) for k in (0, 1)) >= ENOUGH]
+        small = [Logistic(0, (), np.array([0]), targets=fits[i].targets) for i in left]
+        _fit_sigmoids(rows.some, prepared, [held[i] for i in left], small)
+        for i, s in zip(left, small):
+            fits[i].at = fits[i].point = s.point
     while live := [i for i, f in enumerate(fits) if not f.done]:
+        mine = {f: [(i, m) for i in live for m in held[i] if m.prepared == f] for f in {m.prepared for i in live for m in held[i]}}
+        used = {f: prepared[f] for f in mine}
 
         def work(y: np.ndarray, tags: np.ndarray, x: np.ndarray) -> np.ndarray:
-            z = {f: own.apply(x) for f, own in used.items()}
-            out = []
-            for i in live:
-                sums = np.zeros(fits[i].size())
-                for m in held[i]:
-                    at = members(tags, m.subset)
-                    margin = z[m.prepared][at][:, m.cols] @ m.point[:-1] + m.point[-1]
-                    sums += fits[i].sums(margin[:, None], y[at])
-                out.append(sums)
-            return np.concatenate(out)
+            out = {i: np.zeros(fits[i].size()) for i in live}
+            for f, own in used.items():
+                for i, at, margin in _margins(own, x, [(i, m, members(tags, m.subset)) for i, m in mine[f]]):
+                    out[i] += fits[i].sums(margin[:, None], y[at])
+            return np.concatenate([out[i] for i in live])
 
         found, at = total(rows, sum(fits[i].size() for i in live), work), 0
         for i in live:
             fits[i].update(found[at:at + fits[i].size()])
             at += fits[i].size()
-    return [(float(f.point[0]), float(f.point[1])) for f in fits]

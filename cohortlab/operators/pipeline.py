@@ -281,18 +281,25 @@ def _svms(rows: B.Rows, prepared: list[B.Prepared], wanted: list[Want], s: Setti
     return out
 
 
-def _tagged(df: DataFrame, key: str, label: str, folds: dict[str, int], seed: int, within: list[str] = ()) -> DataFrame:
+def _tagged(df: DataFrame, key: str, label: str, folds: dict[str, int | tuple[int, int]], seed: int, within: list[str] = (),
+            plain: bool | None = None) -> DataFrame:
     """Fold numbers by hash order of the keys, classes spread evenly within each combination of the columns ``within``.
 
-    Where a key has rows of several classes, each of its rows meets each of the key's ranks."""
-    plain = one_class_a_key(df, key, [*within, label])
-    for i, (name, k) in enumerate(folds.items()):
+    ``folds`` are numbers of folds, or (folds, order): folds of the same order share one ranking, else each has the
+    order of its place. Where a key has rows of several classes (not ``plain``), each of its rows meets each of the key's ranks."""
+    if plain is None:
+        plain = one_class_a_key(df, key, [*within, label])
+    orders = {}
+    for i, (name, f) in enumerate(folds.items()):
+        k, order = f if isinstance(f, tuple) else (f, i)
+        orders.setdefault(order, {})[name] = k
+    for order, named in orders.items():
         if plain:
-            df = with_class_rank(df, key, [*within, label], seed * 1000003 + i, "_rank")
-            df = df.withColumn(name, ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
+            df = with_class_rank(df, key, [*within, label], seed * 1000003 + order, "_rank")
+            df = df.withColumns({name: ((F.col("_rank") - 1) % k).cast("int") for name, k in named.items()}).drop("_rank")
             continue
-        ranked = class_rank(df, key, label, seed * 1000003 + i, list(within))
-        df = null_safe_join(df, ranked.select(key, ((F.col("rank") - 1) % k).cast("int").alias(name)), [key])
+        ranked = class_rank(df, key, label, seed * 1000003 + order, list(within))
+        df = null_safe_join(df, ranked.select(key, *[((F.col("rank") - 1) % k).cast("int").alias(name) for name, k in named.items()]), [key])
     return df
 
 
@@ -402,11 +409,22 @@ def fit_many(rows: B.Rows, wanted: list[tuple[B.Subset, dict]], s: Settings, pla
     return models, prepared, [at[subset] for subset, _ in wanted]
 
 
-def fit(df: DataFrame, key: str, label: str, features: list[str], cell: dict, s: Settings = Settings()) -> Fitted:
+def laid(df: DataFrame, key: str, label: str, features: list[str], k: int = 3, s: Settings = Settings()) -> B.Rows | None:
+    """The rows of ``df`` for a ``search`` in ``k`` folds and a ``fit``, ranked and stored once for both: their folds are
+    of the same ranking. None where a key has rows of several classes: each call then lays its own."""
+    some = df.where(F.col(label).isNotNull()).select(key, label, *features)
+    if not one_class_a_key(some, key, [label]):
+        return None
+    return B.Rows.of(_tagged(some, key, label, {"_i0": (k, 0), "_p": (s.platt_folds, 0)}, s.seed, plain=True), label, features, ["_i0", "_p"])
+
+
+def fit(df: DataFrame, key: str, label: str, features: list[str], cell: dict, s: Settings = Settings(), rows: B.Rows | None = None) -> Fitted:
     """All four stages on ``df``; ``cell`` holds cost, alpha and l1_ratio.
-    Rows with a NULL label are left out of the fit."""
-    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, {"_p": s.platt_folds}, s.seed)
-    return fit_many(B.Rows.of(data, label, features, ["_p"]), [((), cell)], s, 0)[0][0]
+    Rows with a NULL label are left out of the fit. ``rows`` are those of ``df`` from ``laid``, if it was called."""
+    if rows is None:
+        data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, {"_p": s.platt_folds}, s.seed)
+        rows = B.Rows.of(data, label, features, ["_p"])
+    return fit_many(rows, [((), cell)], s, rows.tags.index("_p"))[0][0]
 
 
 def cells(costs=(0.1, 1.0), alphas=(0.01,), l1_ratios=(0.5,)) -> list[dict]:
@@ -449,18 +467,23 @@ def _best(table: list[tuple], metric: str) -> int:
 
 
 def search(df: DataFrame, key: str, label: str, features: list[str], grid: list[dict], k: int = 3, repeats: int = 1,
-           metric: str = "auc", probas: bool = False, s: Settings = Settings()) -> tuple[dict, DataFrame]:
+           metric: str = "auc", probas: bool = False, s: Settings = Settings(), rows: B.Rows | None = None) -> tuple[dict, DataFrame]:
     """M7: repeated stratified inner folds over the rows of ``df``.
 
     Returns the best cell (greatest mean score, least for the Brier score;
     ties: first) and the table (alpha, l1_ratio, cost, score, sd, n). All cells
     of all folds are fitted in common passes and scored by one query. Decisions
     are taken at margin 0, or with ``probas`` at calibrated probability 1/2,
-    which the Brier score needs.
+    which the Brier score needs. ``rows`` are those of ``df`` from ``laid``
+    with the same ``k``, if it was called; they serve one repeat without probabilities.
     """
-    tags = {f"_i{r}": k for r in range(repeats)}
-    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, tags | {"_p": s.platt_folds}, s.seed)
-    rows = B.Rows.of(data, label, features, [*tags, "_p"])
+    sigmoid = probas or metric == "brier"
+    if rows is None or sigmoid or repeats > 1:
+        tags, some = {f"_i{r}": k for r in range(repeats)}, df.where(F.col(label).isNotNull()).select(key, label, *features)
+        plain = one_class_a_key(some, key, [label])
+        if sigmoid or not plain:  # other folds are not read; rows of a key with several classes meet their ranks
+            tags["_p"] = s.platt_folds
+        rows = B.Rows.of(_tagged(some, key, label, tags, s.seed, plain=plain), label, features, [*tags])
     table = _search(rows, [()], grid, list(range(repeats)), k, metric, probas, repeats, s)[0]
     return grid[_best(table, metric)], df.sparkSession.createDataFrame(table, "alpha double, l1_ratio double, cost double, score double, sd double, n int")
 

@@ -252,3 +252,61 @@ def test_fits_start_from_picked_rows(spark, table, monkeypatch, cost):
     fast = PL.fit_svm(many, FEATURES, "y", cost)
     assert fast.gap <= 1e-3 and fast.passes < plain.passes / 2
     assert np.allclose(fast.weights, plain.weights, atol=0.05 * max(map(abs, plain.weights)))
+
+
+@pytest.fixture
+def large(spark, table, monkeypatch):
+    """8000 rows that count as a large table, with a key each."""
+    monkeypatch.setattr(B, "START_ROWS", 500)
+    monkeypatch.setattr(B, "PICKED", 2)
+    many = table.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    return many.select((F.col("k") * 20 + F.col("i")).alias("k"), "y", *[(F.col(c) + F.hash("k", "i", F.lit(c)) / 2.0 ** 33).alias(c) for c in FEATURES]).cache()
+
+
+def test_logistic_fits_start_from_picked_rows(spark, large, monkeypatch):
+    """Selector and sigmoid of a large table take fewer passes over all its rows, to the same end."""
+    rows = B.Rows.of(large, "y", FEATURES, [])
+    prepared = [PL._as_arrays(*PL.prepare_all(rows, [()], PL.Settings())[0])]
+    alone = B.Rows(rows.df, rows.features, rows.tags, rows.parts, rows.blocks)
+    fits = [B.Logistic(0, (), np.arange(4), alpha=0.01, l1_ratio=0.5) for _ in range(2)]
+    B.solve(rows, prepared, fits[:1])
+    B.solve(alone, prepared, fits[1:])
+    assert fits[0].passes < fits[1].passes and np.allclose(fits[0].point, fits[1].point, atol=1e-7)
+    held = [[B.Scored(0, (), np.arange(4), np.array([0.5, 0.0, 0.4, 0.0, -0.2]))]]
+    n = B.class_counts(rows, [()])
+    passes, real = [], B.total
+    monkeypatch.setattr(B, "total", lambda table, *a: passes.append(table.blocks is rows.blocks) or real(table, *a))
+    one = B.sigmoids(rows, prepared, held, n)
+    over_all = sum(passes)
+    two = B.sigmoids(alone, prepared, held, n)
+    assert one[0] == pytest.approx(two[0], rel=1e-7) and over_all < sum(passes) - over_all
+    bad = B.Logistic(0, (), np.arange(4), alpha=0.01, l1_ratio=0.5)
+    bad.at = bad.point = np.array([90.0, -90.0, 90.0, 90.0, -90.0])  # a start worse than none is left
+    B.solve(alone, prepared, [bad])
+    assert np.allclose(bad.point, fits[1].point, atol=1e-7)
+
+
+def test_class_counts_read_no_features(spark, table, monkeypatch):
+    rows = B.Rows.of(table.withColumn("t", (F.col("k") % 3).cast("int")), "y", FEATURES, ["t"])
+    widths, real = [], B.total
+    monkeypatch.setattr(B, "total", lambda rows, size, work, *a: widths.append(a) or real(rows, size, work, *a))
+    subsets = [(), ((0, 1, True),), ((0, 1, False),)]
+    want = [tuple(float(table.where(w).where(f"y = {k}").count()) for k in (0, 1)) for w in ("true", "k % 3 = 1", "k % 3 <> 1")]
+    assert B.class_counts(rows, subsets) == want and widths == [(False,)]
+
+
+def test_search_and_fit_share_their_rows(spark, table, monkeypatch):
+    """One ranking and one stored table serve both, with the results of separate calls."""
+    best, found = PL.search(table, "k", "y", FEATURES, PL.cells(), 3)
+    alone = PL.fit(table, "k", "y", FEATURES, best)
+    ranked, real = [], PL.with_class_rank
+    monkeypatch.setattr(PL, "with_class_rank", lambda *a: ranked.append(1) or real(*a))
+    rows = PL.laid(table, "k", "y", FEATURES, 3)
+    again, shared = PL.search(table, "k", "y", FEATURES, PL.cells(), 3, rows=rows)
+    model = PL.fit(table, "k", "y", FEATURES, again, rows=rows)
+    assert len(ranked) == 1 and again == best
+    assert [list(r)[:3] + [round(r.score, 9), r.n] for r in shared.collect()] == [list(r)[:3] + [round(r.score, 9), r.n] for r in found.collect()]
+    assert model.selector.names == alone.selector.names and model.selector.scores == pytest.approx(alone.selector.scores, rel=1e-9)
+    assert [*model.svm.weights, model.svm.a, model.svm.b] == pytest.approx([*alone.svm.weights, alone.svm.a, alone.svm.b], rel=1e-6)
+    split = table.select("k", "y", *FEATURES).union(table.select("k", 1 - F.col("y"), *FEATURES).limit(3))
+    assert PL.laid(split, "k", "y", FEATURES, 3) is None
