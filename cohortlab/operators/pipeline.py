@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import itertools
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from . import batch as B
 from .ranks import null_safe_join, present
-from .validate import METRICS, class_rank, classification_metrics, metrics_long, one_class_a_key, with_class_rank
+from .validate import METRICS, class_rank, classification_metrics, key_kinds, metrics_long, one_class_a_key, with_class_rank
 
 # Targets whose sums of products one aggregate takes.
 TARGETS_PER_PASS = 4
@@ -492,10 +494,17 @@ def search(df: DataFrame, key: str, label: str, features: list[str], grid: list[
 class Nested:
     """What a nested cross-validation found."""
 
-    scores: DataFrame   # (fold, metric, score, split)
     oof: DataFrame      # (key, fold, label, prob), every key once
     params: DataFrame   # (fold, alpha, l1_ratio, cost, inner_score)
     models: list[Fitted]
+    label: str
+    trained: Callable[[], DataFrame]   # (fold, label, prob) of the training rows
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        """(fold, metric, score, split); the training rows are scored when it is asked for."""
+        return metrics_long(classification_metrics(self.oof, self.label, "prob", ["fold"]), ["fold"], "test").unionByName(
+            metrics_long(classification_metrics(self.trained(), self.label, "prob", ["fold"]), ["fold"], "train"))
 
 
 def nested(df: DataFrame, key: str, label: str, features: list[str], grid: list[dict] | None = None, outer_k: int = 10, inner_k: int = 3,
@@ -506,12 +515,17 @@ def nested(df: DataFrame, key: str, label: str, features: list[str], grid: list[
 
     Inner folds are laid within each outer fold, so they are even folds of
     every training set, and the searches of all outer folds run in the same passes.
+    Rows are scored by the models of their own fold, and joined with nothing, unless keys repeat.
     """
     grid, repeats = grid or cells(), range(inner_repeats)
-    data = _tagged(df.where(F.col(label).isNotNull()).select(key, label, *features), key, label, {"_outer": outer_k}, s.seed)
-    data = _tagged(cut_lineage(data), key, label, {f"_i{r}": inner_k for r in repeats} | {"_p": s.platt_folds}, s.seed + 1, ["_outer"])
-    rows = B.Rows.of(data, label, features, ["_outer", *[f"_i{r}" for r in repeats], "_p"], keep=[key])
-    outers, platt = [((0, f, False),) for f in range(outer_k)], 1 + inner_repeats
+    data = df.where(F.col(label).isNotNull()).select(key, label, *features)
+    # Rows of one key and class get the same folds, so what holds of the classes holds within the folds.
+    plain, unique = key_kinds(data, key, [label])
+    data = cut_lineage(_tagged(data, key, label, {"_outer": outer_k}, s.seed, plain=plain))
+    inner_tags = {f"_i{r}": (inner_k, r) for r in repeats} if len(grid) > 1 or not plain else {}
+    data = _tagged(data, key, label, inner_tags | {"_p": (s.platt_folds, inner_repeats)}, s.seed + 1, ["_outer"], plain=plain)
+    rows = B.Rows.of(data, label, features, ["_outer", *inner_tags, "_p"], keep=[key])
+    outers, platt = [((0, f, False),) for f in range(outer_k)], 1 + len(inner_tags)
     best, inner = [0] * outer_k, [None] * outer_k
     if len(grid) > 1:
         for f, table in enumerate(_search(rows, outers, grid, [1 + r for r in repeats], inner_k, metric, probas, platt, s)):
@@ -519,15 +533,21 @@ def nested(df: DataFrame, key: str, label: str, features: list[str], grid: list[
             inner[f] = table[best[f]][3]
     models, prepared, which = fit_many(rows, [(outers[f], grid[best[f]]) for f in range(outer_k)], s, platt)
     place = {c: i for i, c in enumerate(features)}
-    all_rows = [B.Scored(which[f], (), np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept]), (m.svm.a, m.svm.b)) for f, m in enumerate(models)]
-    marked = data.select(key, "_outer")
-    scored = cut_lineage(null_safe_join(B.scored(rows, prepared, all_rows, [key]), marked, [key]).select(
-        key, F.col("part").alias("fold"), F.col("_y").alias(label), F.col("score").alias("prob"), (F.col("_outer") == F.col("part")).alias("held")))
-    oof = scored.where("held").drop("held")
-    scores = metrics_long(classification_metrics(oof, label, "prob", ["fold"]), ["fold"], "test").unionByName(
-        metrics_long(classification_metrics(scored.where("not held"), label, "prob", ["fold"]), ["fold"], "train"))
+    named = [F.col("part").alias("fold"), F.col("_y").alias(label), F.col("score").alias("prob")]
+
+    def scores(subsets: list[B.Subset], keep: list[str]) -> DataFrame:
+        ways = [B.Scored(which[f], subsets[f], np.array([place[c] for c in m.svm.columns]), np.array([*m.svm.weights, m.svm.intercept]), (m.svm.a, m.svm.b)) for f, m in enumerate(models)]
+        return B.scored(rows, prepared, ways, keep)
+
+    if unique:
+        oof = cut_lineage(scores([((0, f, True),) for f in range(outer_k)], [key]).select(key, *named))
+        trained = lambda: cut_lineage(scores(outers, []).select(*named))
+    else:  # the rows of a key meet each other's folds
+        both = cut_lineage(null_safe_join(scores([()] * outer_k, [key]), rows.df.select(key, "_outer"), [key]).select(key, *named, (F.col("_outer") == F.col("part")).alias("held")))
+        oof = both.where("held").drop("held")
+        trained = lambda: both.where("not held")
     params = [(f, grid[best[f]]["alpha"], grid[best[f]]["l1_ratio"], grid[best[f]]["cost"], inner[f]) for f in range(outer_k)]
-    return Nested(scores, oof, df.sparkSession.createDataFrame(params, "fold int, alpha double, l1_ratio double, cost double, inner_score double"), models)
+    return Nested(oof, df.sparkSession.createDataFrame(params, "fold int, alpha double, l1_ratio double, cost double, inner_score double"), models, label, trained)
 
 
 def selected(spark: SparkSession, model: Fitted) -> DataFrame:

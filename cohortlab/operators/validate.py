@@ -75,9 +75,15 @@ HASHED_ROWS = 16_384
 
 def one_class_a_key(df: DataFrame, key: str, part: list[str]) -> bool:
     """Whether all rows of a key lie in the same class (columns ``part``)."""
+    return key_kinds(df, key, part)[0]
+
+
+def key_kinds(df: DataFrame, key: str, part: list[str]) -> tuple[bool, bool]:
+    """Whether all rows of a key lie in the same class (columns ``part``), and whether no key has several rows."""
     cls = F.xxhash64(*[F.struct(F.col(c).isNull().alias("none"), F.col(c)) for c in part])
-    split = df.select(F.col(key).alias("_k"), cls.alias("_c")).groupBy("_k").agg((F.min("_c") != F.max("_c")).alias("_split"))
-    return not split.where("_split").take(1)
+    each = df.select(F.col(key).alias("_k"), cls.alias("_c")).groupBy("_k").agg((F.min("_c") != F.max("_c")).alias("_split"), (F.count(F.lit(1)) > 1).alias("_twice"))
+    row = each.agg(F.max("_split").alias("split"), F.max("_twice").alias("twice")).first()
+    return not row["split"], not row["twice"]
 
 
 def _hash_bins(n: int) -> Callable[[F.Column], F.Column]:

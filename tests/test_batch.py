@@ -310,3 +310,28 @@ def test_search_and_fit_share_their_rows(spark, table, monkeypatch):
     assert [*model.svm.weights, model.svm.a, model.svm.b] == pytest.approx([*alone.svm.weights, alone.svm.a, alone.svm.b], rel=1e-6)
     split = table.select("k", "y", *FEATURES).union(table.select("k", 1 - F.col("y"), *FEATURES).limit(3))
     assert PL.laid(split, "k", "y", FEATURES, 3) is None
+
+
+def test_held_out_rows_alone_are_scored(spark, table, monkeypatch):
+    """A single cell lays no inner folds; rows get the model of their own fold without a join, training rows when asked for."""
+    scored, joined, tags = [], [], []
+    real, of = B.scored, B.Rows.of
+    monkeypatch.setattr(PL.B, "scored", lambda rows, prepared, models, keep=(): scored.append([m.subset for m in models]) or real(rows, prepared, models, keep))
+    monkeypatch.setattr(PL, "null_safe_join", lambda *a: joined.append(1))
+    monkeypatch.setattr(PL.B.Rows, "of", staticmethod(lambda df, label, features, t, keep=(): tags.extend(t) or of(df, label, features, t, keep)))
+    found = PL.nested(table, "k", "y", FEATURES, PL.cells(costs=(1.0,)), outer_k=3)
+    assert scored == [[((0, f, True),) for f in range(3)]] and not joined and tags == ["_outer", "_p"]
+    oof = found.oof.collect()
+    assert sorted(r.k for r in oof) == list(range(400)) and {r.fold for r in oof} == {0, 1, 2}
+    for f, model in enumerate(found.models):
+        of_model = {r.k: r.prob for r in model.transform(table, ["k"]).collect()}
+        assert all(r.prob == pytest.approx(of_model[r.k], abs=1e-9) for r in oof if r.fold == f)
+    assert found.scores.count() == 54 and len(scored) == 2
+
+
+def test_repeated_keys_meet_each_others_folds(spark, table):
+    """Rows of one key stay together; each is listed once a row of its key, as before."""
+    twice = table.union(table.where("k < 10"))
+    found = PL.nested(twice, "k", "y", FEATURES, PL.cells(costs=(1.0,)), outer_k=3)
+    counts = {r.k: r["count"] for r in found.oof.groupBy("k").count().collect()}
+    assert counts == {k: 4 if k < 10 else 1 for k in range(400)} and found.scores.count() == 54
